@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from codexloom.llm.common import column_texts, per_batch
+from codexloom.llm.common import added, column_texts, per_batch
 
 #: Bytes up to which a string is merged directly; bytes up to which halves are remembered; how many strings a table remembers.
 LEAF, KEPT, CACHED = 4, 7, 400_000
@@ -179,8 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         return batch.append_column(ids, found)
 
     docs = docs.drop(ids)
-    schema = docs.schema.add(ids, "array<int>")
-    return docs.mapInArrow(per_batch(run), schema)
+    return docs.mapInArrow(per_batch(run), added(docs.schema, f"{ids} array<int>"))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -191,7 +190,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out
         return batch.append_column(out, pa.array([bpe.decode(x or []) for x in batch.column(ids).to_pylist()], pa.binary()))
 
     docs = docs.drop(out)
-    return docs.mapInArrow(per_batch(run), docs.schema.add(out, "binary"))
+    return docs.mapInArrow(per_batch(run), added(docs.schema, f"{out} binary"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a table of keys may be broadcast after counting it; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -51,6 +52,11 @@ def with_ids(spark: SparkSession, df: DataFrame, ids: DataFrame, how: str = "lef
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
 
 
+def added(schema: T.StructType, *fields: str) -> T.StructType:
+    """A copy of the schema with more fields, each "name type"."""
+    return T.StructType(list(schema.fields) + [f for x in fields for f in T.StructType.fromDDL(x).fields])
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
