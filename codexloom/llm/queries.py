@@ -44,6 +44,12 @@ def op7_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read(shards)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexloom.llm import chat
+
+    return chat.formatted(spark, table(spark, sf_dir, "conversations"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op6_media, op7_binary_output, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
