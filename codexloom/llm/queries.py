@@ -19,6 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexloom.llm import embeddings
+
+    return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -60,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
