@@ -19,6 +19,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexloom.llm import secrets
+    from codexloom.llm.common import Work
+
+    return secrets.scan(table(spark, sf_dir, "documents"), Work(spark, "op4"))
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexloom.llm import embeddings
 
@@ -66,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
