@@ -19,6 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexloom.llm import ngram_join
+
+    return ngram_join.join(spark, table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexloom.llm import secrets
     from codexloom.llm.common import Work
@@ -73,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
