@@ -166,23 +166,23 @@ def thresholds(tokens: DataFrame) -> dict[str, float]:
 
 
 def spans(docs: DataFrame, work: Work) -> DataFrame:
-    """docs with `base` (spans of the base kinds) and `spans` (those and random tokens); docs is (doc_id, text, ...)."""
-    found = docs.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
+    """docs with `_base` (spans of the base kinds) and `_spans` (those and random tokens); docs is (doc_id, text, ...)."""
+    found = docs.withColumn("_base", base_spans(F.coalesce("text", F.lit(""))))
     return _with_random(found, work)
 
 
 def _with_random(found: DataFrame, work: Work) -> DataFrame:
-    """Add `spans`. Only rows with candidates are joined back, by the row's own text hash."""
+    """Add `_spans`. Only rows with candidates are joined back, by the row's own text hash."""
     key = F.sha2(F.col("text"), 256)
-    holders = found.where(F.regexp_like("text", F.lit(_TOKEN))).select(key.alias("row"), "text", "base").dropDuplicates(["row"])
+    holders = found.where(F.regexp_like("text", F.lit(_TOKEN))).select(key.alias("row"), "text", F.col("_base").alias("base")).dropDuplicates(["row"])
     tokens = work.table(candidates(holders), "tokens")
     limits = thresholds(tokens)
     if not limits:
-        return found.withColumn("spans", F.col("base"))
+        return found.withColumn("_spans", F.col("_base"))
     limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("stratum")]
-    kept = tokens.where(F.col("p") > limit).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")).alias("more"))
+    kept = tokens.where(F.col("p") > limit).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")).alias("_more"))
     joined = found.withColumn("_row", F.when(F.regexp_like("text", F.lit(_TOKEN)), key)).join(kept.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.withColumn("spans", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))).drop("_row", "more")
+    return joined.withColumn("_spans", F.sort_array(F.concat("_base", F.coalesce("_more", F.array().cast(_SPAN))))).drop("_row", "_more")
 
 
 def joined(column: str) -> Column:
@@ -192,8 +192,8 @@ def joined(column: str) -> Column:
 
 def scan(docs: DataFrame, work: Work) -> DataFrame:
     """The columns of the query."""
-    found = docs.select("doc_id", "text", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
-    out = _with_random(found, work).select("doc_id", "base", "spans")
+    found = docs.select("doc_id", "text", base_spans(F.coalesce("text", F.lit(""))).alias("_base"))
+    out = _with_random(found, work).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
     n = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return out.select("doc_id", *n, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
@@ -208,5 +208,5 @@ def redact(docs: DataFrame, work: Work, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece).alias("out"))
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("spans", begin, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    text = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2147483647))))
+    return found.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)

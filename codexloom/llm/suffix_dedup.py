@@ -310,7 +310,7 @@ def spans_of(covered: list[dict] | None, n: int, copy: bool) -> list[tuple[int,
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with `covered` (ranges of window starts) and `copy` (whether an earlier document has the same text)."""
+    """docs with `_covered` (ranges of window starts) and `_copy` (whether an earlier document has the same text)."""
     work = Work(spark, "suffix")
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_tie", F.xxhash64("text"))
     keys = work.table(keyed.select("_doc", "_tie", F.xxhash64(F.lit(1), "text").alias("_more")), "keys")
@@ -319,9 +319,9 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = with_ids(spark, keyed.select("_doc", "_tie", "text"), copies, "left_anti", ["_doc", "_tie"])
     base = base.where(F.octet_length("text") >= LENGTH).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text")
     covered = work.table(covered_windows(work, base), "covered")
-    by_doc = covered.distinct().groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("covered"))
-    marks = by_doc.withColumn("copy", F.lit(False)).unionByName(copies.select("_doc", "_tie", F.lit(None).cast(by_doc.schema["covered"].dataType).alias("covered"), F.lit(True).alias("copy")))
-    return keyed.join(marks, ["_doc", "_tie"], "left").withColumn("copy", F.coalesce("copy", F.lit(False))).select(*docs.columns, "covered", "copy")
+    by_doc = covered.distinct().groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("_covered"))
+    marks = by_doc.withColumn("_copy", F.lit(False)).unionByName(copies.select("_doc", "_tie", F.lit(None).cast(by_doc.schema["_covered"].dataType).alias("_covered"), F.lit(True).alias("_copy")))
+    return keyed.join(marks, ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False))).select(*docs.columns, "_covered", "_copy")
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, text, covered, copy in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column("covered").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+        for doc, text, covered, copy in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column("_covered").to_pylist(), batch.column("_copy").to_pylist(), strict=True):
             spans = spans_of(covered, len(text), copy)
             rows.append((doc, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(text, spans)).hexdigest()))
         kinds = [pa.int64()] * 4 + [pa.string()]
@@ -354,7 +354,7 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for text, covered, copy, null in zip(column_bytes(batch.column("text")), batch.column("covered").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").is_null().to_pylist(), strict=True):
+        for text, covered, copy, null in zip(column_bytes(batch.column("text")), batch.column("_covered").to_pylist(), batch.column("_copy").to_pylist(), batch.column("text").is_null().to_pylist(), strict=True):
             spans = spans_of(covered, len(text), copy)
             texts.append(None if null else _kept(text, spans).decode("utf-8", "ignore") if spans else text.decode())
         columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
