@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from codexloom.plans import documents, knowledge, retrieval, usage  # noqa: F401  (they register their queries)
+from codexloom.plans.registry import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
