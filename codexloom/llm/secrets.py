@@ -100,27 +100,49 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070565992 * z * z * z))
 
 
-def _p_value(symbols: Column, k: int) -> Column:
-    """Fisher's joint p-value of the three tests for an array of symbol numbers from 1 to k."""
-    n = F.size(symbols).cast("double")
-    squares = F.aggregate(F.array_distinct(symbols), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(symbols, lambda x: x == c)).cast("double"), F.lit(2.0)))
-    df = float(k - 1)
-    chi = squares * k / n - n
-    uniform = _upper_tail((F.cbrt(chi / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-    middle = F.element_at(F.sort_array(symbols), (F.size(symbols) / 2 + 1).cast("int"))
-    above = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + F.when(x >= middle, 1.0).otherwise(0.0))
-    below = n - above
-    ahead, behind = F.slice(symbols, F.lit(1), F.size(symbols) - 1), F.slice(symbols, F.lit(2), F.size(symbols) - 1)
-    runs = 1 + F.aggregate(F.zip_with(ahead, behind, lambda x, y: ((x >= middle) != (y >= middle)).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    both = 2 * above * below
-    spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-    of_runs = F.least(F.lit(1.0), 2 * _upper_tail(F.abs(runs - 1 - both / n) / spread))
-    mean = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + x) / n
-    variance = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    lagged = F.aggregate(F.zip_with(ahead, behind, lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda a, x: a + x) / n
-    serial = F.least(F.lit(1.0), 2 * _upper_tail(F.abs(lagged / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
-    x = -2 * (F.ln(F.greatest(uniform, F.lit(1e-12))) + F.ln(F.greatest(of_runs, F.lit(1e-12))) + F.ln(F.greatest(serial, F.lit(1e-12))))
-    return F.exp(-x / 2) * (1 + x / 2 + x * x / 8)
+def with_p_value(tokens: DataFrame) -> DataFrame:
+    """Add p, Fisher's joint p-value of the three tests, to rows with `symbols` (numbers from 1 to k) and k.
+
+    Each step's columns are used several times by the next, so Spark keeps the steps apart and computes each once.
+    """
+    sym, n, k = F.col("symbols"), F.col("m"), F.col("k")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    size = F.greatest(F.size("symbols"), F.lit(2)).cast("double")
+    t = tokens.withColumns({"m": size, "middle": F.get(F.sort_array(sym), (F.size(sym) / 2).cast("int")), "mean": total(sym) / size})
+    t = t.withColumns(
+        {
+            "squares": total(F.transform(F.array_distinct(sym), lambda c: F.pow(F.size(F.filter(sym, lambda x: x == c)).cast("double"), F.lit(2.0)))),
+            "high": F.transform(sym, lambda x: (x >= F.col("middle")).cast("double")),
+            "off": F.transform(sym, lambda x: x - F.col("mean")),
+        }
+    )
+    ahead = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    behind = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+    t = t.withColumns(
+        {
+            "above": total(F.col("high")),
+            "runs": 1 + total(F.zip_with(ahead("high"), behind("high"), lambda x, y: F.abs(x - y))),
+            "variance": F.greatest(total(F.transform("off", lambda x: x * x)) / n, F.lit(1e-9)),
+            "lagged": total(F.zip_with(ahead("off"), behind("off"), lambda x, y: x * y)) / n,
+            "spread": 2 / (9 * (k - 1)),
+        }
+    )
+    t = t.withColumn("both", 2 * F.col("above") * (n - F.col("above")))
+    t = t.withColumns(
+        {
+            "z_uniform": (F.cbrt((F.col("squares") * k / n - n) / (k - 1)) - (1 - F.col("spread"))) / F.sqrt("spread"),
+            "z_runs": F.abs(F.col("runs") - 1 - F.col("both") / n) / F.sqrt(F.greatest(F.col("both") * (F.col("both") - n) / (n * n * (n - 1)), F.lit(1e-9))),
+            "z_serial": F.abs(F.col("lagged") / F.col("variance") + 1 / n) * F.sqrt(n),
+        }
+    )
+    log = lambda p: F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
+    t = t.withColumn("x", -2 * (log(_upper_tail(F.col("z_uniform"))) + log(2 * _upper_tail(F.col("z_runs"))) + log(2 * _upper_tail(F.col("z_serial")))))
+    return t.select(*tokens.columns, (F.exp(-F.col("x") / 2) * (1 + F.col("x") / 2 + F.col("x") * F.col("x") / 8)).alias("p"))
+
+
+def _numbers(token: Column, alphabet: str) -> Column:
+    """The place of each character in an alphabet, from 1; 0 for others."""
+    return F.transform(F.split(token, ""), lambda c: F.call_function("locate", c, F.lit(alphabet)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -128,21 +150,22 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     found = docs.where(F.regexp_like("text", F.lit(_TOKEN))).select("row", "base", _all(text, _TOKEN).alias("tokens"), "text")
     spans = found.select("row", "base", F.explode(F.arrays_zip(_places(text, F.col("tokens"), "random").alias("span"), F.col("tokens").alias("token"))).alias("t"))
-    spans = spans.select("row", "base", "t.span", F.rtrim(F.lit("="), F.col("t.token")).alias("token"))
+    spans = spans.select("row", "base", "t.span", F.rtrim(F.col("t.token"), F.lit("=")).alias("token"))
     free = spans.where(~F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"])))
     kind = F.lit(None).cast("string")
     for name in reversed(ALPHABETS):
         kind = F.when(F.regexp_like("token", F.lit(ALPHABETS[name][0])), F.lit(name)).otherwise(kind)
     known = free.select("row", "span", "token", kind.alias("encoding"), F.char_length("token").alias("n")).where("encoding is not null and n >= 2")
-    p = F.lit(None).cast("double")
+    symbols, k = F.array().cast("array<int>"), F.lit(2)
     for name, (_, alphabet, fold) in ALPHABETS.items():
-        token = F.lower("token") if fold else F.col("token")
-        symbols = F.transform(F.split(token, ""), lambda c, alphabet=alphabet: F.call_function("locate", c, F.lit(alphabet)))
-        p = F.when(F.col("encoding") == name, _p_value(F.filter(symbols, lambda x: x > 0), len(alphabet))).otherwise(p)
+        own = F.col("encoding") == name
+        symbols = F.when(own, _numbers(F.lower("token") if fold else F.col("token"), alphabet)).otherwise(symbols)
+        k = F.when(own, len(alphabet)).otherwise(k)
     stratum = F.lit(0)
     for i, least in enumerate(LENGTHS):
         stratum = F.when(F.col("n") >= least, F.lit(i)).otherwise(stratum)
-    return known.select("row", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.concat_ws(":", "encoding", stratum.cast("string")).alias("stratum"), p.alias("p"))
+    numbered = known.select("row", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.concat_ws(":", "encoding", stratum.cast("string")).alias("stratum"), F.filter(symbols, lambda x: x > 0).alias("symbols"), k.alias("k"))
+    return with_p_value(numbered).drop("symbols", "k")
 
 
 def thresholds(tokens: DataFrame) -> dict[str, float]:
@@ -194,8 +217,11 @@ def scan(docs: DataFrame, work: Work) -> DataFrame:
     """The columns of the query."""
     found = docs.select("doc_id", "text", base_spans(F.coalesce("text", F.lit(""))).alias("_base"))
     out = _with_random(found, work).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
-    n = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
-    return out.select("doc_id", *n, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
+
+    return out.select("doc_id", *map(count, range(3)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, work: Work, mark: str = "[secret]") -> DataFrame:
