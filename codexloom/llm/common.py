@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which a table of keys may be broadcast after counting it; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -38,13 +40,30 @@ class Work:
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path)
         self._fs.deleteOnExit(self._path)
+        self._names: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back: lineage ends here, and a lost executor costs no earlier work."""
-        path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        """Write df once and read it back: lineage ends here, and a lost executor costs no earlier work.
+
+        The write's own shuffle files go when it ends, so the disk holds one step's shuffles at a time.
+        """
+        path, conf = f"{self.path}/{name}", self.spark.conf
+        if name in self._names:  # a second table of that name in one folder
+            path += f"-{len(self._names)}"
+        self._names.append(name)
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more; without names, the whole folder."""
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
 
 def with_ids(spark: SparkSession, df: DataFrame, ids: DataFrame, how: str = "left_semi", on: str = "doc_id") -> DataFrame:
     """Join df with a table of ids: broadcast only if a count shows that it is small, else by shuffle."""

@@ -273,9 +273,9 @@ def links(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, work: W
     return linked.unionByName(more)
 
 
-def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, work: Work | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; component_id is the smallest doc_id reachable by links."""
-    work = Work(spark, "ngrams")
+    work = work or Work(spark, "ngrams")
     found = work.table(features(docs, n, num, den), "features")
     linked = links(docs, found, n, num, den, work)
     components = connected_components(linked).withColumnRenamed("id", "rep")
@@ -287,7 +287,8 @@ def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> Da
 
 def keep_first(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without near-duplicates: of each component the row of its smallest doc_id stays; other columns pass through."""
-    work = Work(spark, "keep")
-    joined = work.table(join(spark, docs, n, num, den), "joined")
+    work, inner = Work(spark, "keep"), Work(spark, "ngrams")
+    joined = work.table(join(spark, docs, n, num, den, inner), "joined")
+    inner.drop()
     gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
     return with_ids(spark, docs, gone, "left_anti")

@@ -240,7 +240,7 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
     bodies = found.where("context is not null").select("value", "k1", "k2", "context")
     null = F.lit(None).cast("long")
     rows = firsts.select("value", "k1", "k2", "doc", "tie", "p", F.lit(None).cast("binary").alias("context")).unionByName(bodies.select("value", "k1", "k2", null.alias("doc"), null.alias("tie"), null.alias("p"), "context"))
-    rows = rows.join(open_values, "value")
+    rows = with_ids(spark, rows, open_values, "inner", "value")
 
     def sort(batches):
         held, size = [], 0
@@ -319,6 +319,7 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = with_ids(spark, keyed.select("_doc", "_tie", "text"), copies, "left_anti", ["_doc", "_tie"])
     base = base.where(F.octet_length("text") >= LENGTH).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text")
     covered = work.table(covered_windows(work, base), "covered")
+    work.drop("occurrences", "firsts", "open")
     by_doc = covered.distinct().groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("_covered"))
     marks = by_doc.withColumn("_copy", F.lit(False)).unionByName(copies.select("_doc", "_tie", F.lit(None).cast(by_doc.schema["_covered"].dataType).alias("_covered"), F.lit(True).alias("_copy")))
     return keyed.join(marks, ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False))).select(*docs.columns, "_covered", "_copy")

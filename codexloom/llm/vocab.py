@@ -15,8 +15,8 @@ import regex
 
 from codexloom.llm.bpe import cuttable
 
-#: Strings remembered by a worker.
-CACHED = 600_000
+#: Strings in a table of a worker; each table has a predecessor.
+CACHED = 400_000
 #: The characters below U+0250 are letters, marks of their own and blanks alike for every library: no
 #: combining marks, so normalising is the identity; dotted capital I is the one whose lower case is longer.
 _LATIN = regex.compile(r"[\x00-įı-ɏ]*")
@@ -39,6 +39,8 @@ class Vocabulary:
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[:1] if kind == "blank" else None
         self._parts: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._old_parts: dict[str, bytes] = {}  # known before the table was full: asked before the library
+        self._old_words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -62,30 +64,52 @@ class Vocabulary:
 
     def _learn(self, parts: list[str]) -> None:
         """Encode parts that aren't known: split into matches where that is safe, each new match by the library."""
-        known, words, blank = self._parts, self._words, self.kind == "blank"
-        if len(known) + len(parts) > CACHED:
-            known.clear()
-        latin = _LATIN.fullmatch
-        safe = [p for p in parts if latin(p)]
-        split = [self.split(" " + p) for p in safe] if blank else [self.split(p.lower()) for p in safe]
-        new = {w for ws in split for w in ws if w not in words}
-        if len(words) + len(new) > CACHED:
-            words.clear()
-            new = {w for ws in split for w in ws}
+        known, blank, old = self._parts, self.kind == "blank", self._old_parts
+        if old:
+            found = list(map(old.get, parts))
+            known.update([(p, x) for p, x in zip(parts, found, strict=True) if x is not None])
+            parts = [p for p, x in zip(parts, found, strict=True) if x is None]
+        if len(self._words) > CACHED:
+            self._old_words, self._words = self._words, {}
+        words, old_words = self._words, self._old_words
+        safe, whole = parts, []
+        if not _LATIN.fullmatch("".join(parts)):
+            safe, whole = [p for p in parts if _LATIN.fullmatch(p)], [p for p in parts if not _LATIN.fullmatch(p)]
+        if blank:  # each part begins with the only blank that it has
+            split, joined = [], self.split(" " + " ".join(safe)) if safe else []
+            for w in joined:
+                if w[0] == " ":
+                    split.append([w])
+                else:
+                    split[-1].append(w)
+        else:
+            split = [self.split(p.lower()) for p in safe]
+        if len(split) != len(safe):
+            split = [self.split(" " + p) for p in safe]
+        new = set()
+        for ws in split:
+            for w in ws:
+                if w not in words:
+                    x = old_words.get(w)
+                    if x is None:
+                        new.add(w)
+                    else:
+                        words[w] = x
         alone = [w for w in new if w.isspace() or "\n" in w]
         new.difference_update(alone)
         for some, encode in ((alone, self._library), (list(new), self._library_words)):
-            for i in range(0, len(some), 4096):
-                words.update(zip(some[i : i + 4096], encode(some[i : i + 4096]), strict=True))
+            for i in range(0, len(some), 8192):
+                words.update(zip(some[i : i + 8192], encode(some[i : i + 8192]), strict=True))
         for p, ws in zip(safe, split, strict=True):
             known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        if len(safe) < len(parts):
-            whole = [p for p in parts if not latin(p)]
+        if whole:
             known.update(zip(whole, self._library([" " + p if blank else p for p in whole]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
         blank = self.kind == "blank"
+        if len(self._parts) > CACHED:
+            self._old_parts, self._parts = self._parts, {}
         get, missing = self._parts.get, set()
         cut, found = [], []
         for t in texts:
@@ -106,8 +130,9 @@ class Vocabulary:
             out.append(b"".join(ids))
         if not blank:
             return out
-        heads = self._library([t if ps is None else t.split(" ", 1)[0] for t, ps in zip(texts, cut, strict=True)])
-        return [h + x for h, x in zip(heads, out, strict=True)]
+        heads = [t if ps is None else t.split(" ", 1)[0] for t, ps in zip(texts, cut, strict=True)]
+        first = dict(zip(own := list(dict.fromkeys(heads)), self._library(own), strict=True))
+        return [first[h] + x for h, x in zip(heads, out, strict=True)]
 
 
 #: How the two tokenizer files split texts: what their own descriptions say. Fixed values.
