@@ -144,16 +144,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating large-star and small-star rounds: each round is two joins on one key, the number of
     rounds is logarithmic in the number of ids, and no id gathers its neighbours in one task's memory.
     """
-    checkpoint_root(edges.sparkSession)
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
-    seen = None
+    work = Work(edges.sparkSession, "components")
+    e = work.table(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "round0")
+    seen, k = None, 0
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = work.table(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), f"round{k + 1}")
+        work.drop(f"round{k}")
+        k += 1
         sign = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if sign == seen:
             break
