@@ -5,7 +5,9 @@ calibrates the normalised difference of compressed sizes on other labelled rows
 `score` compresses each whole text, piece by piece, with both dictionaries.
 
 The fit reads a bounded sample: at most SAMPLE rows of each label for the dictionaries and as many for the
-calibration, chosen by a hash of doc_id, so the model does not grow with the table; every document is scored.
+calibration, chosen by a hash of doc_id, so the model does not grow with the table; every document is scored. Each of these
+texts is cut whole into pieces of PIECE bytes, and PIECES of them, chosen by a hash of their place over the whole
+text (all of a text with no more), go into the dictionary; the calibration compresses whole texts.
 Held-out rows (crc32 of doc_id as text, mod 5, is 0) are never learnt from; the other remainders 1 to 3 make
 dictionaries, 4 calibrates. Only texts are inputs of a score.
 
@@ -16,7 +18,9 @@ label 1 seen (0.5 with none). Memory: two dictionaries and one slice of rows.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +74,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.differences(texts), -35, 35)))
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; of few texts, their own bytes."""
-    pieces = [t[j : j + PIECE] for t in texts for j in range(0, min(len(t), PIECE * PIECES), PIECE)]
+def chosen(text: bytes) -> list[bytes]:
+    """PIECES of a text's pieces, by a hash of their place and the text, in order; equal texts give equal pieces."""
+    places = range(0, len(text), PIECE)
+    if len(places) > PIECES:
+        key = blake2b(text, digest_size=16).digest()
+        places = sorted(heapq.nsmallest(PIECES, places, lambda j: blake2b(j.to_bytes(8, "little"), digest_size=8, key=key).digest()))
+    return [text[j : j + PIECE] for j in places]
+
+
+def dictionary(pieces: list[bytes]) -> bytes:
+    """A trained dictionary; of few pieces, their own bytes."""
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, pieces)) // 8)), pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -101,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         raise ValueError("the sample is joined by broadcast; keep it bounded")
     rows = picked[0].unionAll(picked[1]).unionAll(picked[2]).unionAll(picked[3])
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy("doc_id", "text")
-    learn = texts.where("fold < 4").select("quality", F.substring("text", 1, PIECE * PIECES).alias("text")).collect()
-    good, bad = ([(r.text or "").encode() for r in learn if r.quality == q] for q in (1, 0))
+    learn = _pieces(texts.where("fold < 4").select("quality", "text")).collect()  # PIECE * PIECES bytes of each text at most
+    good, bad = ([p for r in learn if r.quality == q for p in r.pieces] for q in (1, 0))
     # as many calibration rows of either label as the bound allows bend their share: the weights of the counts undo it
     share = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
@@ -119,6 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def _pieces(df: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces = pa.array([chosen(x) for x in column_bytes(batch.column("text"))], pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pieces], ["quality", "pieces"])
+
+    return df.mapInArrow(per_batch(run), "quality int, pieces array<binary>")
+
+
 def _differences(df: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pa.array(model.differences(column_bytes(batch.column("text"))))], ["quality", "difference"])

@@ -340,6 +340,23 @@ def test_quality(spark, docs, empty):
     assert quality.scored(empty, labels.limit(0)).count() == 0
     assert all(r.score == pytest.approx(0.5) for r in quality.scored(docs, labels.limit(0)).collect())
 
+def test_quality_reads_past_the_head(spark):
+    rng = random.Random(11)
+    head = " ".join(rng.choice("one two three four five six seven".split()) for _ in range(1500))  # more than PIECE * PIECES bytes, the same in all
+    assert len(head) > quality.PIECE * quality.PIECES
+    words = {q: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)] for q in (0, 1)}
+    frame = spark.createDataFrame([(i, head + " " + " ".join(rng.choice(words[i % 2]) for _ in range(3000))) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, labels)
+    mark = lambda raw, q: sum(raw.count(w.encode()) > 0 for w in words[q])
+    assert mark(model.good, 1) > 50 and mark(model.bad, 0) > 50
+    assert not mark(model.good, 0) and not mark(model.bad, 1)
+    text = bytes(rng.randrange(256) for _ in range(100_000))
+    pieces = quality.chosen(text)
+    assert len(pieces) == quality.PIECES and pieces == quality.chosen(text) and all(text.index(p) % quality.PIECE == 0 for p in pieces)
+    assert quality.chosen(b"") == [] and b"".join(quality.chosen(text[:3000])) == text[:3000]
+
+
 
 # 9
 
