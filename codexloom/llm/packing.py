@@ -6,7 +6,7 @@ global start is base + local start, and the windows it crosses follow by divisio
 record. Nothing is sorted or gathered, so a source or document of any share stays spread as it was read.
 
 Rows: null text is empty and holds only the end id; every id lies in exactly one piece; only the last
-sequence is short, padded to the window (or to a power of two). Memory: one slice of texts or ids.
+sequence is short. A sequence is its pieces' ids in the order of their offsets. Memory: one slice of texts or ids.
 """
 
 from __future__ import annotations
@@ -54,9 +54,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, work: Work, window: int =
     ids = encoded(docs, tokenizer, end_id, kind, work)
     bases = with_base(ids.groupBy("part").agg(F.sum("n").alias("n")), "part", "n", "base").select("part", "base")
     placed = ids.join(F.broadcast(bases), "part")  # one row for each part file
+    numbers = PIECE.names[:-1]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
+        pieces: list[np.ndarray] = []
         for doc, base, local, n, width, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "local", "n", "width", "ids")), strict=True):
             own = np.frombuffer(data, f"<u{width}").astype("<u4")
             at, start = base + local, 0
@@ -64,11 +66,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, work: Work, window: int =
                 length = min(n - start, window - (at + start) % window)
                 piece = own[start : start + length]
                 out.append((doc, start, length, zlib.crc32(piece.tobytes()), n, (at + start) // window, (at + start) % window))
+                pieces.append(piece)
                 start += length
-        columns = list(zip(*out, strict=True)) or [()] * len(PIECE.names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECE.types, strict=True)], PIECE.names)
+        columns = list(zip(*out, strict=True)) or [()] * len(numbers)
+        ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+        flat = np.concatenate(pieces).view(np.int32) if pieces else np.zeros(0, np.int32)
+        held = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), held], PIECE.names)
 
-    return placed.mapInArrow(per_batch(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(per_batch(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
 
 
-PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.list_(pa.int32()))])

@@ -81,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codexloom.llm import packing
     from codexloom.llm.common import Work
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, Work(spark, "op10"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, Work(spark, "op10")).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of the packed sequences."""
+    """Boundary records of the packed sequences, with the ids of each piece."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID, Work(spark, "pack"), WINDOW)

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from codexloom.llm import binary_output, bpe, chat, embeddings, media, ngram_join, packing, quality, secrets, suffix_dedup, vocab
+from codexloom.llm import binary_output, bpe, chat, embeddings, media, ngram_join, packing, quality, queries, secrets, suffix_dedup, vocab
 from codexloom.llm.common import Work, connected_components
 
 RNG = random.Random(11)
@@ -319,6 +319,26 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, P.path("word_bpe_49k.json"), 2, Work(spark, "t")).count() == 0
 
 
+def test_packing_keeps_ids(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    v = vocab.vocabulary(P.path("word_bpe_49k.json"), "word")
+    own = docs.where("doc_id is not null and `keys` = 'clash'")
+    got = packing.pack(own, P.path("word_bpe_49k.json"), 2, Work(spark, "t"), 64).collect()
+    for i, t, k in ROWS:
+        if i is not None and k == "clash":
+            want = [*np.frombuffer(v._library([t or ""])[0], "<u2").tolist(), 2]
+            assert [x for r in sorted(got, key=lambda r: r.start) if r.doc_id == i for x in r.ids] == want
+    by = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        by.setdefault(r.sequence_id, []).extend(r.ids)
+    assert all(len(x) == 64 for s, x in by.items() if s != max(by))
+    staged = corpus_pipeline.pack(spark, own, "").collect()
+    assert sum(len(r.ids) for r in staged) == sum(len(r.ids) for r in got)
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    assert "ids" not in queries.op10_packing(spark, str(tmp_path)).columns
+
+
 # 8
 
 
