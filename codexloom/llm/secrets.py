@@ -3,8 +3,10 @@ r"""Secret scans in DataFrame functions alone: fixed patterns, and a randomness
 Base kinds are leftmost non-overlapping matches: `assign` (a name, a sign and a value of 12 or more), `access`
 (AKIA, 18 or more) and `hex` (16 or more). Kind `random` adds tokens that look drawn at random: runs of 16 or
 more letters, digits and `+/_-` (with up to two `=` behind) that hold letters and digits and touch no base span.
-The encoding of a token is inferred from its characters (hexadecimal, base 32, base 36 of one case, base 64),
-and three tests ask whether its symbols are uniform and independent over that alphabet:
+The encoding of a token is inferred from its characters (hexadecimal, base 32, base 36 of one case, base 64, or
+all 66 signs). A run that holds both `+` or `/` and `-` or `_` is tested whole over the 66 signs, and so are its
+parts of 16 or more between `-_` and between `+/`, so that a key behind a path is seen; of random spans one
+within another the outer is kept. Three tests ask whether its symbols are uniform and independent over that alphabet:
 
 * chi-squared against equal shares (Wilson and Hilferty's normal form),
 * Wald and Wolfowitz's runs about the median symbol, two-sided,
@@ -23,7 +25,7 @@ spans; other columns pass through `redact`. Memory: a row at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexloom.llm.common import Work
@@ -39,6 +41,8 @@ _ACCESS, _HEX = r"AKIA[A-Z0-9]{14,}+", r"[0-9a-f]{16,}+"
 _TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
+#: Parts of runs in the signs of either kind of base 64.
+_PARTS = (r"[A-Za-z0-9+/]{16,}+", r"[A-Za-z0-9_-]{16,}+")
 #: Alphabets by encoding, in the order in which they are tried. Fixed values.
 ALPHABETS = {
     "hex": ("^[0-9a-f]+$|^[0-9A-F]+$", "0123456789abcdef", True),
@@ -46,6 +50,7 @@ ALPHABETS = {
     "base36": ("^[0-9a-z]+$|^[0-9A-Z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", True),
     "base64": ("^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", False),
     "url64": ("^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", False),
+    "mixed66": ("^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", False),
 }
 #: Lengths from which a stratum reaches to the next.
 LENGTHS = (16, 20, 24, 32, 48, 64, 128)
@@ -151,6 +156,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = docs.where(F.regexp_like("text", F.lit(_TOKEN))).select("row", "base", _all(text, _TOKEN).alias("tokens"), "text")
     spans = found.select("row", "base", F.explode(F.arrays_zip(_places(text, F.col("tokens"), "random").alias("span"), F.col("tokens").alias("token"))).alias("t"))
     spans = spans.select("row", "base", "t.span", F.rtrim(F.col("t.token"), F.lit("=")).alias("token"))
+    token, size = F.col("token"), F.char_length("token").cast("long")
+    whole = F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))
+    parts = [F.transform(_places(token, _all(token, p), "random"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for p in _PARTS]
+    cut = spans.withColumn("cut", F.explode(F.when(F.regexp_like(token, F.lit("[+/]")) & F.regexp_like(token, F.lit("[_-]")), F.concat(F.array(whole), *parts)).otherwise(F.array(whole))))
+    start = F.col("span.start")
+    place = F.struct((start + F.col("cut.start")).alias("start"), F.when(F.col("cut.end") == size, F.col("span.end")).otherwise(start + F.col("cut.end")).alias("end"))
+    spans = cut.select("row", "base", place.alias("span"), F.substring(token, (F.col("cut.start") + 1).cast("int"), (F.col("cut.end") - F.col("cut.start")).cast("int")).alias("token"))
+    spans = spans.where(F.regexp_like("token", F.lit("[0-9]")) & F.regexp_like("token", F.lit("[A-Za-z]")))
     free = spans.where(~F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"])))
     kind = F.lit(None).cast("string")
     for name in reversed(ALPHABETS):
@@ -203,7 +216,9 @@ def _with_random(found: DataFrame, work: Work) -> DataFrame:
     if not limits:
         return found.withColumn("_spans", F.col("_base"))
     limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))[F.col("stratum")]
-    kept = tokens.where(F.col("p") > limit).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")).alias("_more"))
+    outer = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    passed = tokens.where(F.col("p") > limit).withColumn("_before", F.max("end").over(outer))
+    kept = passed.where("_before is null or end > _before").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end")).alias("_more"))
     joined = found.withColumn("_row", F.when(F.regexp_like("text", F.lit(_TOKEN)), key)).join(kept.withColumnRenamed("row", "_row"), "_row", "left")
     return joined.withColumn("_spans", F.sort_array(F.concat("_base", F.coalesce("_more", F.array().cast(_SPAN))))).drop("_row", "_more")
 

@@ -232,6 +232,25 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), work).count() == 0
 
 
+def test_secrets_in_mixed_runs(spark):
+    rng = random.Random(3)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    keys = {i: draw(alnum, 40) for i in range(200)}
+    keys |= {200 + i: draw(alnum + "+/_-", 30) + "/" + draw(alnum, 5) + "-" + draw(alnum, 6) for i in range(200)}
+    texts = {i: f"call /v1-beta/{k} for words" if i < 200 else f"key {k} and words" for i, k in keys.items()}
+    texts |= {400 + i: f"see /docs-2024/section-{i}/release-notes/install and plain words" for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.scan(df, Work(spark, "t")).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(df, Work(spark, "t")).collect()}
+    for least in (0, 200):
+        assert sum("random" in found[least + i] and keys[least + i][5:35] not in clean[least + i] for i in range(200)) >= 160
+    assert not any(found[400 + i] for i in range(200)) and clean[400] == texts[400]
+    for spans in found.values():
+        ends = [tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("random")]
+        assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in ends for b in ends)
+
+
 # 5
 
 
