@@ -91,18 +91,18 @@ def json_props(spark, d):
 
 @query()
 def stream_usage(spark, d):
-    events = streams.event_stream(spark, d, f"{d}/events.parquet", "events.parquet")
+    events = streams.event_stream(spark, f"{d}/events.parquet")
     counts = streams.drained(streams.hourly_usage(events))
     return counts.select("user_id", "event_type", F.col("w.start").alias("period"), "n")
 
 
 @query()
 def stream_sessions(spark, d):
-    events = streams.event_stream(spark, d, f"{d}/events.parquet", "events.parquet")
-    return streams.drained(streams.session_counts(events), "append").select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    events = streams.event_stream(spark, f"{d}/events.parquet")
+    return streams.drained(streams.session_counts(events)).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 @query()
 def stream_conv_agg(spark, d):
-    messages = streams.event_stream(spark, d, f"{d}/conversations.parquet", "conversations.parquet")
+    messages = streams.event_stream(spark, f"{d}/conversations.parquet")
     return streams.drained(streams.conversation_counts(messages))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, folder: str, like: str, pattern: str) -> DataFrame:
-    """A file stream over parquet files of a folder that match a pattern; the schema is that of a batch read."""
-    return spark.readStream.schema(spark.read.parquet(like).schema).option("pathGlobFilter", pattern).parquet(folder)
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A file stream over a parquet table, one file or a folder of them; the schema is that of a batch read."""
+    path = path.rstrip("/")
+    # as a pattern, the path of a single file is taken too
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def hourly_usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -30,9 +33,33 @@ def conversation_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, deleted when the session ends."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="codexloom-")
+    folder = f"{root.rstrip('/')}/codexloom-stream-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return what its sink holds."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there now and return its rows, written to the shared folder.
+
+    Mode complete returns every group, those still open at the end too; append only what its watermark closed.
+    """
+    if mode not in ("complete", "append"):
+        raise ValueError("a drained stream is in complete or append mode")
+    spark = stream.sparkSession
+    folder = _folder(spark)
+    rows = f"{folder}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(rows)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(rows)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(rows)

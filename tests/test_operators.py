@@ -99,6 +99,25 @@ def test_streams(spark, tmp_path):
     assert got == want
 
 
+def test_drained_streams_are_whole(spark, tmp_path):
+    from codexloom.plans import catalogue
+    from tests.compare import duck
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")  # a folder, as written tables are
+    for d in ("/root/testdata/sf0.001", str(tmp_path)):
+        names, want = duck(d, catalogue.oracle_sql()["session_ttl"]) if d != str(tmp_path) else (names, want)
+        last = {(r[names.index("user_id")], r[names.index("start")], r[names.index("n")]) for r in want}
+        got = catalogue.queries()["stream_sessions"](spark, d)
+        assert {(r.user_id, r.start.replace(tzinfo=None), r.n) for r in got.collect()} == last and got.count() == len(want)
+        assert catalogue.queries()["stream_usage"](spark, d).agg(F.sum("n")).first()[0] == events.count()
+    messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    whole = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    assert {tuple(r) for r in catalogue.queries()["stream_conv_agg"](spark, "/root/testdata/sf0.001").collect()} == {tuple(r) for r in whole.collect()}
+    empty = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events.parquet").where("false")
+    assert streams.drained(streams.session_counts(empty)).count() == 0
+
+
 def test_entry_without_training_operators(tmp_path):
     for name in ("codexloom", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
