@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ REFERENCE = (
     r"(?u)(?:[Đđ]iểm\s+([a-zđ])\s+)?(?:[Kk]hoản\s+(\d+[a-z]*)\s+)?[Đđ]iều\s+(\d+[a-zđ]?)(?![\p{L}\d_])"
     r"(?:\s+(?:của\s+)?(này|(?:Luật|Bộ luật|Nghị định|Thông tư liên tịch|Thông tư)\s+(?:số\s+)?\d{1,3}/\d{4}/\S+|(?:Luật|Nghị định|Thông tư|Bộ luật)\s+này))?"
 )
-#: Words before a reference that make it a change, in order of precedence, and words that make it an exception.
-ACTIONS = [("sua_doi", r"(?iu)sửa\s+đổi"), ("het_hieu_luc", r"(?iu)hết\s+hiệu\s+lực"), ("bo_sung", r"(?iu)bổ\s+sung"), ("bai_bo", r"(?iu)bãi\s+bỏ"), ("thay_the", r"(?iu)thay\s+thế")]
-EXCEPTION, PASSIVE = r"(?iu)(trừ|ngoại trừ)[^.;]*$", r"(?iu)được\s+(sửa\s+đổi|bổ\s+sung|thay\s+thế)[^.;]{0,20}$"
+#: Words before a reference that make it a change (the nearest counts), phrases that are none, and words that make it an exception. Fixed values.
+ACTIONS = [("sua_doi", "sửa đổi"), ("bo_sung", "bổ sung"), ("thay_the", "thay thế"), ("bai_bo", "bãi bỏ"), ("het_hieu_luc", "hết hiệu lực")]
+NEGATIVE, EXCEPTION = ("khai bổ sung", "tờ khai bổ sung", "mẫu biểu bổ sung"), ("trừ", "ngoại trừ", "không áp dụng")
+#: Words in the NEAR characters before a change that tell of one made elsewhere, unless the change begins an instruction.
+PASSIVE, NEAR = ("được ", "đã ", "nêu tại", "theo ", "tại ", "quy định ", "thông tư ", "luật ", "nghị định "), 20
 #: Titles that stand for the citing document itself, and changes as edges name them. Fixed values.
 SELF_TITLES = ["luật này", "nghị định này", "thông tư này", "quyết định này", "bộ luật này"]
 EDGE_ACTIONS = {"sua_doi": "sua_doi", "thay_the": "sua_doi", "bo_sung": "bo_sung", "bai_bo": "bai_bo", "het_hieu_luc": "bai_bo"}
@@ -45,6 +49,24 @@ def expand_chains(text: Column, passes: int = 3) -> Column:
     return text
 
 
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
+def _change(before: Column) -> Column:
+    """The action of the keyword nearest to the end of the text before a reference; null if it isn't a change."""
+
+    def last(action: str, word: str) -> Column:
+        at = F.char_length(before) - F.char_length(F.substring_index(before, word, -1)) - len(word)
+        return F.struct(F.when(F.contains(before, F.lit(word)), at).otherwise(-1).alias("at"), F.lit(action).alias("action"))
+
+    nearest = F.greatest(*(last(a, w) for a, w in ACTIONS))
+    at = nearest["at"]
+    near = F.substring(before, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR)))
+    begins = F.regexp_like(near, F.lit(r"(^|[.:])\s*$"))
+    return F.when((at >= 0) & ~_has_any(before, NEGATIVE) & (begins | ~_has_any(near, PASSIVE)), nearest["action"])
+
+
 def extract(units: DataFrame) -> DataFrame:
     """(uid, start, raw, article, clause, point, doc_ref, kind, action) of units(uid, text, is_modifying), the first of equal references."""
     ready = units.withColumn("body", expand_chains(resolve_self(F.col("text"), F.col("uid"))))
@@ -52,11 +74,12 @@ def extract(units: DataFrame) -> DataFrame:
     raw, start = F.col("s.value"), F.col("s.start")
     part = lambda g: blank_to_null(F.regexp_extract(raw, REFERENCE, g))
     before = F.substring("body", F.greatest(start - LOOK_BACK, F.lit(0)) + 1, F.least(start, F.lit(LOOK_BACK)))
-    action = F.coalesce(*(F.when(F.regexp_like(before, F.lit(p)), F.lit(a)) for a, p in ACTIONS))
-    changes = F.col("is_modifying") & action.isNotNull() & ~F.regexp_like(before, F.lit(PASSIVE))
+    before = F.regexp_replace(F.lower(before), r"(?U)\s+", " ")
+    action = _change(before)
+    changes = F.col("is_modifying") & action.isNotNull()
     doc = part(4)
     own = doc.isNull() | F.lower(doc).isin("này", *SELF_TITLES)
-    kind = F.when(F.regexp_like(before, F.lit(EXCEPTION)), "exception").when(changes, "modification").when(own, "internal").otherwise("external")
+    kind = F.when(changes, "modification").when(_has_any(before, EXCEPTION), "exception").when(own, "internal").otherwise("external")
     out = hits.select("uid", start.alias("start"), F.trim(raw).alias("raw"), part(3).alias("article"), part(2).alias("clause"), part(1).alias("point"), F.when(~own, doc).alias("doc_ref"), kind.alias("kind"), F.when(kind == "modification", action).alias("action"))
     first = F.row_number().over(Window.partitionBy("uid", "article", "clause", "point", "doc_ref").orderBy("start"))
     return out.withColumn("_n", first).where("_n = 1").drop("_n")

@@ -118,6 +118,23 @@ def test_drained_streams_are_whole(spark, tmp_path):
     assert streams.drained(streams.session_counts(empty)).count() == 0
 
 
+def test_references_by_nearest_keyword(spark):
+    from codexloom.operators import refs
+
+    rows = [
+        ("doc_1_dieu_1", "Người nộp thuế khai bổ sung hồ sơ Điều 5", True, "internal", None),
+        ("doc_1_dieu_2", "Sửa đổi Chương II, bãi bỏ Điều 3", True, "modification", "bai_bo"),
+        ("doc_1_dieu_3", "Trường hợp này không áp dụng Điều 8", False, "exception", None),
+        ("doc_1_dieu_4", "nội dung đã bổ sung tại Điều 4", True, "internal", None),
+        ("doc_1_dieu_5", "Làm theo mẫu. Thay thế Điều 6", True, "modification", "thay_the"),
+        ("doc_1_dieu_6", "trừ việc nhỏ; xem Điều 9", False, "exception", None),
+        ("doc_1_dieu_7", "Trừ trường hợp khác, hết hiệu lực Điều 2", True, "modification", "het_hieu_luc"),
+    ]
+    rows += [(f"doc_2_dieu_{i}", f"nội dung {m}sửa đổi Điều 90", True, "internal", None) for i, m in enumerate(["được ", "đã ", "nêu tại ", "theo ", "tại ", "quy định ", "thông tư ", "luật ", "nghị định "])]
+    got = refs.extract(spark.createDataFrame([r[:3] for r in rows], "uid string, text string, is_modifying boolean")).collect()
+    assert {(r.uid, r.kind, r.action) for r in got} == {(u, k, a) for u, _, _, k, a in rows}
+
+
 def test_entry_without_training_operators(tmp_path):
     for name in ("codexloom", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
