@@ -5,23 +5,28 @@ similarity is at least num/den; the join returns components of links, and loses
 
 1. Bands. Sizes are cut into bands. For two linked sets whose smaller one is in a band, the symmetric
    difference is at most D = (1 - t) / t * (largest size of the band). Cutting the hash range into K > D parts
-   leaves at least K - D parts in which the sets agree. So each set has one key for each part (band, part, sum of
-   the part's hashes), and linked sets share a key of a part that isn't empty, or both have so many empty parts
-   that they share the key of an empty one (then those are keys too). A set near the lower border of its band also
-   has keys in the band below. Passages that many documents share don't make keys equal: all of a part must agree.
-2. Blocks. Sets that share a key are linked to the smallest of them; components of these pairs are blocks, and
-   no link leaves a block. Most sets share no key and are done.
-3. Tiles. A block of up to TILE sets is one tile. A larger one is sorted by size and cut into strips; each strip
-   with the block's pivots is a tile first. After components of the links found so far, strips are cut again by
-   component and size, and pairs of strips become tiles, except those of one component and those whose sizes can't
-   reach the threshold. So no task holds more than two strips, and copies of copies need no all-pairs work.
-4. In a tile, bit counts of bitmaps bound each pair's overlap from above: bits set in x and not in y are at least
-   as many elements of x outside y. Pairs that pass, and aren't connected already, are intersected exactly.
+   leaves at least K - D parts in which the sets agree. So each set has one key for each part that isn't empty
+   (band, part, sum of the part's hashes), and linked sets share a key, or agree in empty parts alone. The latter
+   needs K - D empty parts in both; such sets have their (1 - t) * size + 1 smallest hashes as keys too, one of
+   which linked sets share. A set near the lower border of its band also has keys in the band below.
+2. Frequent keys. A set may leave out as many keys as its agreeing parts exceed one: K - D - 1 less its empty
+   parts. Of keys that more than HOT sets share, each set leaves out the most frequent ones; in one order for all, so
+   that linked sets still share a key. Passages that many documents share thus bring no pairs. Of less frequent
+   keys with the same sets one is kept.
+3. Stars. Each set meets the smallest set of its keys with which it shares most, in tiles of that set and up to
+   TILE others. Components of the links found settle most copies.
+4. Tiles. Keys whose sets are still in different components are cut by size and hash into strips; pairs of
+   strips that can reach the threshold are tiles. These hold sizes and bitmaps, no hashes: bits set in x and not
+   in y are at least as many elements of x outside y, so bit counts bound each pair's overlap from above.
+   Strips of the key's largest component don't meet each other.
+5. Pairs that pass are intersected exactly: first the best pair of each two components, then all whose
+   components still differ. Only here and in stars do hashes travel.
 
 Exact copies of a set are one representative (the smallest doc_id) before step 1.
 
 Rows: null or empty text (or without words) is the empty set, linked with nothing; fewer words than n are one
-shingle; repeated rows of one doc_id are one node; a null doc_id is its own row without links.
+shingle; rows of one doc_id are one node; a null doc_id is its own row without links. Of tables with more columns
+only doc_id and text are read; `keep_first` passes the others through. Memory: a tile.
 """
 
 from __future__ import annotations
@@ -36,8 +41,10 @@ from pyspark.sql import functions as F
 
 from codexloom.llm.common import Work, added, column_bytes, connected_components, groups, per_batch, with_ids
 
-#: Sets in a strip, pivots of a large block, and the ratio of a band's borders.
-TILE, PIVOTS, WIDTH = 256, 8, 1.5
+#: Sets in a strip, sum of their sizes in a tile of hashes, sets that share a frequent key, ratio of a band's borders.
+TILE, ELEMENTS, HOT, WIDTH = 256, 1 << 20, 32, 1.5
+#: Low bits of a key that hold its band.
+BAND = 63
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -90,64 +97,81 @@ class Bands:
         k = d + 2 + d * 3 // 20
         return (k, k - d) if d else (0, 0)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
+        """Keys, the lowest band, and for each band from there how many keys may be left out."""
         size = len(hashes)
         if not size:
-            return np.zeros(0, np.int64)
-        own, out = self.band(size), []
-        least = -(-self.num * size // self.den)  # the smallest partner
+            return np.zeros(0, np.int64), 0, []
+        own, out, slack = self.band(size), [], []
+        least = self.band(max(1, -(-self.num * size // self.den)))  # of the smallest partner
         sums = np.concatenate(([np.uint64(0)], np.cumsum(_mix(hashes), dtype=np.uint64)))
-        for band in range(self.band(max(1, least)), own + 1):
+        for band in range(least, own + 1):
             k, spare = self.parts(band)
             if not k:
+                slack.append(0)
                 continue
             edges = (np.arange(k + 1, dtype=object) * ((1 << 64) - 1) // k).astype(np.uint64)
-            edges[-1] = np.uint64((1 << 64) - 1)
             at = np.searchsorted(hashes, edges)
             at[0], at[-1] = 0, size
-            empty = at[1:] == at[:-1]
-            keep = ~empty if empty.sum() < spare else np.ones(k, bool)
-            key = _mix(sums[at[1:]] - sums[at[:-1]] + _mix(np.arange(k, dtype=np.uint64) * _M2 + np.uint64(band)))
-            out.append(key[keep])
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            full = np.flatnonzero(at[1:] != at[:-1])
+            key = _mix(sums[at[full + 1]] - sums[at[full]] + _mix(full.astype(np.uint64) * _M2 + np.uint64(band)))
+            empty = k - len(full)
+            if empty >= spare:
+                first = hashes[: (self.den - self.num) * size // self.den + 1]
+                key = np.concatenate((key, _mix(first + _mix(np.array([band + 1000], np.uint64)))))
+            slack.append(max(0, spare - 1 - empty))
+            out.append(key & ~np.uint64(BAND) | np.uint64(band & BAND))
+        return (np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)), least, slack
 
 
 def features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (binary, null for the empty set), keys (array<long>)."""
+    """doc_id, n_shingles, set_key (binary, null for the empty set), keys (array<long>), least and slack of the bands."""
+    names = ["doc_id", "n_shingles", "set_key", "keys", "least", "slack"]
 
     def run(batches):
         make, bands = Shingler(n), Bands(num, den)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, names, keys = [], [], []
+            sizes, sets_, keys, leasts, slacks = [], [], [], [], []
             for text in column_bytes(batch.column("text")):
                 h = make(text)
+                key, least, slack = bands.keys(h)
                 sizes.append(len(h))
-                names.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                keys.append(bands.keys(h))
+                sets_.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                keys.append(key)
+                leasts.append(least)
+                slacks.append(slack)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "n_shingles", "set_key", "keys"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets_, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(leasts, pa.int32()), pa.array(slacks, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         yield from per_batch(one)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>, least int, slack array<int>")
+
+
+def bits_of(size: int) -> int:
+    """Bits of the bitmap of a set: two for each element at least, a power of two."""
+    return min(1 << 16, max(64, 1 << (2 * size - 1).bit_length()))
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """Add `hashes`, the sorted shingle hashes as bytes, to rows with text; drops the text."""
-    names = [c for c in docs.columns if c != "text"]
+    """id, size, bits (the bitmap), hashes (sorted shingle hashes) of rows (id, text), as bytes."""
+    names = ["id", "size", "bits", "hashes"]
 
     def run(batches):
         make = Shingler(n)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = pa.array([make(t).tobytes() for t in column_bytes(batch.column("text"))], pa.binary())
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], [*names, "hashes"])
+            found = [make(t) for t in column_bytes(batch.column("text"))]
+            bits = [_bitmaps([h], bits_of(len(h)))[0].tobytes() for h in found]
+            columns = [batch.column("id"), pa.array([len(h) for h in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         yield from per_batch(one)(batches)
 
-    return docs.select(*names, "text").mapInArrow(run, added(docs.select(*names).schema, "hashes binary"))
+    return docs.select("id", "text").mapInArrow(run, "id long, size long, bits binary, hashes binary")
 
 
 def _bitmaps(hashes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -206,83 +230,176 @@ def tile_links(ids: list[int], labels: list[int], hashes: list[np.ndarray], side
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PASSED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("bound", pa.float64())])
+
 
+def _folded(bits: bytes, words: int) -> np.ndarray:
+    """A bitmap halved until it has so many 64-bit words."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
 
-def _link_tiles(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (tile columns, side, id, label, hashes) to links."""
-    keys = ["block", "strip", "other"]
+
+def passing(tile: pa.Table, num: int, den: int) -> pa.RecordBatch | None:
+    """Pairs of a tile in different components whose overlap, bounded by bit counts, may reach the threshold."""
+    ids, own, sizes, sides = (tile.column(c).to_numpy() for c in ("id", "c", "size", "side"))
+    data = tile.column("bits").to_pylist()
+    words = min(map(len, data)) // 8
+    order = np.argsort(sizes, kind="stable")
+    ids, own, sizes, sides = ids[order], own[order], sizes[order], sides[order]
+    maps = np.stack([_folded(data[i], words) for i in order])
+    two = len(np.unique(sides)) == 2
+    out = []
+    for i in range(len(ids) - 1):
+        end = np.searchsorted(sizes, sizes[i] * den // num, "right")
+        later = np.arange(i + 1, max(end, i + 1))
+        later = later[own[later] != own[i]]
+        if two:
+            later = later[sides[later] != sides[i]]
+        if not len(later):
+            continue
+        here = np.bitwise_count(maps[i] & ~maps[later]).sum(1, dtype=np.int64)
+        there = np.bitwise_count(maps[later] & ~maps[i]).sum(1, dtype=np.int64)
+        most = np.minimum(sizes[i] - here, sizes[later] - there)
+        union = sizes[i] + sizes[later] - most
+        ok = den * most >= num * union
+        j = later[ok]
+        if len(j):
+            out.append((np.full(len(j), ids[i]), ids[j], np.full(len(j), own[i]), own[j], most[ok] / union[ok]))
+    if not out:
+        return None
+    a, b, ca, cb, bound = map(np.concatenate, zip(*out, strict=True))
+    swap = a > b
+    columns = [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb), bound]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PASSED.types, strict=True)], schema=PASSED)
+
+
+def _parts(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _exact(pairs: DataFrame, facts: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
+    """(a, b): links among pairs (hub, id), that span their components. facts: id, size, hashes.
+
+    A tile is a hub with some of its ids, as many as TILE and ELEMENTS allow; in stars those meet each other as well.
+    """
+    sized = pairs.join(facts.select("id", "size"), "id").distinct()
+    chunks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / ELEMENTS)).cast("int")
+    hubs = sized.groupBy("hub").agg(chunks.alias("chunks"))
+    members = sized.join(hubs, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id")
+    centres = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("hub").alias("id"))
+    rows = members.unionByName(centres).join(facts.select("id", "hashes"), "id")
 
     def run(batches):
-        for tile in groups(batches, keys):
-            found = tile_links(tile.column("id").to_pylist(), tile.column("label").to_pylist(), [np.frombuffer(x, np.uint64) for x in tile.column("hashes").to_pylist()], tile.column("side").to_pylist(), num, den)
+        for tile in groups(batches, ["hub", "chunk"]):
+            ids = tile.column("id").to_pylist()
+            sides = [0] * len(ids) if stars else tile.column("side").to_pylist()
+            found = tile_links(ids, ids, [np.frombuffer(x, np.uint64) for x in tile.column("hashes").to_pylist()], sides, num, den)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
 
-    parts = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = tiles.repartition(parts, *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _strips(rows: DataFrame, *order: str) -> DataFrame:
-    """Number rows of each block in an order and cut them into strips; light rows only."""
-    place = F.row_number().over(Window.partitionBy("block").orderBy(*order))
-    return rows.withColumn("strip", F.floor((place - 1) / TILE).cast("int"))
-
-
-def links(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, work: Work) -> DataFrame:
-    """(a, b): links that span the components of representatives. found: written features."""
-    reps = found.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
-    keyed = reps.select(F.col("r.doc_id").alias("id"), F.explode("r.keys").alias("key"))
-    lowest = F.min("id").over(Window.partitionBy("key"))
-    stars = work.table(keyed.select("id", lowest.alias("low")).where("low <> id").distinct(), "stars")
-    blocks = work.table(connected_components(stars, "id", "low").select("id", F.col("component").alias("block")), "blocks")
-    size = blocks.groupBy("block").agg(F.count("*").alias("m"))
-    members = with_ids(work.spark, docs.select(F.col("doc_id").alias("id"), "text"), blocks.join(size, "block").select("id", "block", "m"), "inner", "id")
-    members = work.table(sets(members, n).withColumn("size", (F.octet_length("hashes") / 8).cast("long")), "members")
-    small = members.where(F.col("m") <= TILE).select("block", F.lit(0).alias("strip"), F.lit(0).alias("other"), F.lit(0).alias("side"), "id", F.col("id").alias("label"), "hashes")
-    large = members.where(F.col("m") > TILE)
-    if large.isEmpty():
-        return work.table(_link_tiles(small, num, den), "links")
-    # first pass over large blocks: each strip of neighbours in size, with the block's pivots
-    light = large.select("block", "id", "size").distinct()
-    strips = work.table(_strips(light, "size", "id"), "strips")
-    degree = stars.groupBy("low").agg(F.count("*").alias("degree")).withColumnRenamed("low", "id")
-    best = F.row_number().over(Window.partitionBy("block").orderBy(F.desc_nulls_last("degree"), "id"))
-    pivots = light.join(degree, "id", "left").withColumn("best", best).where(F.col("best") <= PIVOTS).select("block", "id")
-    numbers = strips.select("block", "strip").distinct()
-    everywhere = pivots.join(numbers, "block").select("block", "id", "strip")
-    placed = strips.select("block", "id", "strip").unionByName(everywhere).distinct()
-    first = large.join(placed, ["block", "id"]).select("block", "strip", F.col("strip").alias("other"), F.lit(0).alias("side"), "id", F.col("id").alias("label"), "hashes")
-    linked = work.table(_link_tiles(small.unionByName(first), num, den), "links1")
-    # second pass: strips by component and size; pairs of strips that aren't one component and may reach the threshold
-    labels = connected_components(linked)
-    named = light.join(labels, "id", "left").select("block", "id", "size", F.coalesce("component", "id").alias("label"))
-    weight = named.groupBy("block", "label").agg(F.count("*").alias("w"))
-    named = named.join(weight, ["block", "label"]).withColumn("bulk", F.when(F.col("w") >= TILE, F.col("label")))
-    strips = work.table(_strips(named, F.asc_nulls_last("bulk"), "size", "id"), "strips2")
-    facts = strips.groupBy("block", "strip").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    facts = work.table(facts, "facts")
-    right = facts.select("block", F.col("strip").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("l0").alias("m0"), F.col("l1").alias("m1"))
-    pairs = facts.join(right, "block").where(F.col("strip") <= F.col("other"))
-    pairs = pairs.where(~((F.col("l0") == F.col("l1")) & (F.col("m0") == F.col("m1")) & (F.col("l0") == F.col("m0"))))
-    pairs = work.table(pairs.where((F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num)).select("block", "strip", "other"), "pairs")
-    body = large.select("block", "id", "hashes").join(strips.select("block", "id", "label", F.col("strip").alias("own")), ["block", "id"])
-    left = body.join(pairs, (body.block == pairs.block) & (body.own == pairs.strip)).select(pairs.block, "strip", "other", F.lit(0).alias("side"), "id", "label", "hashes")
-    side = body.join(pairs, (body.block == pairs.block) & (body.own == pairs.other) & (pairs.strip < pairs.other)).select(pairs.block, "strip", "other", F.lit(1).alias("side"), "id", "label", "hashes")
-    more = work.table(_link_tiles(left.unionByName(side), num, den), "links2")
-    return linked.unionByName(more)
+    return rows.repartition(_parts(rows), "hub", "chunk").sortWithinPartitions("hub", "chunk").mapInArrow(run, "a long, b long")
+
+
+def _candidates(found: DataFrame, work: Work) -> DataFrame:
+    """(key, id, w): sets that share keys; w says for how many keys with the same sets a key stands."""
+    spark, own = work.spark, found.where("set_key is not null and doc_id is not null")
+    firsts = own.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1")
+    copies = own.select("doc_id", "set_key").join(firsts, "set_key").where("doc_id <> first").select("doc_id", "set_key").distinct()
+    reps = with_ids(spark, own, work.table(copies, "copies"), "left_anti", ["doc_id", "set_key"])
+    keyed = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    h = F.xxhash64("id")
+    repeated = keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 34)).alias("s"), F.min("id").alias("low")).where("m > 1")
+    repeated = work.table(repeated, "repeated")
+    plain = repeated.where(F.col("m") <= HOT).groupBy("m", "x", "s", "low").agg(F.min("key").alias("key"), F.count("*").alias("w"))
+    chosen = plain.select("key", "m", "w").unionByName(repeated.where(F.col("m") > HOT).select("key", "m", F.lit(1).cast("long").alias("w")))
+    rows = work.table(with_ids(spark, keyed, work.table(chosen, "chosen"), "inner", "key"), "shared")
+    hot = rows.where(F.col("m") > HOT).join(reps.select(F.col("doc_id").alias("id"), "least", "slack"), "id")
+    band = F.col("key").bitwiseAND(F.lit(BAND))
+    order = Window.partitionBy("id", "band").orderBy(F.desc("m"), F.desc("key"))
+    hot = hot.withColumn("band", band).withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.get("slack", (F.col("band") - F.col("least")).cast("int")))
+    rows = work.table(rows.where(F.col("m") <= HOT).select("key", "id", "w").unionByName(hot.select("key", "id", "w")), "rows")
+    work.drop("copies", "repeated", "chosen", "shared")
+    return rows
+
+
+def _tiles(rows: DataFrame, facts: DataFrame, num: int, den: int, work: Work) -> DataFrame:
+    """Pairs in different components (a, b, ca, cb, bound) that bitmaps don't rule out. rows: key, id, c; facts: id, size, bits."""
+    per = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("bulk"), F.count("*").alias("k"))
+    light = rows.join(per.where("k > 1").select("key", "bulk"), "key").join(facts.select("id", "size"), "id").distinct()
+    bucket = F.floor(F.log(F.col("size")) / math.log(den / num) + 1e-9).cast("int")
+    light = work.table(light.select("key", "id", "c", (F.col("c") == F.col("bulk")).alias("big"), bucket.alias("bucket")), "light")
+    strips = light.groupBy("key", "big", "bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
+    strips = work.table(strips, "strips")
+    each = strips.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.struct("big", "bucket", "sub").alias("one"))
+    pairs = each.join(each.withColumnRenamed("one", "two"), "key").where("one <= two and not (one.big and two.big) and abs(one.bucket - two.bucket) <= 1")
+    pairs = work.table(pairs, "pairs")
+    placed = light.join(strips, ["key", "big", "bucket"]).select("key", "id", "c", F.struct("big", "bucket", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("sub")).alias("own"))
+    tile = F.xxhash64("one", "two").alias("tile")
+    ways = pairs.select("key", tile, F.col("one").alias("own"), F.lit(0).alias("side")).unionByName(pairs.where("one <> two").select("key", tile, F.col("two").alias("own"), F.lit(1).alias("side")))
+    tiles = placed.join(ways, ["key", "own"]).join(facts.select("id", "size", "bits"), "id").select("key", "tile", "side", "id", "c", "size", "bits")
+
+    def run(batches):
+        for tile in groups(batches, ["key", "tile"]):
+            if tile.num_rows > 1 and (passed := passing(tile, num, den)) is not None:
+                yield passed
+
+    dealt = tiles.repartition(_parts(tiles), "key", "tile").sortWithinPartitions("key", "tile")
+    found = dealt.mapInArrow(run, "a long, b long, ca long, cb long, bound double")
+    return work.table(found.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("bound").alias("bound")), "passing")
+
+
+def _named(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """rows with their component's newer name in a column, where it has one."""
+    new = names.select(F.col("id").alias(column), F.col("component").alias("_new"))
+    return rows.join(new, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def components(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, work: Work) -> DataFrame:
+    """(id, component) of representatives that are linked. found: written features."""
+    spark = work.spark
+    rows = _candidates(found, work)
+    ids = rows.select("id").distinct()
+    texts = with_ids(spark, docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"), work.table(ids, "ids"), "left_semi", "id")
+    facts = work.table(sets(texts, n), "sets")
+    shared = rows.join(rows.groupBy("key").agg(F.min("id").alias("hub")), "key").where("hub <> id").groupBy("id", "hub").agg(F.sum("w").alias("w"))
+    stars = shared.groupBy("id").agg(F.max_by("hub", F.struct("w", -F.col("hub"))).alias("hub")).select("hub", "id")
+    linked = work.table(_exact(stars, facts, num, den, True), "links1")
+    labels = work.table(connected_components(linked), "labels1")
+    named = rows.select("key", "id").withColumn("c", F.col("id"))
+    passed = _tiles(_named(named, labels, "c"), facts, num, den, work)
+    for k in (2, 3):  # the best pair of each two components, then all that are left
+        if passed.isEmpty():
+            break
+        picked = passed.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.*") if k == 2 else passed
+        linked = work.table(_exact(picked.select(F.col("a").alias("hub"), F.col("b").alias("id")), facts, num, den, False), f"links{k}")
+        if linked.isEmpty():
+            continue
+        edges = _named(_named(linked, labels, "a"), labels, "b")
+        merged = work.table(connected_components(edges), f"merged{k}")
+        both = _named(labels, merged, "component").unionByName(merged.join(labels, "id", "left_anti"))
+        labels = work.table(both.distinct(), f"labels{k}")
+        passed = _named(_named(passed, merged, "ca"), merged, "cb").where("ca <> cb")
+        passed = work.table(passed, f"passing{k}") if k == 2 else passed
+    return labels
 
 
 def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, work: Work | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; component_id is the smallest doc_id reachable by links."""
     work = work or Work(spark, "ngrams")
     found = work.table(features(docs, n, num, den), "features")
-    linked = links(docs, found, n, num, den, work)
-    components = connected_components(linked).withColumnRenamed("id", "rep")
+    names = components(docs, found, n, num, den, work)
     reps = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    out = found.drop("keys").join(reps, "set_key", "left").join(components, "rep", "left")
+    light = found.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
+    out = _named(light.withColumn("c", F.coalesce("rep", "doc_id")), names, "c")
     # rows of one doc_id with different texts are one node
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    several = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("m")).where("m > 1 and a <> b")
+    several = work.table(several.select("doc_id", "a", "b"), "several")
+    if not several.isEmpty():
+        ends = out.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("c").alias("b"))
+        out = _named(out, connected_components(ends), "c")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
