@@ -1,6 +1,7 @@
 """Small tables with nulls, empties, ties, repeats, long texts and extra columns, against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -255,26 +256,76 @@ def test_secrets_in_mixed_runs(spark):
 # 5
 
 
+def brute_vectors(rows, threshold=0.95):
+    """(n_links, component) by all pairs of one length."""
+    good = {i: np.array(v, float) for i, v in rows if v and not any(x is None or not np.isfinite(x) for x in v) and any(v)}
+    root, links = {i: i for i, _ in rows}, dict.fromkeys((i for i, _ in rows), 0)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in good.items():
+        for j, y in good.items():
+            if i < j and len(x) == len(y) and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (links[i], find(i)) for i, _ in rows}
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
     rows = []
     for i in range(300):
-        v = base[i % 40] + rng.standard_normal(16) * rng.choice([0.02, 0.1, 0.2])
+        v = base[i % 40] + rng.standard_normal(16) * rng.choice([0.005, 0.01, 0.3])
         rows.append((i, [float(x) for x in v.astype(np.float32)]))
     rows += [(300 + i, rows[5][1]) for i in range(30)]
-    rows += [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] + [1.0] * 15), (404, [float("inf")] * 16), (405, [1.0, 2.0])]
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    good = [(i, np.array(v)) for i, v in rows if i < 400]
-    x = np.array([v / np.linalg.norm(v) for _, v in good])
+    rows += [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] + [1.0] * 15), (404, [float("inf")] * 16), (405, [])]
+    rows += [(500, [1.0, 2.0]), (501, [2.0, 4.0]), (502, [-1.0, -2.0]), (503, [3.0]), (504, [5.0]), (505, [0.0, 1e30])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows] + [(None, rows[5][1], "x"), (None, None, "x")], "vec_id long, embedding array<float>, node string")
+    got = [r for r in embeddings.near_duplicates(spark, frame).collect()]
+    assert len(got) == len(rows) + 2 and sum(r.vec_id is None and r.n_links == 0 and r.component_id is None for r in got) == 2
+    want = brute_vectors(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+    assert embeddings.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embeddings_recall(spark):
+    """Pairs near the threshold among 20,000 vectors: at least 0.99 of the links of brute force, and no other."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(2000):  # cosine 0.95 to 0.97 with a vector of its own
+        c, e = rng.uniform(0.951, 0.97), rng.standard_normal(64)
+        e -= (e @ x[i]) * x[i]
+        x[10_000 + i] = c * x[i] + math.sqrt(1 - c * c) * e / np.linalg.norm(e)
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
-    want, found = near.sum(), sum(got[i].n_links for i, _ in good)
-    assert all(got[i].n_links <= near[k].sum() for k, (i, _) in enumerate(good)) and found >= 0.97 * want
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(400, 406))
-    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
-    assert embeddings.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark, frame).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(1))) and sum(got.values()) >= 0.99 * near.sum()
+
+
+def test_embedding_estimates():
+    """Estimates are unbiased, and their bounds hold for pairs at the threshold."""
+    rng = np.random.default_rng(3)
+    for d in (16, 65, 256):
+        x = embeddings.unit(rng.standard_normal((4000, d)))
+        e = rng.standard_normal((4000, d))
+        e -= (e * x).sum(1, keepdims=True) * x
+        y = 0.95 * x + math.sqrt(1 - 0.95**2) * embeddings.unit(e)
+        turn = embeddings.rotations(d, 1)[0].T
+        a, b = (embeddings.read_sketches(embeddings.sketches(v @ turn), d) for v in (x, y))
+        estimate = (a[0] * b[1]).sum(1) / a[2]
+        assert abs(estimate.mean() - 0.95) < 0.01
+        lost = sum(not embeddings.open_pairs(tuple(v[i : i + 1] for v in a), tuple(v[i : i + 1] for v in b), d, 0.95)[0, 0] for i in range(4000))
+        assert lost <= 2
 
 
 # 6
