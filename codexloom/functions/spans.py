@@ -11,19 +11,23 @@ SPAN = "array<struct<start: int, end: int, kind: string, value: string>>"
 def places(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Matches in order as struct(start, end, kind, value); offsets in characters, end exclusive.
 
-    With a group, the span is the group's, which must end the match.
+    The text is split by the same pattern, so a match stands where the pieces before it end: text that only looks
+    like a match elsewhere (where a boundary fails) is never taken. With a group, the span is the group's, which
+    must end the match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.slice(F.split(text, pattern), F.lit(1), F.size(found))
+    none = F.array().cast(SPAN)
 
-    def step(a: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, a["next"]) - 1
-        value = m if group == 0 else F.regexp_extract(m, pattern, group)
-        end = (at + F.char_length(m)).cast("int")
+    def step(a: Column, x: Column) -> Column:
+        end = (a["at"] + x["piece"] + F.char_length(x["match"])).cast("int")
+        value = x["match"] if group == 0 else F.regexp_extract(x["match"], pattern, group)
         span = F.struct((end - F.char_length(value)).cast("int").alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct((end + 1).alias("next"), F.concat(a["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(1).alias("next"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(found, start, step, lambda a: a["out"])
+    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("piece"), m.alias("match")))
+    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
 def without_overlaps(spans: Column) -> Column:
@@ -35,16 +39,28 @@ def without_overlaps(spans: Column) -> Column:
         last = F.element_at(a, -1)
         return F.when((F.size(a) == 0) | (s["start"] >= last["end"]), F.concat(a, F.array(s))).when(size(s) > size(last), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(s))).otherwise(a)
 
-    return F.aggregate(ordered, F.array().cast(SPAN), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))
+    folded = F.aggregate(ordered, F.array().cast(SPAN), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))
+    return F.when(F.size(spans) > 1, folded).otherwise(spans)
 
 
-def replaced(text: Column, spans: Column, mark) -> Column:
-    """The text with each span replaced by mark(span, nth of its kind counted from the right)."""
+def outside(spans: Column, occupied: Column) -> Column:
+    """Spans that lie inside none of the occupied ones."""
+    return F.filter(spans, lambda s: ~F.exists(occupied, lambda o: (s["start"] >= o["start"]) & (s["end"] <= o["end"])))
 
-    def step(a: Column, s: Column) -> Column:
-        nth = F.size(F.filter(a["kinds"], lambda k: k == s["kind"])) + 1
-        body = F.concat(F.substring(a["text"], F.lit(1), s["start"]), mark(s, nth), F.substring(a["text"], s["end"] + 1, F.lit(2147483647)))
-        return F.struct(body.alias("text"), F.concat(a["kinds"], F.array(s["kind"])).alias("kinds"))
 
-    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return F.aggregate(F.reverse(F.array_sort(spans)), start, step, lambda a: a["text"])
+def numbered(spans: Column, kinds: list[str]) -> Column:
+    """Spans in order with `nth`: the place among those of its kind, counted from the right."""
+
+    def of(kind: str) -> Column:
+        own = F.filter(spans, lambda s: s["kind"] == kind)
+        return F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), (F.size(own) - i).alias("nth")))
+
+    return F.array_sort(F.concat(*map(of, kinds)))
+
+
+def replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with each span replaced by mark(span); spans are sorted and don't overlap."""
+    before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+    pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), mark(s)))
+    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.lit(2147483647))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import literal_map
@@ -77,3 +77,61 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         front = front.join(found.select("seed", "id"), ["seed", "id"], "left_anti")
         found = found.unionByName(front)
     return found
+
+
+def recursive_reach(spark, seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """As `reach`, by one recursive query; for shallow depths, as a row comes once for each length of path that leads to it."""
+    seeds.select("id").distinct().createOrReplaceTempView("_reach_seeds")
+    edges.select("src", "dst").distinct().createOrReplaceTempView("_reach_edges")
+    return spark.sql(f"""
+        WITH RECURSIVE r(seed, id, depth) AS (
+            SELECT id, id, 0 FROM _reach_seeds
+            UNION ALL
+            SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN _reach_edges e ON r.id = e.src WHERE r.depth < {int(depth)}
+        ) SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id""")
+
+
+def write_references(refs: DataFrame, segments: DataFrame, docs: DataFrame) -> DataFrame:
+    """(source_uid, target, target_kind, rel_type, action, raw) of refs(source_uid, target_uid, target_doc_id, raw, rel_type, action).
+
+    A known source is needed. The target is the segment where it is known, else the document, else a stub named by the raw
+    number where there is one; rows without any are left out, and equal edges are one, the last by action.
+    """
+    own = segments.select("uid").distinct()
+    seg, doc = own.select(F.col("uid").alias("target_uid"), F.lit(True).alias("_seg")), docs.select(F.col("doc_id").alias("target_doc_id"), F.lit(True).alias("_doc")).distinct()
+    rows = refs.join(own.withColumnRenamed("uid", "source_uid"), "source_uid", "left_semi").join(seg, "target_uid", "left").join(doc, "target_doc_id", "left")
+    raw = F.nullif(F.trim(F.coalesce("raw", F.lit(""))), F.lit(""))
+    kind = F.when(F.col("_seg"), "segment").when(F.col("_doc"), "document").when(raw.isNotNull(), "stub")
+    target = F.when(F.col("_seg"), F.col("target_uid")).when(F.col("_doc"), F.col("target_doc_id").cast("string")).otherwise(raw)
+    out = rows.select("source_uid", target.alias("target"), kind.alias("target_kind"), "rel_type", "action", raw.alias("raw")).where("target_kind is not null")
+    return out.groupBy("source_uid", "target", "target_kind", "rel_type").agg(F.max("action").alias("action"), F.max("raw").alias("raw"))
+
+
+def write_counts(edges: DataFrame) -> DataFrame:
+    """(rel_type, n, stubs): edges written, and the stubs that they name."""
+    return edges.groupBy("rel_type").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("target_kind") == "stub", F.col("target"))).alias("stubs"))
+
+
+def upsert_segments(old: DataFrame, new: DataFrame, parents: DataFrame) -> DataFrame:
+    """Segments(uid, parent_uid, ...) after new ones replaced those of their uid; new rows whose parent nobody has are left out."""
+    last = new.dropDuplicates(["uid"])
+    known = parents.select(F.col("uid").alias("parent_uid")).unionByName(last.select(F.col("uid").alias("parent_uid"))).distinct()
+    ready = last.where("parent_uid is null").unionByName(last.where("parent_uid is not null").join(known, "parent_uid", "left_semi").select(last.columns))
+    return old.join(ready.select("uid"), "uid", "left_anti").select(last.columns).unionByName(ready)
+
+
+def resolution_report(edges: DataFrame) -> DataFrame:
+    """(kind, total, exact, fuzzy, rate, buckets) of edges(kind, method, confidence); the rate is 1 without rows."""
+    exact = F.count_if(F.col("method").isin("exact", "short_title_map"))
+    c = F.col("confidence")
+    bucket = [F.count_if(c >= 0.8), F.count_if((c >= 0.6) & (c < 0.8)), F.count_if((c >= 0.4) & (c < 0.6)), F.count_if(c < 0.4)]
+    fuzzy = F.count_if(~F.col("method").isin("exact", "short_title_map", "unresolved"))
+    out = edges.groupBy("kind").agg(F.count("*").alias("total"), exact.alias("exact"), fuzzy.alias("fuzzy"), F.array(*bucket).alias("buckets"))
+    return out.withColumn("rate", F.coalesce(F.try_divide(F.col("exact") + F.col("fuzzy"), F.col("total")), F.lit(1.0)))
+
+
+def samples(edges: DataFrame, n: int = 50) -> DataFrame:
+    """(kind, total, sample): the first n sources of each kind, for a report."""
+    first = F.row_number().over(Window.partitionBy("kind").orderBy("source_uid"))
+    few = edges.withColumn("_n", first).where(F.col("_n") <= n).groupBy("kind").agg(F.array_sort(F.collect_list("source_uid")).alias("sample"))
+    return edges.groupBy("kind").agg(F.count("*").alias("total")).join(few, "kind")

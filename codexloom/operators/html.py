@@ -16,7 +16,7 @@ def clean(html: Column) -> Column:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     html = F.regexp_replace(html, rf"(?i)</?(?:{'|'.join(UNWRAPPED)})\b[^>]*>", "")
     html = F.regexp_replace(html, r"(?is)<table[^>]*detailcontent[^>]*>(.*?)</table>", "$1")
-    return F.regexp_replace(html, r"(?i)<p\b[^>]*>(?:\s|&nbsp;|<br\s*/?>)*</p>", "")
+    return F.regexp_replace(html, r"(?i)<p\b[^>]*+>(?:\s++|&nbsp;|<br\s*+/?>)*+</p>", "")  # possessive: the engine keeps no way back for each blank
 
 
 def text_of(html: Column) -> Column:

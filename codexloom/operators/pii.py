@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexloom.functions.spans import places, replaced, without_overlaps
+from codexloom.functions.spans import SPAN, numbered, places, replaced, without_overlaps
 
 #: Families of personal data with the group that holds the value. Fixed values.
 FAMILIES = [
@@ -19,23 +19,33 @@ FAMILIES = [
 
 
 def detect(text: Column) -> Column:
-    """Spans of all families without overlaps, sorted by start."""
-    found = [places(text, p, k, g) for k, p, g in FAMILIES]
-    found[-1] = F.filter(found[-1], lambda s: F.char_length(F.trim(s["value"])) > 5)
-    return without_overlaps(F.concat(*found))
+    """Spans of all families without overlaps, sorted by start; null text has none."""
+    text = F.coalesce(text, F.lit(""))
+    digits = F.regexp_like(text, F.lit("[0-9]{8}"))  # each family of numbers but phones with blanks needs as many
+    none = F.array().cast(SPAN)
 
+    def family(kind: str, pattern: str, group: int) -> Column:
+        found = places(text, pattern, kind, group)
+        if kind in ("cccd", "mst", "bank_account"):
+            return F.when(digits, found).otherwise(none)
+        if kind == "email":
+            return F.when(F.contains(text, F.lit("@")), found).otherwise(none)
+        if kind == "address":
+            return F.filter(found, lambda s: F.char_length(F.trim(s["value"])) > 5)
+        return found
 
-def placeholder(span: Column, nth: Column) -> Column:
-    return F.concat(F.lit("[REDACTED_"), F.upper(span["kind"]), F.lit("_"), nth.cast("string"), F.lit("]"))
+    return without_overlaps(F.concat(*(family(*f) for f in FAMILIES)))
+
+
+def placeholder(span: Column) -> Column:
+    return F.concat(F.lit("[REDACTED_"), F.upper(span["kind"]), F.lit("_"), span["nth"].cast("string"), F.lit("]"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Add pii (spans), redacted and pii_map; placeholders of a kind are numbered from the right."""
-    out = df.withColumn("pii", detect(F.col(text))).withColumn("redacted", replaced(F.col(text), F.col("pii"), placeholder))
-    right = F.reverse(F.col("pii"))
-    nth = lambda i, s: F.size(F.filter(F.slice(right, F.lit(1), i + 1), lambda x: x["kind"] == s["kind"]))
-    entries = F.transform(right, lambda s, i: F.struct(placeholder(s, nth(i, s)).alias("key"), s["value"].alias("value")))
-    return out.withColumn("pii_map", F.map_from_entries(entries))
+    out = df.withColumn("pii", numbered(detect(F.col(text)), [k for k, *_ in FAMILIES]))
+    entries = F.transform(F.reverse(F.col("pii")), lambda s: F.struct(placeholder(s).alias("key"), s["value"].alias("value")))
+    return out.withColumn("redacted", replaced(F.col(text), F.col("pii"), placeholder)).withColumn("pii_map", F.map_from_entries(entries))
 
 
 def restore(redacted: Column, pii_map: Column) -> Column:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexloom.functions.identifiers import blank_to_null, build_uid, literal_map, uid_part
-from codexloom.functions.spans import places
+from codexloom.functions.identifiers import blank_to_null, build_uid, literal_map, normal_key, uid_part
+from codexloom.functions.spans import outside, places
 
 #: One reference: [điểm] [khoản] Điều [document]. Fixed values of the citation grammar.
 REFERENCE = (
@@ -24,6 +24,29 @@ PASSIVE, NEAR = ("được ", "đã ", "nêu tại", "theo ", "tại ", "quy đ
 SELF_TITLES = ["luật này", "nghị định này", "thông tư này", "quyết định này", "bộ luật này"]
 EDGE_ACTIONS = {"sua_doi": "sua_doi", "thay_the": "sua_doi", "bo_sung": "bo_sung", "bai_bo": "bai_bo", "het_hieu_luc": "bai_bo"}
 LOOK_BACK = 60
+#: What an amending sentence aims at; a clause without its article; an insertion's anchor; a new article's name before one. Fixed values.
+TARGET = (
+    r"(?iuU)(?:(?:điểm|đpcm)\s+([a-zđ])\s+(?:vào\s+)?)??(?:khoản\s+(\d+[a-z]*)\s+)??[Đđ][iíì]ều\s+(\d+[a-zđ]?)(?!\w)"
+    r"(?:\s+[\w\s]+?(?:số\s+(\S+)))?"
+)
+BARE = r"(?iuU)(?:điểm\s+([a-zđ])\s+)??khoản\s+(\d+)"
+ANCHOR = r"(?iuU)vào\s+sau\s+[Đđ][iíì]ều\s+(\d+[a-zđ]?)(?!\w)"
+BEFORE_ANCHOR = r"(?iuU)^[\s,;]+(?:[\w\s]+?\s+)?vào\s+sau\s+[Đđ][iíì]ều"
+#: Changes in the order in which a sentence is asked for them; the first found counts, and without any it is the first. Fixed values.
+SENTENCE_ACTIONS = [("sua_doi", "[Ss]ửa\\s+đổi"), ("het_hieu_luc", "(?iu)hết\\s+hiệu\\s+lực"), ("bo_sung", "[Bb]ổ\\s+sung"), ("bai_bo", "[Bb]ãi\\s+bỏ"), ("thay_the", "[Tt]hay\\s+thế")]
+#: References inside the own document, the most specific first, with the groups of point, clause and article. Fixed values.
+_DIEU = r"[ĐÐđð][iíì]ều\s+(\d+[a-zđ]?)(?!\w)"
+INTERNAL = [(r"(?iuU)điểm\s+([a-zđ])\s+khoản\s+(\d+)\s+" + _DIEU, (1, 2, 3)), (r"(?iuU)khoản\s+(\d+)\s+" + _DIEU, (0, 1, 2)), (r"(?iuU)" + _DIEU, (0, 0, 1))]
+#: References to other documents by number. Fixed values.
+EXTERNAL = [
+    ("Luật", r"(?uU)(?:Bộ\s+)?[Ll]uật\s+[\w\s]+?số\s+(\d{1,3}/\d{4}/QH\d{1,2})"),
+    ("Nghị định", r"(?uU)[Nn]ghị\s+đ[iị]nh\s+(?:số\s+)?(\d{1,3}/\d{4}/NĐ-CP)"),
+    ("Thông tư liên tịch", r"(?uU)[Tt]hông\s+tư\s+li[eê]n\s+t[ịi]ch\s+(?:số\s+)?(\d{1,3}/\d{4}/TTLT-[\w-]+)"),
+    ("Thông tư", r"(?uU)[Tt]hông\s+tư\s+(?:số\s+)?(\d{1,3}/\d{4}/TT-[\w]+)"),
+]
+#: The amended law in a preamble, and where it is looked for. Fixed values.
+PREAMBLE_ANCHOR = r"(?iuU)sửa\s+đổi,\s+bổ\s+sung\s+một\s+số\s+điều\s+của\s+([^,;]+?)\s+số\s+(\d+/\d+/[A-ZĐ-]+\d*)"
+PREAMBLE_STARTS, PREAMBLE_END = ("ban hành", "quy định chi tiết", "hướng dẫn"), "đã được"
 
 
 def resolve_self(text: Column, uid: Column) -> Column:
@@ -67,10 +90,8 @@ def _change(before: Column) -> Column:
     return F.when((at >= 0) & ~_has_any(before, NEGATIVE) & (begins | ~_has_any(near, PASSIVE)), nearest["action"])
 
 
-def extract(units: DataFrame) -> DataFrame:
-    """(uid, start, raw, article, clause, point, doc_ref, kind, action) of units(uid, text, is_modifying), the first of equal references."""
-    ready = units.withColumn("body", expand_chains(resolve_self(F.col("text"), F.col("uid"))))
-    hits = ready.select("uid", "is_modifying", "body", F.explode(places(F.col("body"), REFERENCE, "ref")).alias("s"))
+def _unified(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """References of rows (keys, uid, is_modifying, body, s): parts, kind and action, the first of equal ones."""
     raw, start = F.col("s.value"), F.col("s.start")
     part = lambda g: blank_to_null(F.regexp_extract(raw, REFERENCE, g))
     before = F.substring("body", F.greatest(start - LOOK_BACK, F.lit(0)) + 1, F.least(start, F.lit(LOOK_BACK)))
@@ -80,11 +101,145 @@ def extract(units: DataFrame) -> DataFrame:
     doc = part(4)
     own = doc.isNull() | F.lower(doc).isin("này", *SELF_TITLES)
     kind = F.when(changes, "modification").when(_has_any(before, EXCEPTION), "exception").when(own, "internal").otherwise("external")
-    out = hits.select("uid", start.alias("start"), F.trim(raw).alias("raw"), part(3).alias("article"), part(2).alias("clause"), part(1).alias("point"), F.when(~own, doc).alias("doc_ref"), kind.alias("kind"), F.when(kind == "modification", action).alias("action"))
-    first = F.row_number().over(Window.partitionBy("uid", "article", "clause", "point", "doc_ref").orderBy("start"))
+    out = hits.select(*keys, start.alias("start"), F.trim(raw).alias("raw"), part(3).alias("article"), part(2).alias("clause"), part(1).alias("point"), F.when(~own, doc).alias("doc_ref"), kind.alias("kind"), F.when(kind == "modification", action).alias("action"))
+    first = F.row_number().over(Window.partitionBy(*keys, "article", "clause", "point", "doc_ref").orderBy("start"))
     return out.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def extract(units: DataFrame) -> DataFrame:
+    """(uid, start, raw, article, clause, point, doc_ref, kind, action) of units(uid, text, is_modifying), the first of equal references."""
+    ready = units.withColumn("body", expand_chains(resolve_self(F.col("text"), F.col("uid"))))
+    hits = ready.select("uid", "is_modifying", "body", F.explode(places(F.col("body"), REFERENCE, "ref")).alias("s"))
+    return _unified(hits, ["uid"])
+
+
+def fragments(text: Column, is_modifying: Column) -> Column:
+    """Sentences to scan: of an amending text, without what it newly words, cut at semicolons so that each but the last holds an article."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s*/\s*", "/"), r"(?U)\s+", " "))
+    bare = F.regexp_replace(flat, r'(?isuU)(như\s+sau\s*:?\s*)["“‘].*$', '$1"…"')
+    bare = F.regexp_replace(bare, "(?s)[\"“‘’][^\"”‘’]{0,3000}?[\"”‘’]", '"…"')
+    parts = F.filter(F.transform(F.split(bare, ";"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def glue(a: Column, p: Column) -> Column:
+        whole = F.trim(F.concat_ws(" ", a["held"], p))
+        ends = F.contains(F.lower(p), F.lit("điều"))
+        return F.struct(F.when(ends, F.lit("")).otherwise(whole).alias("held"), F.when(ends, F.concat(a["out"], F.array(whole))).otherwise(a["out"]).alias("out"))
+
+    begin = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+    cut = F.aggregate(parts, begin, glue, lambda a: F.when(a["held"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["held"]))))
+    return F.when(flat == "", F.array().cast("array<string>")).when(is_modifying, cut).otherwise(F.array(flat))
+
+
+def modifications(pieces: DataFrame, keys: list[str], text: str = "fragment") -> DataFrame:
+    """What amending sentences aim at: rows of pieces(keys, text) with start, end, action, doc_ref, article, clause, point, source_clause.
+
+    A clause alone belongs to the article before it, or else to the sentence's first. In `Điều X vào sau Điều Y` X is a new
+    name and Y the target. Of references to one article only the most specific ones stay.
+    """
+    t = F.col(text)
+    full = places(t, TARGET, "full")
+    named = lambda s: F.regexp_like(F.substring(t, s["end"] + 1, F.lit(80)), F.lit(BEFORE_ANCHOR))
+    numbers = places(t, r"(?iuU)(?:Khoản\s+)?(\d+)\.(?!\d)", "number")
+    numbers = F.filter(numbers, lambda s: ~F.contains(F.lower(F.substring(t, F.greatest(s["start"] - 10, F.lit(0)) + 1, F.least(s["start"], F.lit(10)))), F.lit("điều")))
+    rows = pieces.select(*keys, text, full.alias("_full"), numbers.alias("_numbers"))
+    rows = rows.withColumn("_real", F.filter("_full", lambda s: ~named(s)))
+    bare = outside(places(t, BARE, "bare"), F.col("_full"))
+    seed = F.get("_real", F.lit(0))["value"]
+    rows = rows.withColumn("_seed", F.coalesce(blank_to_null(F.regexp_extract(seed, TARGET, 3)), blank_to_null(F.regexp_extract(t, ANCHOR, 1))))
+    rows = rows.withColumn("_seed_doc", blank_to_null(F.regexp_extract(seed, TARGET, 4)))
+    hits = rows.select(*keys, text, "_seed", "_seed_doc", "_numbers", F.explode(F.concat("_real", bare)).alias("s"))
+    value, is_full = F.col("s.value"), F.col("s.kind") == "full"
+    group = lambda f, b: blank_to_null(F.when(is_full, F.regexp_extract(value, TARGET, f)).otherwise(F.regexp_extract(value, BARE, b)))
+    before = F.substring(t, F.lit(1), F.col("s.start"))
+    action = F.coalesce(*(F.when(F.regexp_like(before, F.lit(p)), F.lit(a)) for a, p in SENTENCE_ACTIONS), F.lit(SENTENCE_ACTIONS[0][0]))
+    last = F.element_at(F.filter("_numbers", lambda n: n["end"] <= F.col("s.start")), -1)
+    out = hits.select(
+        *keys,
+        F.col("s.start").alias("start"),
+        F.col("s.end").alias("end"),
+        action.alias("action"),
+        F.when(is_full, blank_to_null(F.regexp_extract(value, TARGET, 4))).alias("doc_ref"),
+        F.when(is_full, blank_to_null(F.regexp_extract(value, TARGET, 3))).alias("article"),
+        group(2, 2).alias("clause"),
+        group(1, 1).alias("point"),
+        F.when(F.size(F.filter("_numbers", lambda n: n["end"] <= F.col("s.start"))) > 0, F.regexp_extract(last["value"], r"(\d+)\.", 1)).alias("source_clause"),
+        "_seed",
+        "_seed_doc",
+    )
+    upto = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("article", F.coalesce(F.last("article", ignorenulls=True).over(upto), "_seed"))
+    out = out.withColumn("doc_ref", F.coalesce("doc_ref", F.last("doc_ref", ignorenulls=True).over(upto), "_seed_doc")).drop("_seed", "_seed_doc")
+    return most_specific(out, [*keys, "doc_ref", "article"])
+
+
+def most_specific(found: DataFrame, group: list[str]) -> DataFrame:
+    """Rows (clause, point, ...) without those of a group that a more specific row makes redundant."""
+    clauses = F.count("clause").over(Window.partitionBy(*group))
+    points = F.count("point").over(Window.partitionBy(*group, "clause"))
+    marked = found.withColumn("_clauses", clauses).withColumn("_points", points)
+    redundant = (F.col("clause").isNull() & (F.col("_clauses") > 0)) | (F.col("clause").isNotNull() & F.col("point").isNull() & (F.col("_points") > 0))
+    return marked.where(~redundant).drop("_clauses", "_points")
+
+
+def extract_articles(units: DataFrame) -> DataFrame:
+    """All references of units(uid, text, is_modifying): (uid, part, start, article, clause, point, doc_ref, kind, action).
+
+    Amending units are cut into sentences; a reference inside the place of a change that was found there isn't told again.
+    """
+    body = expand_chains(resolve_self(F.col("text"), F.col("uid")))
+    cut = units.select("uid", "is_modifying", F.posexplode(fragments(body, F.col("is_modifying"))).alias("part", "body"))
+    keys = ["uid", "part"]
+    changes = modifications(cut.where("is_modifying"), keys, "body")
+    taken = changes.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_taken"))
+    free = cut.join(taken, keys, "left")
+    spans = places(F.col("body"), REFERENCE, "ref")
+    spans = outside(spans, F.coalesce("_taken", F.array().cast("array<struct<start: int, end: int>>")))
+    rest = _unified(free.select(*keys, "is_modifying", "body", F.explode(spans).alias("s")), keys)
+    columns = [*keys, "start", "article", "clause", "point", "doc_ref", "kind", "action"]
+    return changes.withColumn("kind", F.lit("modification")).select(columns).unionByName(rest.select(columns))
+
+
+def internal(units: DataFrame) -> DataFrame:
+    """(uid, article, clause, point) that units(uid, text) name inside their own document, each once."""
+    t = F.col("text")
+
+    def found(pattern: str, groups: tuple[int, int, int]) -> Column:
+        part = lambda m, g: F.lit(None).cast("string") if not g else F.regexp_extract(m, pattern, g)
+        point, clause, article = groups
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.struct(part(m, article).alias("article"), part(m, clause).alias("clause"), part(m, point).alias("point")))
+
+    return units.select("uid", F.inline(F.concat(*(found(p, g) for p, g in INTERNAL)))).distinct()
+
+
+def external(units: DataFrame) -> DataFrame:
+    """(uid, doc_type, so_ky_hieu, start) of other documents that units(uid, text) name by number."""
+    t = F.col("text")
+    found = [F.transform(places(t, pattern, kind), lambda s, p=pattern: F.struct(s["kind"].alias("doc_type"), F.regexp_extract(s["value"], p, 1).alias("so_ky_hieu"), s["start"].alias("start"))) for kind, pattern in EXTERNAL]
+    return units.select("uid", F.inline(F.concat(*found)))
+
+
+def preamble_anchor(text: Column) -> Column:
+    """struct(title, so_ky_hieu) of the law that a preamble says is amended; null without one."""
+    lower = F.lower(text)
+    starts = [F.when(F.instr(lower, w) > 0, F.substring(text, F.instr(lower, w), F.lit(2147483647))) for w in PREAMBLE_STARTS]
+    area = F.coalesce(*starts, text)
+    end = F.instr(F.lower(area), PREAMBLE_END)
+    head = F.when(end > 0, F.substring(area, F.lit(1), end - 1))
+    hit = lambda x: F.when(F.regexp_like(x, F.lit(PREAMBLE_ANCHOR)), x)
+    where = F.coalesce(hit(head), hit(area), hit(text))
+    return F.when(where.isNotNull(), F.struct(F.regexp_extract(where, PREAMBLE_ANCHOR, 1).alias("title"), F.regexp_extract(where, PREAMBLE_ANCHOR, 2).alias("so_ky_hieu")))
+
+
+def resolve_external(found: DataFrame, short_titles: DataFrame, lookup: DataFrame) -> DataFrame:
+    """found(raw, doc_type, ...) with key, target_doc_id, match_method: the number behind a short title first, then the raw number."""
+    known = lookup.select("key", F.col("doc_id").cast("string").alias("_doc"))
+    named = found.join(short_titles.select(F.col("title").alias("raw"), F.col("so_ky_hieu").alias("_by_title")), "raw", "left")
+    keyed = named.withColumn("_title_key", normal_key(F.col("_by_title"), F.col("doc_type"))).withColumn("_raw_key", normal_key(F.col("raw"), F.col("doc_type")))
+    out = keyed.join(known.withColumnsRenamed({"key": "_title_key", "_doc": "_title_doc"}), "_title_key", "left").join(known.withColumnsRenamed({"key": "_raw_key", "_doc": "_raw_doc"}), "_raw_key", "left")
+    method = F.when(F.col("_title_doc").isNotNull(), "short_title_map").when(F.col("_raw_doc").isNotNull(), "exact").otherwise("unresolved")
+    return out.select(*found.columns, F.coalesce(F.when(F.col("_title_doc").isNotNull(), F.col("_title_key")), F.when(F.col("_raw_doc").isNotNull(), F.col("_raw_key")), "_title_key", "_raw_key").alias("key"), F.coalesce("_title_doc", "_raw_doc").alias("target_doc_id"), method.alias("match_method"))
+
+
 def carry_forward(refs: DataFrame, document: str, order: str, column: str, by: str | None = None) -> DataFrame:
     """Fill a column with the last value before it in the document; with `by`, only within the same value of that."""
     keys = [document] + ([by] if by else [])

@@ -1,14 +1,13 @@
-"""Hierarchical segmentation of document lines: Chương, Mục, Điều, Khoản, Điểm.
+"""Hierarchical segmentation of document lines: Phần, Chương, Mục, Điều, Khoản, Điểm.
 
-The scope rules are running values over the lines of a document, so the whole state machine is two window passes:
-which lines are structural, and which open node each line belongs to. A document's lines are one partition key;
-a document is bounded by its own length, and a third of all lines in one document is still streamed through the
-window's spill-able buffer.
+Which line opens what depends on the lines before it: quotations hide headings, and a heading inside one would open
+nothing. The rules are a state machine of a few small values, folded over a document's lines inside the JVM; the
+lines themselves stay out of the state. A document is bounded by its own length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import build_uid
@@ -16,12 +15,14 @@ from codexloom.functions.identifiers import build_uid
 #: Beginnings of preamble lines, and marks of the closing block. Fixed values.
 PREAMBLE = ["Căn cứ", "Theo đề nghị", "Xét đề nghị", "Thực hiện", "Quốc hội nước", "Chính phủ nước"]
 CLOSING = ["Nơi nhận:", "TM. CHÍNH PHỦ", "TM. BỘ", "KT.", "CHỦ TỊCH", "BỘ TRƯỞNG", "TỔNG CỤC TRƯỞNG"]
-#: Patterns of structural lines. Fixed values.
-CHAPTER = r"(?iu)^Chương\s+([IVXLCDM]+)\s*[.:]?\s*(.*)$"
-SECTION = r"(?iu)^Mục\s+(\d+)[.:]?\s*(.*)$"
-ARTICLE = r"(?iu)^[ĐÐð][iíìĩị]ều\s+(?:thứ\s+)?(\d+[a-z]*)[.\s:]\s*(.*)$"
-CLAUSE = r"(?iu)^(\d+[a-z]*)\.\s+(.+)$"
-POINT = r"^([a-zđ])\)\s+(.+)$"
+#: Patterns of structural lines; quotation marks, and those that begin a quoted line. Fixed values.
+PART = r"(?iuU)^Phần\s+(?:thứ\s+\w+|[IVX]+)"
+CHAPTER = r"(?iuU)^Chương\s+([IVXLCDM]+)\s*[.:]?\s*(.*)$"
+SECTION = r"(?iuU)^Mục\s+(\d+)[.:]?\s*(.*)$"
+ARTICLE = r"(?iuU)^[ĐÐð][iíìĩị]ều\s+(?:thứ\s+)?(\d+[a-z]*)[.\s:]\s*(.*)$"
+CLAUSE = r"(?iuU)^(\d+[a-z]*)\.\s+(.+)$"
+POINT = r"(?U)^([a-zđ]|[ivxlcdm]+)\)\s+(.+)$"
+MARKS, OPENING = '["“”«»]', '^["“«]'
 
 
 def is_preamble(line: Column) -> Column:
@@ -32,60 +33,119 @@ def is_closing(line: Column) -> Column:
     return F.exists(F.array(*map(F.lit, CLOSING)), lambda m: F.contains(line, m))
 
 
+def _candidate(line: Column, law: Column) -> Column:
+    """What a line would open if the state allowed it; a line that looks like several is the first."""
+    return (
+        F.when(F.regexp_like(line, F.lit(PART)) & law, "part")
+        .when(F.regexp_like(line, F.lit(CHAPTER)), "chapter")
+        .when(F.regexp_like(line, F.lit(SECTION)), "section")
+        .when(F.regexp_like(line, F.lit(ARTICLE)), "article")
+        .when(F.regexp_like(line, F.lit(CLAUSE)), "clause")
+        .when(F.regexp_like(line, F.lit(POINT)), "point")
+        .otherwise("text")
+    )
+
+
+_OUT = "array<struct<kind: string, owner: int, chapter: int, number: int, section: int, article: int, clause: int>>"
+
+
+def _step(a: Column, x: Column) -> Column:
+    """One line: what it is, the line that opened the node it belongs to (-1: none), and what is open after it."""
+    text, i, odd, none = F.lit("text"), x["i"], x["odd"], F.lit(-1)
+    done = a["done"] | (x["closing"] & a["some"])
+    opened = (
+        F.when(done, F.lit("end"))
+        .when(a["quoted"] | x["starts"], text)
+        .when(x["candidate"].isin("part", "chapter", "section", "article"), x["candidate"])
+        .when((x["candidate"] == "clause") & (a["article"] >= 0), x["candidate"])
+        .when((x["candidate"] == "point") & (a["clause"] >= 0), x["candidate"])
+        .otherwise(text)
+    )
+    heading = opened.isin("part", "chapter", "section")
+    chapter = F.when(opened == "part", none).when(opened == "chapter", i).otherwise(a["chapter"])
+    section = F.when(opened.isin("part", "chapter"), none).when(opened == "section", i).otherwise(a["section"])
+    article = F.when(heading, none).when(opened == "article", i).otherwise(a["article"])
+    clause = F.when(heading | (opened == "article"), none).when(opened == "clause", i).otherwise(a["clause"])
+    # a part takes lines but is no node; after a section they go to the chapter again
+    owner = F.when(opened == "part", none).when(opened == "section", a["chapter"]).when(opened.isin("chapter", "article", "clause", "point"), i).otherwise(a["owner"])
+    active = a["part"] | (chapter >= 0) | (article >= 0)
+    quoted = F.when(done, a["quoted"]).when(a["quoted"], ~odd).when(x["starts"], odd).when((opened == text) & active, odd).otherwise(F.lit(False))
+    number = a["number"] + F.when(opened == "chapter", 1).otherwise(0)
+    own = F.struct(opened.alias("kind"), owner.alias("owner"), chapter.alias("chapter"), number.alias("number"), section.alias("section"), article.alias("article"), clause.alias("clause"))
+    return F.struct(
+        done.alias("done"),
+        quoted.alias("quoted"),
+        (a["some"] | (opened == "article")).alias("some"),
+        (a["part"] | (opened == "part")).alias("part"),
+        chapter.alias("chapter"),
+        number.alias("number"),
+        section.alias("section"),
+        article.alias("article"),
+        clause.alias("clause"),
+        owner.alias("owner"),
+        F.concat(a["out"], F.array(own)).alias("out"),
+    )
+
+
 def segments(lines: DataFrame) -> DataFrame:
-    """(doc_id, seq, level, idx, uid, parent_uid, text) of lines(doc_id, pos, line).
+    """(doc_id, seq, level, idx, uid, parent_uid, path, title, section, text) of lines(doc_id, pos, line[, kind]).
 
-    A Khoản needs an open Điều and a Điểm an open Khoản; a Chương or Mục closes the Điều, a Điều the Khoản. Other
-    lines continue the deepest open node. From the first closing line after a Điều on, and inside a quotation
-    that a continuation line opened, nothing is structural.
+    Levels are chapter, article, clause and point. `kind` is the document's type: only laws have parts. A Khoản
+    needs an open Điều and a Điểm an open Khoản; a Phần, Chương or Mục closes the Điều, a Điều the Khoản. Other lines
+    continue the deepest open node, a Phần's or a Mục's own line none. Inside a quotation nothing opens. The first
+    closing line after a Điều ends the document.
     """
-    doc = Window.partitionBy("doc_id").orderBy("pos")
-    before, upto = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("line")
-    rows = lines.where((F.trim("line") != "") & ~is_preamble(F.trim("line"))).withColumn("line", F.trim("line"))
-    # quotation marks on lines that can't be headings decide which lines are inside a quotation
-    heading = F.regexp_like("line", F.lit(CHAPTER)) | F.regexp_like("line", F.lit(SECTION)) | F.regexp_like("line", F.lit(ARTICLE))
-    marks = F.when(heading & ~F.regexp_like("line", F.lit("^[\"“]")), 0).otherwise(F.regexp_count("line", F.lit("[\"“”]")))
-    rows = rows.withColumn("quoted", (F.coalesce(F.sum(marks).over(before), F.lit(0)) % 2 == 1) | F.regexp_like("line", F.lit("^[\"“]")))
-    kind = (
-        F.when(F.col("quoted"), "text")
-        .when(F.regexp_like("line", F.lit(CHAPTER)), "chapter")
-        .when(F.regexp_like("line", F.lit(SECTION)), "section")
-        .when(F.regexp_like("line", F.lit(ARTICLE)), "article")
-        .when(F.regexp_like("line", F.lit(CLAUSE)), "clause?")
-        .when(F.regexp_like("line", F.lit(POINT)), "point?")
-        .otherwise("text")
-    )
-    rows = rows.withColumn("kind", kind).withColumn("articles", F.coalesce(F.sum(F.when(F.col("kind") == "article", 1).otherwise(0)).over(upto), F.lit(0)))
-    stop = F.max(F.when(is_closing(line) & (F.col("articles") > 0) & ~F.col("quoted"), 1).otherwise(0)).over(upto)
-    rows = rows.withColumn("closed", stop).where("closed = 0")
-    # the last heading tells whether an article is open, and a clause in it
-    head = F.last(F.when(F.col("kind").isin("chapter", "section", "article"), F.col("kind")), ignorenulls=True).over(upto)
-    rows = rows.withColumn("head", head)
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "clause?") & (F.col("head") == "article"), "clause").when(F.col("kind") == "clause?", "text").otherwise(F.col("kind")))
-    inner = Window.partitionBy("doc_id", "articles").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("clauses", F.sum(F.when(F.col("kind") == "clause", 1).otherwise(0)).over(inner))
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "point?") & (F.col("head") == "article") & (F.col("clauses") > 0), "point").when(F.col("kind") == "point?", "text").otherwise(F.col("kind")))
-    number = lambda k, p: F.when(F.col("kind") == k, F.regexp_extract("line", p, 1))
-    rows = rows.withColumn("a", F.last(number("article", ARTICLE), ignorenulls=True).over(upto)).withColumn("k", F.last(number("clause", CLAUSE), ignorenulls=True).over(inner))
-    deep = Window.partitionBy("doc_id", "articles", "clauses").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("p", F.last(number("point", POINT), ignorenulls=True).over(deep))
-    structural = F.col("kind") != "text"
-    rows = rows.withColumn("seq", F.sum(F.when(structural, 1).otherwise(0)).over(upto))
-    body = F.when(F.col("kind") == "article", F.regexp_extract("line", ARTICLE, 2)).when(F.col("kind") == "clause", F.regexp_extract("line", CLAUSE, 2)).when(F.col("kind") == "point", F.regexp_extract("line", POINT, 2))
-    body = F.coalesce(body, F.when(F.col("kind") == "chapter", F.regexp_extract("line", CHAPTER, 2)).when(F.col("kind") == "section", F.regexp_extract("line", SECTION, 2)).otherwise(line))
-    own = rows.withColumn("body", body).where("seq > 0")
-    joined = own.groupBy("doc_id", "seq").agg(
-        F.min_by(F.struct("kind", "a", "k", "p", "line"), "pos").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "\n").alias("text"),
+    law = F.contains(F.lower(F.coalesce("kind", F.lit(""))), F.lit("luật")) if "kind" in lines.columns else F.lit(False)
+    line = F.trim("line")
+    rows = lines.withColumn("_law", law).withColumn("line", line).where((line != "") & ~is_preamble(line))
+    facts = F.struct("pos", "line", _candidate(F.col("line"), F.col("_law")).alias("candidate"), (F.regexp_count("line", F.lit(MARKS)) % 2 == 1).alias("odd"), F.regexp_like("line", F.lit(OPENING)).alias("starts"), is_closing(F.col("line")).alias("closing"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(facts), lambda x, y: F.when(x["pos"] < y["pos"], -1).when(x["pos"] > y["pos"], 1).otherwise(0)).alias("ls"))
+    small = F.transform("ls", lambda x, i: F.struct(i.alias("i"), x["candidate"].alias("candidate"), x["odd"].alias("odd"), x["starts"].alias("starts"), x["closing"].alias("closing")))
+    no, none = F.lit(False), F.lit(-1)
+    begin = F.struct(no.alias("done"), no.alias("quoted"), no.alias("some"), no.alias("part"), none.alias("chapter"), F.lit(0).alias("number"), none.alias("section"), none.alias("article"), none.alias("clause"), none.alias("owner"), F.array().cast(_OUT).alias("out"))
+    docs = docs.select("doc_id", F.transform("ls", lambda x: x["line"]).alias("ls"), F.aggregate(small, begin, _step, lambda a: a["out"]).alias("out"))
+    at = lambda i: F.get("ls", i)
+    blank = lambda c: F.nullif(c, F.lit(""))
+
+    def described(o: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("i"),
+            at(i).alias("line"),
+            o["kind"].alias("kind"),
+            o["owner"].alias("owner"),
+            F.regexp_extract(at(o["chapter"]), CHAPTER, 1).alias("roman"),
+            F.when(o["chapter"] >= 0, o["number"]).alias("chapter"),
+            at(o["section"]).alias("section"),
+            blank(F.regexp_extract(at(o["article"]), ARTICLE, 1)).alias("a"),
+            blank(F.regexp_extract(at(o["clause"]), CLAUSE, 1)).alias("k"),
+        )
+
+    each = docs.select("doc_id", F.inline(F.transform("out", described))).where("owner >= 0 and kind not in ('end', 'section')")
+    opener = F.struct("kind", "line", "roman", "chapter", "section", "a", "k")
+    joined = each.groupBy("doc_id", "owner").agg(F.min_by(opener, "i").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    joined = joined.select("doc_id", "owner", "n.*", "text")
+    doc, null, level = F.col("doc_id"), F.lit(None).cast("string"), F.col("kind")
+    point = F.regexp_extract("line", POINT, 1)
+    chapter_uid = F.when(F.col("chapter").isNotNull(), F.concat_ws("_", F.lit("doc"), doc.cast("string"), F.lit("chương"), F.col("chapter").cast("string")))
+    article, clause = build_uid(doc, F.col("a"), null, null), build_uid(doc, F.col("a"), F.col("k"), null)
+    path = F.concat(F.when(F.col("roman") != "", F.concat(F.lit("Chương "), "roman", F.lit(" / "))).otherwise(F.lit("")), F.lit("Điều "), "a")
+    to_clause = F.concat(path, F.lit(" / Khoản "), "k")
+
+    def by_level(chapter_: Column, article_: Column, clause_: Column, point_: Column) -> Column:
+        return F.when(level == "chapter", chapter_).when(level == "article", article_).when(level == "clause", clause_).otherwise(point_)
+
+    return joined.select(
+        "doc_id",
+        F.col("owner").cast("long").alias("seq"),
+        level.alias("level"),
+        by_level(F.col("chapter").cast("string"), F.col("a"), F.col("k"), point).alias("idx"),
+        by_level(chapter_uid, article, clause, build_uid(doc, F.col("a"), F.col("k"), point)).alias("uid"),
+        by_level(null, chapter_uid, article, clause).alias("parent_uid"),
+        by_level(null, path, to_clause, F.concat(to_clause, F.lit(" / Điểm "), point)).alias("path"),
+        by_level(F.regexp_extract("line", CHAPTER, 2), F.regexp_extract("line", ARTICLE, 2), null, null).alias("title"),
+        F.when(level == "article", F.col("section")).alias("section"),
+        "text",
     )
-    n = lambda c: F.col(f"n.{c}")
-    null = F.lit(None).cast("string")
-    idx = F.when(n("kind") == "article", n("a")).when(n("kind") == "clause", n("k")).when(n("kind") == "point", n("p")).when(n("kind") == "chapter", F.regexp_extract(n("line"), CHAPTER, 1)).otherwise(F.regexp_extract(n("line"), SECTION, 1))
-    article, clause = build_uid(F.col("doc_id"), n("a"), null, null), build_uid(F.col("doc_id"), n("a"), n("k"), null)
-    uid = F.when(n("kind") == "article", article).when(n("kind") == "clause", clause).when(n("kind") == "point", build_uid(F.col("doc_id"), n("a"), n("k"), n("p"))).otherwise(F.concat_ws("_", F.lit("doc"), F.col("doc_id").cast("string"), n("kind"), idx))
-    parent = F.when(n("kind") == "clause", article).when(n("kind") == "point", clause)
-    return joined.select("doc_id", F.col("seq").cast("long").alias("seq"), n("kind").alias("level"), idx.alias("idx"), uid.alias("uid"), parent.alias("parent_uid"), F.trim("text").alias("text"))
 
 
 def confidence(parsed: DataFrame, expected: DataFrame | None = None) -> DataFrame:

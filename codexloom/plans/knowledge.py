@@ -263,11 +263,6 @@ def citation_verify(spark, d):
     return review.verify_citations(cites, known)
 
 
-@query("SELECT * FROM (VALUES (1, 'hybrid_search'), (2, 'direct_lookup'), (3, 'hybrid_search'), (4, 'validity_check'), (5, 'comparison'), (6, 'hybrid_search')) AS t(id, strategy)")
-def intent_plan(spark, d):
-    return fixture(spark, "subqueries").select("id", review.strategy(F.col("strategy"), F.col("intent"), F.col("query")).alias("strategy"))
-
-
 @query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'unknown' END AS status FROM orders GROUP BY 1")
 def validity_aggregate(spark, d):
     return review.one_status(table(spark, d, "orders"), "o_custkey", "o_orderstatus")

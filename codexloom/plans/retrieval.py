@@ -85,12 +85,6 @@ def authority_weighted(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.round(F.sum(F.col("n_chars") * search.authority(kind)), 2).alias("weighted"))
 
 
-@query("SELECT o_custkey, o_orderkey, price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY price DESC, o_orderkey) AS rn FROM (SELECT o_custkey, o_orderkey, o_totalprice AS price FROM orders)) WHERE rn <= 3")
-def dedupe_and_rank(spark, d):
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
-    return search.top_k(rows, ["o_custkey"], 3, F.desc("price"), "o_orderkey").drop("rank")
-
-
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def pricing_summary(spark, d):
     rows = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
