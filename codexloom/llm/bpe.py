@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from codexloom.llm.common import added, column_texts, per_batch
+from codexloom.llm.common import added, column_texts, per_batch, refuse
 
 #: Bytes up to which a string is merged directly; bytes up to which halves are remembered; how many strings a table remembers.
 LEAF, KEPT, CACHED = 4, 7, 400_000
@@ -171,25 +171,25 @@ def tree_bpe(path: str, pattern: str) -> TreeBPE:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Add an array<int> column of token ids."""
+    """Add an array<int> column of token ids; a table that has a column of that name is refused."""
+    refuse(docs, ids)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = tree_bpe(path, pattern)
         found = pa.array([bpe.ids(x) for x in column_texts(batch.column(text))], pa.list_(pa.int32()))
         return batch.append_column(ids, found)
 
-    docs = docs.drop(ids)
     return docs.mapInArrow(per_batch(run), added(docs.schema, f"{ids} array<int>"))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """Add a binary column of the bytes of token ids; null ids count as none."""
+    """Add a binary column of the bytes of token ids; null ids count as none. A table that has a column of that name is refused."""
+    refuse(docs, out)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = tree_bpe(path, pattern)
         return batch.append_column(out, pa.array([bpe.decode(x or []) for x in batch.column(ids).to_pylist()], pa.binary()))
 
-    docs = docs.drop(out)
     return docs.mapInArrow(per_batch(run), added(docs.schema, f"{out} binary"))
 
 

@@ -6,10 +6,14 @@ unbroken chain of nodes, its tail, which hangs on a node of an earlier conversat
 is then the order of the key (parent's key, -depth of the branching, conversation): a chain in full, then the
 branches off it, deepest first. Each node is written once, with
 
-* `offset`: where its text begins in the whole output (two-pass prefix sum over part totals),
-* `position`: where it stands on its own path (characters of all its ancestors), and
+* `tokens`: its token ids, its role, text and end encoded each by itself, with `loss`, the places of those of an assistant's
+  text,
+* `offset`: where its tokens begin in the whole output (two-pass prefix sum over part totals),
+* `position`: where it stands on its own path (tokens of all its ancestors); a token's position id is that plus its place, and
 * `attends`: the intervals of the output that its ancestors occupy, one for each chain on its path, before its own.
 
+Without a tokenizer the unit is a character, and `tokens` and `loss` are left out.
+
 Template of a turn: `### role: text</turn>` and a line end. Inside roles and texts a backslash goes before each
 backslash, `###`, `</turn>` and, in roles, `:`; taking it away again is exact. `loss` covers assistants' texts.
 
@@ -22,13 +26,15 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import Work, with_base
+from codexloom.llm.common import Work, added, per_batch, with_base
+from codexloom.llm.vocab import vocabulary
 
 #: The template's marks.
 TURN, END = "###", "</turn>"
@@ -66,15 +72,21 @@ def _in_order(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _paths(rows: DataFrame, parts: int) -> DataFrame:
-    """Each turn with its depth and the hash of the path to it: a stream over sorted rows that holds one hash."""
+def pieces(formatted: str, begin: int, end: int) -> list[str]:
+    """Head, text and end of a formatted turn: what is encoded each by itself, so that the text's tokens stand apart."""
+    return [formatted[:begin], formatted[begin:end], formatted[end:]]
+
+
+def _paths(rows: DataFrame, parts: int, tokenizer: str | None) -> DataFrame:
+    """Each turn with its depth and the hash of the path to it: a stream over sorted rows that holds one hash. size is in units."""
 
     def run(batches):
+        words = vocabulary(tokenizer, "blank") if tokenizer else None
         conv, depth, path = object(), 0, b""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out, formatted, begins, ends, sizes = [], [], [], [], []
+            out, formatted, begins, ends, sizes, cut, learns = [], [], [], [], [], [], []
             for c, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
                 if c != conv:
                     conv, depth, path = c, 0, b""
@@ -82,31 +94,55 @@ def _paths(rows: DataFrame, parts: int) -> DataFrame:
                 depth, path = depth + 1, xxhash.xxh3_128_digest(path + turn.encode())
                 out.append((c, depth, path))
                 formatted.append(turn)
-                begins.append(begin if role == "assistant" else end)
+                begins.append(begin)
+                learns.append(role == "assistant")
                 ends.append(end)
                 sizes.append(len(turn))
+                cut += pieces(turn, begin, end)
+            if words:
+                lengths = [len(x) // words.dtype.itemsize for x in words.encode(cut)]
+                sizes = [sum(lengths[i : i + 3]) for i in range(0, len(lengths), 3)]
             ids, depths, paths = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(depths, pa.int64()), pa.array(paths, pa.binary()), pa.array(formatted, pa.string()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(sizes, pa.int64())],
-                ["conv_id", "depth", "path", "formatted", "begin", "end", "size"],
+                [pa.array(ids, pa.int64()), pa.array(depths, pa.int64()), pa.array(paths, pa.binary()), pa.array(formatted, pa.string()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(sizes, pa.int64()), pa.array(learns, pa.bool_())],
+                ["conv_id", "depth", "path", "formatted", "begin", "end", "size", "learn"],
             )
 
     clean = rows.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return _in_order(clean, parts).mapInArrow(run, "conv_id long, depth long, path binary, formatted string, begin long, end long, size long")
+    return _in_order(clean, parts).mapInArrow(run, "conv_id long, depth long, path binary, formatted string, begin long, end long, size long, learn boolean")
 
 
 #: Stands for a null conv_id among owners, which need an order.
 NO_ID = -(1 << 63)
 
 
-def tree(conversations: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
-    """(nodes, steps). nodes: owner, depth, formatted, begin, end, offset, position, attends; steps: conv_id, depth, owner.
+def _with_tokens(nodes: DataFrame, tokenizer: str) -> DataFrame:
+    """Add tokens (array<int>) and loss (first and last place of the text's tokens, for an assistant's turn)."""
+
+    def run(batches):
+        words = vocabulary(tokenizer, "blank")
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cut = [x for row in zip(*(batch.column(c).to_pylist() for c in ("formatted", "begin", "end")), strict=True) for x in pieces(*row)]
+            found = [np.frombuffer(x, words.dtype).astype(np.int32) for x in words.encode(cut)]
+            tokens = [np.concatenate(found[i : i + 3]) for i in range(0, len(found), 3)]
+            loss = [{"first": len(found[3 * i]), "stop": len(found[3 * i]) + len(found[3 * i + 1])} if learn else None for i, learn in enumerate(batch.column("learn").to_pylist())]
+            return batch.append_column("tokens", pa.array(tokens, pa.list_(pa.int32()))).append_column("loss", pa.array(loss, pa.struct([("first", pa.int64()), ("stop", pa.int64())])))
+
+        yield from per_batch(one)(batches)
+
+    return nodes.mapInArrow(run, added(nodes.schema, "tokens array<int>", "loss struct<first: long, stop: long>"))
+
+
+def tree(conversations: DataFrame, work: Work, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, steps). nodes: owner, depth, formatted, begin, end, learn, offset, position, attends[, tokens, loss]; steps: conv_id, depth, owner.
 
-    Both are written tables; nodes lie in depth-first order by offset.
+    Both are written tables; nodes lie in depth-first order by offset. Sizes, offsets, positions and intervals count tokens of
+    the tokenizer's file, or characters without one.
     """
     spark = work.spark
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    turns = work.table(_paths(conversations, parts).withColumn("conv", F.coalesce("conv_id", F.lit(NO_ID))), "turns")
+    turns = work.table(_paths(conversations, parts, tokenizer).withColumn("conv", F.coalesce("conv_id", F.lit(NO_ID))), "turns")
     owners = turns.groupBy("path").agg(F.min("conv").alias("owner"))
     steps = work.table(turns.select("conv_id", "conv", "depth", "path", "size").join(owners, "path").drop("path"), "steps")
     # where each conversation leaves the others: the deepest node that it doesn't own, and the size of its own tail
@@ -146,14 +182,17 @@ def tree(conversations: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     own = turns.join(starts.select("conv", "start", "before"), "conv").join(steps.where("owner = conv").select("conv", "depth"), ["conv", "depth"], "left_semi")
     chain = Window.partitionBy("conv").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("size").over(chain), F.lit(0))
-    nodes = own.select(F.col("conv").alias("owner"), "depth", "formatted", "begin", "end", "size", (F.col("start") + ahead).alias("offset"), (F.col("before") + ahead).alias("position"))
+    nodes = own.select(F.col("conv").alias("owner"), "depth", "formatted", "begin", "end", "learn", "size", (F.col("start") + ahead).alias("offset"), (F.col("before") + ahead).alias("position"))
     nodes = work.table(nodes, "places")
+    work.drop("turns")
     # intervals of the ancestors: from the parent chain's start to the end of the node it is left at
     last = nodes.select("owner", F.col("depth").alias("upto"), (F.col("offset") + F.col("size")).alias("stop"))
     spans = starts.select("conv", F.posexplode("above").alias("nest", "a")).select("conv", "nest", F.col("a.owner").alias("owner"), F.col("a.upto").alias("upto")).join(last, ["owner", "upto"]).join(starts.select(F.col("conv").alias("owner"), "start"), "owner")
     attends = spans.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("attends"))
     nodes = nodes.join(attends.withColumnRenamed("conv", "owner"), "owner", "left")
-    nodes = work.table(nodes.repartitionByRange(parts, "offset").sortWithinPartitions("offset"), "output")
+    nodes = nodes.repartitionByRange(parts, "offset").sortWithinPartitions("offset")
+    nodes = work.table(_with_tokens(nodes, tokenizer) if tokenizer else nodes, "output")
+    work.drop("places")
     return nodes, steps.select("conv_id", "conv", "depth", "owner")
 
 
@@ -161,7 +200,7 @@ def read_back(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """Per conversation, from the written nodes along its path: the columns of the query."""
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # a node that many conversations share is joined once for each; AQE splits such a key
-    walked = steps.join(nodes.select("owner", "depth", "formatted", "begin", "end"), ["owner", "depth"])
+    walked = steps.join(nodes.select("owner", "depth", "formatted", F.when(F.col("learn"), F.col("begin")).otherwise(F.col("end")).alias("begin"), "end"), ["owner", "depth"])
     rows = walked.select("conv_id", "conv", "depth", "formatted", "begin", "end").repartition(parts, "conv").sortWithinPartitions("conv", "depth")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -199,6 +238,6 @@ def read_back(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def formatted(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    nodes, steps = tree(with_hostile(conversations), Work(spark, "chat"))
+def formatted(spark: SparkSession, conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    nodes, steps = tree(with_hostile(conversations), Work(spark, "chat"), tokenizer)
     return read_back(nodes, steps)

@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows up to which a table of keys may be broadcast after counting it; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: Spark's setting that removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir; in local mode alone, where none is set, a temporary one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     root = root or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="codexloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -71,6 +73,19 @@ def with_ids(spark: SparkSession, df: DataFrame, ids: DataFrame, how: str = "lef
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """An operator's new columns must not be there already."""
+    if taken := [n for n in names if n.lower() in map(str.lower, df.columns)]:
+        raise ValueError(f"the table has columns of these names already: {taken}")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A working column's name that the table doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def added(schema: T.StructType, *fields: str) -> T.StructType:
     """A copy of the schema with more fields, each "name type"."""
     return T.StructType(list(schema.fields) + [f for x in fields for f in T.StructType.fromDDL(x).fields])

@@ -2,11 +2,13 @@
 
 `store` wraps a payload as the samples of one track of unsigned 8-bit mono PCM ("raw "); `describe` walks the
 nested boxes of any such container, decodes the sample tables (sizes, chunk map, chunk offsets, times, sync
-samples) and returns codec, duration, dimensions and the byte ranges of keyframes, without touching the
+samples) and returns codec, duration, width, height and the byte ranges of keyframes, without touching the
 payload; `payload` then reads the stored bytes at those ranges.
 
-Rows: null text is an empty text; equal texts give equal containers; a column that is null or no container
-gives nulls in each described field. Memory: one slice of rows.
+Rows: null text is an empty text; equal texts give equal containers; a column that is null or no container, and a track whose
+tables lie (more samples than bytes, chunks that aren't there), gives nulls in each described field; boxes nested deeper
+than DEPTH are not opened. Repeated rows are described each; an empty table gives no rows; other columns pass through,
+and a table that has one of the new columns' names is refused. Memory: one slice of rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codexloom.llm.common import added, column_bytes, per_batch
+from codexloom.llm.common import added, column_bytes, per_batch, refuse
 
 #: Payloads are padded with blanks to a positive multiple of this; it is also the length of a sample.
 UNIT, FRAME = 192, 192
@@ -27,6 +29,8 @@ UNIT, FRAME = 192, 192
 RATE = 8000
 #: Samples in a chunk; each chunk starts with a sync sample.
 CHUNK = 64
+#: Boxes in boxes that are opened.
+DEPTH = 16
 #: Boxes that hold boxes, with the bytes before their first child. Fixed values of the format.
 NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 
@@ -102,7 +106,7 @@ def walk(data: bytes | memoryview, at: int = 0, end: int | None = None, path: tu
         if size < body - at or at + size > end:
             return
         yield (*path, kind), body, at + size
-        if kind in NESTED:
+        if kind in NESTED and len(path) < DEPTH:
             yield from walk(data, body + NESTED[kind], at + size, (*path, kind))
         at += size
 
@@ -120,12 +124,16 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     entry = boxes[b"stsd"][0] + 8
     codec = bytes(data[entry + 4 : entry + 8]).decode("latin-1")
     fixed, n, *sizes = words(b"stsz")
+    if n * fixed > len(data) or not fixed and n > len(sizes):
+        raise ValueError("more samples than the file holds")
     sizes = sizes[:n] if not fixed else [fixed] * n
     offsets = words(b"co64", 8, "Q") if b"co64" in boxes else words(b"stco", 8)
     runs = words(b"stsc", 8)
     per_chunk: list[int] = []
     for i in range(0, len(runs) - 2, 3):
         until = runs[i + 3] - 1 if i + 3 < len(runs) else len(offsets)
+        if not len(per_chunk) <= until <= len(offsets):
+            raise ValueError("a run of chunks that aren't there")
         per_chunk += [runs[i + 1]] * (until - len(per_chunk))
     where, k = [], 0
     for offset, count in zip(offsets, per_chunk, strict=False):
@@ -135,12 +143,18 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
             where.append((offset, sizes[k]))
             offset += sizes[k]
             k += 1
+    if any(offset + size > len(data) for offset, size in where):
+        raise ValueError("samples beyond the file's end")
     keys = words(b"stss", 8) if b"stss" in boxes else range(1, len(where) + 1)
+    start, end = boxes.get(b"tkhd", (0, 0))
+    width, height = (x >> 16 for x in struct.unpack_from(">II", data, end - 8)) if end - start >= 84 else (0, 0)
     times = words(b"stts", 8)
     return {
         "codec": codec,
         "timescale": scale,
         "duration": duration,
+        "width": width,
+        "height": height,
         "ticks": sum(a * b for a, b in zip(times[::2], times[1::2], strict=False)),
         "samples": where,
         "keyframes": [(where[i - 1][0], sum(s for _, s in where[i - 1 : j - 1])) for i, j in zip(keys, [*keys[1:], len(where) + 1], strict=True) if 0 < i <= len(where)],
@@ -184,42 +198,48 @@ def store_text(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.append_column(media, pa.array([store(padded(x)) for x in column_bytes(batch.column(text))], pa.large_binary()).cast(pa.binary()))
 
-    docs = docs.drop(media)
+    refuse(docs, media)
     return docs.mapInArrow(per_batch(run), added(docs.schema, f"{media} binary"))
 
 
+FIELDS = ["codec", "timescale", "duration", "width", "height", "n_samples", "keyframes"]
+_RANGE = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+_KINDS = [pa.string(), *[pa.int64()] * 5, _RANGE]
+_DDL = "codec string, timescale long, duration long, width long, height long, n_samples long, keyframes array<struct<start: long, length: long>>"
+
+
+def _fields(track: dict | None) -> tuple:
+    if track is None:
+        return (None,) * len(FIELDS)
+    return (*(track[c] for c in FIELDS[:5]), len(track["samples"]), [{"start": a, "length": b} for a, b in track["keyframes"]])
+
+
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
-    """Add codec, timescale, duration, n_samples and keyframe byte ranges of the first track, from boxes alone."""
-    names = ["codec", "timescale", "duration", "n_samples", "keyframes"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+    """Add codec, timescale, duration, width, height, n_samples and keyframe byte ranges of the first track, from boxes alone."""
+    refuse(df, *FIELDS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for data in batch.column(media).to_pylist():
-            t = (tracks(data) or [None])[0] if data else None
-            rows.append((None,) * 5 if t is None else (t["codec"], t["timescale"], t["duration"], len(t["samples"]), [{"start": a, "length": b} for a, b in t["keyframes"]]))
-        for name, kind, values in zip(names, kinds, zip(*rows, strict=True), strict=True):
+        rows = [_fields((tracks(data) or [None])[0] if data else None) for data in batch.column(media).to_pylist()]
+        for name, kind, values in zip(FIELDS, _KINDS, zip(*rows, strict=True), strict=True):
             batch = batch.append_column(name, pa.array(values, kind))
         return batch
 
-    df = df.drop(*names)
-    schema = added(df.schema, "codec string, timescale long, duration long, n_samples long, keyframes array<struct<start: long, length: long>>")
-    return df.mapInArrow(per_batch(run), schema)
+    return df.mapInArrow(per_batch(run), added(df.schema, _DDL))
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Per stored text, read back from its container: the columns of the query."""
+    """Per stored text, read back from its container: the columns of the query, then what `describe` gives."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
             t = tracks(data)[0]
             back = payload(data, t)
-            first, last = t["keyframes"][0], t["keyframes"][-1]
-            feature = f"codec={t['codec'].strip()};seconds={t['duration'] / t['timescale']:.6f};samples={len(t['samples'])};keyframes={len(t['keyframes'])};first={first[0]}+{first[1]};last={last[0]}+{last[1]}"
-            rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            ranges = ",".join(f"{a}+{b}" for a, b in t["keyframes"])
+            feature = f"codec={t['codec'].strip()};seconds={t['duration'] / t['timescale']:.6f};samples={len(t['samples'])};keyframes={len(t['keyframes'])};ranges={hashlib.md5(ranges.encode()).hexdigest()}"
+            rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, *_fields(t)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*kinds, *_KINDS], strict=True)], [*names, *FIELDS])
 
-    return df.mapInArrow(per_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.mapInArrow(per_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, " + _DDL)

@@ -6,7 +6,8 @@ global start is base + local start, and the windows it crosses follow by divisio
 record. Nothing is sorted or gathered, so a source or document of any share stays spread as it was read.
 
 Rows: null text is empty and holds only the end id; every id lies in exactly one piece; only the last
-sequence is short. A sequence is its pieces' ids in the order of their offsets. Memory: one slice of texts or ids.
+sequence is short; repeated rows are documents of their own; an empty table gives no rows; other columns are not read.
+A sequence is its pieces' ids in the order of their offsets. Memory: one slice of texts or ids.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import Work, column_texts, per_batch, with_base
+from codexloom.llm.common import Work, column_texts, per_batch, with_base, with_ids
 from codexloom.llm.vocab import vocabulary
 
 
@@ -53,7 +54,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, work: Work, window: int =
     """Boundary records: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids (array<int>)."""
     ids = encoded(docs, tokenizer, end_id, kind, work)
     bases = with_base(ids.groupBy("part").agg(F.sum("n").alias("n")), "part", "n", "base").select("part", "base")
-    placed = ids.join(F.broadcast(bases), "part")  # one row for each part file
+    placed = with_ids(work.spark, ids, work.table(bases, "bases"), "inner", "part")  # one row for each part file
     numbers = PIECE.names[:-1]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:

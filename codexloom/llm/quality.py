@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import added, column_bytes, per_batch
+from codexloom.llm.common import added, column_bytes, per_batch, refuse
 
 #: Labelled rows of each label for the dictionaries, and of both for the calibration; the bound on the fit.
 SAMPLE = 2000
@@ -147,12 +147,12 @@ def _differences(df: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the score of each whole text, 0 to 1; higher: label 1 is likelier."""
+    """Add the score of each whole text, 0 to 1; higher: label 1 is likelier. A table that has a column of that name is refused."""
+    refuse(docs, out)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.append_column(out, pa.array(model.scores(column_bytes(batch.column(text))), pa.float64()))
 
-    docs = docs.drop(out)
     return docs.mapInArrow(per_batch(run), added(docs.schema, f"{out} double"))
 
 

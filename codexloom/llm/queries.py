@@ -70,9 +70,11 @@ def op7_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from codexloom.llm import chat
 
-    return chat.formatted(spark, table(spark, sf_dir, "conversations"))
+    return chat.formatted(spark, table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexloom.llm.common import Work
+from codexloom.llm.common import Work, refuse
 
 #: Fixed patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -202,7 +202,8 @@ def thresholds(tokens: DataFrame) -> dict[str, float]:
 
 
 def spans(docs: DataFrame, work: Work) -> DataFrame:
-    """docs with `_base` (spans of the base kinds) and `_spans` (those and random tokens); docs is (doc_id, text, ...)."""
+    """docs with `_base` (spans of the base kinds) and `_spans` (those and random tokens); docs has text, and none of these names."""
+    refuse(docs, "_base", "_spans", "_row", "_more")
     found = docs.withColumn("_base", base_spans(F.coalesce("text", F.lit(""))))
     return _with_random(found, work)
 
@@ -240,8 +241,11 @@ def scan(docs: DataFrame, work: Work) -> DataFrame:
 
 
 def redact(docs: DataFrame, work: Work, mark: str = "[secret]") -> DataFrame:
-    """Replace each span by a mark; overlapping spans are replaced together. Columns stay; null text stays null."""
-    found = spans(docs, work)
+    """Replace each span by a mark; overlapping spans are replaced together. Null text stays null.
+
+    All other columns pass through, whatever their names: they travel as one struct beside the working columns.
+    """
+    found = spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), "text"), work)
 
     def step(a: Column, s: Column) -> Column:
         start = F.greatest(s["start"], a["at"])
@@ -250,4 +254,5 @@ def redact(docs: DataFrame, work: Work, mark: str = "[secret]") -> DataFrame:
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    clean = found.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    return clean.select(*(F.col("text") if c == "text" else F.col(f"_all.`{c}`").alias(c) for c in docs.columns))

@@ -7,14 +7,14 @@ adjacent prefixes). To spread it, suffixes that can be equal over LENGTH bytes a
 1. Copies of a text, all but the first, are covered whole (or not at all, if shorter) and take no further part.
 2. Anchors. Each LENGTH-byte window has an anchor value: the smallest hash of its GRAM-byte strings. Equal windows
    have equal values. Windows that follow each other with one value make a run. Values are counted over all
-   documents; a run whose value occurs once holds nothing that repeats. A bitmap of fixed size tells the rest
-   (a false hit only costs a row).
+   documents; a run whose value occurs once holds nothing that repeats. A bitmap, sized by the number of repeated values
+   and at most FEW * EACH bits, tells the rest (a false hit only costs a row); more values are joined to the documents.
 3. Contexts. A run with its bytes is a context. Of equal contexts all but the first are covered whole; finding
    the first is an aggregation that combines before the shuffle, so a passage in a third of all documents is
    one row from each task.
 4. Suffix arrays. The different contexts of one value meet in one task and are sorted in blocks of BLOCK bytes;
    of windows with equal prefixes all but the earliest are covered. A value with more than MANY different
-   contexts is not gathered: its windows are hashed and aggregated one by one.
+   contexts, or more than BLOCK bytes of them, is not gathered: its windows are hashed and aggregated one by one.
 5. Covered windows, as ranges by document, are joined to the texts.
 
 Rows: null text is empty; a null doc_id comes before all others; repeated rows (same doc_id and text) are one
@@ -30,15 +30,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codexloom.llm.common import Work, column_bytes, groups, per_batch, with_ids
 
 #: Bytes of a repeated string, and of the strings whose hashes are anchors.
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-#: Bytes hashed at a time, bytes sorted at a time, contexts of a value that meet in a task, bits of the bitmap.
-SLICE, BLOCK, MANY, BITS = 1 << 19, 1 << 19, 2048, 1 << 27
+#: Bytes hashed at a time, bytes sorted at a time, contexts of a value that meet in a task.
+SLICE, BLOCK, MANY = 1 << 19, 1 << 19, 2048
 SEGMENT = 1 << 17
+#: Symbols of a suffix array; repeated values up to which a bitmap tells them, and bits for each.
+MOST, FEW, EACH = 1 << 20, 1 << 24, 8
 #: Contexts that a task remembers so as to send their bytes once.
 SENT = 200_000
 NO_ID = -(1 << 63)
@@ -86,8 +89,10 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
-    """Suffix array of positive integers up to top, by a difference cover modulo 3; for at most 2^20 of them."""
+    """Suffix array of positive integers up to top, by a difference cover modulo 3; for at most MOST of them, whose triples of names fit 64 bits."""
     n = len(s)
+    if n > MOST:
+        raise ValueError("too many symbols for one suffix array")
     if n < 8:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     base = top + 1
@@ -158,9 +163,9 @@ def ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(offsets[np.concatenate(([0], breaks + 1))].tolist(), offsets[np.append(breaks, len(offsets) - 1)].tolist(), strict=True))
 
 
-def _bitmap(work: Work, values: DataFrame) -> bytes:
-    """BITS bits with those of the values set; built by segments, of which each is bounded."""
-    place = F.col("value").bitwiseAND(F.lit(BITS - 1))
+def _bitmap(work: Work, values: DataFrame, size: int) -> bytes:
+    """size bits with those of the values set; built by segments, of which each is bounded."""
+    place = F.col("value").bitwiseAND(F.lit(size - 1))
     bits = values.select(F.shiftright(place, SEGMENT.bit_length() - 1).cast("int").alias("segment"), place.bitwiseAND(F.lit(SEGMENT - 1)).cast("int").alias("bit")).distinct()
 
     def build(batches):
@@ -170,8 +175,8 @@ def _bitmap(work: Work, values: DataFrame) -> bytes:
             yield pa.RecordBatch.from_pydict({"segment": [g.column("segment")[0].as_py()], "bits": [np.packbits(own, bitorder="little").tobytes()]}, schema=pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
 
     parts = max(1, int(work.spark.conf.get("spark.sql.shuffle.partitions")))
-    out = bytearray(BITS // 8)
-    for r in bits.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary").toLocalIterator():  # BITS / SEGMENT rows at most
+    out = bytearray(size // 8)
+    for r in bits.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary").toLocalIterator():  # size / SEGMENT rows at most
         out[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = r.bits
     return bytes(out)
 
@@ -201,18 +206,24 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
         yield from per_batch(one)(batches)
 
     repeated = docs.select("text").mapInArrow(values, "value long").groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    bitmap = spark.sparkContext.broadcast(_bitmap(work, repeated))  # BITS / 8 bytes, whatever the input
+    repeated = work.table(repeated, "repeated")
+    n = repeated.count()
+    size = max(SEGMENT, 1 << (n * EACH).bit_length())
+    bitmap = spark.sparkContext.broadcast(_bitmap(work, repeated, size)) if n <= FEW else None  # at most FEW * EACH / 4 bytes
+    if bitmap is None:
+        docs = _with_hits(docs, repeated)
 
     def occurrences(batches):
-        seen = np.frombuffer(bitmap.value, np.uint8)
+        seen = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
         sent: set[bytes] = set()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc, tie, text in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), column_bytes(batch.column("text")), strict=True):
+            known = batch.column("hits").to_pylist() if seen is None else [None] * batch.num_rows
+            for doc, tie, text, hits in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), column_bytes(batch.column("text")), known, strict=True):
                 value, start, count, moves = runs(text)
-                place = value & np.uint64(BITS - 1)
-                hit = (seen[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                place = value & np.uint64(size - 1)
+                hit = np.isin(value.view(np.int64), hits or []) if seen is None else (seen[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 for v, p, n, m in zip(value[hit].view(np.int64).tolist(), start[hit].tolist(), count[hit].tolist(), moves[hit].tolist(), strict=True):
                     context = text[p : p + n + LENGTH - 1]
                     key = xxhash.xxh3_128_digest(context)
@@ -235,8 +246,9 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
     copies = found.select("value", "k1", "k2", "doc", "tie", "p", "n").join(firsts.select("value", "k1", "k2", F.col("doc").alias("d0"), F.col("tie").alias("t0"), F.col("p").alias("p0")), ["value", "k1", "k2"])
     copies = copies.where("doc <> d0 or tie <> t0 or p <> p0").select("doc", "tie", F.col("p").alias("first"), (F.col("p") + F.col("n") - 1).alias("last"))
     # values with several contexts, or with windows that may repeat inside one
-    facts = firsts.groupBy("value").agg(F.count("*").alias("m"), F.max("moves").alias("any"))
-    open_values = work.table(facts.where("m > 1 or any").select("value", (F.col("m") > MANY).alias("many")), "open")
+    facts = firsts.groupBy("value").agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH).alias("size"), F.max("moves").alias("any"))
+    many = (F.col("m") > MANY) | (F.col("size") > BLOCK)
+    open_values = work.table(facts.where("m > 1 or any").select("value", many.alias("many")), "open")
     bodies = found.where("context is not null").select("value", "k1", "k2", "context")
     null = F.lit(None).cast("long")
     rows = firsts.select("value", "k1", "k2", "doc", "tie", "p", F.lit(None).cast("binary").alias("context")).unionByName(bodies.select("value", "k1", "k2", null.alias("doc"), null.alias("tie"), null.alias("p"), "context"))
@@ -260,12 +272,12 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
                     entry[1] = context
                 else:
                     entry[0] = (doc, tie, p)
-            for place, context in own.values():
-                held.append((*place, context))
-                size += len(context) + 1
-            if size >= BLOCK:
+            more = sum(len(context) + 1 for _, context in own.values())
+            if held and size + more > BLOCK:
                 yield flush()
                 held, size = [], 0
+            held += [(*place, context) for place, context in own.values()]
+            size += more
         if held:
             yield flush()
 
@@ -273,6 +285,23 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
     return copies.unionByName(few).unionByName(_by_window(firsts, bodies, open_values))
 
 
+def _with_hits(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs with the repeated values of each text, by a join: for more values than a bitmap may hold."""
+
+    def run(batches):
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for doc, tie, text in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), column_bytes(batch.column("text")), strict=True):
+                rows += [(doc, tie, v) for v in np.unique(runs(text)[0]).view(np.int64).tolist()]
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "tie", "value"])
+
+        yield from per_batch(one)(batches)
+
+    own = docs.mapInArrow(run, "doc long, tie long, value long").join(repeated, "value", "left_semi")
+    return docs.join(own.groupBy("doc", "tie").agg(F.collect_list("value").alias("hits")), ["doc", "tie"])
+
+
 def _by_window(firsts: DataFrame, bodies: DataFrame, open_values: DataFrame) -> DataFrame:
     """Values with many contexts: each window is a row with its hash; all but the first of equal ones are covered."""
     many = open_values.where("many").select("value")
@@ -319,7 +348,7 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = with_ids(spark, keyed.select("_doc", "_tie", "text"), copies, "left_anti", ["_doc", "_tie"])
     base = base.where(F.octet_length("text") >= LENGTH).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text")
     covered = work.table(covered_windows(work, base), "covered")
-    work.drop("occurrences", "firsts", "open")
+    work.drop("occurrences", "firsts", "open", "repeated")
     by_doc = covered.distinct().groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("_covered"))
     marks = by_doc.withColumn("_copy", F.lit(False)).unionByName(copies.select("_doc", "_tie", F.lit(None).cast(by_doc.schema["_covered"].dataType).alias("_covered"), F.lit(True).alias("_copy")))
     return keyed.join(marks, ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False))).select(*docs.columns, "_covered", "_copy")
@@ -350,7 +379,10 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with the covered bytes taken out of text; bytes of characters cut in two go as well. Null text stays null."""
+    """docs with the covered bytes taken out of text; bytes of characters cut in two go as well. Null text stays null.
+
+    All other columns pass through, whatever their names: they travel as one struct beside the working columns.
+    """
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -358,7 +390,10 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for text, covered, copy, null in zip(column_bytes(batch.column("text")), batch.column("_covered").to_pylist(), batch.column("_copy").to_pylist(), batch.column("text").is_null().to_pylist(), strict=True):
             spans = spans_of(covered, len(text), copy)
             texts.append(None if null else _kept(text, spans).decode("utf-8", "ignore") if spans else text.decode())
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-        return pa.RecordBatch.from_arrays(columns, names)
+        return pa.RecordBatch.from_arrays([batch.column("_all"), pa.array(texts, pa.string())], ["_all", "_text"])
 
-    return marked(spark, docs).mapInArrow(per_batch(run), docs.schema)
+    others = [c for c in names if c != "text"]  # the text itself needs no second copy
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_all"), "doc_id", "text")
+    found = marked(spark, held)
+    clean = found.mapInArrow(per_batch(run), T.StructType([held.schema["_all"], T.StructField("_text", T.StringType())]))
+    return clean.select(*(F.col("_text").alias(c) if c == "text" else F.col(f"_all.`{c}`").alias(c) for c in names))

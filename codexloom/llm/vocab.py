@@ -2,144 +2,120 @@
 
 Both vocabularies split a text into matches that are encoded separately, and no match reaches across a blank
 that starts a word. So a text can be cut there, and each distinct part is encoded by the library once for as
-long as a worker remembers it; the ids are those of the whole text (tests compare them).
+long as a worker remembers it; the ids are those of the whole text (tests compare them). New parts go to the library
+many in one string: where a part begins among its ids is told by the blank before it, or by a mark between parts.
 """
 
 from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
-import regex
 
 from codexloom.llm.bpe import cuttable
 
-#: Strings in a table of a worker; each table has a predecessor.
-CACHED = 400_000
-#: The characters below U+0250 are letters, marks of their own and blanks alike for every library: no
-#: combining marks, so normalising is the identity; dotted capital I is the one whose lower case is longer.
-_LATIN = regex.compile(r"[\x00-įı-ɏ]*")
+#: Parts in a table of a worker; the table has a predecessor. Parts in one call of the library.
+CACHED, CALL = 400_000, 8192
 
 
 class Vocabulary:
-    """ids(texts) for one tokenizer file. kind: "blank" keeps blanks in front of words, "word" drops white space."""
+    """Ids for one tokenizer file. kind: "blank" keeps blanks in front of words, "word" drops white space."""
 
-    def __init__(self, path: str, kind: str, pattern: str):
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kind = kind
+        self.blank = kind == "blank"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[:1] if kind == "blank" else None
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        if self.blank:  # tokens that begin with the byte of a blank
+            self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        else:  # tokens that are a whole match of one sign: marks that may stand between parts, where blanks leave no trace
+            self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+            names = ((i, (self.tokenizer.id_to_token(i) or "").removesuffix("</w>")) for i in np.flatnonzero(self.ends).tolist())
+            self.marks = [(i, c) for i, c in names if len(c) == 1 and not c.isalnum() and not c.isspace()]
         self._parts: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
         self._old_parts: dict[str, bytes] = {}  # known before the table was full: asked before the library
-        self._old_words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _library_words(self, words: list[str]) -> list[bytes]:
-        """Words without inner white space, many in one call: word ends, or line ends between them, mark the borders."""
-        if len(words) < 3:
-            return self._library(words)
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        if self.kind == "word":
+    def _cut(self, text: str, n: int, marks: int | None) -> list[bytes] | None:
+        """Ids of a text in n pieces: between marks, or before tokens of a blank, or behind ends of matches; None if they aren't n."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        if marks is not None:
+            at = np.flatnonzero(ids == marks)
+            starts, stops = np.concatenate(([0], at + 1)), np.append(at, len(ids))
+        elif self.blank:
+            starts = np.flatnonzero(self.begins[ids])
+            stops = np.append(starts[1:], len(ids))
+        else:
             stops = np.flatnonzero(self.ends[ids]) + 1
             starts = np.concatenate(([0], stops[:-1]))
-        else:
-            marks = np.flatnonzero(ids == self.line_end)
-            starts, stops = np.concatenate(([0], marks + 1)), np.concatenate((marks, [len(ids)]))
-        if len(stops) != len(words):  # a word that isn't one match after all
-            return self._library(words)
+        if len(starts) != n or starts[0] != 0:
+            return None
         data, k = ids.tobytes(), self.dtype.itemsize
         return [data[i:j] for i, j in zip((starts * k).tolist(), (stops * k).tolist(), strict=True)]
 
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of many parts by one call of the library; one by one if they can't be told apart."""
+        if self.blank:
+            return self._cut(" " + " ".join(parts), len(parts), None) or self._library([" " + p for p in parts])
+        if all(map(str.isalpha, parts)):  # one match each
+            found = self._cut("\n".join(parts), len(parts), None)
+        else:
+            whole = "".join(parts)
+            mark = next(((i, c) for i, c in self.marks if c not in whole), None)
+            found = self._cut(f" {mark[1]} ".join(parts), len(parts), mark[0]) if mark else None
+        return found or self._library(parts)
+
     def _learn(self, parts: list[str]) -> None:
-        """Encode parts that aren't known: split into matches where that is safe, each new match by the library."""
-        known, blank, old = self._parts, self.kind == "blank", self._old_parts
+        """Encode parts that aren't known."""
+        known, old = self._parts, self._old_parts
         if old:
             found = list(map(old.get, parts))
             known.update([(p, x) for p, x in zip(parts, found, strict=True) if x is not None])
-            parts = [p for p, x in zip(parts, found, strict=True) if x is None]
-        if len(self._words) > CACHED:
-            self._old_words, self._words = self._words, {}
-        words, old_words = self._words, self._old_words
-        safe, whole = parts, []
-        if not _LATIN.fullmatch("".join(parts)):
-            safe, whole = [p for p in parts if _LATIN.fullmatch(p)], [p for p in parts if not _LATIN.fullmatch(p)]
-        if blank:  # each part begins with the only blank that it has
-            split, joined = [], self.split(" " + " ".join(safe)) if safe else []
-            for w in joined:
-                if w[0] == " ":
-                    split.append([w])
-                else:
-                    split[-1].append(w)
-        else:
-            split = [self.split(p.lower()) for p in safe]
-        if len(split) != len(safe):
-            split = [self.split(" " + p) for p in safe]
-        new = set()
-        for ws in split:
-            for w in ws:
-                if w not in words:
-                    x = old_words.get(w)
-                    if x is None:
-                        new.add(w)
-                    else:
-                        words[w] = x
-        alone = [w for w in new if w.isspace() or "\n" in w]
-        new.difference_update(alone)
-        for some, encode in ((alone, self._library), (list(new), self._library_words)):
-            for i in range(0, len(some), 8192):
-                words.update(zip(some[i : i + 8192], encode(some[i : i + 8192]), strict=True))
-        for p, ws in zip(safe, split, strict=True):
-            known[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        if whole:
-            known.update(zip(whole, self._library([" " + p if blank else p for p in whole]), strict=True))
+            parts = list(compress(parts, [x is None for x in found]))
+        kinds = [parts] if self.blank else [[p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]]
+        for some in kinds:
+            for i in range(0, len(some), CALL):
+                few = some[i : i + CALL]
+                known.update(zip(few, self._together(few), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
-        blank = self.kind == "blank"
         if len(self._parts) > CACHED:
             self._old_parts, self._parts = self._parts, {}
+        self._parts[""] = b""
         get, missing = self._parts.get, set()
         cut, found = [], []
         for t in texts:
-            parts = t.split(" ") if not blank or cuttable(t) else None
-            if blank and parts:
+            parts = t.split(" ") if not self.blank or cuttable(t) else None
+            if self.blank and parts:
                 del parts[0]
             ids = list(map(get, parts or ()))
             if None in ids:
-                missing.update([p for p, x in zip(parts, ids, strict=True) if x is None])
+                missing.update(compress(parts, map(not_, ids)))
+                ids = None
             cut.append(parts)
             found.append(ids)
+        missing.discard("")
         if missing:
             self._learn(list(missing))
-        out = []
-        for parts, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids = [x if x is not None else get(p) for p, x in zip(parts, ids, strict=True)]
-            out.append(b"".join(ids))
-        if not blank:
+        out = [b"".join(map(get, parts) if ids is None else ids) for parts, ids in zip(cut, found, strict=True)]
+        if not self.blank:
             return out
         heads = [t if ps is None else t.split(" ", 1)[0] for t, ps in zip(texts, cut, strict=True)]
         first = dict(zip(own := list(dict.fromkeys(heads)), self._library(own), strict=True))
         return [first[h] + x for h, x in zip(heads, out, strict=True)]
 
 
-#: How the two tokenizer files split texts: what their own descriptions say. Fixed values.
-BLANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
 @lru_cache(maxsize=4)
 def vocabulary(path: str, kind: str) -> Vocabulary:
-    return Vocabulary(path, kind, BLANK_PATTERN if kind == "blank" else WORD_PATTERN)
+    return Vocabulary(path, kind)
