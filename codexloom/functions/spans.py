@@ -53,7 +53,7 @@ def numbered(spans: Column, kinds: list[str]) -> Column:
 
     def of(kind: str) -> Column:
         own = F.filter(spans, lambda s: s["kind"] == kind)
-        return F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), (F.size(own) - i).alias("nth")))
+        return F.transform(F.reverse(own), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), (i + 1).alias("nth")))
 
     return F.array_sort(F.concat(*map(of, kinds)))
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside lambdas a captured expression is computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 

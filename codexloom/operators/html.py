@@ -38,7 +38,8 @@ def cleaned(df: DataFrame, html: str = "html", least: float = 0.9) -> DataFrame:
 
 
 def lines(df: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each leaf block element in document order: pos, line."""
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<({BLOCKS})\b[^>]*>((?:(?!<(?:{BLOCKS})\b).)*?)</\1\s*>"), F.lit(2))
-    out = df.withColumn("_lines", found).select(*df.columns, F.posexplode("_lines").alias("pos", "_raw"))
-    return out.withColumn("line", text_of(F.col("_raw"))).where("line <> ''").drop("_raw")
+    """One row for each leaf block element with text, in document order: pos, tag, line."""
+    pattern = rf"(?is)<({BLOCKS})\b[^>]*+>((?:(?!<(?:{BLOCKS})\b).)*?)</\1\s*>"
+    found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0))
+    out = df.select(*df.columns, F.posexplode(found).alias("pos", "_raw"))
+    return out.withColumn("tag", F.lower(F.regexp_extract("_raw", r"^<(\w+)", 1))).withColumn("line", text_of(F.col("_raw"))).where("line <> ''").drop("_raw")

@@ -23,23 +23,45 @@ def lookup_table(docs: DataFrame, keep: str = "first") -> DataFrame:
     return keyed.groupBy("key").agg(best("doc_id", "ord").alias("doc_id"), edge("ord").alias("ord"))
 
 
+def _variants(part: Column) -> Column:
+    """A part, and it without each of its characters: two parts one edit apart share one of these."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(part), F.lit(1))), lambda i: F.concat(F.substring(part, F.lit(1), i - 1), F.substring(part, i + 1, F.lit(100))))
+    return F.array_distinct(F.concat(F.array(part), cut))
+
+
+def blocks(key: Column) -> Column:
+    """Blocks of a key kind-number-year: keys within two edits, hyphens kept, share at least one.
+
+    Two edits leave a part as it is. Either the others have one each, and share a variant; or a second part is as it is as well, and
+    the third has up to two. Each block names two parts, so none grows with the keys of one kind or year alone.
+    """
+    p = F.split(key, "-")
+    part = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
+    kind, number, year = part(0), part(1), part(2)
+    named = lambda tag, fixed, some: F.transform(some, lambda v: F.concat_ws(":", F.lit(tag), fixed, v))
+    twice = F.array_distinct(F.flatten(F.transform(_variants(number), _variants)))
+    one = F.concat(named("a", kind, _variants(number)), named("b", number, _variants(year)), named("c", year, _variants(number)))
+    two = F.concat(named("d", F.concat_ws(":", kind, year), twice), F.array(F.concat_ws(":", F.lit("e"), kind, number), F.concat_ws(":", F.lit("f"), number, year)))
+    return F.array_distinct(F.concat(one, two))
+
+
 def resolve(refs: DataFrame, lookup: DataFrame, max_distance: int = 2) -> DataFrame:
-    """refs(ref_id, key) with doc_id, method, confidence: exact, else nearest key by edit distance, else same kind and year.
+    """refs(ref_id, key) with doc_id, method, confidence: exact, else the nearest key within two edits, else one of the same kind and year.
 
-    Fuzzy candidates share kind and year or kind and number with the reference, or differ within those: a key of
-    the form kind-number-year at distance 2 or less keeps at least one of its three parts, so each part is a block.
+    Keys have the form kind-number-year; candidates share a block, and each pair counts once.
     """
+    if max_distance > 2:
+        raise ValueError("blocks hold keys within two edits")
     parts = lambda c: F.split(c, "-")
     table = lookup.select(F.col("key").alias("known"), F.col("doc_id").alias("known_id"), "ord")
     exact = refs.join(lookup.select("key", "doc_id"), "key", "left")
     missing = exact.where("doc_id is null and key is not null").select("ref_id", "key")
-    blocks = lambda df, c: df.withColumn("block", F.explode(F.transform(parts(F.col(c)), lambda p, i: F.concat_ws(":", i, p))))
-    near = blocks(missing, "key").join(blocks(table, "known"), "block").dropDuplicates(["ref_id", "key", "known"])
-    near = near.withColumn("distance", F.levenshtein("key", "known", max_distance)).where("distance >= 0")
-    near = pick(near, ["ref_id", "key"], "distance", "ord").select("ref_id", "key", F.col("known_id").alias("fuzzy_id"), "distance")
-    kind_year = lambda c: (parts(F.col(c))[0], parts(F.col(c))[2])
+    in_blocks = lambda df, c: df.withColumn("block", F.explode(blocks(F.col(c))))
+    near = in_blocks(missing.select("key").distinct(), "key").join(in_blocks(table, "known"), "block").withColumn("distance", F.levenshtein("key", "known", max_distance)).where("distance >= 0")
+    best = near.groupBy("key").agg(F.min(F.struct("distance", "ord", "known_id")).alias("b")).select("key", F.col("b.known_id").alias("fuzzy_id"), F.col("b.distance").alias("distance"))
+    kind_year = lambda c: (parts(F.col(c))[0], F.get(parts(F.col(c)), F.lit(2)))
     by_year = table.withColumn("kind", kind_year("known")[0]).withColumn("year", kind_year("known")[1]).groupBy("kind", "year").agg(F.min_by("known_id", "ord").alias("year_id"))
-    out = exact.join(near, ["ref_id", "key"], "left").withColumn("kind", kind_year("key")[0]).withColumn("year", kind_year("key")[1]).join(by_year, ["kind", "year"], "left")
+    out = exact.join(best, "key", "left").withColumn("kind", kind_year("key")[0]).withColumn("year", kind_year("key")[1]).join(by_year, ["kind", "year"], "left")
     method = F.when(F.col("doc_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").when(F.col("year_id").isNotNull(), "substring").otherwise("unresolved")
     confidence = F.when(F.col("doc_id").isNotNull(), 1.0).when(F.col("fuzzy_id").isNotNull(), fuzzy_confidence(F.col("distance"))).when(F.col("year_id").isNotNull(), 0.6).otherwise(0.0)
     return out.select("ref_id", "key", F.coalesce("doc_id", "fuzzy_id", "year_id").alias("doc_id"), method.alias("method"), F.round(confidence, 6).alias("confidence"))

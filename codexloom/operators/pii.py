@@ -43,7 +43,8 @@ def placeholder(span: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Add pii (spans), redacted and pii_map; placeholders of a kind are numbered from the right."""
-    out = df.withColumn("pii", numbered(detect(F.col(text)), [k for k, *_ in FAMILIES]))
+    found = df.withColumn("pii", detect(F.col(text)))  # a column of its own: the steps after it use it several times
+    out = found.withColumn("pii", numbered(F.col("pii"), [k for k, *_ in FAMILIES]))
     entries = F.transform(F.reverse(F.col("pii")), lambda s: F.struct(placeholder(s).alias("key"), s["value"].alias("value")))
     return out.withColumn("redacted", replaced(F.col(text), F.col("pii"), placeholder)).withColumn("pii_map", F.map_from_entries(entries))
 

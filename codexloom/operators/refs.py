@@ -214,8 +214,11 @@ def internal(units: DataFrame) -> DataFrame:
 def external(units: DataFrame) -> DataFrame:
     """(uid, doc_type, so_ky_hieu, start) of other documents that units(uid, text) name by number."""
     t = F.col("text")
-    found = [F.transform(places(t, pattern, kind), lambda s, p=pattern: F.struct(s["kind"].alias("doc_type"), F.regexp_extract(s["value"], p, 1).alias("so_ky_hieu"), s["start"].alias("start"))) for kind, pattern in EXTERNAL]
-    return units.select("uid", F.inline(F.concat(*found)))
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(places(t, pattern, kind), lambda s: F.struct(s["kind"].alias("doc_type"), F.regexp_extract(s["value"], pattern, 1).alias("so_ky_hieu"), s["start"].alias("start")))
+
+    return units.select("uid", F.inline(F.concat(*(found(k, p) for k, p in EXTERNAL))))
 
 
 def preamble_anchor(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import any_of, literal_map
+from codexloom.functions.text import let
 
 #: Words of contracts that aren't supported, and of those that are. Fixed values.
 RENTAL = ["hợp đồng thuê nhà", "thuê nhà", "thuê căn hộ", "căn hộ", "nhà ở", "bên cho thuê", "bên thuê", "giá thuê", "tiền thuê nhà", "đặt cọc thuê", "bất động sản"]
@@ -61,13 +62,16 @@ def rewrite(text: Column) -> Column:
 def distinct_words(words: Column) -> Column:
     """Stripped, without empty ones, of those equal but for case the first."""
     kept = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
-    lower = F.transform(kept, lambda w: F.lower(w))
-    return F.filter(kept, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+    first = lambda ws, lower: F.filter(ws, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+    return let(kept, lambda ws: let(F.transform(ws, lambda w: F.lower(w)), lambda lower: first(ws, lower)))
 
 
 def plan(text: Column, kind: Column) -> Column:
     """The retrieval plan of a clause: issue, risk_type, search_queries, keywords, domains, title_hints; wages get their own in front."""
-    r = rewrite(text)
+    return let(rewrite(text), lambda r: _plan(text, kind, r))
+
+
+def _plan(text: Column, kind: Column, r: Column) -> Column:
     issue = literal_map(ISSUES)[r["risk_type"]]
     lits = lambda xs: F.array(*map(F.lit, xs))
     compact = F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, 240)

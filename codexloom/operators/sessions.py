@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Limits of the free plan. Fixed values.
 FREE = {"contracts_per_month": 5, "qa_per_day": 10, "api_calls_per_hour": 100}
@@ -41,19 +43,27 @@ def monotone(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def greedy_batches(df: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
-    """Number items of a key in order into batches: a batch closes before the item that would exceed `most`."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["sum"] + x["s"] > most) & (a["sum"] > 0)
-        number = F.when(new, a["batch"] + 1).otherwise(a["batch"])
-        total = F.when(new, x["s"]).otherwise(a["sum"] + x["s"])
-        return F.struct(number.alias("batch"), total.alias("sum"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), number.alias("batch")))).alias("out"))
-
-    kind = dict(df.dtypes)[order]
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<struct<o: {kind}, batch: int>>").alias("out"))
-    folded = df.groupBy(key).agg(items.alias("items")).select(key, F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), F.col("x.batch").cast("long").alias("batch"))
+    """Number items of a key in order into batches: a batch closes before the item that would exceed `most`.
+
+    A stream over sorted rows that holds three values: a key of any size needs no memory of its own.
+    """
+
+    def run(batches):
+        known, number, held = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for k, s in zip(batch.column(key).to_pylist(), batch.column("_size").to_pylist(), strict=True):
+                if known is None or k != known[0]:
+                    known, number, held = (k,), 0, 0
+                if held > 0 and held + s > most:
+                    number, held = number + 1, 0
+                held += s
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), pa.array(numbers, pa.int64())], [key, order, "batch"])
+
+    rows = df.select(key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
+    schema = T.StructType([rows.schema[key], rows.schema[order], T.StructField("batch", T.LongType())])
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def chunks(text: Column, n: int) -> Column:

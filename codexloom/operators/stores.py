@@ -67,7 +67,7 @@ def rate_windows(events: DataFrame, keys: list[str], time: str = "ts", seconds:
 
     A key's times are folded in order; only times are held, and a key's own events bound them.
     """
-    at = F.unix_micros(F.col(time))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     times = events.groupBy(*keys).agg(F.array_sort(F.collect_set(at)).alias("_times"))
 
     def step(a: Column, t: Column) -> Column:
@@ -94,7 +94,7 @@ def code_checks(attempts: DataFrame, codes: DataFrame) -> DataFrame:
     latest = attempts.join(codes, "user_id", "left").where("created_at is null or created_at <= at").groupBy("user_id", "at", "hash").agg(F.max("created_at").alias("created_at"), F.max_by("code_hash", "created_at").alias("code_hash"))
     missing = attempts.join(latest.select("user_id", "at", "hash"), ["user_id", "at", "hash"], "left_anti").select("user_id", "at", "hash", F.lit("none").alias("outcome"))
     none = latest.where("created_at is null").select("user_id", "at", "hash", F.lit("none").alias("outcome"))
-    micros = lambda c: F.unix_micros(F.col(c))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     tries = latest.where("created_at is not null").groupBy("user_id", "created_at").agg(F.array_sort(F.collect_list(F.struct(micros("at").alias("t"), "hash", (F.col("hash") == F.col("code_hash")).alias("right"), (micros("created_at") + VALID * 60_000_000).alias("until")))).alias("ts"))
 
     def step(a: Column, x: Column) -> Column:

@@ -128,14 +128,15 @@ def match_two_phase(spark, d):
 _PARTS = "(SELECT p_partkey AS id, split_part(p_type, ' ', 1) || '-' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '-' || CAST(2000 + p_partkey % 20 AS VARCHAR) AS key FROM part)"
 
 
-@query(f"SELECT r.id AS ref_id, min(l.key) AS nearest FROM {_PARTS} r JOIN {_PARTS} l ON l.id % 3 = 0 AND levenshtein(r.key, l.key) <= 1 WHERE r.id % 50 = 0 GROUP BY 1")
+@query(f"""WITH known AS (SELECT key, min(id) AS id FROM {_PARTS} GROUP BY 1), refs AS (SELECT id, left(key, length(key) - 6) || 'x' || right(key, 5) AS key FROM {_PARTS} WHERE id % 50 = 0)
+ SELECT r.id AS ref_id, arg_min(k.id, (levenshtein(r.key, k.key), k.id)) AS doc_id FROM refs r JOIN known k ON levenshtein(r.key, k.key) <= 2 GROUP BY 1""")
 def resolve_blocked_fuzzy(spark, d):
+    """A stated set of keys with a wrong sign against all keys."""
     kind = F.split_part("p_type", F.lit(" "), F.lit(1))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("-", kind, F.lpad(F.col("p_size").cast("string"), 3, "0"), (2000 + F.col("p_partkey") % 20).cast("string")).alias("key"))
-    block = lambda df: df.withColumn("block", F.explode(F.transform(F.split("key", "-"), lambda p, i: F.concat_ws(":", i, p))))
-    refs, known = block(part.where("id % 50 = 0")), block(part.where("id % 3 = 0").select(F.col("key").alias("known")).distinct().withColumnRenamed("known", "key")).withColumnRenamed("key", "known")
-    near = refs.join(known, "block").where(F.levenshtein("key", "known", 1) >= 0)
-    return near.groupBy(F.col("id").alias("ref_id")).agg(F.min("known").alias("nearest"))
+    known = part.groupBy("key").agg(F.min("id").alias("doc_id"), F.min("id").alias("ord"))
+    refs = part.where("id % 50 = 0").select(F.col("id").alias("ref_id"), F.regexp_replace("key", r".(-\d{4})$", "x$1").alias("key"))
+    return lookup.resolve(refs, known).where("method = 'fuzzy'").select("ref_id", "doc_id")
 
 
 @query("SELECT md5(text) AS digest, lang, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
@@ -170,7 +171,7 @@ def keep_last_by_key(spark, d):
 
 
 _CLEAN = "html"
-for _tag in html.DROPPED:
+for _tag in ("script", "style", "dir"):
     _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 _CLEAN = f"regexp_replace({_CLEAN}, '(?i)</?(?:font|span)\\b[^>]*>', '', 'g')"
 _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<table[^>]*detailcontent[^>]*>(.*?)</table>', '\\1', 'g')"
@@ -192,25 +193,6 @@ def html_verify_ratio(spark, d):
     return html.cleaned(table(spark, d, "pages")).select("page_id", F.round("kept_ratio", 6).alias("kept_ratio"), "is_ok")
 
 
-@query("SELECT page_id, count(*) AS n, sum(length(x)) AS total FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li\\b[^>]*>([^<]*)</li>', 1)) AS x FROM pages) GROUP BY 1")
-def html_lines(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>([^<]*)</li>"), F.lit(1))).alias("x"))
-    return pages.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.char_length("x")).alias("total"))
-
-
-@query("SELECT * FROM (VALUES (0, 'Chương I'), (1, 'Điều 1. A'), (2, '1. B')) AS t(pos, line)")
-def html_leaf_blocks(spark, d):
-    one = spark.sql("SELECT '<div><p>Chương <b>I</b></p><div><p>Điều 1. A</p><p> </p><li>1. B</li></div></div>' AS html")
-    found = html.lines(one).orderBy("pos")
-    return found.select((F.row_number().over(_by_pos()) - 1).cast("int").alias("pos"), "line")
-
-
-def _by_pos():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1)).orderBy("pos")
-
-
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) = text AS is_flat, CASE WHEN text = '' THEN 0 ELSE greatest(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')), 1) END AS n_tokens, substr(md5(substr(text, 1, 200)), 1, 16) AS cache_key, substr(regexp_replace(trim(text), '\\s+', ' ', 'g'), 1, 60) AS title FROM documents")
 def text_functions(spark, d):
     t = F.col("text")

@@ -19,17 +19,17 @@ def _orders(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderstatus").alias("rel_type"), F.col("o_orderkey").alias("ord"))
 
 
-@query("SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) GROUP BY 1, 2")
+@query("SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY 1, 2")
 def edge_fk_valid(spark, d):
-    nodes = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"))
-    parts = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("dst"))
-    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(parts, "dst", "left_semi").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    suppliers = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    parts = table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return graph.valid_edges(edges, suppliers.unionByName(parts)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("WITH ends AS (SELECT DISTINCT o_orderkey, unnest([o_custkey, o_custkey + 7]) AS id FROM orders) SELECT id, count(*) AS n_edges FROM ends WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) GROUP BY 1")
+@query("WITH ends AS (SELECT DISTINCT o_orderkey, unnest([o_custkey, o_custkey + 7]) AS id FROM orders) SELECT id, count(*) AS n_edges FROM ends WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")
 def edge_orphans(spark, d):
-    nodes = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"))
+    nodes = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 7).alias("dst"))
     return graph.orphan_ends(edges, nodes)
 
@@ -51,11 +51,11 @@ def graph_neighbors(spark, d):
     return graph.neighbours(spark.range(5), edges)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS s, o_orderkey % 97 AS t FROM orders WHERE o_orderkey % 11 = 0), r AS
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS s, o_orderkey % 1000 AS t FROM orders), r AS
  (SELECT id AS seed, id, 0 AS depth FROM (VALUES (1), (2), (3)) AS v(id) UNION SELECT seed, t, depth + 1 FROM r JOIN e ON r.id = e.s WHERE depth < 3)
  SELECT CAST(seed AS BIGINT) AS seed, CAST(id AS BIGINT) AS id, min(depth) AS depth FROM r GROUP BY 1, 2""")
 def graph_expand_seeds(spark, d):
-    edges = table(spark, d, "orders").where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 97).alias("src"), (F.col("o_orderkey") % 97).alias("dst"))
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000).alias("dst"))
     return graph.reach(spark.range(1, 4), edges, 3)
 
 
@@ -75,53 +75,13 @@ def hier_nested_doc(spark, d):
     return rows.select("l_orderkey", F.array_join(F.transform("ls", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_returnflag"])), ",").alias("lines"), F.array_join("ss", ",").alias("statuses"), "n")
 
 
-@query("SELECT n_nationkey, coalesce(r_name, 'Văn bản') || ' - ' || n_name || ' - ' || coalesce(c.top, '') AS rich_text FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, max(c_name) AS top FROM customer WHERE c_nationkey < 20 GROUP BY 1) c ON c_nationkey = n_nationkey")
+@query("SELECT n_nationkey, coalesce(r_name, 'Văn bản') || ' - ' || n_name || ' - ' || coalesce(c.top, '') AS rich_text FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, max(c_name) AS top FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey")
 def hier_rich_text(spark, d):
-    top = table(spark, d, "customer").where("c_nationkey < 20").groupBy("c_nationkey").agg(F.max("c_name").alias("top"))
+    top = table(spark, d, "customer").groupBy("c_nationkey").agg(F.max("c_name").alias("top"))
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(top, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return rows.select("n_nationkey", F.concat(F.coalesce("r_name", F.lit("Văn bản")), F.lit(" - "), "n_name", F.lit(" - "), F.coalesce("top", F.lit(""))).alias("rich_text"))
 
 
-#: Lines of two documents for segmentation; the answers below follow from the rules by hand.
-_LINES = [
-    (1, ["Căn cứ Hiến pháp", "Chương I. QUY ĐỊNH", "1. Không phải khoản", "Điều 1. Phạm vi", "Luật này quy định.", "1. Khoản một", "a) Điểm a", "b) Điểm b", "tiếp theo", "2. Khoản hai", "Điều 2. Đối tượng", "a) Không phải điểm", "Nơi nhận: lưu", "Điều 3. Sau ký"]),
-    (2, ["Điều 155a: Tên", "1. Như sau:", "“Điều 9. Trích dẫn", "1. trong trích”", "2. Hết"]),
-]
-
-
-def _lines(spark):
-    return spark.createDataFrame([(doc, i, x) for doc, xs in _LINES for i, x in enumerate(xs)], "doc_id long, pos int, line string")
-
-
-@query("""SELECT * FROM (VALUES (1, 1, 'chapter', 'I', NULL, concat('QUY ĐỊNH', chr(10), '1. Không phải khoản')), (1, 2, 'article', '1', NULL, concat('Phạm vi', chr(10), 'Luật này quy định.')),
- (1, 3, 'clause', '1', 'doc_1_dieu_1', 'Khoản một'), (1, 4, 'point', 'a', 'doc_1_dieu_1_khoan_1', 'Điểm a'), (1, 5, 'point', 'b', 'doc_1_dieu_1_khoan_1', concat('Điểm b', chr(10), 'tiếp theo')),
- (1, 6, 'clause', '2', 'doc_1_dieu_1', 'Khoản hai'), (1, 7, 'article', '2', NULL, concat('Đối tượng', chr(10), 'a) Không phải điểm')),
- (2, 1, 'article', '155a', NULL, 'Tên'), (2, 2, 'clause', '1', 'doc_2_dieu_155a', concat('Như sau:', chr(10), '“Điều 9. Trích dẫn', chr(10), '1. trong trích”')), (2, 3, 'clause', '2', 'doc_2_dieu_155a', 'Hết')) AS t(doc_id, seq, level, idx, parent_uid, text)""")
-def segment_tree(spark, d):
-    return segment.segments(_lines(spark)).select("doc_id", "seq", "level", "idx", "parent_uid", "text")
-
-
-@query("SELECT * FROM (VALUES (1, 'article', 2), (1, 'chapter', 1), (1, 'clause', 2), (1, 'point', 2), (2, 'article', 1), (2, 'clause', 2)) AS t(doc_id, level, n)")
-def segment_counts(spark, d):
-    return segment.segments(_lines(spark)).groupBy("doc_id", "level").agg(F.count("*").alias("n"))
-
-
-@query("SELECT * FROM (VALUES (1, 1.0::DOUBLE, 'high'), (2, 0.55::DOUBLE, 'low')) AS t(doc_id, score, confidence)")
-def segment_confidence(spark, d):
-    expected = spark.sql("SELECT * FROM VALUES (1L, 2L), (2L, 10L) AS t(doc_id, expected)")
-    return segment.confidence(segment.segments(_lines(spark)), expected).select("doc_id", F.round("score", 6).alias("score"), "confidence")
-
-
-@query("SELECT level, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM (SELECT CASE WHEN n_chars >= 5000 THEN 'high' WHEN n_chars >= 1000 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM documents GROUP BY 1)")
-def confidence_distribution(spark, d):
-    level = F.when(F.col("n_chars") >= 5000, "high").when(F.col("n_chars") >= 1000, "medium").otherwise("low")
-    counts = table(spark, d, "documents").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # three rows
-    return counts.select("level", "n", F.round(F.col("n") / total, 6).alias("share"))
-
-
 #: Units with references; kinds and parts follow from the grammar by hand.
 _UNITS = [
     ("doc_1_dieu_5_khoan_2", "Theo khoản 1, khoản 2 Điều 3 của Luật này và Điều này.", False),
@@ -140,18 +100,6 @@ def refs_unified(spark, d):
     return refs.extract(units).select("uid", "article", "clause", "point", "doc_ref", "kind", "action")
 
 
-@query("SELECT * FROM (VALUES ('doc_1_dieu_5_khoan_2', 'Xem Điều 5, khoản 2 Điều 5'), ('doc_1_dieu_6', 'Xem Điều 6, khoản này')) AS t(uid, text)")
-def self_ref_resolve(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('doc_1_dieu_5_khoan_2', 'Xem Điều này, khoản này'), ('doc_1_dieu_6', 'Xem Điều này, khoản này') AS t(uid, text)")
-    return rows.select("uid", refs.resolve_self(F.col("text"), F.col("uid")).alias("text"))
-
-
-@query("SELECT * FROM (VALUES (1, 'khoản 1 Điều 3 , khoản 2 Điều 3'), (2, 'điểm a khoản 1 và điểm b khoản 1')) AS t(id, text)")
-def chain_expand(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'khoản 1, khoản 2 Điều 3'), (2, 'điểm a và điểm b khoản 1') AS t(id, text)")
-    return rows.select("id", refs.expand_chains(F.col("text")).alias("text"))
-
-
 @query("SELECT * FROM (VALUES ('doc_1_dieu_2', 'doc_1_dieu_5', 'REFERENCES', 'Article', NULL), ('doc_1_dieu_2', 'doc_3_dieu_7_khoan_1', 'MODIFIES', 'Article', 'sua_doi'), ('doc_1_dieu_4', 'doc_3', 'MODIFIES', 'Document', 'bai_bo')) AS t(source_uid, target_uid, rel_type, target_label, action)")
 def relation_prepare(spark, d):
     rows = spark.sql("""SELECT * FROM VALUES ('doc_1_dieu_2', 'Luật này', 'Điều 5', '', '', 'references', NULL), ('doc_1_dieu_2', 'Luật Doanh nghiệp 2020', '7', '1', NULL, 'MODIFY', 'thay_the'),
@@ -167,17 +115,6 @@ def carry_forward(spark, d):
     return refs.carry_forward(rows, "user_id", "event_id", "last_signup")
 
 
-@query("SELECT target_uid, count(*) AS n, max(ngay) AS latest, string_agg(source_uid, ',' ORDER BY ngay, source_uid) AS chain FROM {fx_amend} GROUP BY 1")
-def amendment_chain(spark, d):
-    return effective.chains(fixture(spark, "amend")).select("target_uid", "n", "latest", F.array_join("chain.source_uid", ",").alias("chain"))
-
-
-@query("""SELECT * FROM (VALUES ('doc_1_dieu_1', concat('Điều 1. Phạm vi', chr(10), '1. Một', chr(10), '2. Hai mới nhất'), 2), ('doc_1_dieu_2', '1. Riêng', 0), ('doc_2_dieu_1', concat('1. [Đã bãi bỏ]', chr(10), '2. B', chr(10), '3. C', chr(10), '4. D'), 2),
- ('doc_3_dieu_1', 'Không khoản', 0), ('doc_4_dieu_7', '1. [Đã bãi bỏ]', 1)) AS t(uid, text, n_changes)""")
-def effective_text(spark, d):
-    return effective.compose(fixture(spark, "articles"), fixture(spark, "amend")).select("uid", "text", "n_changes")
-
-
 @query("""SELECT uid, reason = 'con_hieu_luc' AS is_current, reason FROM (SELECT a.uid, CASE WHEN s.status IN ('Hết hiệu lực toàn bộ', 'Ngưng hiệu lực') THEN 'doc_het_hieu_luc' WHEN a.doc_id IN (SELECT dst FROM {fx_edges} WHERE label = 'THAY_THE') THEN 'superseded'
  WHEN a.uid IN (SELECT target_uid FROM {fx_amend} WHERE action = 'Bãi bỏ') THEN 'bai_bo' ELSE 'con_hieu_luc' END AS reason FROM {fx_articles} a LEFT JOIN {fx_status} s USING (doc_id))""")
 def validity_priority(spark, d):
@@ -192,23 +129,42 @@ def similarity_structural(spark, d):
     return pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"), effective.structural_match(F.col("a.text"), F.col("b.text")).alias("same"))
 
 
-@query("SELECT source, round(coalesce(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 0.0), 6) AS rate, count(*) AS n FROM documents GROUP BY 1")
-def agreement_rate(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.round(F.coalesce(F.avg((F.col("n_chars") > 1000).cast("double")), F.lit(0.0)), 6).alias("rate"), F.count("*").alias("n"))
-
-
-@query("SELECT m.uid, m.at, arg_max(v.text, v.as_of) AS text, max(v.as_of) AS as_of FROM (SELECT DISTINCT o_custkey AS uid, DATE '1997-01-01' AS at FROM orders WHERE o_custkey % 5 = 0) m LEFT JOIN (SELECT o_custkey AS uid, CAST(o_orderdate AS DATE) AS as_of, max(o_orderpriority) AS text FROM orders GROUP BY 1, 2) v ON v.uid = m.uid WHERE v.as_of IS NULL OR v.as_of <= m.at GROUP BY 1, 2")
+@query("SELECT m.uid, m.at, arg_max(v.text, v.as_of) AS text, max(v.as_of) AS as_of FROM (SELECT DISTINCT o_custkey AS uid, DATE '1997-01-01' AS at FROM orders) m LEFT JOIN (SELECT o_custkey AS uid, CAST(o_orderdate AS DATE) AS as_of, max(o_orderpriority) AS text FROM orders GROUP BY 1, 2) v ON v.uid = m.uid WHERE v.as_of IS NULL OR v.as_of <= m.at GROUP BY 1, 2")
 def as_of_version(spark, d):
     orders = table(spark, d, "orders")
     versions = orders.groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderdate").cast("date").alias("as_of")).agg(F.max("o_orderpriority").alias("text"))
-    moments = orders.where("o_custkey % 5 = 0").select(F.col("o_custkey").alias("uid"), F.lit("1997-01-01").cast("date").alias("at")).distinct()
+    moments = orders.select(F.col("o_custkey").alias("uid"), F.lit("1997-01-01").cast("date").alias("at")).distinct()
     return effective.as_of(versions, moments)
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b')) AS n_emails FROM documents")
+#: Families as the SQL engine writes them, by kind; spans that two families share would be counted twice there.
+_PII = {
+    "cccd": "(?i)(?:CCCD|CMND|Căn\\s*cước\\s*(?:công\\s*dân)?|Chứng\\s*nhân\\s*dân|Số)\\s*(?:số\\s*)?[:\\-]?\\s*\\d{9,12}\\b",
+    "mst": "(?i)(?:MST|Mã\\s*số\\s*thuế|Thuế\\s*):\\s*[:\\-]?\\s*\\d{10,13}\\b",
+    "phone": "(?:\\+84|0)\\d{8,10}\\b|\\+84[\\s\\-]?\\d{1,3}[\\s\\-]?\\d{3,4}[\\s\\-]?\\d{3,4}\\b",
+    "email": "\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b",
+    "bank_account": "(?i)(?:STK|Số\\s*tài\\s*khoản|Tài\\s*khoản|Ngân\\s*hàng|Bank|Account)\\s*[:\\-]?\\s*\\d{10,16}\\b",
+    "address": "(?i)(?:đường|phố|ngõ|hẻm|quận|huyện|phường|xã|tỉnh|thành\\s*phố|TP\\.)\\s+[^,.\\n]{3,50}",
+}
+#: A phone number may stand inside the digits of an account, whose longer span wins there: it is counted beside them.
+_PHONES = "'. 09' || lpad(CAST(doc_id AS VARCHAR), 8, '1') || ', hết'"
+#: Each document with a sentence of personal data behind it, so that all families occur.
+_PERSONAL = "'. CCCD: 0790' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ', MST: 03' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '; STK 77' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || ', 09' || lpad(CAST(doc_id AS VARCHAR), 8, '1') || ', tại quận Ba ' || doc_id || ', hết'"
+
+
+def _personal(spark, d):
+    pad = lambda n, c="0": F.lpad(F.col("doc_id").cast("string"), n, c)
+    more = F.concat(F.lit(". CCCD: 0790"), pad(8), F.lit(", MST: 03"), pad(8), F.lit("; STK 77"), pad(12), F.lit(", 09"), pad(8, "1"), F.lit(", tại quận Ba "), "doc_id", F.lit(", hết"))
+    return table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("text"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all({'u' if k == 'phone' else 't'}, '{p}')) AS {k}" for k, p in _PII.items()) + f" FROM (SELECT doc_id, text || {_PERSONAL} AS t, text || {_PHONES} AS u FROM documents)")
 def pii_detect(spark, d):
-    emails = F.filter(pii.detect(F.col("text")), lambda s: s["kind"] == "email")
-    return table(spark, d, "documents").select("doc_id", F.size(emails).alias("n_emails"))
+    """Spans of each family in whole texts."""
+    spans = pii.detect(F.col("text"))
+    rows = _personal(spark, d).select("doc_id", spans.alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).alias(kind)
+    return rows.select("doc_id", *map(count, _PII))
 
 
 @query("SELECT * FROM (VALUES (1, 'Ông A, CCCD: [REDACTED_CCCD_1], email [REDACTED_EMAIL_2] và [REDACTED_EMAIL_1].', 3), (2, 'MST: [REDACTED_MST_1]. STK [REDACTED_BANK_ACCOUNT_1]', 2), (3, 'Không có gì.', 0), (4, 'Gọi [REDACTED_PHONE_1] hoặc gửi [REDACTED_EMAIL_1]', 2), (5, 'Trụ sở tại [REDACTED_ADDRESS_1], Hà Nội', 1)) AS t(id, redacted, n)")
@@ -216,14 +172,17 @@ def pii_redact(spark, d):
     return pii.redact(fixture(spark, "pii")).select("id", "redacted", F.size("pii").alias("n"))
 
 
-@query("SELECT id, text FROM {fx_pii}")
+@query(f"SELECT doc_id, md5(text || {_PERSONAL}) AS digest, true AS hidden FROM documents")
 def pii_roundtrip(spark, d):
-    return pii.redact(fixture(spark, "pii")).select("id", pii.restore(F.col("redacted"), F.col("pii_map")).alias("text"))
+    """Redacted texts hold no account, and their maps bring the whole texts back."""
+    rows = pii.redact(_personal(spark, d)).select("doc_id", "redacted", "pii_map")
+    account = F.concat(F.lit("STK 77"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    return rows.select("doc_id", F.md5(pii.restore(F.col("redacted"), F.col("pii_map"))).alias("digest"), (~F.contains("redacted", account)).alias("hidden"))
 
 
-@query("SELECT * FROM (VALUES ('address', 1), ('bank_account', 1), ('cccd', 1), ('email', 3), ('mst', 1), ('phone', 1)) AS t(kind, n)")
+@query("SELECT kind, sum(n) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, len(regexp_extract_all(t, '{p}')) AS n FROM (SELECT text || {_PHONES if k == 'phone' else _PERSONAL} AS t FROM documents)" for k, p in _PII.items()) + ") GROUP BY 1")
 def pii_type_counts(spark, d):
-    found = fixture(spark, "pii").select(F.explode(pii.detect(F.col("text"))).alias("s"))
+    found = _personal(spark, d).select(F.explode(pii.detect(F.col("text"))).alias("s"))
     return found.groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -231,7 +190,7 @@ def _any(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT clause_id, CASE WHEN {_any(review.RENTAL)} THEN 'rental' WHEN {_any(review.LABOUR)} THEN 'supported' ELSE 'unsupported' END AS verdict FROM {{fx_clauses}}")
+@query("SELECT clause_id, CASE WHEN regexp_matches(lower(text), 'thuê nhà|thuê căn hộ|căn hộ|nhà ở|bên cho thuê|bên thuê|giá thuê|đặt cọc thuê|bất động sản') THEN 'rental' WHEN regexp_matches(lower(text), 'lao động|lương|phụ cấp|bảo hiểm xã hội|bảo hiểm y tế|bảo hiểm thất nghiệp|thử việc|nghỉ việc|sa thải|thời giờ làm việc|việc làm') THEN 'supported' ELSE 'unsupported' END AS verdict FROM {fx_clauses}")
 def guardrail(spark, d):
     return fixture(spark, "clauses").select("clause_id", review.guardrail(F.col("text")).alias("verdict"))
 

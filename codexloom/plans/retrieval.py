@@ -9,7 +9,7 @@ from codexloom.operators import search
 from codexloom.plans.registry import query, table
 
 _BM25 = """(WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), s AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
- q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 5),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 50 = 0),
  tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
  SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY 1, 2)"""
@@ -17,7 +17,7 @@ _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)"
 
 
 def _scores(spark, d):
-    queries = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    queries = table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
     return search.bm25(table(spark, d, "documents"), queries)
 
 
@@ -26,9 +26,9 @@ def bm25_topk(spark, d):
     return search.top_k(_scores(spark, d).withColumn("score", F.round("score", 6)), ["query_id"], 5, F.desc("score"), "doc_id")
 
 
-@query(f"SELECT query_id, doc_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * (1 / (1 + pow(2.71828::DOUBLE, -score / 5)) - 0.5::DOUBLE))), 6) AS lexical FROM {_BM25} WHERE doc_id % 7 = 0")
+@query(f"SELECT query_id, doc_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * (1 / (1 + pow(2.71828::DOUBLE, -score / 5)) - 0.5::DOUBLE))), 6) AS lexical FROM {_BM25}")
 def bm25_squashed(spark, d):
-    return _scores(spark, d).where("doc_id % 7 = 0").select("query_id", "doc_id", F.round(squash(F.col("score")), 6).alias("lexical"))
+    return _scores(spark, d).select("query_id", "doc_id", F.round(squash(F.col("score")), 6).alias("lexical"))
 
 
 _KNN = "(SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0)"

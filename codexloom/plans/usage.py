@@ -56,9 +56,16 @@ def latest_state(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 0), ('a', 2, 0), ('a', 3, 1), ('a', 4, 2), ('a', 5, 3), ('b', 1, 0), ('b', 2, 1), ('b', 3, 1)) AS t(uid, ord, batch)")
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), r AS (SELECT source, doc_id, i, 0 AS batch, n_chars AS held FROM o WHERE i = 1
+ UNION ALL SELECT o.source, o.doc_id, o.i, CASE WHEN r.held + o.n_chars > 20000 AND r.held > 0 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.held + o.n_chars > 20000 AND r.held > 0 THEN o.n_chars ELSE r.held + o.n_chars END FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+ SELECT source, doc_id, batch FROM r""")
 def chunks_greedy(spark, d):
-    return sessions.greedy_batches(fixture(spark, "sizes"), "uid", "ord", "len", 100)
+    return sessions.greedy_batches(table(spark, d, "documents"), "source", "doc_id", "n_chars", 20_000)
+
+
+@query("SELECT conv_id, coalesce(max(turn), -1) + 1 AS next_seq FROM conversations GROUP BY 1")
+def conv_next_seq(spark, d):
+    return sessions.conversation_summary(table(spark, d, "conversations")).select("conv_id", "next_seq")
 
 
 @query("SELECT item_id, greatest(ceil(length(text) / 5.0), 0)::BIGINT AS n_chunks, left(text, 5) AS first_chunk FROM benchmark")
@@ -89,20 +96,20 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", k.alias("k")).where("k % 2 = 0")
 
 
-@query()
+@query("SELECT user_id, event_type, date_trunc('hour', ts)::TIMESTAMP AS period, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def stream_usage(spark, d):
     events = streams.event_stream(spark, f"{d}/events.parquet")
     counts = streams.drained(streams.hourly_usage(events))
-    return counts.select("user_id", "event_type", F.col("w.start").alias("period"), "n")
+    return counts.select("user_id", "event_type", F.col("w.start").cast("timestamp_ntz").alias("period"), "n")
 
 
-@query()
+@query("SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 60 MINUTE AS \"end\", count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS gap FROM events)) GROUP BY user_id, session")
 def stream_sessions(spark, d):
     events = streams.event_stream(spark, f"{d}/events.parquet")
-    return streams.drained(streams.session_counts(events)).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return streams.drained(streams.session_counts(events)).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query()
+@query("SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def stream_conv_agg(spark, d):
     messages = streams.event_stream(spark, f"{d}/conversations.parquet")
     return streams.drained(streams.conversation_counts(messages))

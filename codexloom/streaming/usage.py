@@ -36,7 +36,11 @@ def conversation_counts(messages: DataFrame) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     """A new folder under the shared one, deleted when the session ends."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="codexloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="codexloom-")
     folder = f"{root.rstrip('/')}/codexloom-stream-{uuid.uuid4().hex[:12]}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codexloom.functions import identifiers as ids
 from codexloom.functions import text as tx
-from codexloom.operators import effective, graph, review, search, sessions
+from codexloom.operators import effective, graph, qa, review, search, sessions
 from codexloom.sources import tables
 from codexloom.streaming import usage as streams
 
@@ -86,7 +86,8 @@ def test_effective_without_amendments(spark):
 
 def test_review(spark):
     assert one(spark, review.guardrail(F.lit("Hợp đồng lao động"))) == "supported"
-    assert one(spark, review.requirements(F.array(F.lit("Effective text"), F.lit("x"), F.lit("effective_text")))) == ["effective_text"]
+    assert one(spark, qa.requirements(F.array(F.lit("lịch sử sửa đổi"), F.lit("x"), F.lit("citation_validation")), F.lit("TOPIC"), F.lit("hybrid_search"))) == ["effective_text", "citation_validation", "legal_provision"]
+    assert one(spark, qa.strategy(F.lit("lookup"), F.lit("VALIDITY"), F.lit("Điều 5"))) == "validity_check"
     assert one(spark, sessions.chunks(F.lit("abcdefg"), 3)) == ["abc", "def", "g"]
 
 
