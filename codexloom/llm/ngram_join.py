@@ -19,8 +19,9 @@ similarity is at least num/den; the join returns components of links, and loses
    strips that can reach the threshold are tiles. These hold sizes and bitmaps, no hashes: bits set in x and not
    in y are at least as many elements of x outside y, so bit counts bound each pair's overlap from above.
    Strips of the key's largest component don't meet each other.
-5. Pairs that pass are intersected exactly: first the best pair of each two components, then all whose
-   components still differ. Only here and in stars do hashes travel.
+5. Pairs that pass are intersected exactly: of each tile first the best pairs that would join its components, fewer than it
+   has sets; then, in new tiles, all pairs whose components still differ. From tiles come spanning pairs or sets,
+   never all pairs, so rows grow with the sets. Only here and in stars do hashes travel.
 
 Exact copies of a set are one representative (the smallest doc_id) before step 1.
 
@@ -230,7 +231,7 @@ def tile_links(ids: list[int], labels: list[int], hashes: list[np.ndarray], side
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-PASSED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("bound", pa.float64())])
+OPEN = pa.schema([("key", pa.int64()), ("tile", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("c", pa.int64())])
 
 
 def _folded(bits: bytes, words: int) -> np.ndarray:
@@ -241,17 +242,17 @@ def _folded(bits: bytes, words: int) -> np.ndarray:
     return x
 
 
-def passing(tile: pa.Table, num: int, den: int) -> pa.RecordBatch | None:
-    """Pairs of a tile in different components whose overlap, bounded by bit counts, may reach the threshold."""
-    ids, own, sizes, sides = (tile.column(c).to_numpy() for c in ("id", "c", "size", "side"))
+def passing(tile: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile (places in it) in different components whose overlap, bounded by bit counts, may reach the threshold; best bounds first."""
+    own, sizes, sides = (tile.column(c).to_numpy() for c in ("c", "size", "side"))
     data = tile.column("bits").to_pylist()
     words = min(map(len, data)) // 8
     order = np.argsort(sizes, kind="stable")
-    ids, own, sizes, sides = ids[order], own[order], sizes[order], sides[order]
+    own, sizes, sides = own[order], sizes[order], sides[order]
     maps = np.stack([_folded(data[i], words) for i in order])
     two = len(np.unique(sides)) == 2
     out = []
-    for i in range(len(ids) - 1):
+    for i in range(len(own) - 1):
         end = np.searchsorted(sizes, sizes[i] * den // num, "right")
         later = np.arange(i + 1, max(end, i + 1))
         later = later[own[later] != own[i]]
@@ -264,15 +265,34 @@ def passing(tile: pa.Table, num: int, den: int) -> pa.RecordBatch | None:
         most = np.minimum(sizes[i] - here, sizes[later] - there)
         union = sizes[i] + sizes[later] - most
         ok = den * most >= num * union
-        j = later[ok]
-        if len(j):
-            out.append((np.full(len(j), ids[i]), ids[j], np.full(len(j), own[i]), own[j], most[ok] / union[ok]))
+        if ok.any():
+            out.append((np.full(ok.sum(), i), later[ok], most[ok] / union[ok]))
     if not out:
-        return None
-    a, b, ca, cb, bound = map(np.concatenate, zip(*out, strict=True))
-    swap = a > b
-    columns = [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb), bound]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PASSED.types, strict=True)], schema=PASSED)
+        none = np.zeros(0, np.int64)
+        return none, none
+    a, b, bound = map(np.concatenate, zip(*out, strict=True))
+    best = np.argsort(-bound, kind="stable")
+    return order[a[best]], order[b[best]]
+
+
+def forest(tile: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Of pairs in an order as many as join components of the tile: fewer than it has sets."""
+    ids, own = tile.column("id").to_numpy(), tile.column("c").to_numpy()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(int(own[i])), find(int(own[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((int(ids[i]), int(ids[j])))
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], schema=LINKS)
 
 
 def _parts(df: DataFrame) -> int:
@@ -324,30 +344,65 @@ def _candidates(found: DataFrame, work: Work) -> DataFrame:
     return rows
 
 
-def _tiles(rows: DataFrame, facts: DataFrame, num: int, den: int, work: Work) -> DataFrame:
-    """Pairs in different components (a, b, ca, cb, bound) that bitmaps don't rule out. rows: key, id, c; facts: id, size, bits."""
+def _tiles(rows: DataFrame, facts: DataFrame, num: int, den: int, work: Work, name: str) -> DataFrame:
+    """(key, tile, side, id, c, size, bits): keys whose sets are in different components, cut into tiles. rows: key, id, c; facts: id, size, bits."""
     per = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("bulk"), F.count("*").alias("k"))
     light = rows.join(per.where("k > 1").select("key", "bulk"), "key").join(facts.select("id", "size"), "id").distinct()
     bucket = F.floor(F.log(F.col("size")) / math.log(den / num) + 1e-9).cast("int")
-    light = work.table(light.select("key", "id", "c", (F.col("c") == F.col("bulk")).alias("big"), bucket.alias("bucket")), "light")
+    light = work.table(light.select("key", "id", "c", (F.col("c") == F.col("bulk")).alias("big"), bucket.alias("bucket")), f"light{name}")
     strips = light.groupBy("key", "big", "bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
-    strips = work.table(strips, "strips")
+    strips = work.table(strips, f"strips{name}")
     each = strips.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.struct("big", "bucket", "sub").alias("one"))
     pairs = each.join(each.withColumnRenamed("one", "two"), "key").where("one <= two and not (one.big and two.big) and abs(one.bucket - two.bucket) <= 1")
-    pairs = work.table(pairs, "pairs")
+    pairs = work.table(pairs, f"pairs{name}")
     placed = light.join(strips, ["key", "big", "bucket"]).select("key", "id", "c", F.struct("big", "bucket", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("sub")).alias("own"))
     tile = F.xxhash64("one", "two").alias("tile")
     ways = pairs.select("key", tile, F.col("one").alias("own"), F.lit(0).alias("side")).unionByName(pairs.where("one <> two").select("key", tile, F.col("two").alias("own"), F.lit(1).alias("side")))
-    tiles = placed.join(ways, ["key", "own"]).join(facts.select("id", "size", "bits"), "id").select("key", "tile", "side", "id", "c", "size", "bits")
+    return placed.join(ways, ["key", "own"]).join(facts.select("id", "size", "bits"), "id").select("key", "tile", "side", "id", "c", "size", "bits")
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition(_parts(tiles), "key", "tile").sortWithinPartitions("key", "tile")
+
+
+def _forests(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, id): of each tile the best passing pairs that would join its components; fewer rows than the tile has."""
 
     def run(batches):
         for tile in groups(batches, ["key", "tile"]):
-            if tile.num_rows > 1 and (passed := passing(tile, num, den)) is not None:
-                yield passed
+            if tile.num_rows > 1:
+                a, b = passing(tile, num, den)
+                if len(a):
+                    yield forest(tile, a, b)
+
+    return _dealt(tiles).mapInArrow(run, "a long, b long").distinct().select(F.col("a").alias("hub"), F.col("b").alias("id"))
+
+
+def _open(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, tile, side, id, c): of each tile the sets that have a passing pair."""
+
+    def run(batches):
+        for tile in groups(batches, ["key", "tile"]):
+            if tile.num_rows > 1:
+                a, b = passing(tile, num, den)
+                if len(a):
+                    yield from tile.take(pa.array(np.union1d(a, b))).select(OPEN.names).cast(OPEN).combine_chunks().to_batches()
+
+    return _dealt(tiles).mapInArrow(run, "key long, tile long, side int, id long, c long")
+
+
+def _exact_tiles(opened: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links of opened rows that join components, each pair of a tile intersected exactly unless it is joined already."""
+    rows = opened.join(facts.select("id", "hashes"), "id")
+
+    def run(batches):
+        for tile in groups(batches, ["key", "tile"]):
+            sides = tile.column("side").to_pylist()
+            found = tile_links(tile.column("id").to_pylist(), tile.column("c").to_pylist(), [np.frombuffer(x, np.uint64) for x in tile.column("hashes").to_pylist()], sides, num, den)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
 
-    dealt = tiles.repartition(_parts(tiles), "key", "tile").sortWithinPartitions("key", "tile")
-    found = dealt.mapInArrow(run, "a long, b long, ca long, cb long, bound double")
-    return work.table(found.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("bound").alias("bound")), "passing")
+    return _dealt(rows).mapInArrow(run, "a long, b long")
 
 
 def _named(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
@@ -368,20 +423,19 @@ def components(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, wo
     linked = work.table(_exact(stars, facts, num, den, True), "links1")
     labels = work.table(connected_components(linked), "labels1")
     named = rows.select("key", "id").withColumn("c", F.col("id"))
-    passed = _tiles(_named(named, labels, "c"), facts, num, den, work)
-    for k in (2, 3):  # the best pair of each two components, then all that are left
-        if passed.isEmpty():
-            break
-        picked = passed.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.*") if k == 2 else passed
-        linked = work.table(_exact(picked.select(F.col("a").alias("hub"), F.col("b").alias("id")), facts, num, den, False), f"links{k}")
+    for k in (2, 3):  # the best pairs between components, then all that are left
+        tiles = _tiles(_named(named, labels, "c"), facts, num, den, work, str(k))
+        if k == 2:
+            linked = work.table(_exact(work.table(_forests(tiles, num, den), "forests"), facts, num, den, False), "links2")
+        else:
+            linked = work.table(_exact_tiles(work.table(_open(tiles, num, den), "open"), facts, num, den), "links3")
+        work.drop(f"light{k}", f"strips{k}", f"pairs{k}")
         if linked.isEmpty():
             continue
         edges = _named(_named(linked, labels, "a"), labels, "b")
         merged = work.table(connected_components(edges), f"merged{k}")
         both = _named(labels, merged, "component").unionByName(merged.join(labels, "id", "left_anti"))
         labels = work.table(both.distinct(), f"labels{k}")
-        passed = _named(_named(passed, merged, "ca"), merged, "cb").where("ca <> cb")
-        passed = work.table(passed, f"passing{k}") if k == 2 else passed
     return labels
 
 
