@@ -14,7 +14,8 @@ adjacent prefixes). To spread it, suffixes that can be equal over LENGTH bytes a
    one row from each task.
 4. Suffix arrays. The different contexts of one value meet in one task and are sorted in blocks of BLOCK bytes;
    of windows with equal prefixes all but the earliest are covered. A value with more than MANY different
-   contexts, or more than BLOCK bytes of them, is not gathered: its windows are hashed and aggregated one by one.
+   contexts, or more than BLOCK bytes of them, is not gathered: its contexts are cut by finer values, the anchor with the
+   bytes on one side of it, and go through 3 and 4 again. What still has many is hashed and aggregated window by window.
 5. Covered windows, as ranges by document, are joined to the texts.
 
 Rows: null text is empty; a null doc_id comes before all others; repeated rows (same doc_id and text) are one
@@ -37,6 +38,7 @@ from codexloom.llm.common import Work, column_bytes, groups, per_batch, with_ids
 #: Bytes of a repeated string, and of the strings whose hashes are anchors.
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
+HALF = WINDOW // 2
 #: Bytes hashed at a time, bytes sorted at a time, contexts of a value that meet in a task.
 SLICE, BLOCK, MANY = 1 << 19, 1 << 19, 2048
 SEGMENT = 1 << 17
@@ -239,16 +241,22 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
         yield from per_batch(one)(batches)
 
     found = docs.mapInArrow(occurrences, "value long, k1 long, k2 long, doc long, tie long, p long, n long, moves boolean, context binary")
-    found = work.table(found, "occurrences")
+    return _resolve(work, work.table(found, "occurrences"))
+
+
+def _resolve(work: Work, found: DataFrame, finer: bool = False) -> DataFrame:
+    """(doc, tie, first, last) of occurrences: copies of contexts, then windows of different contexts of one value."""
+    spark = work.spark
+    parts, level = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "-finer" if finer else ""
     firsts = found.groupBy("value", "k1", "k2").agg(F.min(F.struct("doc", "tie", "p")).alias("f"), F.max("n").alias("n"), F.max("moves").alias("moves"))
-    firsts = work.table(firsts.select("value", "k1", "k2", "f.doc", "f.tie", "f.p", "n", "moves"), "firsts")
+    firsts = work.table(firsts.select("value", "k1", "k2", "f.doc", "f.tie", "f.p", "n", "moves"), f"firsts{level}")
     # all occurrences of a context but the first are covered whole
     copies = found.select("value", "k1", "k2", "doc", "tie", "p", "n").join(firsts.select("value", "k1", "k2", F.col("doc").alias("d0"), F.col("tie").alias("t0"), F.col("p").alias("p0")), ["value", "k1", "k2"])
     copies = copies.where("doc <> d0 or tie <> t0 or p <> p0").select("doc", "tie", F.col("p").alias("first"), (F.col("p") + F.col("n") - 1).alias("last"))
     # values with several contexts, or with windows that may repeat inside one
     facts = firsts.groupBy("value").agg(F.count("*").alias("m"), F.sum(F.col("n") + LENGTH).alias("size"), F.max("moves").alias("any"))
     many = (F.col("m") > MANY) | (F.col("size") > BLOCK)
-    open_values = work.table(facts.where("m > 1 or any").select("value", many.alias("many")), "open")
+    open_values = work.table(facts.where("m > 1 or any").select("value", many.alias("many")), f"open{level}")
     bodies = found.where("context is not null").select("value", "k1", "k2", "context")
     null = F.lit(None).cast("long")
     rows = firsts.select("value", "k1", "k2", "doc", "tie", "p", F.lit(None).cast("binary").alias("context")).unionByName(bodies.select("value", "k1", "k2", null.alias("doc"), null.alias("tie"), null.alias("p"), "context"))
@@ -282,7 +290,53 @@ def covered_windows(work: Work, docs: DataFrame) -> DataFrame:
             yield flush()
 
     few = rows.where("not many").drop("many").repartition(parts, "value").sortWithinPartitions("value").mapInArrow(sort, COVERED)
-    return copies.unionByName(few).unionByName(_by_window(firsts, bodies, open_values))
+    many = open_values.where("many").select("value")
+    body = bodies.join(many, "value", "left_semi").dropDuplicates(["value", "k1", "k2"])
+    placed = firsts.join(body, ["value", "k1", "k2"]).select("value", "doc", "tie", "p", "context")
+    rest = _by_window(placed) if finer else _resolve(work, work.table(_finer(placed), "finer"), True)
+    return copies.unionByName(few).unionByName(rest)
+
+
+def _finer(placed: DataFrame) -> DataFrame:
+    """Occurrences of finer values in contexts of a value that has many.
+
+    A window's anchor stands at one of WINDOW places in it, so the window holds either HALF bytes before the anchor or as many
+    behind it. Those with the anchor are the finer value: equal windows have equal ones, and what only stands beside a passage
+    that many documents share falls away as a value that occurs once. Windows with one anchor and side make a run.
+    """
+
+    def run(batches):
+        sent: set[bytes] = set()
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for value, doc, tie, p, context in zip(*(batch.column(c).to_pylist() for c in ("value", "doc", "tie", "p", "context")), strict=True):
+                grams = gram_hashes(np.frombuffer(context, np.uint8))
+                at = np.flatnonzero(grams.view(np.int64) == value)
+                window = np.arange(len(context) - LENGTH + 1)
+                anchor = at[np.searchsorted(at, window)]
+                side = anchor - window >= HALF
+                start = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (side[1:] != side[:-1]))))
+                for i, n in zip(start.tolist(), np.diff(np.append(start, len(window))).tolist(), strict=True):
+                    j = int(anchor[i])
+                    own = context[j - HALF : j + GRAM] if side[i] else context[j : j + GRAM + HALF]
+                    new = xxhash.xxh3_64_intdigest(own + (b"<" if side[i] else b">"))
+                    piece = context[i : i + n + LENGTH - 1]
+                    key = xxhash.xxh3_128_digest(piece)
+                    first = key not in sent
+                    if first:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(key)
+                    rows.append((new - (1 << 63), int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, tie, p + i, n, False, piece if first else None))
+            columns = zip(*rows, strict=True) if rows else [()] * len(OCCURRENCE)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OCCURRENCE.types, strict=True)], schema=OCCURRENCE)
+
+        yield from per_batch(one)(batches)
+
+    return placed.mapInArrow(run, "value long, k1 long, k2 long, doc long, tie long, p long, n long, moves boolean, context binary")
+
+
 
 
 def _with_hits(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -302,11 +356,8 @@ def _with_hits(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     return docs.join(own.groupBy("doc", "tie").agg(F.collect_list("value").alias("hits")), ["doc", "tie"])
 
 
-def _by_window(firsts: DataFrame, bodies: DataFrame, open_values: DataFrame) -> DataFrame:
+def _by_window(placed: DataFrame) -> DataFrame:
     """Values with many contexts: each window is a row with its hash; all but the first of equal ones are covered."""
-    many = open_values.where("many").select("value")
-    body = bodies.join(many, "value", "left_semi").dropDuplicates(["value", "k1", "k2"])
-    placed = firsts.join(body, ["value", "k1", "k2"]).select("doc", "tie", "p", "context")
 
     def explode(batches):
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -348,7 +399,7 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = with_ids(spark, keyed.select("_doc", "_tie", "text"), copies, "left_anti", ["_doc", "_tie"])
     base = base.where(F.octet_length("text") >= LENGTH).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text")
     covered = work.table(covered_windows(work, base), "covered")
-    work.drop("occurrences", "firsts", "open", "repeated")
+    work.drop("occurrences", "firsts", "open", "repeated", "finer", "firsts-finer", "open-finer")
     by_doc = covered.distinct().groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.struct("first", "last")).alias("_covered"))
     marks = by_doc.withColumn("_copy", F.lit(False)).unionByName(copies.select("_doc", "_tie", F.lit(None).cast(by_doc.schema["_covered"].dataType).alias("_covered"), F.lit(True).alias("_copy")))
     return keyed.join(marks, ["_doc", "_tie"], "left").withColumn("_copy", F.coalesce("_copy", F.lit(False))).select(*docs.columns, "_covered", "_copy")
