@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import build_uid
+from codexloom.functions.text import let
 
 #: Beginnings of preamble lines, and marks of the closing block. Fixed values.
 PREAMBLE = ["Căn cứ", "Theo đề nghị", "Xét đề nghị", "Thực hiện", "Quốc hội nước", "Chính phủ nước"]
@@ -51,21 +52,33 @@ _OUT = "array<struct<kind: string, owner: int, chapter: int, number: int, sectio
 
 def _step(a: Column, x: Column) -> Column:
     """One line: what it is, the line that opened the node it belongs to (-1: none), and what is open after it."""
-    text, i, odd, none = F.lit("text"), x["i"], x["odd"], F.lit(-1)
-    done = a["done"] | (x["closing"] & a["some"])
+    text = F.lit("text")
     opened = (
-        F.when(done, F.lit("end"))
+        F.when(a["done"] | (x["closing"] & a["some"]), F.lit("end"))
         .when(a["quoted"] | x["starts"], text)
         .when(x["candidate"].isin("part", "chapter", "section", "article"), x["candidate"])
         .when((x["candidate"] == "clause") & (a["article"] >= 0), x["candidate"])
         .when((x["candidate"] == "point") & (a["clause"] >= 0), x["candidate"])
         .otherwise(text)
     )
+    return let(opened, lambda o: let(_open_after(a, x, o), lambda n: _state(a, x, o, n)))
+
+
+def _open_after(a: Column, x: Column, opened: Column) -> Column:
+    """The lines that opened what is open after a line; -1: none."""
+    i, none = x["i"], F.lit(-1)
     heading = opened.isin("part", "chapter", "section")
     chapter = F.when(opened == "part", none).when(opened == "chapter", i).otherwise(a["chapter"])
     section = F.when(opened.isin("part", "chapter"), none).when(opened == "section", i).otherwise(a["section"])
     article = F.when(heading, none).when(opened == "article", i).otherwise(a["article"])
     clause = F.when(heading | (opened == "article"), none).when(opened == "clause", i).otherwise(a["clause"])
+    return F.struct(chapter.alias("chapter"), section.alias("section"), article.alias("article"), clause.alias("clause"))
+
+
+def _state(a: Column, x: Column, opened: Column, now: Column) -> Column:
+    """The state after a line, with what the line is."""
+    text, i, odd, none, done = F.lit("text"), x["i"], x["odd"], F.lit(-1), opened == "end"
+    chapter, section, article, clause = now["chapter"], now["section"], now["article"], now["clause"]
     # a part takes lines but is no node; after a section they go to the chapter again
     owner = F.when(opened == "part", none).when(opened == "section", a["chapter"]).when(opened.isin("chapter", "article", "clause", "point"), i).otherwise(a["owner"])
     active = a["part"] | (chapter >= 0) | (article >= 0)
