@@ -6,21 +6,20 @@ calibrates the normalised difference of compressed sizes on other labelled rows
 
 The fit reads a bounded sample: at most SAMPLE rows of each label for the dictionaries and as many for the
 calibration, chosen by a hash of doc_id, so the model does not grow with the table; every document is scored. Each of these
-texts is cut whole into pieces of PIECE bytes, and PIECES of them, chosen by a hash of their place over the whole
-text (all of a text with no more), go into the dictionary; the calibration compresses whole texts.
+texts is cut whole into pieces of PIECE bytes, and all of them go into its label's dictionary, which one task a
+label trains; the calibration compresses whole texts, too.
 Held-out rows (crc32 of doc_id as text, mod 5, is 0) are never learnt from; the other remainders 1 to 3 make
 dictionaries, 4 calibrates. Only texts are inputs of a score.
 
 Rows: null or empty text has difference 0 and gets that score; equal texts get equal scores; rows without a
 label or with a label other than 0 and 1 are not learnt from; with too few labels the score is the share of
-label 1 seen (0.5 with none). Memory: two dictionaries and one slice of rows.
+label 1 seen (0.5 with none); rows of one doc_id with different texts are texts of that label each. Memory: two
+dictionaries and one slice of rows; in a training task the sampled rows of one label.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from codexloom.llm.common import added, column_bytes, per_batch, refuse
 
 #: Labelled rows of each label for the dictionaries, and of both for the calibration; the bound on the fit.
 SAMPLE = 2000
-#: Bytes compressed at a time, pieces a document gives a dictionary, bytes of a dictionary, and the level.
-PIECE, PIECES, DICTIONARY, LEVEL = 512, 8, 65_536, 3
+#: Bytes compressed at a time, bytes of a dictionary, and the level.
+PIECE, DICTIONARY, LEVEL = 512, 65_536, 3
 #: Scores from here on predict label 1.
 THRESHOLD = 0.3
 
@@ -66,29 +65,23 @@ class Model:
         good, bad = self._compress
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            pieces = [text[j : j + PIECE] for j in range(0, len(text), PIECE)]
-            out[i] = sum(len(bad(p)) - len(good(p)) for p in pieces) / max(len(text), 1)
+            out[i] = sum(len(bad(p)) - len(good(p)) for p in pieces(text)) / max(len(text), 1)
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.differences(texts), -35, 35)))
 
 
-def chosen(text: bytes) -> list[bytes]:
-    """PIECES of a text's pieces, by a hash of their place and the text, in order; equal texts give equal pieces."""
-    places = range(0, len(text), PIECE)
-    if len(places) > PIECES:
-        key = blake2b(text, digest_size=16).digest()
-        places = sorted(heapq.nsmallest(PIECES, places, lambda j: blake2b(j.to_bytes(8, "little"), digest_size=8, key=key).digest()))
-    return [text[j : j + PIECE] for j in places]
+def pieces(text: bytes) -> list[bytes]:
+    return [text[j : j + PIECE] for j in range(0, len(text), PIECE)]
 
 
-def dictionary(pieces: list[bytes]) -> bytes:
+def dictionary(parts: list[bytes]) -> bytes:
     """A trained dictionary; of few pieces, their own bytes."""
     try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, pieces)) // 8)), pieces).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, parts)) // 8)), parts).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(pieces)[-DICTIONARY:]
+        return b"".join(parts)[-DICTIONARY:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -112,17 +105,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if sample > 50_000:
         raise ValueError("the sample is joined by broadcast; keep it bounded")
     rows = picked[0].unionAll(picked[1]).unionAll(picked[2]).unionAll(picked[3])
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").orderBy("doc_id", "text")
-    learn = _pieces(texts.where("fold < 4").select("quality", "text")).collect()  # PIECE * PIECES bytes of each text at most
-    good, bad = ([p for r in learn if r.quality == q for p in r.pieces] for q in (1, 0))
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    learnt = texts.where("fold < 4").select("quality", "doc_id", "text").groupBy("quality").applyInArrow(_dictionary, "quality int, dictionary binary")
+    trained = {r.quality: bytes(r.dictionary) for r in learnt.collect()}  # two rows at most
+    good, bad = trained.get(1, b""), trained.get(0, b"")
     # as many calibration rows of either label as the bound allows bend their share: the weights of the counts undo it
     share = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
     prior = (share.get(1, 0) + 0.5) / (total + 1)
-    model = Model(dictionary(good) if good else b"", dictionary(bad) if bad else b"", 0.0, float(np.log(prior / (1 - prior))))
+    model = Model(good, bad, 0.0, float(np.log(prior / (1 - prior))))
     if not good or not bad:
         return model
-    held = _differences(texts.where("fold = 4").select("quality", "text"), model).collect()
+    held = _differences(texts.where("fold = 4").orderBy("doc_id", "text").select("quality", "text"), model).collect()
     y = np.array([r.quality for r in held], float)
     if 0 < y.sum() < len(y):
         model.slope, bias = _logistic(np.array([r.difference for r in held]), y)
@@ -131,12 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _pieces(df: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = pa.array([chosen(x) for x in column_bytes(batch.column("text"))], pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pieces], ["quality", "pieces"])
-
-    return df.mapInArrow(per_batch(run), "quality int, pieces array<binary>")
+def _dictionary(table: pa.Table) -> pa.Table:
+    """All pieces of the sampled rows of one label, in the order of doc_id and text, as one dictionary."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    parts = [p for text in column_bytes(table.column("text")) for p in pieces(text)]
+    return pa.table({"quality": table.column("quality").slice(0, 1).cast(pa.int32()), "dictionary": pa.array([dictionary(parts) if parts else b""], pa.binary())})
 
 
 def _differences(df: DataFrame, model: Model) -> DataFrame:

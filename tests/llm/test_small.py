@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import zstandard
 
 from codexloom.llm import binary_output, bpe, chat, embeddings, media, ngram_join, packing, quality, queries, secrets, suffix_dedup, vocab
 from codexloom.llm.common import Work, connected_components
@@ -431,10 +432,10 @@ def test_quality(spark, docs, empty):
     assert quality.scored(empty, labels.limit(0)).count() == 0
     assert all(r.score == pytest.approx(0.5) for r in quality.scored(docs, labels.limit(0)).collect())
 
+
 def test_quality_reads_past_the_head(spark):
     rng = random.Random(11)
-    head = " ".join(rng.choice("one two three four five six seven".split()) for _ in range(1500))  # more than PIECE * PIECES bytes, the same in all
-    assert len(head) > quality.PIECE * quality.PIECES
+    head = " ".join(rng.choice("one two three four five six seven".split()) for _ in range(1500))  # the same in all
     words = {q: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)] for q in (0, 1)}
     frame = spark.createDataFrame([(i, head + " " + " ".join(rng.choice(words[i % 2]) for _ in range(3000))) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
@@ -443,10 +444,32 @@ def test_quality_reads_past_the_head(spark):
     assert mark(model.good, 1) > 50 and mark(model.bad, 0) > 50
     assert not mark(model.good, 0) and not mark(model.bad, 1)
     text = bytes(rng.randrange(256) for _ in range(100_000))
-    pieces = quality.chosen(text)
-    assert len(pieces) == quality.PIECES and pieces == quality.chosen(text) and all(text.index(p) % quality.PIECE == 0 for p in pieces)
-    assert quality.chosen(b"") == [] and b"".join(quality.chosen(text[:3000])) == text[:3000]
+    assert b"".join(quality.pieces(text)) == text and quality.pieces(b"") == []
+
 
+def test_quality_against_brute_force(spark):
+    """Dictionaries from all pieces of the learnt rows, each piece compressed by a fresh compressor, then slope and bias."""
+    rng = random.Random(12)
+    vocabularies = {q: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(80)] for q in (0, 1)}
+    rows = [(i, " ".join(rng.choice(vocabularies[i % 2]) for _ in range(20 + i % 150))) for i in range(300)] + [(900, None), (901, ""), (902, "é" * 1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, labels)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    for q, raw in ((1, model.good), (0, model.bad)):
+        parts = [x[j : j + 512] for i, t in rows[:300] if i % 2 == q and fold(i) in (1, 2, 3) for x in [t.encode()] for j in range(0, len(x), 512)]
+        assert raw == zstandard.train_dictionary(min(65_536, max(1024, sum(map(len, parts)) // 8)), parts).as_bytes()
+    for r in quality.scored(frame, labels).collect():
+        text = (dict(rows)[r.doc_id] or "").encode()
+        sizes = []
+        for raw in (model.good, model.bad):
+            n = 0
+            for j in range(0, len(text), 512):
+                library = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False, write_checksum=False)
+                n += len(library.compress(text[j : j + 512]))
+            sizes.append(n)
+        difference = (sizes[1] - sizes[0]) / max(len(text), 1)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.bias + model.slope * difference))), abs=1e-6)
 
 
 # 9
