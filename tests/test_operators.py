@@ -1,6 +1,7 @@
 """Sources, sinks, text functions and streaming twins on small inputs; the entry module without its optional part."""
 
 import json
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -139,6 +140,6 @@ def test_references_by_nearest_keyword(spark):
 def test_entry_without_training_operators(tmp_path):
     for name in ("codexloom", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "codexloom/llm")], check=True)
+    shutil.rmtree(tmp_path / "codexloom/llm", ignore_errors=True)  # it may be gone already
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
