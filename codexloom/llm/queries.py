@@ -86,8 +86,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, Work(spark, "op10")).drop("ids")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codexloom.llm import best_fit
+    from codexloom.llm.common import Work
+
+    ids = best_fit.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, Work(spark, "op11"))
+    return best_fit.pack(ids).drop("part", "row")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing, op11_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
