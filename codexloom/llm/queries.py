@@ -96,9 +96,18 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(ids).drop("part", "row")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexloom.llm import filter_audit
+    from codexloom.llm.common import Work
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Work(spark, "op12"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing, op11_best_fit)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing, op11_best_fit, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from codexloom.llm import filter_audit
+
+    return {"op12_filter_audit": filter_audit.SQL}

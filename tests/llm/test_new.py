@@ -11,8 +11,10 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from codexloom.llm import best_fit, queries
+from codexloom.llm import best_fit, filter_audit, queries
 from codexloom.llm.common import Work
+from tests.compare import duck
+from tests.compare import rows as shaped
 from tests.llm.test_small import ROWS
 
 RNG = random.Random(31)
@@ -108,3 +110,79 @@ def test_best_fit_fills_sequences(spark):
     total = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) <= -(-total // 2048) + 1 + len(rows) // 512
     assert len({r.doc_id for r in rows}) == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+# 12
+
+
+def brute_audit(rows, labels):
+    """From the contract, document by document: rows of (doc_id, text, lang)."""
+    import re
+
+    quality, toxic = ({i for i, q, t in labels if i is not None and (q, t)[k] == 1} for k in (0, 1))
+    least = {}
+    for i, t, _ in rows:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    failed = []
+    for i, t, lang in rows:
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        tests = [len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), bool(re.search("[#$%&*|]", t)), i is not None and least[t] < i]
+        failed.append((lang or "", {f for f, x in zip("ABCDE", tests, strict=True) if x}, i in quality, i in toxic))
+    out, share = {}, Counter()
+    for order in map("".join, itertools.permutations("ABCDE")):
+        for part in {x[0] for x in failed}:
+            own = [x for x in failed if x[0] == part]
+            for step, f in enumerate(order, 1):
+                before = set(order[: step - 1])
+                gone = [x for x in own if f in x[1] and not x[1] & before]
+                share[part, f] += len(gone)
+                out[part, order, step] = [sum(not x[1] & (before | {f}) for x in own), len(gone), sum(f in x[1] and bool(x[1] & before) for x in own), sum(x[1] == {f} for x in own), sum(x[2] for x in gone), sum(x[3] for x in gone)]
+    return {k: (*v, share[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def audit_rows():
+    word = lambda: "".join(RNG.choice("abcdefg") for _ in range(3))
+    rows = [(i, t, ["en", "de", None][k % 3]) for k, (i, t, *_) in enumerate(ROWS)]
+    for i in range(200, 260):
+        t = " ".join(word() for _ in range(RNG.choice([5, 199, 200, 201, 400])))
+        rows.append((i, RNG.choice([t, t.upper(), t + " #", t.replace("a", "A"), "\u00a0".join(t.split(" ")), "\x0b" + t + "\x1f"]), RNG.choice(["en", "fr", ""])))
+    rows += [(300 + i, rows[RNG.randrange(len(rows))][1], "en") for i in range(40)]  # copies
+    long = "x" * 30_000
+    rows += [(400, long + "a", "en"), (401, long + "b", "en"), (402, long + "a", "fr"), (402, long + "a", "fr"), (402, "other", "fr"), (None, "other", None), (None, None, None), (403, "", "en"), (404, None, "en")]
+    return rows
+
+
+LABELS = [(i, i % 2, i % 3 % 2) for i in range(0, 420, 2)] + [(402, 0, 0), (402, 1, 1), (None, 1, 1), (300, None, None)]
+
+
+@pytest.mark.parametrize("hashed", [F.xxhash64, lambda x: F.lit(7).cast("long")])
+def test_audit_against_brute_force(spark, hashed, monkeypatch):
+    """Also with hashes that always collide: then classes hold several texts and the texts decide."""
+    rows = audit_rows()
+    docs = spark.createDataFrame([(*r, 1.0, 2.0, 3.0) for r in rows], "doc_id long, text string, lang string, mask double, part double, class double")
+    labels = spark.createDataFrame([(*r, 5) for r in LABELS], "doc_id long, quality int, toxic int, part int")
+    masks = filter_audit.masks
+    monkeypatch.setattr(filter_audit, "masks", lambda d, w, p: masks(d, w, p, hashed))
+    got = filter_audit.audit(docs, labels, Work(spark, "t")).collect()
+    assert {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in got} == brute_audit(rows, LABELS) and len(got) == 600 * len({r[2] or "" for r in rows})
+    assert filter_audit.audit(docs.limit(0), labels, Work(spark, "t")).count() == 0
+
+
+def test_refinement_drops_what_differs_in_any_block(spark):
+    """Same length and head, another tail: classes fall apart in the round of that block."""
+    head = "".join(RNG.choice("abcdefé") for _ in range(6000))
+    rows = [(1, head + "a"), (2, head + "b"), (3, head + "a"), (4, head[:-1] + "zz"), (5, "same"), (6, "same"), (7, "diff"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    known = filter_audit.described(docs).cache()
+    left = filter_audit.refined(known, Work(spark, "t"))
+    assert {r.doc_id for r in known.join(left, "class", "left_semi").collect()} == {1, 3, 5, 6, 8, 9}
+    assert {r.doc_id: r.mask >> 4 for r in filter_audit.masks(docs, Work(spark, "t")).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1, 7: 0, 8: 0, 9: 1}
+
+
+def test_audit_against_sql(spark):
+    d = "/root/testdata/sf0.001"
+    df = queries.op12_filter_audit(spark, d)
+    names, want = duck(d, filter_audit.SQL)
+    assert sorted(names) == sorted(df.columns) and shaped(df.columns, [tuple(r) for r in df.collect()]) == shaped(names, want)
