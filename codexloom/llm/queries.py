@@ -103,8 +103,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Work(spark, "op12"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codexloom.llm import spelling
+    from codexloom.llm.common import Work
+
+    return spelling.grouped(table(spark, sf_dir, "documents"), Work(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing, op11_best_fit, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_secrets, op5_embeddings, op6_media, op7_binary_output, op8_quality, op9_chat, op10_packing, op11_best_fit, op12_filter_audit, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,5 @@
 """Sum-of-squares packing, the filter audit and spelling variants against brute force on small tables."""
 
-import hashlib
 import itertools
 import random
 import zlib
@@ -11,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from codexloom.llm import best_fit, filter_audit, queries
+from codexloom.llm import best_fit, filter_audit, queries, spelling
 from codexloom.llm.common import Work
 from tests.compare import duck
 from tests.compare import rows as shaped
@@ -186,3 +185,114 @@ def test_audit_against_sql(spark):
     df = queries.op12_filter_audit(spark, d)
     names, want = duck(d, filter_audit.SQL)
     assert sorted(names) == sorted(df.columns) and shaped(df.columns, [tuple(r) for r in df.collect()]) == shaped(names, want)
+
+
+# 13
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_words(rows):
+    import re
+
+    total = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            total[run] += 1
+    return {w: n for w, n in total.items() if len(w) >= 5 and n >= 3}
+
+
+def brute_variants(words):
+    near = {w: [u for u in words if one_edit(w, u)] for w in words}
+    form = {}
+    for w, us in near.items():
+        best = min(us, key=lambda u: (-words[u], u), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), words[w], len(near[w]), words.get(form[w])) for w in words}
+
+
+def by_word(df):
+    rows = df.collect()
+    out = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_spelling_against_brute_force(spark):
+    letters = "abAÀßéÿ×"
+    base = ["".join(RNG.choice(letters) for _ in range(RNG.choice([4, 5, 5, 6, 6, 7, 8]))) for _ in range(160)]
+    texts = []
+    for _ in range(500):
+        w = RNG.choice(base[: RNG.choice([5, 40, 160])])
+        k = RNG.randrange(len(w))
+        w = RNG.choice([w, w, w[:k] + w[k + 1 :], w[:k] + RNG.choice(letters) + w[k:], w[:k] + RNG.choice(letters) + w[k + 1 :]])
+        texts.append(RNG.choice([" ", "1", "Ā", "-"]).join([w] * RNG.choice([1, 3, 7])))
+    rows = list(enumerate(texts)) + [(None, base[0] + " " + base[1]), (None, None), (7, ""), (7, "aaaaaa aaaaaa aaaaaa aaaaaaa aaaaaaa aaaaaaa aaaaa aaaaa aaaaa"), (8, "x" * 3000 + " "), (9, "x" * 3000), (10, "x" * 3000 + "1" + "y" + "x" * 2999), (11, "y" + "x" * 2999), (12, "y" + "x" * 2999)]
+    rows += rows[:30]
+    want = brute_variants(brute_words(rows))
+    assert sum(v[0] is not None for v in want.values()) > 20 and any(v[0] != v[1] and v[0] for v in want.values())
+    docs = frame(spark, rows).repartition(3)
+    assert by_word(spelling.grouped(docs, Work(spark, "t"))) == want
+    assert spelling.grouped(frame(spark, []), Work(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 7, 32_768])
+def test_blocks_are_cut_without_losing_pairs(spark, block):
+    """Many words that begin or end alike, in blocks of any size; ties between forms; chains of forms."""
+    words = {"prefix" + "".join(x): 1 + i for i, x in enumerate(itertools.product("abc", repeat=3))}
+    words |= {"".join(x) + "suffix": 4 for x in itertools.product("ab", repeat=4)}
+    words |= {"chain" + "x" * k: 3 << k for k in range(12)}
+    words |= {"".join(RNG.choice("ab") for _ in range(RNG.randrange(5, 9))): RNG.randrange(3, 9) for _ in range(150)}
+    table = spark.createDataFrame(list(words.items()), "word string, n long")
+    want = brute_variants(words)
+    assert by_word(spelling.variants(table, Work(spark, "t"), block)) == want
+    assert want["chainx"][1] == "chain" + "x" * 11
+    sizes = spelling.blocks(table, Work(spark, "t"), block).groupBy("q", "a", "b", "key").count().where("b - a > 1").agg(F.max("count")).first()[0]
+    assert sizes is None or sizes <= block
+
+
+def test_wavelet_against_brute_force():
+    for n in (1, 2, 3, 17, 200):
+        values = np.random.default_rng(n).permutation(n)
+        tree = spelling.Wavelet(values)
+        bounds = np.random.default_rng(n + 1).integers(0, n + 1, (4, 50))
+        query, value = tree.report(*bounds)
+        want = {(k, int(v)) for k, (i, j, lo, hi) in enumerate(bounds.T) for v in values[i:j] if lo <= v < hi}
+        assert set(zip(query.tolist(), value.tolist(), strict=True)) == want and len(query) == len(want)
+
+
+def test_spelling_query(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    words = brute_words(rows)
+    got = by_word(queries.op13_spelling(spark, d))
+    assert {w: v[2] for w, v in got.items()} == words
+    deleted = defaultdict(set)  # one edit apart by deletions, another way than the operator's
+    for w in words:
+        for i in range(len(w)):
+            deleted[len(w), i, w[:i] + "\0" + w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for group in deleted.values():
+        for a, b in itertools.permutations(group, 2):
+            near[a].add(b)
+    for w in words:
+        for i in range(len(w)):
+            if (u := w[:i] + w[i + 1 :]) in words:
+                near[w].add(u)
+                near[u].add(w)
+    assert {w: v[3] for w, v in got.items()} == {w: len(near[w]) for w in words}
