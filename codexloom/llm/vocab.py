@@ -3,7 +3,8 @@
 Both vocabularies split a text into matches that are encoded separately, and no match reaches across a blank
 that starts a word. So a text can be cut there, and each distinct part is encoded by the library once for as
 long as a worker remembers it; the ids are those of the whole text (tests compare them). New parts go to the library
-many in one string: where a part begins among its ids is told by the blank before it, or by a mark between parts.
+many in one string: where a part begins among its ids is told by the blank before it, or by a mark between parts. Of a
+byte-level vocabulary's parts, signs behind a word of letters are a match of their own and encoded apart.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import os
 from functools import lru_cache
 from itertools import compress
-from operator import not_
 
 import numpy as np
 
@@ -19,6 +19,8 @@ from codexloom.llm.bpe import cuttable
 
 #: Parts in a table of a worker; the table has a predecessor. Parts in one call of the library.
 CACHED, CALL = 400_000, 8192
+#: Signs that form one match behind a word of letters, where no letter or digit follows them.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Vocabulary:
@@ -40,6 +42,7 @@ class Vocabulary:
             names = ((i, (self.tokenizer.id_to_token(i) or "").removesuffix("</w>")) for i in np.flatnonzero(self.ends).tolist())
             self.marks = [(i, c) for i, c in names if len(c) == 1 and not c.isalnum() and not c.isspace()]
         self._parts: dict[str, bytes] = {}
+        self._tails: dict[str, bytes] = {}  # of signs, without a blank
         self._old_parts: dict[str, bytes] = {}  # known before the table was full: asked before the library
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -82,33 +85,50 @@ class Vocabulary:
             found = list(map(old.get, parts))
             known.update([(p, x) for p, x in zip(parts, found, strict=True) if x is not None])
             parts = list(compress(parts, [x is None for x in found]))
-        kinds = [parts] if self.blank else [[p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]]
+        signed = []
+        if self.blank:
+            stems = [p.rstrip(SIGNS) for p in parts]
+            signed = [(p, s) for p, s in zip(parts, stems, strict=True) if len(s) < len(p) and s.isalpha()]
+            whole = set(parts).difference(p for p, _ in signed)
+            kinds = [list(whole.union(s for _, s in signed if s not in known))]
+            tails = list({p[len(s) :] for p, s in signed}.difference(self._tails))
+            self._tails.update(zip(tails, self._library(tails), strict=True))
+        else:
+            kinds = [[p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]]
         for some in kinds:
             for i in range(0, len(some), CALL):
                 few = some[i : i + CALL]
                 known.update(zip(few, self._together(few), strict=True))
+        known.update([(p, known[s] + self._tails[p[len(s) :]]) for p, s in signed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
         if len(self._parts) > CACHED:
             self._old_parts, self._parts = self._parts, {}
+        if len(self._tails) > CACHED:
+            self._tails.clear()
         self._parts[""] = b""
         get, missing = self._parts.get, set()
-        cut, found = [], []
+        cut, found, holes = [], [], []
         for t in texts:
             parts = t.split(" ") if not self.blank or cuttable(t) else None
             if self.blank and parts:
                 del parts[0]
             ids = list(map(get, parts or ()))
+            hole = ()
             if None in ids:
-                missing.update(compress(parts, map(not_, ids)))
-                ids = None
+                hole = [i for i, x in enumerate(ids) if x is None]
+                missing.update([parts[i] for i in hole])
             cut.append(parts)
             found.append(ids)
+            holes.append(hole)
         missing.discard("")
         if missing:
             self._learn(list(missing))
-        out = [b"".join(map(get, parts) if ids is None else ids) for parts, ids in zip(cut, found, strict=True)]
+        for parts, ids, hole in zip(cut, found, holes, strict=True):
+            for i in hole:
+                ids[i] = get(parts[i])
+        out = list(map(b"".join, found))
         if not self.blank:
             return out
         heads = [t if ps is None else t.split(" ", 1)[0] for t, ps in zip(texts, cut, strict=True)]
