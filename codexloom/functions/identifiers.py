@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 TYPE_PREFIX = {"Luật": "LT", "Bộ luật": "BL", "Nghị định": "ND", "Thông tư": "TT", "Thông tư liên tịch": "TTLT"}
 #: Kinds of document numbers, the most specific first. Fixed values.
 NUMBER_PATTERNS = [
-    ("TTLT", r"(?iu)(\d{1,3})/(\d{4})/TTLT-([\p{L}\d_-]+)"),
-    ("TT", r"(?iu)(\d{1,3})/(\d{4})/TT-([\p{L}\d_]+)"),
-    ("ND", r"(?iu)(\d{1,3})/(\d{4})/N[ĐD]-CP"),
-    ("LT", r"(?iu)(\d{1,3})/(\d{4})/QH(\d+)"),
-    ("UNKNOWN", r"(?iu)(?:số\s+)?(\d{1,3})/(\d{4})"),
+    ("TTLT", r"(?iuU)(\d{1,3})/(\d{4})/TTLT-([\p{L}\d_-]+)"),
+    ("TT", r"(?iuU)(\d{1,3})/(\d{4})/TT-([\p{L}\d_]+)"),
+    ("ND", r"(?iuU)(\d{1,3})/(\d{4})/N[ĐD]-CP"),
+    ("LT", r"(?iuU)(\d{1,3})/(\d{4})/QH(\d+)"),
+    ("UNKNOWN", r"(?iuU)(?:số\s+)?(\d{1,3})/(\d{4})"),
 ]
 NO_NUMBER = "không số"
 
@@ -61,7 +61,7 @@ def strip_number(raw: Column) -> Column:
     """Upper case, the first number/number/letters or else the first word, without leading zeros in each part."""
     up = F.upper(F.trim(raw))
     full = blank_to_null(F.regexp_extract(up, r"\d+/\d+/[A-ZĐ0-9-]+", 0))
-    first = F.element_at(F.split(up, r"\s+"), 1)
+    first = F.element_at(F.split(up, r"(?U)\s+"), 1)
     return F.array_join(F.transform(F.split(F.coalesce(full, first), "/"), lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")), "/")
 
 
@@ -86,7 +86,7 @@ def normal_title(title: Column) -> Column:
 
 
 def without_year(title: Column) -> Column:
-    return F.trim(F.regexp_replace(title, r"\s(19|20)\d{2}$", ""))
+    return F.trim(F.regexp_replace(title, r"(?U)\s(19|20)\d{2}$", ""))
 
 
 def title_aliases(title: Column, doc_type: Column) -> Column:
@@ -101,14 +101,14 @@ def short_titles(title: Column, doc_type: Column) -> Column:
     """A title with its type in front, and the same without a closing year."""
     t = F.regexp_replace(F.trim(title), r"(?U)\s+", " ")
     full = F.when(F.startswith(F.lower(t), F.lower(doc_type)), t).otherwise(F.concat_ws(" ", doc_type, t))
-    return F.array_distinct(F.array(full, F.regexp_replace(full, r"(?iu)\s+năm\s+\d{4}$", "")))
+    return F.array_distinct(F.array(full, F.regexp_replace(full, r"(?iuU)\s+năm\s+\d{4}$", "")))
 
 
 def build_uid(doc: Column, article: Column, clause: Column, point: Column) -> Column:
     """doc_D_dieu_A_khoan_K_diem_P down to the first missing level; words before numbers are dropped."""
 
     def part(c: Column) -> Column:
-        c = F.trim(F.regexp_replace(c.cast("string"), r"(?iu)^(điều|khoản|điểm)\s+", ""))
+        c = F.trim(F.regexp_replace(c.cast("string"), r"(?iuU)^(điều|khoản|điểm)\s+", ""))
         return F.when(~F.lower(c).isin("null", "none", ""), c)
 
     a, k, p = part(article), part(clause), part(point)
@@ -150,10 +150,10 @@ def parse_reference(text: Column) -> Column:
         return blank_to_null(F.regexp_extract(text, pattern, 1))
 
     return F.struct(
-        first(r"(?iu)điều\s+(\d+[a-z]?)").alias("article"),
-        first(r"(?iu)khoản\s+(\d+[a-z]?)").alias("clause"),
-        first(r"(?iu)điểm\s+([a-zđ])(?![\p{L}\d])").alias("point"),
-        first(r"(?iu)(\d{1,3}/\d{4}/[A-ZĐ0-9-]+)").alias("so_ky_hieu"),
+        first(r"(?iuU)điều\s+(\d+[a-z]?)").alias("article"),
+        first(r"(?iuU)khoản\s+(\d+[a-z]?)").alias("clause"),
+        first(r"(?iuU)điểm\s+([a-zđ])(?![\p{L}\d])").alias("point"),
+        first(r"(?iuU)(\d{1,3}/\d{4}/[A-ZĐ0-9-]+)").alias("so_ky_hieu"),
         first(r"(?:^|[^\d/])((?:19|20)\d{2})(?![\d/])").alias("year"),
     )
 

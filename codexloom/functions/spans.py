@@ -5,42 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codexloom.functions.text import let
+
 SPAN = "array<struct<start: int, end: int, kind: string, value: string>>"
 
 
+#: Signs that are no characters: marks around matches, and what stands for them where a text holds them itself.
+MARK, STAND_IN = "\uffff", "\ufffe"
+
+
 def places(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Matches in order as struct(start, end, kind, value); offsets in characters, end exclusive.
 
-    The text is split by the same pattern, so a match stands where the pieces before it end: text that only looks
-    like a match elsewhere (where a boundary fails) is never taken. With a group, the span is the group's, which
-    must end the match.
+    One pass of the pattern puts marks around its matches; the pieces between marks tell where each match stands. With a
+    group, the span is the group's, which must end the match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern), F.lit(1), F.size(found))
+    every = 3 if group else 2  # pieces for each match: the text before it, the match, its group
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
+    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{MARK}$0{MARK}" + (f"${group}{MARK}" if group else "")))
     none = F.array().cast(SPAN)
 
-    def step(a: Column, x: Column) -> Column:
-        end = (a["at"] + x["piece"] + F.char_length(x["match"])).cast("int")
-        value = x["match"] if group == 0 else F.regexp_extract(x["match"], pattern, group)
-        span = F.struct((end - F.char_length(value)).cast("int").alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+    def spans(pieces: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            end = (a["at"] + F.char_length(F.get(pieces, i)) + F.char_length(F.get(pieces, i + 1))).cast("int")
+            found = F.get(pieces, i + every - 1)
+            start = (end - F.char_length(found)).cast("int")
+            value = F.when(F.contains(text, F.lit(MARK)), F.substring(text, start + 1, end - start)).otherwise(found)
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")))).alias("out"))
 
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("piece"), m.alias("match")))
-    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(none)
+        firsts = F.sequence(F.lit(0), F.size(pieces) - 2, F.lit(every))
+        return F.when(F.size(pieces) > 1, F.aggregate(firsts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+
+    return let(F.split(marked, MARK), spans)
 
 
 def without_overlaps(spans: Column) -> Column:
     """Left to right, of two spans that overlap the longer one stays (the first of equals)."""
     size = lambda s: s["end"] - s["start"]
-    ordered = F.array_sort(spans, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(size(y) - size(x)))
+    order = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(size(y) - size(x))
 
     def step(a: Column, s: Column) -> Column:
         last = F.element_at(a, -1)
         return F.when((F.size(a) == 0) | (s["start"] >= last["end"]), F.concat(a, F.array(s))).when(size(s) > size(last), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(s))).otherwise(a)
 
-    folded = F.aggregate(ordered, F.array().cast(SPAN), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))
-    return F.when(F.size(spans) > 1, folded).otherwise(spans)
+    def folded(all_: Column) -> Column:
+        return F.when(F.size(all_) > 1, F.aggregate(F.array_sort(all_, order), F.array().cast(SPAN), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))).otherwise(all_)
+
+    return let(spans, folded)
 
 
 def outside(spans: Column, occupied: Column) -> Column:

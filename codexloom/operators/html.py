@@ -31,7 +31,7 @@ def kept_ratio(raw: Column, cleaned: Column) -> Column:
 def cleaned(df: DataFrame, html: str = "html", least: float = 0.9) -> DataFrame:
     """Add clean_html: the cleaned page, or the raw one if too much text or all article marks were lost."""
     c = clean(F.col(html))
-    marks = lambda x: F.regexp_count(text_of(x), F.lit(r"(?iu)điều\s+\d+"))
+    marks = lambda x: F.regexp_count(text_of(x), F.lit(r"(?iuU)điều\s+\d+"))
     out = df.withColumn("_clean", c).withColumn("kept_ratio", kept_ratio(F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<script\b.*?</script\s*>", ""), r"(?is)<style\b.*?</style\s*>", ""), F.col("_clean")))
     ok = (F.col("kept_ratio") >= least) & ~((marks(F.col(html)) > 0) & (marks(F.col("_clean")) == 0))
     return out.withColumn("is_ok", ok).withColumn("clean_html", F.when(ok, F.col("_clean")).otherwise(F.col(html))).drop("_clean")

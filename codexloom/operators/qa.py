@@ -37,7 +37,7 @@ REQUIREMENT_WORDS = [
     ("legal_provision", ["quy định", "provision", "điều", "khoản", "điểm"]),
 ]
 #: What makes a query name a place in a document. Fixed values.
-CITED = r"(?iu)\bđiều\s+\d+"
+CITED = r"(?iuU)\bđiều\s+\d+"
 SIGNAL = r"(?iuU)(?:\bđiều\s+(?:\d+|thứ|đầu|cuối|này|đó)\b|\bkhoản\b|\bđiểm\b)"
 HAS_PLACE = r"(?iuU)\b(điều|khoản|điểm)\b"
 #: Classes of queries by words, asked for in this order. Fixed values.
@@ -129,9 +129,9 @@ def reference(text: Column) -> Column:
     first = lambda p: blank_to_null(F.regexp_extract(text, p, 1))
     hint = F.concat_ws(" ", blank_to_null(F.regexp_extract(text, HINT, 1)), blank_to_null(F.regexp_extract(text, HINT, 2)))
     return F.struct(
-        first(r"(?iu)điều\s+(\d+)").alias("article"),
-        first(r"(?iu)khoản\s+(\d+)").alias("clause"),
-        F.lower(first(r"(?iu)điểm\s+([a-zA-Z])")).alias("point"),
+        first(r"(?iuU)điều\s+(\d+)").alias("article"),
+        first(r"(?iuU)khoản\s+(\d+)").alias("clause"),
+        F.lower(first(r"(?iuU)điểm\s+([a-zA-Z])")).alias("point"),
         first(NUMBER).alias("so_ky_hieu"),
         first(r"(?U)\b(20\d{2}|19\d{2})\b").alias("year"),
         blank_to_null(hint).alias("document_hint"),

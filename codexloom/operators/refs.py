@@ -12,7 +12,7 @@ from codexloom.functions.spans import outside, places
 
 #: One reference: [điểm] [khoản] Điều [document]. Fixed values of the citation grammar.
 REFERENCE = (
-    r"(?u)(?:[Đđ]iểm\s+([a-zđ])\s+)?(?:[Kk]hoản\s+(\d+[a-z]*)\s+)?[Đđ]iều\s+(\d+[a-zđ]?)(?![\p{L}\d_])"
+    r"(?uU)(?:[Đđ]iểm\s+([a-zđ])\s+)?(?:[Kk]hoản\s+(\d+[a-z]*)\s+)?[Đđ]iều\s+(\d+[a-zđ]?)(?![\p{L}\d_])"
     r"(?:\s+(?:của\s+)?(này|(?:Luật|Bộ luật|Nghị định|Thông tư liên tịch|Thông tư)\s+(?:số\s+)?\d{1,3}/\d{4}/\S+|(?:Luật|Nghị định|Thông tư|Bộ luật)\s+này))?"
 )
 #: Words before a reference that make it a change (the nearest counts), phrases that are none, and words that make it an exception. Fixed values.
@@ -33,7 +33,7 @@ BARE = r"(?iuU)(?:điểm\s+([a-zđ])\s+)??khoản\s+(\d+)"
 ANCHOR = r"(?iuU)vào\s+sau\s+[Đđ][iíì]ều\s+(\d+[a-zđ]?)(?!\w)"
 BEFORE_ANCHOR = r"(?iuU)^[\s,;]+(?:[\w\s]+?\s+)?vào\s+sau\s+[Đđ][iíì]ều"
 #: Changes in the order in which a sentence is asked for them; the first found counts, and without any it is the first. Fixed values.
-SENTENCE_ACTIONS = [("sua_doi", "[Ss]ửa\\s+đổi"), ("het_hieu_luc", "(?iu)hết\\s+hiệu\\s+lực"), ("bo_sung", "[Bb]ổ\\s+sung"), ("bai_bo", "[Bb]ãi\\s+bỏ"), ("thay_the", "[Tt]hay\\s+thế")]
+SENTENCE_ACTIONS = [("sua_doi", "(?U)[Ss]ửa\\s+đổi"), ("het_hieu_luc", "(?iuU)hết\\s+hiệu\\s+lực"), ("bo_sung", "(?U)[Bb]ổ\\s+sung"), ("bai_bo", "(?U)[Bb]ãi\\s+bỏ"), ("thay_the", "(?U)[Tt]hay\\s+thế")]
 #: References inside the own document, the most specific first, with the groups of point, clause and article. Fixed values.
 _DIEU = r"[ĐÐđð][iíì]ều\s+(\d+[a-zđ]?)(?!\w)"
 INTERNAL = [(r"(?iuU)điểm\s+([a-zđ])\s+khoản\s+(\d+)\s+" + _DIEU, (1, 2, 3)), (r"(?iuU)khoản\s+(\d+)\s+" + _DIEU, (0, 1, 2)), (r"(?iuU)" + _DIEU, (0, 0, 1))]
@@ -54,7 +54,7 @@ def resolve_self(text: Column, uid: Column) -> Column:
     a, k, p = (uid_part(uid, level) for level in ("dieu", "khoan", "diem"))
 
     def put(t: Column, word: str, known: Column, by: Column) -> Column:
-        pattern = rf"(?iu)(?<![\p{{L}}\d]){word}\s+này(?![\p{{L}}\d])"
+        pattern = rf"(?iuU)(?<![\p{{L}}\d]){word}\s+này(?![\p{{L}}\d])"
         return F.when(known, F.regexp_replace(t, F.lit(pattern), by)).otherwise(t)
 
     t = put(text, "điều", a.isNotNull(), F.concat(F.lit("Điều "), a))
@@ -64,8 +64,8 @@ def resolve_self(text: Column, uid: Column) -> Column:
 
 def expand_chains(text: Column, passes: int = 3) -> Column:
     """khoản 1, khoản 2 Điều 3 -> khoản 1 Điều 3, khoản 2 Điều 3; the same for points before a clause."""
-    clause = r"(?iu)(khoản\s+\d+[a-z]*)\s*(,|và)\s*(khoản\s+\d+[a-z]*)\s+(Điều\s+\d+[a-zđ]?)(?![\p{L}\d_])"
-    point = r"(?iu)(điểm\s+[a-zđ])\s*(,|và)\s*(điểm\s+[a-zđ])\s+(khoản\s+\d+[a-z]*)"
+    clause = r"(?iuU)(khoản\s+\d+[a-z]*)\s*(,|và)\s*(khoản\s+\d+[a-z]*)\s+(Điều\s+\d+[a-zđ]?)(?![\p{L}\d_])"
+    point = r"(?iuU)(điểm\s+[a-zđ])\s*(,|và)\s*(điểm\s+[a-zđ])\s+(khoản\s+\d+[a-z]*)"
     for pattern in (clause, point):
         for _ in range(passes):
             text = F.regexp_replace(text, pattern, "$1 $4 $2 $3 $4")
@@ -260,7 +260,7 @@ def relation_rows(relations: DataFrame, lookup: DataFrame) -> DataFrame:
     rows = relations.withColumn("name", F.lower(F.trim("target_doc"))).join(known, "name", "left")
     source = uid_part(F.col("source_uid"), "doc")
     rows = rows.withColumn("target_doc_id", F.when(own, source).otherwise(F.col("found"))).where("target_doc_id is not null")
-    clean = lambda c: F.regexp_replace(F.col(c), r"(?iu)^(điều|khoản|điểm)\s+", "")
+    clean = lambda c: F.regexp_replace(F.col(c), r"(?iuU)^(điều|khoản|điểm)\s+", "")
     article = F.coalesce(blank_to_null(clean("target_article")), F.when(own, uid_part(F.col("source_uid"), "dieu")))
     target = build_uid(F.col("target_doc_id"), article, clean("target_clause"), clean("target_diem"))
     kind = F.when(F.contains(F.lower("relationship_type"), F.lit("modify")), "MODIFIES").otherwise("REFERENCES")

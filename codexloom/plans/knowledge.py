@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codexloom.operators import effective, graph, pii, refs, review, segment
 from codexloom.plans.registry import fixture, query, table
+from codexloom.sources.tables import spread
 
 _EDGE_TYPE = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.RELATION_TYPES.items()) + " END"
 
@@ -146,16 +147,19 @@ _PII = {
     "bank_account": "(?i)(?:STK|Số\\s*tài\\s*khoản|Tài\\s*khoản|Ngân\\s*hàng|Bank|Account)\\s*[:\\-]?\\s*\\d{10,16}\\b",
     "address": "(?i)(?:đường|phố|ngõ|hẻm|quận|huyện|phường|xã|tỉnh|thành\\s*phố|TP\\.)\\s+[^,.\\n]{3,50}",
 }
+#: Blanks, digits and their bounds as the SQL engine writes those of Unicode.
+_PII = {k: p.replace("\\s", "[\\s\\p{Z}\\x{85}]").replace("[[\\s\\p{Z}\\x{85}]", "[\\s\\p{Z}\\x{85}").replace("\\d", "\\p{Nd}") for k, p in _PII.items()}
 #: A phone number may stand inside the digits of an account, whose longer span wins there: it is counted beside them.
 _PHONES = "'. 09' || lpad(CAST(doc_id AS VARCHAR), 8, '1') || ', hết'"
-#: Each document with a sentence of personal data behind it, so that all families occur.
-_PERSONAL = "'. CCCD: 0790' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ', MST: 03' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '; STK 77' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || ', 09' || lpad(CAST(doc_id AS VARCHAR), 8, '1') || ', tại quận Ba ' || doc_id || ', hết'"
+#: Each document with a sentence of personal data behind it, so that all families occur; its blanks are no-break blanks in every other one.
+_PERSONAL = "replace('. CCCD: 0790' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ', MST: 03' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '; STK 77' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || ', 09' || lpad(CAST(doc_id AS VARCHAR), 8, '1') || ', tại quận Ba ' || doc_id || ', hết', ' ', CASE WHEN doc_id % 2 = 1 THEN chr(160) ELSE ' ' END)"
 
 
 def _personal(spark, d):
     pad = lambda n, c="0": F.lpad(F.col("doc_id").cast("string"), n, c)
     more = F.concat(F.lit(". CCCD: 0790"), pad(8), F.lit(", MST: 03"), pad(8), F.lit("; STK 77"), pad(12), F.lit(", 09"), pad(8, "1"), F.lit(", tại quận Ba "), "doc_id", F.lit(", hết"))
-    return table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    more = F.replace(more, F.lit(" "), F.when(F.col("doc_id") % 2 == 1, F.lit("\u00a0")).otherwise(F.lit(" ")))
+    return spread(table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("text")))
 
 
 @query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all({'u' if k == 'phone' else 't'}, '{p}')) AS {k}" for k, p in _PII.items()) + f" FROM (SELECT doc_id, text || {_PERSONAL} AS t, text || {_PHONES} AS u FROM documents)")
@@ -167,9 +171,14 @@ def pii_detect(spark, d):
     return rows.select("doc_id", *map(count, _PII))
 
 
-@query("SELECT * FROM (VALUES (1, 'Ông A, CCCD: [REDACTED_CCCD_1], email [REDACTED_EMAIL_2] và [REDACTED_EMAIL_1].', 3), (2, 'MST: [REDACTED_MST_1]. STK [REDACTED_BANK_ACCOUNT_1]', 2), (3, 'Không có gì.', 0), (4, 'Gọi [REDACTED_PHONE_1] hoặc gửi [REDACTED_EMAIL_1]', 2), (5, 'Trụ sở tại [REDACTED_ADDRESS_1], Hà Nội', 1)) AS t(id, redacted, n)")
+@query("SELECT doc_id, replace('Gửi [REDACTED_EMAIL_2], [REDACTED_EMAIL_1]; CCCD: [REDACTED_CCCD_1], STK [REDACTED_BANK_ACCOUNT_1], gọi [REDACTED_PHONE_1], tại [REDACTED_ADDRESS_1], hết', ' ', CASE WHEN doc_id % 2 = 1 THEN chr(160) ELSE ' ' END) AS redacted, 6 AS n FROM documents")
 def pii_redact(spark, d):
-    return pii.redact(fixture(spark, "pii")).select("id", "redacted", F.size("pii").alias("n"))
+    """A sentence of each document: every family leaves its mark, whatever blanks stand between words."""
+    number = lambda n, c: F.lpad(F.col("doc_id").cast("string"), n, c)
+    text = F.concat(F.lit("Gửi a"), "doc_id", F.lit("@x.vn, b@y.com; CCCD: 0790"), number(8, "0"), F.lit(", STK 77"), number(12, "0"), F.lit(", gọi 09"), number(8, "1"), F.lit(", tại quận Ba "), "source", F.lit(", hết"))
+    blank = F.when(F.col("doc_id") % 2 == 1, F.lit("\u00a0")).otherwise(F.lit(" "))
+    rows = table(spark, d, "documents").select("doc_id", F.replace(text, F.lit(" "), blank).alias("text"))
+    return pii.redact(rows).select("doc_id", "redacted", F.size("pii").alias("n"))
 
 
 @query(f"SELECT doc_id, md5(text || {_PERSONAL}) AS digest, true AS hidden FROM documents")

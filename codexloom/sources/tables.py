@@ -16,6 +16,12 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer splits, for work that costs much more than a shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick_column(df: DataFrame, names: list[str], to: str) -> DataFrame:
     """Rename the first of several possible columns; a null column if none is there."""
     found = next((n for n in names if n in df.columns), None)

@@ -39,6 +39,31 @@ def test_personal_data_never_leaks(spark):
         assert r.redacted == rows[r.id][2] and r.back == r.text
 
 
+def test_no_break_blanks_hide_nothing(spark):
+    """Blanks of any kind between words and numbers: texts cleaned from HTML are full of them."""
+    rows = [
+        (0, "STK\u00a0123456789012", "STK\u00a0[REDACTED_BANK_ACCOUNT_1]"),
+        (1, "CCCD:\u00a0879087654321", "CCCD:\u00a0[REDACTED_CCCD_1]"),
+        (2, "tại quận\u00a0Hoàn Kiếm, Hà Nội", "tại [REDACTED_ADDRESS_1], Hà Nội"),
+        (3, "Mã\u2009số\u3000thuế:\u00a00312345678", "Mã\u2009số\u3000thuế:\u00a0[REDACTED_MST_1]"),
+        (4, "+84\u00a091\u00a0234\u00a05678", "[REDACTED_PHONE_1]"),
+        (5, "é.a@b.vn \uffff CCCD 123456789012 \uffff", "é[REDACTED_EMAIL_1] \uffff CCCD [REDACTED_CCCD_1] \uffff"),
+        (6, "phố A\uffffB, hết", "[REDACTED_ADDRESS_1], hết"),
+    ]
+    got = pii.redact(spark.createDataFrame([r[:2] for r in rows], "id int, text string")).select("id", "text", "redacted", pii.restore(F.col("redacted"), F.col("pii_map")).alias("back")).collect()
+    for r in got:
+        assert r.redacted == rows[r.id][2] and r.back == r.text, r
+    def found(text):
+        return [(r.article, r.clause, r.point) for r in refs.extract(spark.createDataFrame([("doc_1_dieu_9", text, False)], "uid string, text string, is_modifying boolean")).collect()]
+    assert found("theo Điều\u00a03") == [("3", None, None)]
+    assert found("theo khoản 1\u00a0Điều 3") == [("3", "1", None)]
+
+
+def test_personal_data_takes_one_pass_a_family(spark):
+    plan = spark.createDataFrame([("x",)], "text string").select(pii.detect(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") <= len(pii.FAMILIES) + 1 and "regexp_extract_all" not in plan
+
+
 def test_references_look_back_from_their_own_place(spark):
     rows = [("doc_1_dieu_9", "trừ Điều 155ab. Nội dung rất dài để ra khỏi tầm nhìn lại của sáu mươi chữ cái trước đó theo Điều 155", False)]
     (r,) = refs.extract(spark.createDataFrame(rows, "uid string, text string, is_modifying boolean")).collect()
