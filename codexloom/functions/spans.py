@@ -25,18 +25,20 @@ def places(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{MARK}$0{MARK}" + (f"${group}{MARK}" if group else "")))
     none = F.array().cast(SPAN)
 
-    def spans(pieces: Column) -> Column:
+    def spans(x: Column) -> Column:
+        pieces = x["pieces"]
+
         def step(a: Column, i: Column) -> Column:
             end = (a["at"] + F.char_length(F.get(pieces, i)) + F.char_length(F.get(pieces, i + 1))).cast("int")
             found = F.get(pieces, i + every - 1)
             start = (end - F.char_length(found)).cast("int")
-            value = F.when(F.contains(text, F.lit(MARK)), F.substring(text, start + 1, end - start)).otherwise(found)
+            value = F.when(x["held"], F.substring(text, start + 1, end - start)).otherwise(found)
             return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")))).alias("out"))
 
         firsts = F.sequence(F.lit(0), F.size(pieces) - 2, F.lit(every))
         return F.when(F.size(pieces) > 1, F.aggregate(firsts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
 
-    return let(F.split(marked, MARK), spans)
+    return let(F.struct(F.split(marked, MARK).alias("pieces"), F.contains(text, F.lit(MARK)).alias("held")), spans)
 
 
 def without_overlaps(spans: Column) -> Column:
