@@ -3,8 +3,8 @@
 Both vocabularies split a text into matches that are encoded separately, and no match reaches across a blank
 that starts a word. So a text can be cut there, and each distinct part is encoded by the library once for as
 long as a worker remembers it; the ids are those of the whole text (tests compare them). New parts go to the library
-many in one string: where a part begins among its ids is told by the blank before it, or by a mark between parts. Of a
-byte-level vocabulary's parts, signs behind a word of letters are a match of their own and encoded apart.
+many in one string: where a part begins among its ids is told by the blank before it, or by a mark between parts. New
+parts of a byte-level vocabulary go to a faster encoder of the same merges, where `ranked` proves that it gives the library's ids.
 """
 
 from __future__ import annotations
@@ -19,8 +19,45 @@ from codexloom.llm.bpe import cuttable
 
 #: Parts in a table of a worker; the table has a predecessor. Parts in one call of the library.
 CACHED, CALL = 400_000, 8192
-#: Signs that form one match behind a word of letters, where no letter or digit follows them.
-SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Matches of the library's byte-level splitter. Fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked(path: str, tokenizer):
+    """An encoder that merges by the rank of what a pair makes, if it gives the ids of the library's byte-level model; else None.
+
+    The library merges the pair that stands first in its list of merges; this one the pair whose union has the smallest id. Let the
+    ids of unions follow the list, one merge for each, and let the library give each token's own text that token alone. Then
+    both do the same: before a pair x y becomes t, no merge below t's rank is left in its bytes and none has crossed their
+    bounds, so they stand as they do for the text of t alone, as the two tokens that the list joins to t.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, split = whole["model"], whole["pre_tokenizer"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in whole["added_tokens"]}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocabulary.get(a + b) for a, b in merges]
+    by_rank = (
+        split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": split.get("trim_offsets"), "use_regex": True}
+        and whole["normalizer"] is None
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and None not in order
+        and all(x < y for x, y in zip(order, order[1:], strict=False))
+        and set(vocabulary) == set(sign) | {a + b for a, b in merges}
+        and all(vocabulary[c] < order[0] for c in sign)
+        and all([x.id for x in tokenizer.model.tokenize(t)] == [i] for t, i in vocabulary.items())
+    )
+    if not by_rank:
+        return None
+    ranks = {bytes(sign[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
 class Vocabulary:
@@ -41,17 +78,20 @@ class Vocabulary:
             self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
             names = ((i, (self.tokenizer.id_to_token(i) or "").removesuffix("</w>")) for i in np.flatnonzero(self.ends).tolist())
             self.marks = [(i, c) for i, c in names if len(c) == 1 and not c.isalnum() and not c.isspace()]
+        self.fast = ranked(path, self.tokenizer) if self.blank else None
         self._parts: dict[str, bytes] = {}
-        self._tails: dict[str, bytes] = {}  # of signs, without a blank
         self._old_parts: dict[str, bytes] = {}  # known before the table was full: asked before the library
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        if self.fast:
+            return [np.array(self.fast.encode_ordinary(t), self.dtype).tobytes() for t in texts]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _cut(self, text: str, n: int, marks: int | None) -> list[bytes] | None:
         """Ids of a text in n pieces: between marks, or before tokens of a blank, or behind ends of matches; None if they aren't n."""
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        found = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(found, self.dtype)
         if marks is not None:
             at = np.flatnonzero(ids == marks)
             starts, stops = np.concatenate(([0], at + 1)), np.append(at, len(ids))
@@ -85,28 +125,16 @@ class Vocabulary:
             found = list(map(old.get, parts))
             known.update([(p, x) for p, x in zip(parts, found, strict=True) if x is not None])
             parts = list(compress(parts, [x is None for x in found]))
-        signed = []
-        if self.blank:
-            stems = [p.rstrip(SIGNS) for p in parts]
-            signed = [(p, s) for p, s in zip(parts, stems, strict=True) if len(s) < len(p) and s.isalpha()]
-            whole = set(parts).difference(p for p, _ in signed)
-            kinds = [list(whole.union(s for _, s in signed if s not in known))]
-            tails = list({p[len(s) :] for p, s in signed}.difference(self._tails))
-            self._tails.update(zip(tails, self._library(tails), strict=True))
-        else:
-            kinds = [[p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]]
+        kinds = [parts] if self.blank else [[p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]]
         for some in kinds:
             for i in range(0, len(some), CALL):
                 few = some[i : i + CALL]
                 known.update(zip(few, self._together(few), strict=True))
-        known.update([(p, known[s] + self._tails[p[len(s) :]]) for p, s in signed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
         if len(self._parts) > CACHED:
             self._old_parts, self._parts = self._parts, {}
-        if len(self._tails) > CACHED:
-            self._tails.clear()
         self._parts[""] = b""
         get, missing = self._parts.get, set()
         cut, found, holes = [], [], []

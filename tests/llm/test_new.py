@@ -296,3 +296,27 @@ def test_spelling_query(spark):
                 near[w].add(u)
                 near[u].add(w)
     assert {w: v[3] for w, v in got.items()} == {w: len(near[w]) for w in words}
+
+
+def test_fast_encoder_gives_the_library_s_ids(tmp_path):
+    """On strings of any kind; and it isn't used where the ids don't follow the merges."""
+    import json
+
+    from codexloom.llm.vocab import Vocabulary
+
+    path = P.path("byte_bpe_50k.json")
+    words = Vocabulary(path, "blank")
+    assert words.fast is not None
+    signs = "aab-=_ésß中😀.\\n\\t'!0123456789TtHhEe sdrm"
+    texts = ["".join(RNG.choice(signs) for _ in range(RNG.randrange(1, 60))) for _ in range(4000)]
+    texts += [c * k for c in "a-=_ \\n0!." for k in range(1, 40)] + ["<|endoftext|> x <|endoftext|>", ""]
+    words.tokenizer.encode_special_tokens = True
+    want = [e.ids for e in words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [words.fast.encode_ordinary(t) for t in texts] == want
+    assert [np.frombuffer(x, words.dtype).tolist() for x in words.encode(texts)] == want
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    first, second = model["model"]["merges"][500:502]
+    model["model"]["merges"][500:502] = [second, first]
+    (tmp_path / "other.json").write_text(json.dumps(model), encoding="utf-8")
+    assert Vocabulary(str(tmp_path / "other.json"), "blank").fast is None
