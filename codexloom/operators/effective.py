@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codexloom.functions.compare import char_similarity, unified_diff
 from codexloom.functions.identifiers import literal_map
 from codexloom.functions.text import numbered_structure
+from codexloom.sources.shared import cut
 
 #: Status words of documents. Fixed values.
 STATUS = {"Còn hiệu lực": "con_hieu_luc", "Hết hiệu lực toàn bộ": "het_hieu_luc", "Hết hiệu lực một phần": "het_hieu_luc_mot_phan", "Ngưng hiệu lực": "ngung_hieu_luc"}
@@ -72,7 +73,7 @@ def transitive_chains(amendments: DataFrame, depth: int = 10) -> DataFrame:
     front = found
     for k in range(2, depth + 1):
         front = front.select("target_uid", F.col("source_uid").alias("_to")).join(step, "_to").select("target_uid", F.col("_from").alias("source_uid"), F.col("_at").alias("ngay"), F.lit(k).alias("depth")).distinct()
-        front = front.join(found.select("target_uid", "source_uid"), ["target_uid", "source_uid"], "left_anti").where("target_uid <> source_uid").checkpoint()
+        front = cut(front.join(found.select("target_uid", "source_uid"), ["target_uid", "source_uid"], "left_anti").where("target_uid <> source_uid"))
         if front.isEmpty():
             break
         found = found.unionByName(front)
@@ -118,8 +119,9 @@ def structural_match(a: Column, b: Column) -> Column:
 
 
 def as_of(versions: DataFrame, moments: DataFrame) -> DataFrame:
-    """Each moment(uid, at) with the latest version(uid, as_of, text) not after it; one equi join and an aggregate."""
-    found = moments.join(versions, "uid", "left").where("as_of is null or as_of <= at")
+    """Each moment(uid, at) with the latest version(uid, as_of, text) not after it, nulls before the first; one equi join and an aggregate."""
+    known = versions.select("uid", "as_of", "text")
+    found = moments.select("uid", "at").join(known, (moments["uid"] == known["uid"]) & (F.col("as_of") <= F.col("at")), "left").drop(known["uid"])
     return found.groupBy("uid", "at").agg(F.max_by("text", "as_of").alias("text"), F.max("as_of").alias("as_of"))
 
 

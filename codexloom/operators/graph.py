@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import literal_map
+from codexloom.sources.shared import cut
 
 #: Raw relation labels to edge types. Fixed values.
 RELATION_TYPES = {
@@ -69,26 +70,34 @@ def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, depth): the fewest steps from each seed along edges, up to a depth; each round is one equi join."""
+    """(seed, id, depth): the fewest steps from each seed along edges, up to a depth; each round is one equi join.
+
+    Each round's new rows are a checkpoint, so the plan has one join and one anti join whatever the depth; it ends where nothing is new.
+    """
     found = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct()
-    front, steps = found, edges.select(F.col("src").alias("id"), F.col("dst").alias("_to")).distinct()
+    found, steps = cut(found), cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("_to")).distinct())
+    front = found
     for k in range(1, depth + 1):
         front = front.join(steps, "id").select("seed", F.col("_to").alias("id"), F.lit(k).alias("depth")).distinct()
-        front = front.join(found.select("seed", "id"), ["seed", "id"], "left_anti")
+        front = cut(front.join(found.select("seed", "id"), ["seed", "id"], "left_anti"))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 
 
 def recursive_reach(spark, seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """As `reach`, by one recursive query; for shallow depths, as a row comes once for each length of path that leads to it."""
-    seeds.select("id").distinct().createOrReplaceTempView("_reach_seeds")
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_reach_edges")
-    return spark.sql(f"""
+    return spark.sql(
+        f"""
         WITH RECURSIVE r(seed, id, depth) AS (
-            SELECT id, id, 0 FROM _reach_seeds
+            SELECT id, id, 0 FROM {{seeds}}
             UNION ALL
-            SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN _reach_edges e ON r.id = e.src WHERE r.depth < {int(depth)}
-        ) SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id""")
+            SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN {{edges}} e ON r.id = e.src WHERE r.depth < {int(depth)}
+        ) SELECT seed, id, min(depth) AS depth FROM r GROUP BY seed, id""",
+        seeds=seeds.select("id").distinct(),
+        edges=edges.select("src", "dst").distinct(),
+    )
 
 
 def write_references(refs: DataFrame, segments: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import any_of, blank_to_null, citation, clean_optional, literal_map
+from codexloom.sources.shared import cut
 
 #: Intents by what they need. Fixed values.
 DIRECT, HYBRID, VALIDITY, COMPARISON = ["LOOKUP"], ["TOPIC", "SEARCH", "SCENARIO", "CHECKLIST", "NUMERIC"], ["VALIDITY"], ["COMPARISON"]
@@ -170,11 +171,31 @@ def number_key(raw: Column, hint: Column) -> Column:
     return F.when(part(1) == "", t).otherwise(F.concat_ws("-", prefix, F.lpad(part(1), F.greatest(F.char_length(part(1)), F.lit(3)), F.lit("0")), part(2)))
 
 
+def grams(text: Column, n: Column) -> Column:
+    """The distinct strings of n signs in a text."""
+    last = F.char_length(text) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def holders(titles: DataFrame, hints: DataFrame, n: int = 3) -> DataFrame:
+    """(doc_id, _hint) of titles(doc_id, _t) that hold a hint of hints(_hint), distinct and not empty.
+
+    A title that holds a hint holds its string of n signs that fewest titles have (all of it, if it is shorter): titles and hints
+    meet in an equi join on that string, and only what they share it with is compared.
+    """
+    sizes = [F.lit(k) for k in range(1, n + 1)]
+    own = hints.select("_hint", F.explode(grams(F.col("_hint"), F.least(F.char_length("_hint"), F.lit(n)))).alias("_g"))
+    held = titles.select("doc_id", "_t", F.explode(F.concat(*(grams(F.col("_t"), k) for k in sizes))).alias("_g"))
+    held = held.join(own.select("_g").distinct(), "_g", "left_semi")
+    often = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = own.join(often, "_g", "left").groupBy("_hint").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r"))
+    return held.join(rarest.select("_hint", F.col("_r._g").alias("_g")), "_g").where(F.contains("_t", "_hint")).select("doc_id", "_hint")
+
+
 def resolve_documents(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """refs(query_id, doc_id, so_ky_hieu, document_hint) with target_doc and how: by id, else by number in one of its spellings, else by title.
 
-    docs(doc_id, so_ky_hieu, key, title). Two equi joins and, for references with neither, titles that hold the hint: hints are
-    few words of queries, so they are joined as a stated query set.
+    docs(doc_id, so_ky_hieu, key, title). Two equi joins and, for references with neither, titles that hold the hint.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     given = refs.withColumn("_id", blank_to_null(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_number", low("so_ky_hieu")).withColumn("_key", F.lower(number_key(F.col("so_ky_hieu"), F.col("document_hint"))))
@@ -183,7 +204,7 @@ def resolve_documents(refs: DataFrame, docs: DataFrame) -> DataFrame:
     out = given.join(by_id, "_id", "left").join(spelt.withColumnsRenamed({"_s": "_number", "_d": "_by_number"}), "_number", "left").join(spelt.withColumnsRenamed({"_s": "_key", "_d": "_by_key"}), "_key", "left")
     out = out.withColumn("_found", F.when(F.col("_id").isNotNull(), F.col("_by_id")).otherwise(F.coalesce("_by_number", "_by_key")))
     hints = out.where(F.col("_found").isNull() & F.col("_id").isNull() & (low("document_hint") != "")).select(low("document_hint").alias("_hint")).distinct()
-    by_title = docs.select("doc_id", low("title").alias("_t")).join(hints, F.contains(F.col("_t"), F.col("_hint"))).groupBy("_hint").agg(F.min("doc_id").alias("_by_title"))
+    by_title = holders(docs.select("doc_id", low("title").alias("_t")), hints).groupBy("_hint").agg(F.min("doc_id").alias("_by_title"))
     out = out.withColumn("_hint", low("document_hint")).join(by_title, "_hint", "left")
     how = F.when(F.col("_id").isNotNull(), F.when(F.col("_by_id").isNotNull(), "doc_id")).when(F.col("_found").isNotNull(), "so_ky_hieu").when(F.col("_by_title").isNotNull(), "title")
     title = F.when(F.col("_id").isNull(), F.col("_by_title"))
@@ -197,12 +218,12 @@ def direct_lookup(refs: DataFrame, articles: DataFrame, clauses: DataFrame, poin
     point. articles(uid, doc_id, idx, title, text, is_current), clauses(uid, parent, idx, text), points(uid, parent, letter, text).
     """
     a = articles.select(F.col("uid").alias("a_uid"), F.col("doc_id").alias("target_doc"), F.col("idx").cast("string").alias("article"), F.col("title").alias("a_title"), F.col("text").alias("a_text"), "is_current")
-    hit = refs.where("article is not null").join(a, ["target_doc", "article"])
+    hit = cut(refs.where("article is not null").join(a, ["target_doc", "article"]))  # three branches read it
     c = clauses.select(F.col("uid").alias("c_uid"), F.col("parent").alias("a_uid"), F.col("idx").cast("string").alias("c_idx"), F.col("text").alias("c_text"))
     p = points.select(F.col("uid").alias("p_uid"), F.col("parent").alias("c_uid"), F.lower("letter").alias("p_idx"), F.col("text").alias("p_text"))
     null = F.lit(None).cast("string")
     whole = hit.where("clause is null and point is null").select("query_id", F.col("a_uid").alias("uid"), F.lit("Article").alias("segment_type"), F.col("a_text").alias("text"), "a_title", "article", null.alias("k"), null.alias("l"), "is_current")
-    in_clause = hit.join(c, "a_uid").where("clause is null or clause = c_idx")
+    in_clause = cut(hit.drop("a_text").join(c, "a_uid").where("clause is null or clause = c_idx"))
     of_clause = in_clause.where("point is null").select("query_id", F.col("c_uid").alias("uid"), F.lit("Clause").alias("segment_type"), F.col("c_text").alias("text"), "a_title", "article", F.col("c_idx").alias("k"), null.alias("l"), "is_current")
     of_point = in_clause.join(p, "c_uid").where("point is null or lower(point) = p_idx").select("query_id", F.col("p_uid").alias("uid"), F.lit("Point").alias("segment_type"), F.col("p_text").alias("text"), "a_title", "article", F.col("c_idx").alias("k"), F.col("p_idx").alias("l"), "is_current")
     found = whole.unionByName(of_clause).unionByName(of_point)

@@ -46,18 +46,24 @@ def edge_upsert(spark, d):
     return graph.upsert_edges(edges, "ord")
 
 
-@query("SELECT DISTINCT c_nationkey AS seed, c_custkey AS id, c_mktsegment AS rel_type FROM customer WHERE c_nationkey < 5 AND c_nationkey <> c_custkey UNION SELECT DISTINCT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey < 5 AND c_nationkey <> c_custkey")
+@query("""WITH e AS (SELECT o_custkey AS s, o_orderkey + 1000000000 AS t, o_orderpriority AS r FROM orders UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderpriority FROM orders)
+ SELECT DISTINCT s AS seed, t AS id, r AS rel_type FROM e WHERE s % 50 = 0""")
 def graph_neighbors(spark, d):
-    edges = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("src"), F.col("c_custkey").alias("dst"), F.col("c_mktsegment").alias("rel_type"))
-    return graph.neighbours(spark.range(5), edges)
+    """Neighbours of every fiftieth customer and order, in both directions."""
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst"), F.col("o_orderpriority").alias("rel_type"))
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).where("id % 50 = 0").distinct()
+    return graph.neighbours(ids, edges)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS s, o_orderkey % 1000 AS t FROM orders), r AS
- (SELECT id AS seed, id, 0 AS depth FROM (VALUES (1), (2), (3)) AS v(id) UNION SELECT seed, t, depth + 1 FROM r JOIN e ON r.id = e.s WHERE depth < 3)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS s, (l_partkey * 7 + l_suppkey) % (SELECT max(p_partkey) FROM part) + 1 AS t FROM lineitem WHERE l_linenumber = 1), r AS
+ (SELECT p_partkey AS seed, p_partkey AS id, 0 AS depth FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, t, depth + 1 FROM r JOIN e ON r.id = e.s WHERE depth < 3)
  SELECT CAST(seed AS BIGINT) AS seed, CAST(id AS BIGINT) AS id, min(depth) AS depth FROM r GROUP BY 1, 2""")
 def graph_expand_seeds(spark, d):
-    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000).alias("dst"))
-    return graph.reach(spark.range(1, 4), edges, 3)
+    """Every fiftieth part's surroundings: parts named by its lines, three steps far."""
+    most = table(spark, d, "part").agg(F.max("p_partkey").alias("most"))
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1").join(F.broadcast(most))  # a single row
+    edges = lines.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("most") + 1).alias("dst"))
+    return graph.reach(table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id")), edges, 3)
 
 
 @query("SELECT o_orderkey, concat_ws(' > ', r_name, n_name, c_name) AS path, concat_ws(' ', 'Điều ' || o_orderkey, 'khoản ' || o_orderpriority) AS citation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -130,11 +136,11 @@ def similarity_structural(spark, d):
     return pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"), effective.structural_match(F.col("a.text"), F.col("b.text")).alias("same"))
 
 
-@query("SELECT m.uid, m.at, arg_max(v.text, v.as_of) AS text, max(v.as_of) AS as_of FROM (SELECT DISTINCT o_custkey AS uid, DATE '1997-01-01' AS at FROM orders) m LEFT JOIN (SELECT o_custkey AS uid, CAST(o_orderdate AS DATE) AS as_of, max(o_orderpriority) AS text FROM orders GROUP BY 1, 2) v ON v.uid = m.uid WHERE v.as_of IS NULL OR v.as_of <= m.at GROUP BY 1, 2")
+@query("SELECT m.uid, m.at, v.text, v.as_of FROM (SELECT DISTINCT o_custkey AS uid, unnest([DATE '1992-06-01', DATE '1997-01-01']) AS at FROM orders) m ASOF LEFT JOIN (SELECT o_custkey AS uid, CAST(o_orderdate AS DATE) AS as_of, max(o_orderpriority) AS text FROM orders GROUP BY 1, 2) v ON v.uid = m.uid AND v.as_of <= m.at")
 def as_of_version(spark, d):
     orders = table(spark, d, "orders")
     versions = orders.groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderdate").cast("date").alias("as_of")).agg(F.max("o_orderpriority").alias("text"))
-    moments = orders.select(F.col("o_custkey").alias("uid"), F.lit("1997-01-01").cast("date").alias("at")).distinct()
+    moments = orders.select(F.col("o_custkey").alias("uid"), F.explode(F.array(*(F.lit(x).cast("date") for x in ("1992-06-01", "1997-01-01")))).alias("at")).distinct()
     return effective.as_of(versions, moments)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexloom.sources import shared
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream over a parquet table, one file or a folder of them; the schema is that of a batch read."""
@@ -33,22 +32,6 @@ def conversation_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared one, deleted when the session ends."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="codexloom-")
-    folder = f"{root.rstrip('/')}/codexloom-stream-{uuid.uuid4().hex[:12]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return folder
-
-
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now and return its rows, written to the shared folder.
 
@@ -57,7 +40,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     if mode not in ("complete", "append"):
         raise ValueError("a drained stream is in complete or append mode")
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared.folder(spark, "stream")
     rows = f"{folder}/rows"
     spark.createDataFrame([], stream.schema).write.parquet(rows)
 

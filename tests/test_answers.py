@@ -217,3 +217,45 @@ def test_citations_by_position_and_prompt(spark):
     pairs = one(spark, citations.zipped(F.array(F.lit("v1"), F.lit("v2")), F.array(F.lit("c1"))))
     assert [(p.violation, p.check) for p in pairs] == [("v1", "c1")]
     assert one(spark, citations.amendment_lines(F.array().cast("array<struct<source: string, action: string, date: string>>"))) == "Không có lịch sử sửa đổi."
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moments_before_the_first_version_stay(spark):
+    versions = spark.createDataFrame([("a", "2020-01-01", "x"), ("a", "2021-01-01", "y"), ("b", "2022-01-01", "z")], "uid string, as_of string, text string").selectExpr("uid", "cast(as_of as date) as as_of", "text")
+    moments = spark.createDataFrame([("a", "2019-01-01"), ("a", "2020-06-01"), ("b", "2021-01-01"), ("c", "2021-01-01")], "uid string, at string").selectExpr("uid", "cast(at as date) as at")
+    got = {(r.uid, str(r.at), r.text) for r in effective.as_of(versions, moments).collect()}
+    assert got == {("a", "2019-01-01", None), ("a", "2020-06-01", "x"), ("b", "2021-01-01", None), ("c", "2021-01-01", None)}
+
+
+def test_titles_that_hold_hints_meet_by_strings(spark):
+    rng = random.Random(3)
+    titles = ["".join(rng.choice("abc é") for _ in range(rng.randrange(0, 12))) for _ in range(80)]
+    hints = sorted({"".join(rng.choice("abc é") for _ in range(rng.randrange(1, 5))) for _ in range(60)})
+    df = qa.holders(spark.createDataFrame(list(enumerate(titles)), "doc_id int, _t string"), spark.createDataFrame([(h,) for h in hints], "_hint string"))
+    assert "NestedLoop" not in plan_of(df) and "Cartesian" not in plan_of(df)
+    got = sorted((r.doc_id, r._hint) for r in df.collect())
+    assert got == sorted((i, h) for i, t in enumerate(titles) for h in hints if h in t)
+
+
+def test_reach_plans_do_not_grow(spark):
+    from codexloom.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(5, 0), (7, 7)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (30,)], "id long")
+    got = {(r.seed, r.id): r.depth for r in graph.reach(seeds, edges, 10).collect()}
+    assert got == {(0, k): k for k in range(11)} | {(30, 30 + k): k for k in range(11) if k <= 10}
+    assert plan_of(graph.reach(seeds, edges, 10)).count("Join") == 0
+    assert {(r.seed, r.id): r.depth for r in graph.recursive_reach(spark, seeds, edges, 3).collect()} == {k: v for k, v in got.items() if v <= 3}
+
+
+def test_direct_lookup_joins_each_level_once(spark):
+    plan = plan_of(qa.direct_lookup(
+        spark.createDataFrame([(1, 1, "1", None, None)], "query_id int, target_doc int, article string, clause string, point string"),
+        spark.createDataFrame([("a", 1, 1, "t", "x", True)], "uid string, doc_id int, idx int, title string, text string, is_current boolean"),
+        spark.createDataFrame([("c", "a", 1, "x")], "uid string, parent string, idx int, text string"),
+        spark.createDataFrame([("p", "c", "a", "x")], "uid string, parent string, letter string, text string"),
+    ))
+    assert plan.count("HashJoin") + plan.count("SortMergeJoin") == 1
