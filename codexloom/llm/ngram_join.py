@@ -20,8 +20,9 @@ similarity is at least num/den; the join returns components of links, and loses
    in y are at least as many elements of x outside y, so bit counts bound each pair's overlap from above.
    Strips of the key's largest component don't meet each other.
 5. Pairs that pass are intersected exactly: of each tile first the best pairs that would join its components, fewer than it
-   has sets; then, in new tiles, all pairs whose components still differ. From tiles come spanning pairs or sets,
-   never all pairs, so rows grow with the sets. Only here and in stars do hashes travel.
+   has sets; then, in new tiles, all pairs whose components still differ: sets that are open together in many tiles are
+   gathered first and meet once. From tiles come spanning pairs or sets, never all pairs, so rows grow with the sets. Only
+   here and in stars do hashes travel.
 
 Exact copies of a set are one representative (the smallest doc_id) before step 1.
 
@@ -391,6 +392,28 @@ def _open(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return _dealt(tiles).mapInArrow(run, "key long, tile long, side int, id long, c long")
 
 
+def _gathered(opened: DataFrame, facts: DataFrame, work: Work) -> DataFrame:
+    """The opened rows in fewer tiles. Near sets share many keys, so each of them is open in many tiles, mostly with the same others.
+
+    Sets that are open together, directly or through others, are one group; its sets are cut into strips of TILE sets and ELEMENTS hashes,
+    and strips meet each other. A group that would take more rows so than it has keeps its tiles.
+    """
+    hubs = opened.groupBy("key", "tile").agg(F.min("id").alias("hub"))
+    edges = opened.join(hubs, ["key", "tile"]).where("id <> hub").select("id", "hub").distinct()
+    named = work.table(connected_components(edges, "id", "hub"), "groups")
+    rows = opened.join(named, "id")
+    own = rows.groupBy("id", "c", "component").agg(F.count("*").alias("rows")).join(facts.select("id", "size"), "id")
+    strips = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / ELEMENTS)).cast("int")
+    per = own.groupBy("component").agg(strips.alias("n"), F.sum("rows").alias("rows"), F.count("*").alias("m"))
+    few = work.table(per.where(F.col("m") * F.col("n") <= F.col("rows")).select("component", "n"), "few")
+    strip = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    met = own.join(few, "component").select("component", "n", "id", "c", strip.alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    tile = F.least("i", "j").cast("long") * F.col("n") + F.greatest("i", "j")
+    cut = met.select(F.col("component").alias("key"), tile.alias("tile"), (F.col("i") > F.col("j")).cast("int").alias("side"), "id", "c")
+    kept = with_ids(work.spark, rows, few.select("component"), "left_anti", "component").select("key", "tile", "side", "id", "c")
+    return work.table(cut.unionByName(kept), "gathered")
+
+
 def _exact_tiles(opened: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links of opened rows that join components, each pair of a tile intersected exactly unless it is joined already."""
     rows = opened.join(facts.select("id", "hashes"), "id")
@@ -428,7 +451,8 @@ def components(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, wo
         if k == 2:
             linked = work.table(_exact(work.table(_forests(tiles, num, den), "forests"), facts, num, den, False), "links2")
         else:
-            linked = work.table(_exact_tiles(work.table(_open(tiles, num, den), "open"), facts, num, den), "links3")
+            opened = work.table(_open(tiles, num, den), "open")
+            linked = work.table(_exact_tiles(_gathered(opened, facts, work), facts, num, den), "links3")
         work.drop(f"light{k}", f"strips{k}", f"pairs{k}")
         if linked.isEmpty():
             continue
