@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexloom.plans import answers, documents, knowledge, references, retrieval, stores, usage  # noqa: F401  (they register their queries)
+from codexloom.plans import answers, documents, indexes, knowledge, references, retrieval, stores, usage  # noqa: F401  (they register their queries)
 from codexloom.plans.registry import ORACLE, QUERIES
 
 
