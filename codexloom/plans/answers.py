@@ -112,7 +112,7 @@ _SQL_CITED = "(regexp_matches(q, '(?i)điều\\s+\\d+') OR regexp_matches(q, '(?
 
 @query(f"SELECT id, CASE WHEN intent IN ('TOPIC', 'SEARCH', 'SCENARIO', 'CHECKLIST', 'NUMERIC') OR strategy IN ('vector_search', 'topic') THEN 'hybrid_search' WHEN intent = 'LOOKUP' THEN CASE WHEN {_SQL_CITED} THEN 'direct_lookup' ELSE 'hybrid_search' END WHEN intent = 'VALIDITY' THEN 'validity_check' ELSE 'comparison' END AS strategy FROM (SELECT *, query AS q FROM {{fx_subqueries}})")
 def intent_plan(spark, d):
-    return fixture(spark, "subqueries").select("id", qa.strategy(F.col("strategy"), F.col("intent"), F.col("query")).alias("strategy"))
+    return fixture(spark, d, "subqueries").select("id", qa.strategy(F.col("strategy"), F.col("intent"), F.col("query")).alias("strategy"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN contains(q, 'xin chào') OR contains(q, 'hello') OR contains(q, 'hi ') OR contains(q, 'chào bạn') THEN 'chitchat' WHEN contains(q, 'review') OR contains(q, 'hợp đồng') OR contains(q, 'upload') THEN 'contract_review'
@@ -144,19 +144,24 @@ def query_from_entities(spark, d):
     return table(spark, d, "orders").select(o.alias("id"), text.alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'clause=k'), (2, 'article=a'), (3, 'document=d'), (4, 'article=a,clause=k,document=d'), (5, 'article=a,clause=k,document=d')) AS t(id, found)")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'clause=k' || o_custkey WHEN 1 THEN 'article=a' || o_custkey WHEN 2 THEN 'document=d' ELSE 'article=a' || o_custkey || ',clause=k' || o_custkey || ',document=d' END AS found FROM orders")
 def follow_up(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'Điều khoản đó thế nào?'), (2, 'điều đó có đúng'), (3, 'Luật này còn không'), (4, 'hợp đồng trên'), (5, 'và gì nữa') AS t(id, q)")
-    known = F.create_map(F.lit("article"), F.lit("a"), F.lit("clause"), F.lit("k"), F.lit("document"), F.lit("d"))
-    pairs = F.transform(F.map_entries(qa.follow_up(F.col("q"), known)), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return rows.select("id", F.array_join(F.array_sort(pairs), ",").alias("found"))
+    """What a follow-up question means among what was named before."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    says = ["Điều khoản đó thế nào?", "điều đó có đúng", "Luật này còn không", "hợp đồng trên", "và gì nữa"]
+    q = F.concat(F.coalesce(*(F.when(o % 5 == i, F.lit(t)) for i, t in enumerate(says))), F.lit(" "), o)
+    known = F.create_map(F.lit("article"), F.concat(F.lit("a"), c), F.lit("clause"), F.concat(F.lit("k"), c), F.lit("document"), F.lit("d"))
+    pairs = F.transform(F.map_entries(qa.follow_up(q, known)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return table(spark, d, "orders").select(o.alias("id"), F.array_join(F.array_sort(pairs), ",").alias("found"))
 
 
-@query("""SELECT id, domain, confidence, n FROM (VALUES (1, 'QA', 0.9::DOUBLE, 2), (2, 'QA', 0.5::DOUBLE, 0), (3, 'CONTRACT', 0.5::DOUBLE, 1)) AS t(id, domain, confidence, n)""")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 2 THEN 'CONTRACT' ELSE 'QA' END AS domain, CASE o_orderkey % 3 WHEN 0 THEN CAST('0.' || (o_custkey % 9 + 1) AS DOUBLE) ELSE 0.5::DOUBLE END AS confidence, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS n FROM orders")
 def intent_defaults(spark, d):
-    raw = [(1, '{"confidence": 0.9, "intents": [{"type": "TOPIC"}, {}]}'), (2, "{}"), (3, '{"domain": "CONTRACT", "intents": [{"confidence": 0.1}]}')]
-    r = qa.intent_fields(F.col("raw"))
-    return spark.createDataFrame(raw, "id int, raw string").select("id", r["domain"].alias("domain"), r["confidence"].alias("confidence"), F.size(r["intents"]).alias("n"))
+    """A model's output with fields missing here and there."""
+    o = F.col("o_orderkey")
+    raw = F.when(o % 3 == 0, F.concat(F.lit('{"confidence": 0.'), F.col("o_custkey") % 9 + 1, F.lit(', "intents": [{"type": "TOPIC"}, {}]}'))).when(o % 3 == 1, "{}").otherwise('{"domain": "CONTRACT", "intents": [{"confidence": 0.1}]}')
+    rows = table(spark, d, "orders").select(o.alias("id"), qa.intent_fields(raw).alias("r"))
+    return rows.select("id", "r.domain", "r.confidence", F.size("r.intents").alias("n"))
 
 
 _ROUTE = """(SELECT o_custkey AS query_id, o_orderkey AS sub_id, CASE o_orderstatus WHEN 'F' THEN 'direct_lookup' WHEN 'O' THEN 'validity_check' ELSE 'comparison' END AS strategy FROM orders),
@@ -287,11 +292,14 @@ def prompt_blocks(spark, d):
     return rows.select("id", citations.provision_block(F.col("ps")).alias("block"), citations.amendment_lines(F.col("ps")).alias("amendments"))
 
 
-@query("SELECT * FROM (VALUES (1, 'u1|u2', 'A|B'), (2, '', ''), (3, 'u3', 'C')) AS t(id, uids, titles)")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'u' || o_orderkey || '|v' || o_custkey WHEN 1 THEN '' ELSE 'w' || o_custkey END AS uids, CASE o_orderkey % 3 WHEN 0 THEN 'A|B' WHEN 1 THEN '' ELSE 'C' END AS titles FROM orders")
 def citations_from_json(spark, d):
-    raw = [(1, '{"citations": [{"uid": "u1", "document_title": "A"}, {"segmentUid": "u2", "documentTitle": "B", "article": "null"}]}'), (2, '{"answer": "x"}'), (3, '{"citations": [{"segment_uid": "u3", "document": "C"}]}')]
-    cs = citations.from_json(F.col("raw"))
-    return spark.createDataFrame(raw, "id int, raw string").select("id", F.array_join(F.transform(cs, lambda c: c["uid"]), "|").alias("uids"), F.array_join(F.transform(cs, lambda c: c["document_title"]), "|").alias("titles"))
+    """Citations in a model's output in three spellings of their keys, and an output without any."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    two = F.concat(F.lit('{"citations": [{"uid": "u'), o, F.lit('", "document_title": "A"}, {"segmentUid": "v'), c, F.lit('", "documentTitle": "B", "article": "null"}]}'))
+    raw = F.when(o % 3 == 0, two).when(o % 3 == 1, F.lit('{"answer": "x"}')).otherwise(F.concat(F.lit('{"citations": [{"segment_uid": "w'), c, F.lit('", "document": "C"}]}')))
+    rows = table(spark, d, "orders").select(o.alias("id"), citations.from_json(raw).alias("cs"))
+    return rows.select("id", F.array_join(F.transform("cs", lambda x: x["uid"]), "|").alias("uids"), F.array_join(F.transform("cs", lambda x: x["document_title"]), "|").alias("titles"))
 
 
 # hybrid scores

@@ -8,12 +8,14 @@ from codexloom.operators import effective, graph, pii, refs, review, segment
 from codexloom.plans.registry import fixture, query, table
 from codexloom.sources.tables import spread
 
-_EDGE_TYPE = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.RELATION_TYPES.items()) + " END"
+#: Types of the labels that the view of edges holds.
+_EDGE_TYPE = """CASE label WHEN 'Văn bản căn cứ' THEN 'CITES' WHEN 'CAN_CU' THEN 'CITES' WHEN 'SUA_DOI' THEN 'AMENDS' WHEN 'Văn bản sửa đổi' THEN 'AMENDS' WHEN 'LIEN_QUAN' THEN 'RELATED'
+ WHEN 'THAY_THE' THEN 'SUPERSEDES' WHEN 'Văn bản HD, QĐ chi tiết' THEN 'DETAILS' WHEN 'Văn bản quy định hết hiệu lực 1 phần' THEN 'PARTIALLY_SUPERSEDES' ELSE 'UNKNOWN' END"""
 
 
-@query(f"SELECT coalesce({_EDGE_TYPE}, 'UNKNOWN') AS rel_type, count(*) AS n FROM {{fx_edges}} GROUP BY 1")
+@query(f"SELECT {_EDGE_TYPE} AS rel_type, count(*) AS n FROM {{fx_edges}} GROUP BY 1")
 def rel_type_map_counts(spark, d):
-    return fixture(spark, "edges").groupBy(F.coalesce(graph.edge_type(F.col("label")), F.lit("UNKNOWN")).alias("rel_type")).agg(F.count("*").alias("n"))
+    return fixture(spark, d, "edges").groupBy(F.coalesce(graph.edge_type(F.col("label")), F.lit("UNKNOWN")).alias("rel_type")).agg(F.count("*").alias("n"))
 
 
 def _orders(spark, d):
@@ -35,14 +37,14 @@ def edge_orphans(spark, d):
     return graph.orphan_ends(edges, nodes)
 
 
-@query("SELECT doc_id AS id, false AS is_stub FROM {fx_docs} UNION ALL SELECT DISTINCT id, true FROM (SELECT src AS id FROM {fx_edges} UNION SELECT dst FROM {fx_edges}) WHERE id NOT IN (SELECT doc_id FROM {fx_docs})")
+@query("SELECT doc_id AS id, false AS is_stub FROM {fx_docs} WHERE doc_id % 3 > 0 UNION ALL SELECT DISTINCT id, true FROM (SELECT src AS id FROM {fx_edges} UNION SELECT dst FROM {fx_edges}) WHERE id NOT IN (SELECT doc_id FROM {fx_docs} WHERE doc_id % 3 > 0)")
 def edge_stub_docs(spark, d):
-    return graph.with_stubs(fixture(spark, "docs").select(F.col("doc_id").alias("id")), fixture(spark, "edges"))
+    return graph.with_stubs(fixture(spark, d, "docs").where("doc_id % 3 > 0").select(F.col("doc_id").alias("id")), fixture(spark, d, "edges"))
 
 
-@query(f"SELECT src, dst, rel_type, max(ord) AS ord FROM (SELECT src, dst, coalesce({_EDGE_TYPE}, 'UNKNOWN') AS rel_type, ord FROM {{fx_edges}}) WHERE src <> dst GROUP BY 1, 2, 3")
+@query(f"SELECT src, dst, rel_type, max(ord) AS ord FROM (SELECT src, dst, {_EDGE_TYPE} AS rel_type, ord FROM {{fx_edges}}) WHERE src <> dst GROUP BY 1, 2, 3")
 def edge_upsert(spark, d):
-    edges = fixture(spark, "edges").withColumn("rel_type", F.coalesce(graph.edge_type(F.col("label")), F.lit("UNKNOWN")))
+    edges = fixture(spark, d, "edges").withColumn("rel_type", F.coalesce(graph.edge_type(F.col("label")), F.lit("UNKNOWN")))
     return graph.upsert_edges(edges, "ord")
 
 
@@ -89,30 +91,37 @@ def hier_rich_text(spark, d):
     return rows.select("n_nationkey", F.concat(F.coalesce("r_name", F.lit("Văn bản")), F.lit(" - "), "n_name", F.lit(" - "), F.coalesce("top", F.lit(""))).alias("rich_text"))
 
 
-#: Units with references; kinds and parts follow from the grammar by hand.
-_UNITS = [
-    ("doc_1_dieu_5_khoan_2", "Theo khoản 1, khoản 2 Điều 3 của Luật này và Điều này.", False),
-    ("doc_1_dieu_6", "Thực hiện theo điểm a khoản 3 Điều 7 Nghị định số 46/2014/NĐ-CP", False),
-    ("doc_9_dieu_1", "Sửa đổi khoản 2 Điều 10 như sau", True),
-    ("doc_9_dieu_2", "Bãi bỏ điểm a khoản 1 Điều 3", True),
-    ("doc_9_dieu_3", "trừ trường hợp quy định tại Điều 8", False),
-]
-
-
-@query("""SELECT * FROM (VALUES ('doc_1_dieu_5_khoan_2', '3', '1', NULL, NULL, 'internal', NULL), ('doc_1_dieu_5_khoan_2', '3', '2', NULL, NULL, 'internal', NULL), ('doc_1_dieu_5_khoan_2', '5', NULL, NULL, NULL, 'internal', NULL),
- ('doc_1_dieu_6', '7', '3', 'a', 'Nghị định số 46/2014/NĐ-CP', 'external', NULL), ('doc_9_dieu_1', '10', '2', NULL, NULL, 'modification', 'sua_doi'), ('doc_9_dieu_2', '3', '1', 'a', NULL, 'modification', 'bai_bo'),
- ('doc_9_dieu_3', '8', NULL, NULL, NULL, 'exception', NULL)) AS t(uid, article, clause, point, doc_ref, kind, action)""")
+@query("""SELECT 'doc_' || c || '_dieu_' || o || CASE way WHEN 0 THEN '_khoan_2' ELSE '' END AS uid, CAST(CASE WHEN way = 0 AND nth = 2 THEN o ELSE k END AS VARCHAR) AS article, CASE way WHEN 0 THEN CASE nth WHEN 0 THEN '1' WHEN 1 THEN '2' END WHEN 1 THEN '3' WHEN 2 THEN '2' WHEN 3 THEN '1' END AS clause,
+  CASE WHEN way IN (1, 3) THEN 'a' END AS point, CASE way WHEN 1 THEN 'Nghị định số 46/2014/NĐ-CP' END AS doc_ref, CASE way WHEN 0 THEN 'internal' WHEN 1 THEN 'external' WHEN 4 THEN 'exception' ELSE 'modification' END AS kind, CASE way WHEN 2 THEN 'sua_doi' WHEN 3 THEN 'bai_bo' END AS action
+ FROM (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 5 AS way, o_custkey % 90 + 1 AS k, unnest(CASE WHEN o_orderkey % 5 = 0 THEN [0, 1, 2] ELSE [0] END) AS nth FROM orders)""")
 def refs_unified(spark, d):
-    units = spark.createDataFrame(_UNITS, "uid string, text string, is_modifying boolean")
+    """References of every kind in units with places of their own."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    k, way = (c % 90 + 1).cast("string"), o % 5
+    says = [("Theo khoản 1, khoản 2 Điều ", " của Luật này và Điều này."), ("Thực hiện theo điểm a khoản 3 Điều ", " Nghị định số 46/2014/NĐ-CP"), ("Sửa đổi khoản 2 Điều ", " như sau"), ("Bãi bỏ điểm a khoản 1 Điều ", ""), ("trừ trường hợp quy định tại Điều ", "")]
+    text = F.coalesce(*(F.when(way == i, F.concat(F.lit(a), k, F.lit(b))) for i, (a, b) in enumerate(says)))
+    uid = F.concat(F.lit("doc_"), c, F.lit("_dieu_"), o, F.when(way == 0, "_khoan_2").otherwise(""))
+    units = table(spark, d, "orders").select(uid.alias("uid"), text.alias("text"), way.isin(2, 3).alias("is_modifying"))
     return refs.extract(units).select("uid", "article", "clause", "point", "doc_ref", "kind", "action")
 
 
-@query("SELECT * FROM (VALUES ('doc_1_dieu_2', 'doc_1_dieu_5', 'REFERENCES', 'Article', NULL), ('doc_1_dieu_2', 'doc_3_dieu_7_khoan_1', 'MODIFIES', 'Article', 'sua_doi'), ('doc_1_dieu_4', 'doc_3', 'MODIFIES', 'Document', 'bai_bo')) AS t(source_uid, target_uid, rel_type, target_label, action)")
+@query("""SELECT source_uid, CASE way WHEN 0 THEN 'doc_' || c || '_dieu_5' WHEN 1 THEN 'doc_' || k || '_dieu_7_khoan_1' ELSE 'doc_' || k END AS target_uid, CASE way WHEN 0 THEN 'REFERENCES' ELSE 'MODIFIES' END AS rel_type, CASE way WHEN 3 THEN 'Document' ELSE 'Article' END AS target_label, CASE way WHEN 1 THEN 'sua_doi' WHEN 3 THEN 'bai_bo' END AS action
+ FROM (SELECT o_orderkey AS o, o_custkey AS c, o_custkey % 100 AS k, o_orderkey % 5 AS way, 'doc_' || o_custkey || '_dieu_' || o_orderkey AS source_uid FROM orders) WHERE way IN (1, 3) OR way = 0 AND o <> 5""")
 def relation_prepare(spark, d):
-    rows = spark.sql("""SELECT * FROM VALUES ('doc_1_dieu_2', 'Luật này', 'Điều 5', '', '', 'references', NULL), ('doc_1_dieu_2', 'Luật Doanh nghiệp 2020', '7', '1', NULL, 'MODIFY', 'thay_the'),
-     ('doc_1_dieu_3', 'Luật lạ', '1', '', '', 'references', NULL), ('doc_1_dieu_4', 'luật doanh nghiệp 2020', '', '', '', 'modify_text', 'het_hieu_luc'), ('doc_1_dieu_5', 'luật này', '', '', '', 'references', NULL)
-     AS t(source_uid, target_doc, target_article, target_clause, target_diem, relationship_type, modify_action)""")
-    known = fixture(spark, "docs").select(F.col("title").alias("name"), F.col("doc_id").cast("string").alias("doc_id"))
+    """Relations into the own document, to others by name, to unknown ones, and of a unit to itself."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    k, way, none = (c % 100).cast("string"), o % 5, F.lit(None).cast("string")
+    pick = lambda *xs: F.coalesce(*(F.when(way == i, x) for i, x in enumerate(xs)), none)
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("doc_"), c, F.lit("_dieu_"), o).alias("source_uid"),
+        pick(F.lit("Luật này"), F.concat(F.lit("Luật số "), k), F.lit("Luật lạ"), F.concat(F.lit("luật số "), k), F.lit("luật này")).alias("target_doc"),
+        pick(F.lit("Điều 5"), F.lit("7"), F.lit("1"), F.lit(""), F.lit("")).alias("target_article"),
+        F.when(way == 1, "1").otherwise("").alias("target_clause"),
+        F.when(way != 1, "").alias("target_diem"),
+        pick(*map(F.lit, ("references", "MODIFY", "references", "modify_text", "references"))).alias("relationship_type"),
+        F.when(way == 1, "thay_the").when(way == 3, "het_hieu_luc").alias("modify_action"),
+    )
+    known = table(spark, d, "part").select(F.concat(F.lit("Luật số "), "p_partkey").alias("name"), F.col("p_partkey").cast("string").alias("doc_id"))
     return refs.relation_rows(rows, known)
 
 
@@ -123,17 +132,18 @@ def carry_forward(spark, d):
 
 
 @query("""SELECT uid, reason = 'con_hieu_luc' AS is_current, reason FROM (SELECT a.uid, CASE WHEN s.status IN ('Hết hiệu lực toàn bộ', 'Ngưng hiệu lực') THEN 'doc_het_hieu_luc' WHEN a.doc_id IN (SELECT dst FROM {fx_edges} WHERE label = 'THAY_THE') THEN 'superseded'
- WHEN a.uid IN (SELECT target_uid FROM {fx_amend} WHERE action = 'Bãi bỏ') THEN 'bai_bo' ELSE 'con_hieu_luc' END AS reason FROM {fx_articles} a LEFT JOIN {fx_status} s USING (doc_id))""")
+ WHEN a.doc_id IN (SELECT dst FROM {fx_edges} WHERE label = 'Văn bản quy định hết hiệu lực 1 phần') THEN 'partially_superseded' WHEN a.uid IN (SELECT target_uid FROM {fx_amend} WHERE action = 'Bãi bỏ') THEN 'bai_bo' ELSE 'con_hieu_luc' END AS reason FROM {fx_articles} a LEFT JOIN {fx_status} s USING (doc_id))""")
 def validity_priority(spark, d):
-    edges = fixture(spark, "edges").withColumn("rel_type", graph.edge_type(F.col("label")))
-    return effective.validity(fixture(spark, "articles"), fixture(spark, "status"), edges, fixture(spark, "amend"))
+    edges = fixture(spark, d, "edges").withColumn("rel_type", graph.edge_type(F.col("label"))).where("ord % 3 = 0 or ord % 9 = 8")
+    return effective.validity(fixture(spark, d, "articles"), fixture(spark, d, "status"), edges, fixture(spark, d, "amend"))
 
 
-@query("SELECT a.uid AS a, b.uid AS b, len(regexp_extract_all(a.text, '(^|\\n)\\d+\\.\\s')) = len(regexp_extract_all(b.text, '(^|\\n)\\d+\\.\\s')) AS same FROM {fx_articles} a JOIN {fx_articles} b ON a.uid < b.uid")
+@query("SELECT a.uid AS a, b.uid AS b, CASE a.form WHEN 3 THEN 2 ELSE a.form END = CASE b.form WHEN 3 THEN 2 ELSE b.form END AS same FROM {fx_articles} a JOIN {fx_articles} b ON b.doc_id = a.doc_id + 1")
 def similarity_structural(spark, d):
-    a, b = fixture(spark, "articles").alias("a"), fixture(spark, "articles").alias("b")
-    pairs = a.join(b, F.col("a.uid") < F.col("b.uid"))  # five literal rows
-    return pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"), effective.structural_match(F.col("a.text"), F.col("b.text")).alias("same"))
+    """Each article and the next: as many clauses and points or not."""
+    articles = fixture(spark, d, "articles")
+    a = articles.select(F.col("uid").alias("a"), (F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("x"))
+    return a.join(articles, "doc_id").select("a", F.col("uid").alias("b"), effective.structural_match(F.col("x"), F.col("text")).alias("same"))
 
 
 @query("SELECT m.uid, m.at, v.text, v.as_of FROM (SELECT DISTINCT o_custkey AS uid, unnest([DATE '1992-06-01', DATE '1997-01-01']) AS at FROM orders) m ASOF LEFT JOIN (SELECT o_custkey AS uid, CAST(o_orderdate AS DATE) AS as_of, max(o_orderpriority) AS text FROM orders GROUP BY 1, 2) v ON v.uid = m.uid AND v.as_of <= m.at")
@@ -201,24 +211,21 @@ def pii_type_counts(spark, d):
     return found.groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-def _any(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
-
-
-@query("SELECT clause_id, CASE WHEN regexp_matches(lower(text), 'thuê nhà|thuê căn hộ|căn hộ|nhà ở|bên cho thuê|bên thuê|giá thuê|đặt cọc thuê|bất động sản') THEN 'rental' WHEN regexp_matches(lower(text), 'lao động|lương|phụ cấp|bảo hiểm xã hội|bảo hiểm y tế|bảo hiểm thất nghiệp|thử việc|nghỉ việc|sa thải|thời giờ làm việc|việc làm') THEN 'supported' ELSE 'unsupported' END AS verdict FROM {fx_clauses}")
+@query("SELECT clause_id, CASE WHEN form IN (0, 5) THEN 'supported' WHEN form = 2 THEN 'rental' ELSE 'unsupported' END AS verdict FROM {fx_clauses}")
 def guardrail(spark, d):
-    return fixture(spark, "clauses").select("clause_id", review.guardrail(F.col("text")).alias("verdict"))
+    return fixture(spark, d, "clauses").select("clause_id", review.guardrail(F.col("text")).alias("verdict"))
 
 
-@query("SELECT clause_id, CASE " + " ".join(f"WHEN {_any(w)} THEN '{r}'" for w, r, _, _ in review.FAMILIES) + " ELSE 'general' END AS risk_type, CASE " + " ".join(f"WHEN {_any(w)} THEN '{'|'.join(k)}'" for w, _, k, _ in review.FAMILIES) + " ELSE '' END AS keywords FROM {fx_clauses}")
+@query("""SELECT clause_id, CASE form WHEN 0 THEN 'wage_benefits' WHEN 1 THEN 'penalty_cap' WHEN 3 THEN 'confidentiality' WHEN 5 THEN 'termination' ELSE 'general' END AS risk_type,
+ CASE form WHEN 0 THEN 'tiền lương|phụ cấp|bảo hiểm xã hội|người lao động' WHEN 1 THEN 'phạt vi phạm|mức phạt|8%|nghĩa vụ bị vi phạm' WHEN 3 THEN 'bảo mật|thông tin mật|bí mật kinh doanh' WHEN 5 THEN 'chấm dứt hợp đồng|đơn phương chấm dứt|thông báo trước' ELSE '' END AS keywords FROM {fx_clauses}""")
 def rewrite_fallback(spark, d):
-    return fixture(spark, "clauses").select("clause_id", review.rewrite(F.col("text")).alias("r")).select("clause_id", "r.risk_type", F.array_join("r.keywords", "|").alias("keywords"))
+    return fixture(spark, d, "clauses").select("clause_id", review.rewrite(F.col("text")).alias("r")).select("clause_id", "r.risk_type", F.array_join("r.keywords", "|").alias("keywords"))
 
 
-@query("SELECT clause_id, CASE WHEN n_violations > 0 THEN 'non_compliant' WHEN contains(lower(text), 'phải') THEN 'compliant_but_restrictive' ELSE 'compliant_and_efficient' END AS class FROM {fx_clauses}")
+@query("SELECT clause_id, CASE WHEN form IN (1, 5) THEN 'non_compliant' WHEN form IN (0, 3) THEN 'compliant_but_restrictive' ELSE 'compliant_and_efficient' END AS class FROM {fx_clauses}")
 def policy_class(spark, d):
     law = F.array(F.lit("Người sử dụng lao động trả lương."))
-    return fixture(spark, "clauses").select("clause_id", review.policy_class(F.col("text"), law, F.col("n_violations")).alias("class"))
+    return fixture(spark, d, "clauses").select("clause_id", review.policy_class(F.col("text"), law, F.col("n_violations")).alias("class"))
 
 
 @query("SELECT o_custkey, CASE max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS risk FROM orders GROUP BY 1")
@@ -242,8 +249,13 @@ def validity_aggregate(spark, d):
     return review.one_status(table(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("SELECT * FROM (VALUES (1, 2, 'x|y'), (2, 1, 'z'), (3, 1, 'w'), (4, NULL, NULL)) AS t(id, n, names)")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 4 THEN NULL WHEN 3 THEN 0 ELSE 1 END AS n, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey || '|y' WHEN 4 THEN NULL WHEN 3 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS names FROM orders")
 def json_coerce(spark, d):
-    rows = spark.createDataFrame([(1, '```json\n[{"a": "x"}, {"a": "y"}]\n```'), (2, '{"results": [{"a": "z"}]}'), (3, '{"a": "w"}'), (4, "kein json")], "id int, raw string")
+    """A fenced array, a wrapped one, one object, an empty array, and no JSON."""
+    o = F.col("o_orderkey")
+    item = F.concat(F.lit('{"a": "'), o, F.lit('"}'))
+    forms = [F.concat(F.lit("```json\n["), item, F.lit(', {"a": "y"}]\n```')), F.concat(F.lit('{"results": ['), item, F.lit("]}")), item, F.lit("[]"), F.concat(F.lit("kein json "), o)]
+    raw = F.coalesce(*(F.when(o % 5 == i, x) for i, x in enumerate(forms)))
+    rows = table(spark, d, "orders").select(o.alias("id"), raw.alias("raw"))
     items = review.json_items(F.col("raw"), "struct<a: string>")
     return rows.select("id", F.when(items.isNotNull(), F.size(items)).alias("n"), F.array_join(F.transform(items, lambda x: x["a"]), "|").alias("names"))

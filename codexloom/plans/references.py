@@ -72,18 +72,20 @@ def preamble_anchor(spark, d):
     return o.select("uid", refs.preamble_anchor(text).alias("a")).select("uid", "a.title", "a.so_ky_hieu")
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'LT-059-2020' WHEN 1 THEN 'ND-046-2014' ELSE 'ND-' || lpad(CAST(o_custkey % 900 + 1 AS VARCHAR), 3, '0') || '-2099' END AS key, CASE o_orderkey % 3 WHEN 0 THEN '3' WHEN 1 THEN '1' END AS target_doc_id,
- CASE o_orderkey % 3 WHEN 0 THEN 'short_title_map' WHEN 1 THEN 'exact' ELSE 'unresolved' END AS match_method FROM orders""")
+@query("""WITH n AS (SELECT p_partkey % 300 AS m, min(p_partkey) AS id FROM part WHERE p_partkey <> 7 GROUP BY 1)
+ SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'LT-059-2020' WHEN 1 THEN 'ND-' || lpad(CAST(o_custkey % 300 + 1 AS VARCHAR), 3, '0') || '-2014' ELSE 'ND-' || lpad(CAST(o_custkey % 900 + 1 AS VARCHAR), 3, '0') || '-2099' END AS key, CASE o_orderkey % 3 WHEN 0 THEN '7' WHEN 1 THEN CAST(n.id AS VARCHAR) END AS target_doc_id,
+ CASE o_orderkey % 3 WHEN 0 THEN 'short_title_map' WHEN 1 THEN CASE WHEN n.id IS NULL THEN 'unresolved' ELSE 'exact' END ELSE 'unresolved' END AS match_method FROM orders LEFT JOIN n ON n.m = o_custkey % 300""")
 def resolve_prefix_year(spark, d):
-    """References by short title, by number, and by a number that nobody has."""
+    """References by short title, by number, and by a number that nobody has, to documents made of all parts."""
     from codexloom.operators import lookup
-    from codexloom.plans.registry import fixture
 
-    way = F.col("o") % 3
-    raw = F.when(way == 0, "Luật Doanh nghiệp").when(way == 1, "46/2014/NĐ-CP").otherwise(F.concat((F.col("c") % 900 + 1).cast("string"), F.lit("/2099/NĐ-CP")))
+    way, p = F.col("o") % 3, F.col("p_partkey")
+    raw = F.when(way == 0, "Luật Doanh nghiệp").when(way == 1, F.concat((F.col("c") % 300 + 1).cast("string"), F.lit("/2014/NĐ-CP"))).otherwise(F.concat((F.col("c") % 900 + 1).cast("string"), F.lit("/2099/NĐ-CP")))
     found = _orders(spark, d).select(F.col("o").alias("id"), raw.alias("raw"), F.when(way == 0, "Luật").otherwise("Nghị định").alias("doc_type"))
-    titles = spark.sql("SELECT 'Luật Doanh nghiệp' AS title, '59/2020/QH14' AS so_ky_hieu")
-    return refs.resolve_external(found, titles, lookup.lookup_table(fixture(spark, "docs"))).select("id", "key", "target_doc_id", "match_method")
+    number = F.when(p == 7, "59/2020/QH14").otherwise(F.concat((p % 300 + 1).cast("string"), F.lit("/2014/NĐ-CP")))
+    docs = table(spark, d, "part").select(p.alias("doc_id"), number.alias("so_ky_hieu"), F.when(p == 7, "Luật").otherwise("Nghị định").alias("loai_van_ban"), p.alias("ord"))
+    titles = docs.where("loai_van_ban = 'Luật'").select(F.lit("Luật Doanh nghiệp").alias("title"), "so_ky_hieu")
+    return refs.resolve_external(found, titles, lookup.lookup_table(docs)).select("id", "key", "target_doc_id", "match_method")
 
 
 @query("SELECT 'doc_' || o_custkey || '_dieu_' || o_orderkey || '_khoan_2' AS uid, 'Xem Điều ' || o_orderkey || ', khoản 2 Điều ' || o_orderkey || ' và điểm này' AS text FROM orders")

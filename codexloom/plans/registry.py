@@ -1,4 +1,4 @@
-"""The list of queries, and literal tables that Spark and the oracle read from the same text."""
+"""The list of queries, and views of the driver's tables that Spark and the oracle read from the same text."""
 
 from __future__ import annotations
 
@@ -9,71 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: name: (columns, rows); rows are SQL that both engines read.
-FIXTURES: dict[str, tuple[str, str]] = {
-    "docs": (
-        "doc_id, so_ky_hieu, loai_van_ban, title, ord",
-        """(1, '46/2014/NĐ-CP', 'Nghị định', 'Nghị định về thuê đất 2014', 1), (2, '12/2018/TT-BTC', 'Thông tư', 'Thông tư hướng dẫn phí', 2),
-        (3, '59/2020/QH14', 'Luật', 'Luật Doanh nghiệp 2020', 3), (4, '05/2016/TTLT-NHNN-BTC', 'Thông tư liên tịch', 'Thông tư liên tịch ngân hàng', 4),
-        (5, '46/2014/NĐ-CP', 'Nghị định', 'Bản sao', 5), (6, 'Không số', 'Luật', 'Luật cũ', 6), (7, NULL, 'Luật', 'Luật khuyết', 7),
-        (8, 'số 7/2019', 'Quyết định', 'Quyết định bảy', 8), (9, '45/2019/QH14', 'Bộ luật', 'Bộ luật Lao động 2019', 9), (10, '1234/2018/TT-BYT', 'Thông tư', 'Thông tư dài', 10)""",
-    ),
-    "keys": (
-        "ref_id, key",
-        "(1, 'ND-046-2014'), (2, 'ND-046-2015'), (3, 'TT-099-2018'), (4, 'LT-060-2020'), (5, 'XX-777-1999'), (6, 'TTLT-005-2016'), (7, CAST(NULL AS STRING))",
-    ),
-    "targets": (
-        "target_id, so_hieu, title, kind",
-        "(1, '046/2014/NĐ-CP', 'x', 'Nghị định'), (2, '', 'Luật Doanh nghiệp', 'Luật'), (3, '12/2018/tt-btc', '', 'Thông tư'), (4, 'xyz', 'Không có', 'Luật'), (5, '', 'Bộ luật Lao động 2019', 'Bộ luật')",
-    ),
-    "edges": (
-        "src, dst, label, ord",
-        """(1, 2, 'Văn bản căn cứ', 1), (2, 3, 'SUA_DOI', 2), (3, 4, 'Văn bản sửa đổi', 3), (4, 4, 'CAN_CU', 4), (1, 2, 'Văn bản căn cứ', 5),
-        (4, 99, 'LIEN_QUAN', 6), (98, 1, 'Lạ', 7), (3, 1, 'THAY_THE', 8), (2, 9, 'Văn bản HD, QĐ chi tiết', 9)""",
-    ),
-    "articles": (
-        "uid, doc_id, text",
-        """('doc_1_dieu_1', 1, concat('Điều 1. Phạm vi', chr(10), '1. Một', chr(10), '2. Hai')), ('doc_1_dieu_2', 1, '1. Riêng'),
-        ('doc_2_dieu_1', 2, concat('1. A', chr(10), '2. B', chr(10), '3. C')), ('doc_3_dieu_1', 3, 'Không khoản'), ('doc_4_dieu_7', 4, '1. Cuối')""",
-    ),
-    "amend": (
-        "target_uid, source_uid, ngay, action, khoan, new_text",
-        """('doc_1_dieu_1', 'doc_8_dieu_1', DATE '2022-01-01', 'Sửa đổi', 2, 'Hai mới'), ('doc_1_dieu_1', 'doc_9_dieu_1', DATE '2024-05-01', 'sua_doi', 2, 'Hai mới nhất'),
-        ('doc_2_dieu_1', 'doc_8_dieu_2', DATE '2023-03-03', 'Bãi bỏ', 1, NULL), ('doc_2_dieu_1', 'doc_8_dieu_3', DATE '2023-02-02', 'Bổ sung', 4, 'D'),
-        ('doc_4_dieu_7', 'doc_8_dieu_4', DATE '2021-01-01', 'hết hiệu lực', 1, NULL)""",
-    ),
-    "status": ("doc_id, status", "(1, 'Còn hiệu lực'), (2, 'Còn hiệu lực'), (3, 'Hết hiệu lực toàn bộ'), (4, 'Hết hiệu lực một phần'), (5, 'lạ')"),
-    "pii": (
-        "id, text",
-        """(1, 'Ông A, CCCD: 079087654321, email a.b@x.vn và c@y.com.'), (2, 'MST: 0312345678. STK 123456789012'), (3, 'Không có gì.'),
-        (4, 'Gọi 0912345678 hoặc gửi a.b@x.vn'), (5, 'Trụ sở tại quận Hoàn Kiếm, Hà Nội')""",
-    ),
-    "clauses": (
-        "clause_id, text, n_violations",
-        """(1, 'Bên B phải trả lương tối thiểu và bảo hiểm', 0), (2, 'Phạt 30% giá trị hợp đồng', 1), (3, 'Thuê nhà và căn hộ dài hạn', 0),
-        (4, 'Thông tin mật phải được giữ kín', 0), (5, 'Giao hàng đúng hạn', 0), (6, 'Đơn phương chấm dứt hợp đồng lao động', 2)""",
-    ),
-    "refs_text": (
-        "ref_id, text",
-        """(1, 'Điều 17 khoản 2 điểm a Luật Doanh nghiệp 2020'), (2, 'theo Nghị định 135/2020/NĐ-CP'), (3, 'khoản 3 Điều 5a'), (4, 'không có gì')""",
-    ),
-    "subqueries": (
-        "id, intent, strategy, query",
-        """(1, 'TOPIC', 'topic', 'thuê đất'), (2, 'LOOKUP', 'lookup', 'Điều 17 Luật Doanh nghiệp'), (3, 'LOOKUP', 'direct_lookup', 'luật doanh nghiệp'),
-        (4, 'VALIDITY', 'xem hiệu lực', 'còn hiệu lực không'), (5, 'COMPARISON', 'comparison', 'so sánh'), (6, 'TOPIC', 'vector_search', 'nghỉ phép')""",
-    ),
-    "sizes": ("uid, ord, len", "('a', 1, 40), ('a', 2, 50), ('a', 3, 30), ('a', 4, 200), ('a', 5, 10), ('b', 1, 100), ('b', 2, 1), ('b', 3, 99)"),
+#: name: SQL over the driver's tables (their names in braces) that both engines read. Rows take turns in their forms by key.
+FIXTURES: dict[str, str] = {
+    # documents with a number of every kind, without one, and with titles that end in a year
+    "docs": """SELECT p_partkey AS doc_id, p_partkey AS ord, p_partkey % 8 AS way, num, yr, p_name AS name, p_size % 2 = 0 AS longer, kind AS loai_van_ban,
+        CASE p_partkey % 8 WHEN 0 THEN shown || '/' || yr || '/NĐ-CP' WHEN 1 THEN shown || '/' || yr || '/TT-BTC' WHEN 2 THEN shown || '/' || yr || '/QH14'
+          WHEN 3 THEN shown || '/' || yr || '/TTLT-NHNN-BTC' WHEN 5 THEN 'Không số' WHEN 6 THEN 'số ' || shown || '/' || yr WHEN 7 THEN shown || '/' || yr || '/QH13' END AS so_ky_hieu,
+        kind || ' ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' năm ' ELSE ' ' END || yr AS title
+      FROM (SELECT p_partkey, p_name, p_size, num, CASE WHEN p_size % 3 = 0 THEN lpad(num, 3, '0') ELSE num END AS shown, CAST(2000 + p_size % 20 AS STRING) AS yr,
+          CASE p_partkey % 8 WHEN 0 THEN 'Nghị định' WHEN 1 THEN 'Thông tư' WHEN 3 THEN 'Thông tư liên tịch' WHEN 6 THEN 'Quyết định' WHEN 7 THEN 'Bộ luật' ELSE 'Luật' END AS kind
+        FROM (SELECT p_partkey, p_name, p_size, CAST(p_partkey * 7 % 400 + 1 AS STRING) AS num FROM {part}) AS a) AS b""",
+    # keys of references: some known, some a sign or two away, some of unknown kinds, some missing
+    "keys": """SELECT o_orderkey AS ref_id, CASE o_orderkey % 6 WHEN 0 THEN 'ND' WHEN 1 THEN 'TT' WHEN 2 THEN 'LT' WHEN 3 THEN 'XX' WHEN 4 THEN 'TTLT' END
+        || '-' || lpad(CAST(o_custkey * 3 % 420 + 1 AS STRING), 3, '0') || '-' || CAST(2000 + o_orderkey % 23 AS STRING) AS key FROM {orders}""",
+    "edges": """SELECT o_custkey AS src, o_orderkey % 700 AS dst, o_orderkey AS ord, CASE o_orderkey % 9 WHEN 0 THEN 'Văn bản căn cứ' WHEN 1 THEN 'SUA_DOI' WHEN 2 THEN 'Văn bản sửa đổi' WHEN 3 THEN 'CAN_CU'
+        WHEN 4 THEN 'LIEN_QUAN' WHEN 5 THEN 'Lạ' WHEN 6 THEN 'THAY_THE' WHEN 7 THEN 'Văn bản HD, QĐ chi tiết' ELSE 'Văn bản quy định hết hiệu lực 1 phần' END AS label FROM {orders}""",
+    "articles": """SELECT 'doc_' || p_partkey || '_dieu_1' AS uid, p_partkey AS doc_id, p_size % 4 AS form,
+        CASE p_size % 4 WHEN 0 THEN 'Không khoản' WHEN 1 THEN '1. Riêng' WHEN 2 THEN concat('1. A', chr(10), '2. B') ELSE concat('Điều 1. Phạm vi', chr(10), '1. Một', chr(10), '2. Hai') END AS text FROM {part}""",
+    "amend": "SELECT 'doc_' || ps || '_dieu_1' AS target_uid, CASE ps % 4 WHEN 0 THEN 'Sửa đổi' WHEN 1 THEN 'Bãi bỏ' WHEN 2 THEN 'Bổ sung' ELSE 'hết hiệu lực' END AS action FROM (SELECT p_partkey AS ps FROM {part} WHERE p_partkey % 3 = 0) AS a",
+    "status": """SELECT p_partkey AS doc_id, CASE p_partkey % 6 WHEN 2 THEN 'Hết hiệu lực toàn bộ' WHEN 3 THEN 'Hết hiệu lực một phần' WHEN 4 THEN 'lạ' WHEN 5 THEN 'Ngưng hiệu lực' ELSE 'Còn hiệu lực' END AS status FROM {part} WHERE p_partkey % 5 > 0""",
+    "clauses": """SELECT o_orderkey AS clause_id, o_orderkey % 6 AS form, CASE o_orderkey % 6 WHEN 1 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS n_violations,
+        CASE o_orderkey % 6 WHEN 0 THEN 'Bên B phải trả lương tối thiểu và bảo hiểm' WHEN 1 THEN 'Phạt 30% giá trị hợp đồng' WHEN 2 THEN 'Thuê nhà và căn hộ dài hạn' WHEN 3 THEN 'Thông tin mật phải được giữ kín'
+          WHEN 4 THEN 'Giao hàng đúng hạn' ELSE 'Đơn phương chấm dứt hợp đồng lao động' END || ', mục ' || o_orderkey AS text FROM {orders}""",
+    "subqueries": """SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'TOPIC' WHEN 1 THEN 'LOOKUP' WHEN 2 THEN 'VALIDITY' WHEN 3 THEN 'COMPARISON' WHEN 4 THEN 'SEARCH' WHEN 5 THEN 'SCENARIO' WHEN 6 THEN 'CHECKLIST' ELSE 'NUMERIC' END AS intent,
+        CASE o_custkey % 6 WHEN 0 THEN 'topic' WHEN 1 THEN 'lookup' WHEN 2 THEN 'direct_lookup' WHEN 3 THEN 'xem hiệu lực' WHEN 4 THEN 'comparison' ELSE 'vector_search' END AS strategy,
+        CASE o_orderkey % 3 WHEN 0 THEN 'thuê đất' WHEN 1 THEN 'Điều ' || o_orderkey || ' Luật Doanh nghiệp' ELSE 'luật doanh nghiệp' END AS query FROM {orders}""",
 }
+TABLES = ("part", "orders")
 
 
-def fixture(spark: SparkSession, name: str) -> DataFrame:
-    columns, rows = FIXTURES[name]
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    own = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in FIXTURES[name]}
+    return spark.sql(FIXTURES[name], **own)
 
 
 def fixture_sql(name: str) -> str:
-    columns, rows = FIXTURES[name]
-    return f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"
+    return "(" + FIXTURES[name].format(**{t: t for t in TABLES}) + ")"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Register f(spark, sf_dir) under its name; {fx_NAME} in the SQL stands for a literal table."""
+    """Register f(spark, sf_dir) under its name; {fx_NAME} in the SQL stands for a view of FIXTURES."""
 
     def register(f):
         key = name or f.__name__
