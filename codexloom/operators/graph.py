@@ -69,6 +69,26 @@ def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select(F.col("src").alias("seed"), F.col("dst").alias("id"), "rel_type").distinct()
 
 
+def adjacent_as_of(nodes: DataFrame, edges: DataFrame, at: str = "at") -> DataFrame:
+    """(id, at, direction, other, rel_type, valid_from, rank): neighbours of nodes(id, at) over edges in force at that moment, by date.
+
+    edges(src, dst, rel_type, valid_from, valid_to) hold from valid_from until before valid_to, an open one for good; direction is out or
+    in. Sides are optional: a node without neighbours stays, with nulls. Edges and moments meet by node and year, so a node with edges of
+    many years spreads over them.
+    """
+    last = nodes.agg(F.max(at).alias("_last"))
+    held = edges.join(F.broadcast(last))  # a single row
+    years = F.sequence(F.year("valid_from"), F.year(F.least(F.greatest(F.coalesce("valid_to", "_last"), "valid_from"), F.greatest("_last", "valid_from"))))
+    each = held.select("src", "dst", "rel_type", "valid_from", "valid_to", F.explode(years).alias("_year"))
+    side = lambda own, other, name: each.select(F.col(own).alias("id"), F.col(other).alias("other"), "rel_type", "valid_from", "valid_to", F.lit(name).alias("direction"), "_year")
+    both = side("src", "dst", "out").unionByName(side("dst", "src", "in"))
+    asked = nodes.select("id", F.col(at).alias("at"), F.year(at).alias("_year")).distinct()
+    found = asked.join(both, ["id", "_year"]).where((F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
+    order = Window.partitionBy("id", "at", "direction").orderBy("valid_from", "other", "rel_type")
+    ranked = found.select("id", "at", "direction", "other", "rel_type", "valid_from", F.row_number().over(order).alias("rank"))
+    return asked.drop("_year").join(ranked, ["id", "at"], "left")
+
+
 def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(seed, id, depth): the fewest steps from each seed along edges, up to a depth; each round is one equi join.
 

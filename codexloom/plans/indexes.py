@@ -1,12 +1,16 @@
-"""Stored indexes and segmented scans."""
+"""Stored indexes, segmented scans, adjacency in time, nested keys, sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codexloom.operators import carried, text_index, vector_index
+from codexloom.operators import carried, graph, html, text_index, vector_index
+from codexloom.plans.documents import _CLEAN, _text_sql
 from codexloom.plans.registry import query, table
 from codexloom.plans.retrieval import _BM25, _KNN, _TOP
+from codexloom.sources import shared
+from codexloom.sources.harvest import harvested
+from codexloom.streaming import sink
 
 
 @query(f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {_KNN}) WHERE rank <= 10")
@@ -81,3 +85,55 @@ def levels_by_status(spark, d):
     o = table(spark, d, "orders")
     rows = o.select(F.col("o_orderstatus").alias("k"), F.col("o_orderkey").alias("o"), F.when(F.col("o_orderkey") % 97 == 0, F.col("o_orderkey")).alias("a"), F.when(F.col("o_custkey") % 5 == 0, F.col("o_custkey")).alias("b"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).alias("c"), F.col("o_totalprice").alias("p"))
     return carried.carried(rows, ["k"], ["o"], {"document": "a", "article": "b", "clause": "c"}, {"best": "p"}).drop("a", "b", "c", "p")
+
+
+_VALID = """(SELECT o_custkey AS src, o_orderkey + 1000000000 AS dst, o_orderpriority AS rel, CAST(o_orderdate AS DATE) AS f, CASE o_orderstatus WHEN 'F' THEN CAST(o_orderdate AS DATE) + 90 WHEN 'P' THEN CAST(o_orderdate AS DATE) + 800 END AS u FROM orders)"""
+
+
+@query(f"""WITH e AS {_VALID}, n AS (SELECT DISTINCT id, moment FROM (SELECT src AS id FROM e UNION SELECT dst FROM e WHERE dst % 5 = 0), (SELECT unnest([DATE '1994-06-17', DATE '1998-02-01']) AS moment)),
+ b AS (SELECT src AS id, dst AS other, 'out' AS direction, rel, f, u FROM e UNION ALL SELECT dst, src, 'in', rel, f, u FROM e),
+ r AS (SELECT n.id, n.moment, direction, other, rel, f, CAST(row_number() OVER (PARTITION BY n.id, n.moment, direction ORDER BY f, other, rel) AS INTEGER) AS rank FROM n JOIN b ON b.id = n.id AND f <= moment AND (u IS NULL OR moment < u))
+ SELECT n.id, n.moment AS "at", direction, other, rel AS rel_type, f AS valid_from, rank FROM n LEFT JOIN r ON r.id = n.id AND r.moment = n.moment""")
+def graph_adjacent_as_of(spark, d):
+    """Orders in force of each customer, and customers of orders, at two moments, by date; those without any stay."""
+    o = table(spark, d, "orders")
+    day = F.col("o_orderdate").cast("date")
+    until = F.when(F.col("o_orderstatus") == "F", F.date_add(day, 90)).when(F.col("o_orderstatus") == "P", F.date_add(day, 800))
+    edges = o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst"), F.col("o_orderpriority").alias("rel_type"), day.alias("valid_from"), until.alias("valid_to"))
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.where("dst % 5 = 0").select(F.col("dst").alias("id"))).distinct()
+    moments = F.explode(F.array(*(F.lit(x).cast("date") for x in ("1994-06-17", "1998-02-01"))))
+    return graph.adjacent_as_of(ids.select("id", moments.alias("at")), edges)
+
+
+_NESTED = """'{"user": {"doc_id": ' || event_id || ', "items": [{"doc_id": "' || user_id || '"}, {"x": {"doc_id": ' || (event_id % 2 = 0) || '}}, 7]}, "note": "\\"doc_id\\": 5, {}", "doc_id": null, "props": ' || props || '}'"""
+
+
+@query(f"SELECT event_id, json_extract_string(value, '$') AS value FROM (SELECT event_id, t.key AS key, t.value AS value, t.type AS type FROM (SELECT event_id, CAST({_NESTED} AS JSON) AS j FROM events) e, json_tree(e.j) t) WHERE key = 'doc_id' AND type NOT IN ('OBJECT', 'ARRAY', 'NULL')")
+def json_harvest(spark, d):
+    """Every id at any depth of nested documents, but none inside strings."""
+    e = table(spark, d, "events")
+    text = F.concat(F.lit('{"user": {"doc_id": '), "event_id", F.lit(', "items": [{"doc_id": "'), "user_id", F.lit('"}, {"x": {"doc_id": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit('}}, 7]}, "note": "\\"doc_id\\": 5, {}", "doc_id": null, "props": '), "props", F.lit("}"))
+    return harvested(e, ["event_id"], text, "doc_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_rows_once(spark, d):
+    """A stream of events into the sink, and the whole stream again without its checkpoint: each row is there once."""
+    path, columns = f"{d}/events.parquet", ["event_id", "user_id", "event_type"]
+    folder = shared.folder(spark, "once")
+    keep = sink.once(folder, "user_id", "event_id")
+    for _ in range(2):
+        stream = sink.bounded(spark, path, columns)
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", shared.folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return sink.rows(spark, folder, stream.schema)
+
+
+@query(f"SELECT page_id, md5({_CLEAN}) AS digest, length({_text_sql(_CLEAN)}) AS n_text FROM pages")
+def html_clean_stream(spark, d):
+    """Pages cleaned as a stream of bounded batches with two columns read."""
+    folder = shared.folder(spark, "pages")
+    stream = sink.bounded(spark, f"{d}/pages.parquet", ["page_id", "html"])
+    c = html.clean(F.col("html"))
+    cleaned = stream.select("page_id", F.md5(c).alias("digest"), F.char_length(html.text_of(c)).cast("long").alias("n_text"))
+    sink.run(cleaned, folder)
+    return sink.rows(spark, folder, cleaned.schema)
