@@ -10,7 +10,7 @@ from codexloom.plans.registry import query, table
 from codexloom.plans.retrieval import _BM25, _KNN, _TOP
 from codexloom.sources import shared
 from codexloom.sources.harvest import harvested
-from codexloom.streaming import sink
+from codexloom.streaming import sink, state
 
 
 @query(f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {_KNN}) WHERE rank <= 10")
@@ -137,3 +137,24 @@ def html_clean_stream(spark, d):
     cleaned = stream.select("page_id", F.md5(c).alias("digest"), F.char_length(html.text_of(c)).cast("long").alias("n_text"))
     sink.run(cleaned, folder)
     return sink.rows(spark, folder, cleaned.schema)
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ r AS (SELECT user_id, event_id, i, m AS start, 1 AS n FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.i, CASE WHEN o.m >= r.start + 3600000000 THEN o.m ELSE r.start END, CASE WHEN o.m >= r.start + 3600000000 THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+ SELECT user_id, event_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n FROM r""")
+def stream_windows(spark, d):
+    """Each event's window from the first hit, as keyed state of a stream."""
+    folder = shared.folder(spark, "windows")
+    stream = state.windows(sink.bounded(spark, f"{d}/events.parquet", ["event_id", "ts", "user_id"]))
+    sink.run(stream, folder)
+    return sink.rows(spark, folder, stream.schema).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "start", "n")
+
+
+@query("SELECT user_id, CAST(dialogue AS BIGINT) AS dialogue, least(count(*), 50) AS held FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dialogue FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS gap FROM events)) GROUP BY 1, 2")
+def stream_dialogues(spark, d):
+    """Dialogues of users with the turns in memory at their end, as keyed state of a stream."""
+    folder = shared.folder(spark, "dialogues")
+    stream = state.dialogues(sink.bounded(spark, f"{d}/events.parquet", ["event_id", "ts", "user_id"]))
+    sink.run(stream, folder)
+    return sink.rows(spark, folder, stream.schema).groupBy(F.col("key").alias("user_id"), "dialogue").agg(F.max("held").alias("held"))

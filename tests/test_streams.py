@@ -78,3 +78,40 @@ def test_adjacency_against_brute_force(spark):
         if not hits:
             want.append((i, at, None, None, None, None, None))
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_state_over_batches_is_that_of_one(spark, tmp_path):
+    """The same rows in one file and in five: state between batches carries windows, dialogues and codes on."""
+    from codexloom.operators import stores
+    from codexloom.streaming import state
+
+    rng = random.Random(4)
+    start, minute = datetime.datetime(2024, 1, 1), 0
+    rows = []
+    for i in range(240):
+        minute += rng.choice([0, 0, 1, 1, 2, 2, 3, 3, 40, 70])
+        rows.append((i, start + datetime.timedelta(minutes=minute, seconds=i % 50 if minute else i), rng.randrange(3)))
+    rows.sort(key=lambda r: (r[1], r[0]))
+    schema = "event_id long, ts timestamp, user_id long"
+    for name, n in (("one", 240), ("five", 48)):
+        for i in range(0, 240, n):
+            spark.createDataFrame(rows[i : i + n], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    found = {}
+    for name in ("one", "five"):
+        events = sink.bounded(spark, f"{tmp_path}/{name}", ["event_id", "ts", "user_id"])
+        is_code = F.col("event_id") % 5 == 0
+        typed = F.when(is_code | (F.col("event_id") % 2 == 0), "1").otherwise("2")
+        tries = events.select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), is_code.alias("is_code"), stores.code_hash(typed, F.lit("s")).alias("hash"))
+        for kind, stream in (("windows", state.windows(events)), ("dialogues", state.dialogues(events, most=5)), ("codes", state.codes(tries))):
+            folder = shared.folder(spark, "state")
+            sink.run(stream, folder)
+            found[name, kind] = sorted(tuple(r) for r in sink.rows(spark, folder, stream.schema).collect())
+    for kind in ("windows", "dialogues", "codes"):
+        assert found["one", kind] == found["five", kind] and found["one", kind]
+    assert max(r[4] for r in found["five", "dialogues"]) == 5
+    batch = spark.createDataFrame(rows, schema)
+    made = batch.where("event_id % 5 = 0").select("user_id", F.col("ts").alias("created_at"), stores.code_hash(F.lit("1"), F.lit("s")).alias("code_hash"))
+    tried = batch.where("event_id % 5 <> 0").select("user_id", F.col("ts").alias("at"), stores.code_hash(F.when(F.col("event_id") % 2 == 0, "1").otherwise("2"), F.lit("s")).alias("hash"))
+    want = sorted((r.user_id, r.m, r.outcome) for r in stores.code_checks(tried, made).select("user_id", F.unix_micros("at").alias("m"), "outcome").collect())
+    assert {x[3] for x in found["five", "codes"]} >= {"ok", "wrong", "used", "expired"}
+    assert sorted((k, at, o) for k, _, at, o in found["five", "codes"]) == want
