@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import blank_to_null, build_uid, literal_map, normal_key, uid_part
 from codexloom.functions.spans import outside, places
+from codexloom.operators.carried import carried
 
 #: One reference: [điểm] [khoản] Điều [document]. Fixed values of the citation grammar.
 REFERENCE = (
@@ -244,10 +245,12 @@ def resolve_external(found: DataFrame, short_titles: DataFrame, lookup: DataFram
 
 
 def carry_forward(refs: DataFrame, document: str, order: str, column: str, by: str | None = None) -> DataFrame:
-    """Fill a column with the last value before it in the document; with `by`, only within the same value of that."""
-    keys = [document] + ([by] if by else [])
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return refs.withColumn(column, F.last(column, ignorenulls=True).over(w))
+    """Fill a column with the last value before it in the document; with `by`, only within the same value of that.
+
+    A document of any share is spread over ranges of its rows.
+    """
+    filled = carried(refs, [document] + ([by] if by else []), [order], {"_filled": column})
+    return filled.select(*(F.col("_filled").alias(c) if c == column else F.col(c) for c in refs.columns))
 
 
 def relation_rows(relations: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -49,22 +49,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact nearest rows to each of a stated query set, which is read in blocks against all rows.
+    """(query_id, vec_id, score, rank): exact nearest rows of vectors(vec_id, embedding) to each query of queries(query_id, query).
 
-    queries(query_id, query) must be a bounded set; it is joined by broadcast after a count, else by a shuffle of
-    the queries to every block of rows.
+    Rows are dealt into blocks and queries into groups, and a block meets a group in one task as matrices; only the best k of each block
+    leave it. A stored index (`vector_index`) reads less of the table. Vectors that are null, zero, of an uncommon length or hold null or non-finite
+    components are left out on both sides.
     """
-    norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select("query_id", "query", norm(F.col("query")).alias("qn"))
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
-    small = q.limit(10_001).count() <= 10_000
-    if small:
-        pairs = v.join(F.broadcast(q), F.lit(True))
-    else:  # blocks of queries and rows meet by an equi join on the block number
-        n = 64
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")), "block")
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("query")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
-    return top_k(scored, ["query_id"], k, F.desc("score"), "vec_id")
+    from codexloom.operators import vector_index
+
+    return top_k(vector_index.against_all(vectors, queries, k), ["query_id"], k, F.desc("score"), "vec_id")
 
 
 def authority(doc_type: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codexloom.operators.carried import carried
+
 #: Limits of the free plan. Fixed values.
 FREE = {"contracts_per_month": 5, "qa_per_day": 10, "api_calls_per_hour": 100}
 
@@ -37,9 +39,9 @@ def history(messages: DataFrame, n: int) -> DataFrame:
 
 
 def monotone(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """A progress value that never falls, held between 0 and 100."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("progress", F.max(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(value)))).over(w))
+    """A progress value that never falls, held between 0 and 100; rows of a key of any share are spread."""
+    held = df.withColumn("_held", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(value))))
+    return carried(held, [key], [order], {}, {"progress": "_held"}).drop("_held")
 
 
 def greedy_batches(df: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:

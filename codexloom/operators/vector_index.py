@@ -114,23 +114,24 @@ def _asked(index: Index, queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query").mapInArrow(run, "query_id long, unit array<double>, angles array<double>")
 
 
-def _score(index: Index, probes: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the first k of each block that a query probes. probes: query_id, unit, list."""
+def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """(query_id, vec_id, score): the first k rows of a block for each query."""
+    out: list[tuple[np.ndarray, ...]] = []
+    if left.num_rows and right.num_rows:
+        m = np.array(left.column("unit").to_pylist(), np.float64)
+        ids = left.column("vec_id").to_numpy()
+        for i in range(0, right.num_rows, QUERIES):
+            some = right.slice(i, QUERIES)
+            scores = np.round(np.array(some.column("unit").to_pylist(), np.float64) @ m.T, 6)
+            for q, row in zip(some.column("query_id").to_pylist(), scores, strict=True):
+                best = np.lexsort((ids, -row))[:k]
+                out.append((np.full(len(best), q), ids[best], row[best]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if left.num_rows and right.num_rows:
-            m = np.array(left.column("unit").to_pylist(), np.float64)
-            ids = left.column("vec_id").to_numpy()
-            for i in range(0, right.num_rows, QUERIES):
-                some = right.slice(i, QUERIES)
-                scores = np.round(np.array(some.column("unit").to_pylist(), np.float64) @ m.T, 6)
-                for q, row in zip(some.column("query_id").to_pylist(), scores, strict=True):
-                    best = np.lexsort((ids, -row))[:k]
-                    out.append((np.full(len(best), q), ids[best], row[best]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
+def _score(index: Index, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the first k of each block that a query probes. probes: query_id, unit, list."""
     probes = probes.select("query_id", "unit", "list")
     groups = probes.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups")).join(index.lists.select("list", "blocks"), "list")
     groups = F.broadcast(shared.cut(groups))  # a row a list: at most a quarter of the sample
@@ -138,7 +139,32 @@ def _score(index: Index, probes: DataFrame, k: int) -> DataFrame:
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "group", "query_id", "unit")
     rows = index.table.join(groups, "list").select("list", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "unit")
     on = ["list", "block", "group"]
-    return rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double")
+    return rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(lambda left, right: _best(left, right, k), "query_id long, vec_id long, score double")
+
+
+def units(df: DataFrame, id_: str, vector: str, dim: int) -> DataFrame:
+    """(id_, unit) of the usable vectors of a table."""
+
+    def run(batches):
+        for batch in batches:
+            unit, at = matrix(batch.column(vector), dim)
+            if len(unit):
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * dim), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(id_).take(pa.array(at)).cast(pa.int64()), flat], [id_, "unit"])
+
+    return df.select(id_, vector).mapInArrow(run, f"{id_} long, unit array<double>")
+
+
+def against_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the first k of each block of all vectors for each query, without an index."""
+    sizes = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, n = (sizes.dim, sizes.n) if sizes else (1, 0)
+    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // ASKED))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    rows = units(vectors, "vec_id", "embedding", dim).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", each(groups))
+    asked = units(queries, "query_id", "query", dim).withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("block", each(blocks))
+    on = ["block", "group"]
+    return rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(lambda left, right: _best(left, right, k), "query_id long, vec_id long, score double")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
