@@ -161,6 +161,28 @@ def segments(lines: DataFrame) -> DataFrame:
     )
 
 
+def parsed(lines: DataFrame, most: int = 200_000) -> DataFrame:
+    """(doc_id, segments, articles, parse_error): a row for each document; what can't be parsed says why and fails nothing else.
+
+    A document whose lines have no position, share one, have no text at all or are more than `most` isn't segmented; nor does it reach
+    the fold, so its lines are never gathered. One without any segment says so.
+    """
+    null = F.lit(None).cast("string")
+    error = (
+        F.when(F.count("*") > most, F.lit(f"more than {most} lines"))
+        .when(F.count_if(F.col("pos").isNull()) > 0, F.lit("a line has no position"))
+        .when(F.count("pos") > F.count_distinct("pos"), F.lit("lines share a position"))
+        .when(F.count_if(F.trim("line") != "") == 0, F.lit("no text"))
+        .otherwise(null)
+    )
+    docs = lines.groupBy("doc_id").agg(error.alias("_error"))
+    good = lines.join(docs.where("_error is null").select("doc_id"), "doc_id", "left_semi")
+    found = segments(good).groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if(F.col("level") == "article").alias("articles"))
+    out = docs.join(found, "doc_id", "left")
+    nothing = F.when(F.col("segments").isNull(), F.lit("no segment"))
+    return out.select("doc_id", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("_error", nothing).alias("parse_error"))
+
+
 def confidence(parsed: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, confidence): weighted share of expected articles, of articles with clauses, of kept parents."""
     n = lambda level: F.count_if(F.col("level") == level)

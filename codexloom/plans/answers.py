@@ -450,3 +450,30 @@ def distinct_pairs(spark, d):
     return rows.dropna(subset=["title"]).distinct().agg(F.count("*").alias("n"))
 
 
+
+
+@query("""WITH v AS (SELECT 'u' || l_orderkey AS uid, arg_max(l_returnflag, (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice)) = 'A' AS ok FROM lineitem GROUP BY 1)
+ SELECT o_custkey AS query_id, string_agg('Luật ' || o_orderpriority || '|Điều ' || o_orderkey || '|' || CASE WHEN o_orderkey % 2 = 0 THEN 'mới' ELSE 'cũ' END || '|' || CAST(o_orderstatus = 'F' OR coalesce(ok, false) AS VARCHAR) || '|' || CASE WHEN o_orderkey % 3 = 0 THEN 'u' || o_orderkey ELSE 'Điều ' || o_orderkey END, ';' ORDER BY o_orderkey) AS provisions
+ FROM orders LEFT JOIN v ON v.uid = 'u' || o_orderkey GROUP BY 1""")
+def provision_payload(spark, d):
+    """Each customer's provisions as readers get them, verified by status or by the last check of their uid."""
+    from codexloom.operators import payloads
+
+    o, text = F.col("o_orderkey"), lambda c: F.when(c, F.lit("")).otherwise
+    found = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("query_id"), o.alias("rank"), F.concat(F.lit("u"), o).alias("uid"), F.concat(F.lit("Luật "), "o_orderpriority").alias("document_title"), o.alias("article"),
+        F.when(o % 2 == 0, "mới").alias("effective_text"), F.lit("cũ").alias("text"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("unknown").alias("status"), text(o % 3 == 0)(F.concat(F.lit("Điều "), o)).alias("display_citation"), F.lit(None).cast("string").alias("article_title"),
+    )
+    checks = table(spark, d, "lineitem").select(F.concat(F.lit("u"), "l_orderkey").alias("uid"), F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("at"), (F.col("l_returnflag") == "A").alias("verified"))
+    rows = payloads.provisions(found, checks)
+    return rows.select("query_id", F.array_join(F.transform("provisions", lambda p: F.concat_ws("|", p["document_name"], p["article_number"], p["text"], p["verified"].cast("string"), p["citation"])), ";").alias("provisions"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN lang END AS so_ky_hieu, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 24) || '...' AS title, '' AS loai_van_ban, source AS match_method FROM documents WHERE doc_id % 5 > 0")
+def target_list(spark, d):
+    """Documents with an id as targets, titles clipped."""
+    from codexloom.operators import payloads
+
+    doc = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.when(doc % 5 > 0, doc).alias("doc_id"), F.when(doc % 2 == 0, F.col("lang")).alias("so_ky_hieu"), payloads.clipped(F.col("text"), 24, "...").alias("title"), F.lit(None).cast("string").alias("loai_van_ban"), F.col("source").alias("match_method"))
+    return payloads.targets(rows)

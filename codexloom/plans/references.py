@@ -155,6 +155,28 @@ def confidence_distribution(spark, d):
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))  # three rows
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN way IN (1, 2, 3, 4) THEN 0 ELSE 3 END AS segments, CASE WHEN way IN (1, 2, 3, 4) THEN 0 ELSE 1 END AS articles,
+ CASE way WHEN 1 THEN 'a line has no position' WHEN 2 THEN 'lines share a position' WHEN 3 THEN 'no text' WHEN 4 THEN 'no segment' END AS parse_error FROM (SELECT o_orderkey, o_orderkey % 9 AS way FROM orders)""")
+def segment_errors(spark, d):
+    """Orders as documents of three lines, some with faults planted: each has a row, and faults are told."""
+    o = F.col("o_orderkey")
+    way, i = o % 9, F.col("i")
+    texts = F.when(way == 4, F.concat(F.lit("Ngày "), o)).when(i == 0, F.concat(F.lit("Điều "), o, F.lit(". Phạm vi"))).when(i == 1, "1. Khoản một").otherwise("a) Điểm a")
+    rows = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("i"))
+    pos = F.when((way == 2) & (i == 2), 1).when((way != 1) | (i < 2), i)
+    return segment.parsed(rows.select(o.alias("doc_id"), pos.cast("long").alias("pos"), F.when(way != 3, texts).alias("line")))
+
+
+@query("""SELECT confidence, n, round(100.0::DOUBLE * n / total, 1) AS percent, CASE confidence WHEN 'high' THEN n >= 0.80 * total WHEN 'low' THEN n <= 0.05 * total ELSE true END AS on_target
+ FROM (SELECT unnest(['high', 'medium', 'low']) AS confidence, unnest([h, m, l]) AS n, total FROM (SELECT count(*) FILTER (value >= 50) AS h, count(*) FILTER (value >= 5 AND value < 50) AS m, count(*) FILTER (value < 5) AS l, count(*) AS total FROM events))""")
+def confidence_targets(spark, d):
+    """Levels of all events' values against the targets."""
+    from codexloom.operators import payloads
+
+    v = F.col("value")
+    return payloads.within_targets(table(spark, d, "events").select(F.when(v >= 50, "high").when(v >= 5, "medium").otherwise("low").alias("confidence")))
+
+
 # effective texts: an order is an article of two clauses, its lines are amendments
 
 

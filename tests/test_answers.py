@@ -259,3 +259,25 @@ def test_direct_lookup_joins_each_level_once(spark):
         spark.createDataFrame([("p", "c", "a", "x")], "uid string, parent string, letter string, text string"),
     ))
     assert plan.count("HashJoin") + plan.count("SortMergeJoin") == 1
+
+
+def test_one_bad_document_fails_no_other(spark):
+    lines = [(1, 0, "Điều 1. A"), (1, 1, "1. Một"), (2, 0, "Điều 1. A"), (2, None, "1. Một"), (3, 0, "Điều 1. A"), (3, 0, "1. Một"), (4, 0, " "), (4, 1, None), (5, 0, "Ngày"), (6, 0, "Điều 1. A"), (6, 1, "1. x"), (6, 2, "2. y"), (6, 3, "3. z")]
+    frame = spark.createDataFrame(lines, "doc_id int, pos long, line string")
+    got = {r.doc_id: (r.segments, r.articles, r.parse_error) for r in segment.parsed(frame, most=3).collect()}
+    assert got == {1: (2, 1, None), 2: (0, 0, "a line has no position"), 3: (0, 0, "lines share a position"), 4: (0, 0, "no text"), 5: (0, 0, "no segment"), 6: (0, 0, "more than 3 lines")}
+    assert segment.parsed(frame.limit(0)).count() == 0
+
+
+def test_payloads(spark):
+    from codexloom.operators import payloads
+
+    found = spark.createDataFrame([(1, 2, "u2", None, None, None, "t2", "unknown", None, "a2"), (1, 1, "u1", "L", 7, "e1", "t1", "verified", "d1", None), (2, 1, "u3", "", 8, "", None, None, "", "")], "query_id int, rank int, uid string, document_title string, article int, effective_text string, text string, status string, display_citation string, article_title string")
+    checks = spark.createDataFrame([("u2", 1, False), ("u2", 2, True), ("u1", 1, False), ("", 3, True), ("u3", 1, True), ("u3", 2, None)], "uid string, at int, verified boolean")
+    got = {r.query_id: [tuple(p) for p in r.provisions] for r in payloads.provisions(found, checks).collect()}
+    assert got == {1: [("L", "Điều 7", "e1", True, "d1"), ("", "", "t2", True, "a2")], 2: [("", "Điều 8", "", False, "u3")]}
+    raw = spark.createDataFrame([([(None, None), ("A", 0.2)], 0.7), ([], None), ([(None, None)], None)], "i array<struct<type: string, confidence: double>>, c double")
+    assert [[tuple(x) for x in r.o] for r in raw.select(payloads.intents(F.col("i"), F.col("c")).alias("o")).collect()] == [[("SEARCH", 0.7), ("A", 0.2)], [], [("SEARCH", 0.0)]]
+    levels = spark.createDataFrame([("high",)] * 8 + [("low",)] * 2, "confidence string")
+    assert {r.confidence: (r.n, r.percent, r.on_target) for r in payloads.within_targets(levels).collect()} == {"high": (8, 80.0, True), "medium": (0, 0.0, True), "low": (2, 20.0, False)}
+    assert all(r.on_target for r in payloads.within_targets(levels.limit(0)).collect())
