@@ -20,7 +20,7 @@ similarity is at least num/den; the join returns components of links, and loses
    in y are at least as many elements of x outside y, so bit counts bound each pair's overlap from above.
    Strips of the key's largest component don't meet each other.
 5. Pairs that pass are intersected exactly: of each tile first the best pairs that would join its components, fewer than it
-   has sets; then, in new tiles, all pairs whose components still differ: sets that are open together in many tiles are
+   has sets; then, in new tiles of the keys that had any, all pairs whose components still differ: sets that are open together in many tiles are
    gathered first and meet once. From tiles come spanning pairs or sets, never all pairs, so rows grow with the sets. Only
    here and in stars do hashes travel.
 
@@ -276,6 +276,9 @@ def passing(tile: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]
     return order[a[best]], order[b[best]]
 
 
+LIVE = pa.schema([("key", pa.int64()), *LINKS])
+
+
 def forest(tile: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Of pairs in an order as many as join components of the tile: fewer than it has sets."""
     ids, own = tile.column("id").to_numpy(), tile.column("c").to_numpy()
@@ -293,7 +296,7 @@ def forest(tile: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         if x != y:
             root[max(x, y)] = min(x, y)
             links.append((int(ids[i]), int(ids[j])))
-    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], schema=LINKS)
+    return pa.RecordBatch.from_arrays([pa.repeat(tile.column("key")[0], len(links)), pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], schema=LIVE)
 
 
 def _parts(df: DataFrame) -> int:
@@ -335,13 +338,15 @@ def _candidates(found: DataFrame, work: Work) -> DataFrame:
     repeated = work.table(repeated, "repeated")
     plain = repeated.where(F.col("m") <= HOT).groupBy("m", "x", "s", "low").agg(F.min("key").alias("key"), F.count("*").alias("w"))
     chosen = plain.select("key", "m", "w").unionByName(repeated.where(F.col("m") > HOT).select("key", "m", F.lit(1).cast("long").alias("w")))
-    rows = work.table(with_ids(spark, keyed, work.table(chosen, "chosen"), "inner", "key"), "shared")
+    chosen = work.table(chosen, "chosen")
+    work.drop("repeated")
+    rows = work.table(with_ids(spark, keyed, chosen, "inner", "key"), "shared")
     hot = rows.where(F.col("m") > HOT).join(reps.select(F.col("doc_id").alias("id"), "least", "slack"), "id")
     band = F.col("key").bitwiseAND(F.lit(BAND))
     order = Window.partitionBy("id", "band").orderBy(F.desc("m"), F.desc("key"))
     hot = hot.withColumn("band", band).withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.get("slack", (F.col("band") - F.col("least")).cast("int")))
     rows = work.table(rows.where(F.col("m") <= HOT).select("key", "id", "w").unionByName(hot.select("key", "id", "w")), "rows")
-    work.drop("copies", "repeated", "chosen", "shared")
+    work.drop("copies", "chosen", "shared")
     return rows
 
 
@@ -367,7 +372,10 @@ def _dealt(tiles: DataFrame) -> DataFrame:
 
 
 def _forests(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, id): of each tile the best passing pairs that would join its components; fewer rows than the tile has."""
+    """(key, hub, id): of each tile the best passing pairs that would join its components; fewer rows than the tile has.
+
+    A key with passing pairs is in the result, as the first of a tile's pairs always joins two components.
+    """
 
     def run(batches):
         for tile in groups(batches, ["key", "tile"]):
@@ -376,7 +384,7 @@ def _forests(tiles: DataFrame, num: int, den: int) -> DataFrame:
                 if len(a):
                     yield forest(tile, a, b)
 
-    return _dealt(tiles).mapInArrow(run, "a long, b long").distinct().select(F.col("a").alias("hub"), F.col("b").alias("id"))
+    return _dealt(tiles).mapInArrow(run, "key long, a long, b long").select("key", F.col("a").alias("hub"), F.col("b").alias("id"))
 
 
 def _open(tiles: DataFrame, num: int, den: int) -> DataFrame:
@@ -435,9 +443,10 @@ def _named(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
 
 
 def components(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, work: Work) -> DataFrame:
-    """(id, component) of representatives that are linked. found: written features."""
+    """(id, component) of representatives that are linked. found: the table "features" of `work`, which goes as soon as candidates are written."""
     spark = work.spark
     rows = _candidates(found, work)
+    work.drop("features")
     ids = rows.select("id").distinct()
     texts = with_ids(spark, docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"), work.table(ids, "ids"), "left_semi", "id")
     facts = work.table(sets(texts, n), "sets")
@@ -449,7 +458,10 @@ def components(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, wo
     for k in (2, 3):  # the best pairs between components, then all that are left
         tiles = _tiles(_named(named, labels, "c"), facts, num, den, work, str(k))
         if k == 2:
-            linked = work.table(_exact(work.table(_forests(tiles, num, den), "forests"), facts, num, den, False), "links2")
+            forests = work.table(_forests(tiles, num, den), "forests")
+            linked = work.table(_exact(work.table(forests.select("hub", "id").distinct(), "best"), facts, num, den, False), "links2")
+            # components only grow: a key whose tiles had no passing pair has none later
+            named = with_ids(spark, named, work.table(forests.select("key").distinct(), "live"), on="key")
         else:
             opened = work.table(_open(tiles, num, den), "open")
             linked = work.table(_exact_tiles(_gathered(opened, facts, work), facts, num, den), "links3")
@@ -466,8 +478,9 @@ def components(docs: DataFrame, found: DataFrame, n: int, num: int, den: int, wo
 def join(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, work: Work | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; component_id is the smallest doc_id reachable by links."""
     work = work or Work(spark, "ngrams")
-    found = work.table(features(docs, n, num, den), "features")
-    names = components(docs, found, n, num, den, work)
+    whole = work.table(features(docs, n, num, den), "features")
+    found = work.table(whole.select("doc_id", "n_shingles", "set_key"), "facts")
+    names = components(docs, whole, n, num, den, work)
     reps = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     light = found.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
     out = _named(light.withColumn("c", F.coalesce("rep", "doc_id")), names, "c")
