@@ -1,17 +1,21 @@
 """Hierarchical segmentation of document lines: Phần, Chương, Mục, Điều, Khoản, Điểm.
 
 Which line opens what depends on the lines before it: quotations hide headings, and a heading inside one would open
-nothing. The rules are a state machine of a few small values, folded over a document's lines inside the JVM; the
-lines themselves stay out of the state. A document is bounded by its own length.
+nothing. The rules are a state machine of a few small values. Columns tell what each line looks like; a document's lines then
+pass the machine in order, in Arrow batches, and the text of open nodes alone is held.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codexloom.functions.identifiers import build_uid
-from codexloom.functions.text import let
+from codexloom.functions.identifiers import any_of
 
 #: Beginnings of preamble lines, and marks of the closing block. Fixed values.
 PREAMBLE = ["Căn cứ", "Theo đề nghị", "Xét đề nghị", "Thực hiện", "Quốc hội nước", "Chính phủ nước"]
@@ -27,77 +31,123 @@ MARKS, OPENING = '["“”«»]', '^["“«]'
 
 
 def is_preamble(line: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, PREAMBLE)), lambda m: F.startswith(line, m))
+    return reduce(Column.__or__, (F.startswith(line, F.lit(m)) for m in PREAMBLE))
 
 
 def is_closing(line: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, CLOSING)), lambda m: F.contains(line, m))
+    return any_of(line, CLOSING)
 
 
 def _candidate(line: Column, law: Column) -> Column:
-    """What a line would open if the state allowed it; a line that looks like several is the first."""
+    """The number of what a line would open if the state allowed it; a line that looks like several is the first. A cheap look at the
+    first letter, or for a sign that the pattern needs, goes before each pattern."""
+    first = F.substring(line, 1, 1)
     return (
-        F.when(F.regexp_like(line, F.lit(PART)) & law, "part")
-        .when(F.regexp_like(line, F.lit(CHAPTER)), "chapter")
-        .when(F.regexp_like(line, F.lit(SECTION)), "section")
-        .when(F.regexp_like(line, F.lit(ARTICLE)), "article")
-        .when(F.regexp_like(line, F.lit(CLAUSE)), "clause")
-        .when(F.regexp_like(line, F.lit(POINT)), "point")
-        .otherwise("text")
+        F.when(law & first.isin("P", "p") & F.regexp_like(line, F.lit(PART)), _PART)
+        .when(first.isin("C", "c") & F.regexp_like(line, F.lit(CHAPTER)), _CHAPTER)
+        .when(first.isin("M", "m") & F.regexp_like(line, F.lit(SECTION)), _SECTION)
+        .when(first.isin("Đ", "đ", "Ð", "ð") & F.regexp_like(line, F.lit(ARTICLE)), _ARTICLE)
+        .when(F.contains(line, F.lit(".")) & F.regexp_like(line, F.lit(CLAUSE)), _CLAUSE)
+        .when(F.contains(line, F.lit(")")) & F.regexp_like(line, F.lit(POINT)), _POINT)
+        .otherwise(0)
     )
 
 
-_OUT = "array<struct<kind: string, owner: int, chapter: int, number: int, section: int, article: int, clause: int>>"
-
-
-def _step(a: Column, x: Column) -> Column:
-    """One line: what it is, the line that opened the node it belongs to (-1: none), and what is open after it."""
-    text = F.lit("text")
-    opened = (
-        F.when(a["done"] | (x["closing"] & a["some"]), F.lit("end"))
-        .when(a["quoted"] | x["starts"], text)
-        .when(x["candidate"].isin("part", "chapter", "section", "article"), x["candidate"])
-        .when((x["candidate"] == "clause") & (a["article"] >= 0), x["candidate"])
-        .when((x["candidate"] == "point") & (a["clause"] >= 0), x["candidate"])
-        .otherwise(text)
-    )
-    return let(opened, lambda o: let(_open_after(a, x, o), lambda n: _state(a, x, o, n)))
-
-
-def _open_after(a: Column, x: Column, opened: Column) -> Column:
-    """The lines that opened what is open after a line; -1: none."""
-    i, none = x["i"], F.lit(-1)
-    heading = opened.isin("part", "chapter", "section")
-    chapter = F.when(opened == "part", none).when(opened == "chapter", i).otherwise(a["chapter"])
-    section = F.when(opened.isin("part", "chapter"), none).when(opened == "section", i).otherwise(a["section"])
-    article = F.when(heading, none).when(opened == "article", i).otherwise(a["article"])
-    clause = F.when(heading | (opened == "article"), none).when(opened == "clause", i).otherwise(a["clause"])
-    return F.struct(chapter.alias("chapter"), section.alias("section"), article.alias("article"), clause.alias("clause"))
-
-
-def _state(a: Column, x: Column, opened: Column, now: Column) -> Column:
-    """The state after a line, with what the line is."""
-    text, i, odd, none, done = F.lit("text"), x["i"], x["odd"], F.lit(-1), opened == "end"
-    chapter, section, article, clause = now["chapter"], now["section"], now["article"], now["clause"]
-    # a part takes lines but is no node; after a section they go to the chapter again
-    owner = F.when(opened == "part", none).when(opened == "section", a["chapter"]).when(opened.isin("chapter", "article", "clause", "point"), i).otherwise(a["owner"])
-    active = a["part"] | (chapter >= 0) | (article >= 0)
-    quoted = F.when(done, a["quoted"]).when(a["quoted"], ~odd).when(x["starts"], odd).when((opened == text) & active, odd).otherwise(F.lit(False))
-    number = a["number"] + F.when(opened == "chapter", 1).otherwise(0)
-    own = F.struct(opened.alias("kind"), owner.alias("owner"), chapter.alias("chapter"), number.alias("number"), section.alias("section"), article.alias("article"), clause.alias("clause"))
-    return F.struct(
-        done.alias("done"),
-        quoted.alias("quoted"),
-        (a["some"] | (opened == "article")).alias("some"),
-        (a["part"] | (opened == "part")).alias("part"),
-        chapter.alias("chapter"),
-        number.alias("number"),
-        section.alias("section"),
-        article.alias("article"),
-        clause.alias("clause"),
-        owner.alias("owner"),
-        F.concat(a["out"], F.array(own)).alias("out"),
-    )
+#: Kinds of lines by number, and the marks beside them in a line's code.
+KINDS = ["text", "part", "chapter", "section", "article", "clause", "point"]
+_PART, _CHAPTER, _SECTION, _ARTICLE, _CLAUSE, _POINT = range(1, 7)
+ODD, STARTS, CLOSES = 8, 16, 32
+
+
+class _Fold:
+    """The state machine over lines in order: which line opens a node, and to which node the others belong. It holds what is open alone."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple] = []
+        self.chapter = self.node = None
+        self.begin(None)
+
+    def begin(self, doc) -> None:
+        self.flush(chapter=True)
+        self.doc, self.i, self.number = doc, -1, 0
+        self.done = self.quoted = self.some = self.part = False
+        self.section = self.a = self.k = None
+
+    def flush(self, chapter: bool) -> None:
+        """What can get no more lines goes out; a chapter goes on after its sections."""
+        if self.node is not None and self.node is not self.chapter:
+            self.out.append((*self.node[:-1], "\n".join(self.node[-1])))
+        if chapter and self.chapter is not None:
+            self.out.append((*self.chapter[:-1], "\n".join(self.chapter[-1])))
+            self.chapter = None
+        self.node = None
+
+    def line(self, code: int, line: str, number: str | None) -> None:
+        self.i += 1
+        if self.done or (code & CLOSES and self.some):
+            self.done = True
+            return
+        kind, odd, starts = code & 7, bool(code & ODD), code & STARTS
+        if self.quoted or starts or (kind == _CLAUSE and self.a is None) or (kind == _POINT and self.k is None):
+            kind = 0
+        if self.quoted:
+            self.quoted = not odd
+        elif starts:
+            self.quoted = odd
+        else:
+            self.quoted = odd and kind == 0 and (self.part or self.chapter is not None or self.a is not None)
+        if kind:
+            self.open(kind, line, number)
+        elif self.node is not None:
+            self.node[-1].append(line)
+
+    def open(self, kind: int, line: str, number: str | None) -> None:
+        self.flush(chapter=kind in (_PART, _CHAPTER))
+        if kind <= _SECTION:
+            self.a = self.k = None
+            if kind == _SECTION:  # its own line belongs to no node, later ones to the chapter
+                self.section, self.node = line, self.chapter
+                return
+            self.section = None
+            if kind == _PART:  # takes lines, but is no node
+                self.part = True
+                return
+            self.number += 1
+        elif kind == _ARTICLE:
+            self.a, self.k, self.some = number, None, True
+        elif kind == _CLAUSE:
+            self.k = number
+        roman, n = (number, self.number) if kind == _CHAPTER else self.chapter[4:6] if self.chapter is not None else (None, None)
+        self.node = [self.doc, self.i, KINDS[kind], line, roman, n, self.section, self.a, self.k, [line]]
+        if kind == _CHAPTER:
+            self.chapter = self.node
+
+
+_NODE = "seq long, kind string, line string, roman string, chapter int, section string, a string, k string, text string"
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of lines(doc_id, code, line, number) that come by document and position, as the fold closes them."""
+    fold, last, first, schema = _Fold(), None, True, None
+    types = [pa.int64(), *[pa.string()] * 3, pa.int32(), *[pa.string()] * 4]
+    names = [x.split()[0] for x in _NODE.split(", ")]
+
+    def taken() -> pa.RecordBatch:
+        columns = list(zip(*fold.out, strict=True)) or [()] * (len(types) + 1)
+        fold.out = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [schema, *types], strict=True)], names=["doc_id", *names])
+
+    for batch in batches:
+        schema = batch.column("doc_id").type
+        for doc, code, line, number in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "code", "line", "number")), strict=True):
+            if first or doc != last:
+                fold.begin(doc)
+                last, first = doc, False
+            fold.line(code, line, number)
+        yield taken()
+    if not first:
+        fold.begin(None)
+        yield taken()
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -111,48 +161,35 @@ def segments(lines: DataFrame) -> DataFrame:
     law = F.contains(F.lower(F.coalesce("kind", F.lit(""))), F.lit("luật")) if "kind" in lines.columns else F.lit(False)
     line = F.trim("line")
     rows = lines.withColumn("_law", law).withColumn("line", line).where((line != "") & ~is_preamble(line))
-    facts = F.struct("pos", "line", _candidate(F.col("line"), F.col("_law")).alias("candidate"), (F.regexp_count("line", F.lit(MARKS)) % 2 == 1).alias("odd"), F.regexp_like("line", F.lit(OPENING)).alias("starts"), is_closing(F.col("line")).alias("closing"))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(facts), lambda x, y: F.when(x["pos"] < y["pos"], -1).when(x["pos"] > y["pos"], 1).otherwise(0)).alias("ls"))
-    small = F.transform("ls", lambda x, i: F.struct(i.alias("i"), x["candidate"].alias("candidate"), x["odd"].alias("odd"), x["starts"].alias("starts"), x["closing"].alias("closing")))
-    no, none = F.lit(False), F.lit(-1)
-    begin = F.struct(no.alias("done"), no.alias("quoted"), no.alias("some"), no.alias("part"), none.alias("chapter"), F.lit(0).alias("number"), none.alias("section"), none.alias("article"), none.alias("clause"), none.alias("owner"), F.array().cast(_OUT).alias("out"))
-    docs = docs.select("doc_id", F.transform("ls", lambda x: x["line"]).alias("ls"), F.aggregate(small, begin, _step, lambda a: a["out"]).alias("out"))
-    at = lambda i: F.get("ls", i)
-    blank = lambda c: F.nullif(c, F.lit(""))
-
-    def described(o: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("i"),
-            at(i).alias("line"),
-            o["kind"].alias("kind"),
-            o["owner"].alias("owner"),
-            F.regexp_extract(at(o["chapter"]), CHAPTER, 1).alias("roman"),
-            F.when(o["chapter"] >= 0, o["number"]).alias("chapter"),
-            at(o["section"]).alias("section"),
-            blank(F.regexp_extract(at(o["article"]), ARTICLE, 1)).alias("a"),
-            blank(F.regexp_extract(at(o["clause"]), CLAUSE, 1)).alias("k"),
-        )
-
-    each = docs.select("doc_id", F.inline(F.transform("out", described))).where("owner >= 0 and kind not in ('end', 'section')")
-    opener = F.struct("kind", "line", "roman", "chapter", "section", "a", "k")
-    joined = each.groupBy("doc_id", "owner").agg(F.min_by(opener, "i").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    joined = joined.select("doc_id", "owner", "n.*", "text")
+    rows = rows.select("doc_id", "pos", "line", _candidate(F.col("line"), F.col("_law")).alias("_kind"))
+    kind, text = F.col("_kind"), F.col("line")
+    flag = lambda c, bit: F.when(c, bit).otherwise(0)
+    quotes = F.char_length(text) - F.char_length(F.translate(text, MARKS[1:-1], ""))
+    code = kind + flag(quotes % 2 == 1, ODD) + flag((quotes > 0) & F.regexp_like(text, F.lit(OPENING)), STARTS) + flag(is_closing(text), CLOSES)
+    number = F.when(kind == _CHAPTER, F.regexp_extract(text, CHAPTER, 1)).when(kind == _ARTICLE, F.regexp_extract(text, ARTICLE, 1)).when(kind == _CLAUSE, F.regexp_extract(text, CLAUSE, 1))
+    # a document's lines follow each other in one task, which holds the open nodes alone; a count of its own keeps tasks from being merged
+    parts = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("doc_id", "pos", code.alias("code"), "line", number.alias("number")).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos", "line")
+    schema = T.StructType([lines.schema["doc_id"], *T.StructType.fromDDL(_NODE).fields])
+    nodes = dealt.select("doc_id", "code", "line", "number").mapInArrow(_nodes, schema)
     doc, null, level = F.col("doc_id"), F.lit(None).cast("string"), F.col("kind")
     point = F.regexp_extract("line", POINT, 1)
     chapter_uid = F.when(F.col("chapter").isNotNull(), F.concat_ws("_", F.lit("doc"), doc.cast("string"), F.lit("chương"), F.col("chapter").cast("string")))
-    article, clause = build_uid(doc, F.col("a"), null, null), build_uid(doc, F.col("a"), F.col("k"), null)
+    # numbers and letters as the patterns give them need none of build_uid's cleaning
+    uid = lambda *parts: F.concat_ws("_", F.lit("doc"), doc.cast("string"), *(F.concat(F.lit(f"{w}_"), c) for w, c in zip(("dieu", "khoan", "diem"), parts, strict=False)))
+    article, clause = uid(F.col("a")), uid(F.col("a"), F.col("k"))
     path = F.concat(F.when(F.col("roman") != "", F.concat(F.lit("Chương "), "roman", F.lit(" / "))).otherwise(F.lit("")), F.lit("Điều "), "a")
     to_clause = F.concat(path, F.lit(" / Khoản "), "k")
 
     def by_level(chapter_: Column, article_: Column, clause_: Column, point_: Column) -> Column:
         return F.when(level == "chapter", chapter_).when(level == "article", article_).when(level == "clause", clause_).otherwise(point_)
 
-    return joined.select(
+    return nodes.select(
         "doc_id",
-        F.col("owner").cast("long").alias("seq"),
+        "seq",
         level.alias("level"),
         by_level(F.col("chapter").cast("string"), F.col("a"), F.col("k"), point).alias("idx"),
-        by_level(chapter_uid, article, clause, build_uid(doc, F.col("a"), F.col("k"), point)).alias("uid"),
+        by_level(chapter_uid, article, clause, uid(F.col("a"), F.col("k"), point)).alias("uid"),
         by_level(null, chapter_uid, article, clause).alias("parent_uid"),
         by_level(null, path, to_clause, F.concat(to_clause, F.lit(" / Điểm "), point)).alias("path"),
         by_level(F.regexp_extract("line", CHAPTER, 2), F.regexp_extract("line", ARTICLE, 2), null, null).alias("title"),
@@ -165,7 +202,7 @@ def parsed(lines: DataFrame, most: int = 200_000) -> DataFrame:
     """(doc_id, segments, articles, parse_error): a row for each document; what can't be parsed says why and fails nothing else.
 
     A document whose lines have no position, share one, have no text at all or are more than `most` isn't segmented; nor does it reach
-    the fold, so its lines are never gathered. One without any segment says so.
+    the fold. One without any segment says so.
     """
     null = F.lit(None).cast("string")
     error = (

@@ -281,3 +281,19 @@ def test_payloads(spark):
     levels = spark.createDataFrame([("high",)] * 8 + [("low",)] * 2, "confidence string")
     assert {r.confidence: (r.n, r.percent, r.on_target) for r in payloads.within_targets(levels).collect()} == {"high": (8, 80.0, True), "medium": (0, 0.0, True), "low": (2, 20.0, False)}
     assert all(r.on_target for r in payloads.within_targets(levels.limit(0)).collect())
+
+
+def test_segments_stream_their_lines(spark):
+    """Lines pass one by one: no document is gathered, and batches may end anywhere in it."""
+    rows = [(d, 10 * i, x) for d in (None, 1, 2) for i, x in enumerate(["Chương I", "mở", "Mục 1. A", "sau", *(y for n in range(300) for y in (f"Điều {n}. T", "lời", f"{n}. khoản", "b) điểm", "“1. trích", "hết”")), "KT. B", "Điều 999. Z"])]
+    frame = spark.createDataFrame(rows, "doc_id long, pos int, line string").repartition(3)
+    found = segment.segments(frame)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    whole = sorted(map(str, found.collect()))
+    assert len(whole) == 3 * (1 + 3 * 300) and sum("text='Chương I\\nmở\\nsau'" in r for r in whole) == 3 and sum("text='b) điểm\\n“1. trích\\nhết”'" in r for r in whole) == 900
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(str, segment.segments(frame).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
