@@ -108,7 +108,9 @@ def build_uid(doc: Column, article: Column, clause: Column, point: Column) -> Co
     """doc_D_dieu_A_khoan_K_diem_P down to the first missing level; words before numbers are dropped."""
 
     def part(c: Column) -> Column:
-        c = F.trim(F.regexp_replace(c.cast("string"), r"(?iuU)^(điều|khoản|điểm)\s+", ""))
+        c = c.cast("string")
+        word = F.substring(c, 1, 1).isin(*"đĐkK\u212a")  # a cheap look first: few parts begin with a word
+        c = F.trim(F.when(word, F.regexp_replace(c, r"(?iuU)^(điều|khoản|điểm)\s+", "")).otherwise(c))
         return F.when(~F.lower(c).isin("null", "none", ""), c)
 
     a, k, p = part(article), part(clause), part(point)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import blank_to_null, citation
 from codexloom.operators.lookup import pick
+from codexloom.sources.shared import dealt
 
 
 def segment_type(labels: Column) -> Column:
@@ -23,10 +24,10 @@ def leaf_contexts(articles: DataFrame, clauses: DataFrame, points: DataFrame) ->
     a = articles.select(F.col("uid").alias("a_uid"), "doc_id", F.col("idx").try_cast("int").alias("a_idx"), F.trim("text").alias("a_text"))
     c = clauses.select(F.col("uid").alias("c_uid"), F.col("parent").alias("a_uid"), F.col("idx").try_cast("int").alias("c_idx"), F.trim("text").alias("c_text"))
     p = points.select(F.col("uid").alias("p_uid"), F.col("parent").alias("c_uid"), "letter", F.trim("text").alias("p_text"))
-    rows = a.join(c, "a_uid", "left").join(p, "c_uid", "left")
+    rows = dealt(dealt(a, "a_uid").join(c, "a_uid", "left"), "c_uid").join(p, "c_uid", "left")
     text = F.concat_ws("\n", F.coalesce("a_text", F.lit("")), blank_to_null(F.col("c_text")), blank_to_null(F.col("p_text")))
     rows = rows.select(F.coalesce("p_uid", "c_uid", "a_uid").alias("uid"), "doc_id", text.alias("text"), "a_idx", "c_idx", "letter")
-    return pick(rows, "uid", "doc_id", F.asc_nulls_last("a_idx"), F.asc_nulls_last("c_idx"), F.asc_nulls_last("letter")).select("uid", "doc_id", "text")
+    return pick(dealt(rows, "uid"), "uid", "doc_id", F.asc_nulls_last("a_idx"), F.asc_nulls_last("c_idx"), F.asc_nulls_last("letter")).select("uid", "doc_id", "text")
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -43,13 +44,14 @@ def ladder(nodes: DataFrame, points: DataFrame, clauses: DataFrame, articles: Da
     parent is a chapter or a document), chapters(uid, parent), docs(doc_id, title). An unknown uid gets nulls and itself as citation.
     """
     p = points.select("uid", F.col("parent").alias("p_clause"), "letter", F.col("text").alias("p_text"), F.lit("Point").alias("p"))
-    rows = nodes.select("uid").distinct().join(p, "uid", "left").withColumn("c_uid", F.coalesce("p_clause", "uid"))
+    rows = dealt(nodes.select("uid"), "uid").distinct().join(p, "uid", "left").withColumn("c_uid", F.coalesce("p_clause", "uid"))
     c = clauses.select(F.col("uid").alias("c_uid"), F.col("parent").alias("c_article"), F.col("idx").alias("clause"), F.col("text").alias("c_text"), F.lit("Clause").alias("c"))
-    rows = rows.join(c, "c_uid", "left").withColumn("a_uid", F.coalesce("c_article", "uid"))
+    rows = dealt(rows, "c_uid").join(c, "c_uid", "left").withColumn("a_uid", F.coalesce("c_article", "uid"))
     a = articles.select(F.col("uid").alias("a_uid"), F.col("parent").alias("a_parent"), F.col("idx").alias("article"), F.col("text").alias("a_text"), F.lit("Article").alias("a"))
-    rows = rows.join(a, "a_uid", "left")
+    # what an article stands in hangs on the article alone: articles meet it once, not with all nodes below them
     ch = chapters.select(F.col("uid").alias("a_parent"), F.col("parent").alias("ch_doc"))
-    rows = rows.join(ch, "a_parent", "left").withColumn("doc_id", F.coalesce("ch_doc", "a_parent")).join(docs.select("doc_id", "title"), "doc_id", "left")
+    a = a.join(ch, "a_parent", "left").withColumn("doc_id", F.coalesce("ch_doc", "a_parent")).join(docs.select("doc_id", "title"), "doc_id", "left")
+    rows = dealt(rows, "a_uid").join(a, "a_uid", "left")
     kind = F.coalesce("p", "c", "a")
     text = F.concat_ws("\n", *(blank_to_null(F.col(x)) for x in ("a_text", "c_text", "p_text")))
     return rows.select(

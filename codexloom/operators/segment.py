@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexloom.functions.identifiers import any_of
+from codexloom.sources.shared import dealt
 
 #: Beginnings of preamble lines, and marks of the closing block. Fixed values.
 PREAMBLE = ["Căn cứ", "Theo đề nghị", "Xét đề nghị", "Thực hiện", "Quốc hội nước", "Chính phủ nước"]
@@ -167,11 +168,10 @@ def segments(lines: DataFrame) -> DataFrame:
     quotes = F.char_length(text) - F.char_length(F.translate(text, MARKS[1:-1], ""))
     code = kind + flag(quotes % 2 == 1, ODD) + flag((quotes > 0) & F.regexp_like(text, F.lit(OPENING)), STARTS) + flag(is_closing(text), CLOSES)
     number = F.when(kind == _CHAPTER, F.regexp_extract(text, CHAPTER, 1)).when(kind == _ARTICLE, F.regexp_extract(text, ARTICLE, 1)).when(kind == _CLAUSE, F.regexp_extract(text, CLAUSE, 1))
-    # a document's lines follow each other in one task, which holds the open nodes alone; a count of its own keeps tasks from being merged
-    parts = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("doc_id", "pos", code.alias("code"), "line", number.alias("number")).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos", "line")
+    # a document's lines follow each other in one task, which holds the open nodes alone
+    ordered = dealt(rows.select("doc_id", "pos", code.alias("code"), "line", number.alias("number")), "doc_id").sortWithinPartitions("doc_id", "pos", "line")
     schema = T.StructType([lines.schema["doc_id"], *T.StructType.fromDDL(_NODE).fields])
-    nodes = dealt.select("doc_id", "code", "line", "number").mapInArrow(_nodes, schema)
+    nodes = ordered.select("doc_id", "code", "line", "number").mapInArrow(_nodes, schema)
     doc, null, level = F.col("doc_id"), F.lit(None).cast("string"), F.col("kind")
     point = F.regexp_extract("line", POINT, 1)
     chapter_uid = F.when(F.col("chapter").isNotNull(), F.concat_ws("_", F.lit("doc"), doc.cast("string"), F.lit("chương"), F.col("chapter").cast("string")))

@@ -35,3 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows computed once and kept in the shared folder: later plans begin here, and a lost executor costs no earlier work."""
     root(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys into four times the usual number of parts: a task sorts little, and Spark doesn't merge such parts into large ones."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -9,7 +9,8 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from codexloom.functions import compare, spans
-from codexloom.operators import citations, context, effective, html, lookup, pii, qa, refs, segment, stores
+from codexloom.functions import identifiers as ids
+from codexloom.operators import citations, context, effective, html, hybrid, lookup, pii, qa, refs, segment, stores
 
 
 def one(spark, column):
@@ -297,3 +298,22 @@ def test_segments_stream_their_lines(spark):
         assert sorted(map(str, segment.segments(frame).collect())) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_joins_of_levels_keep_parts_small(spark):
+    """What a task sorts doesn't grow by merged parts: the joins' sides are dealt into parts of their own number."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = lambda ddl: spark.createDataFrame([], ddl)
+    a, c, p = made("uid string, parent string, doc_id string, idx int, text string"), made("uid string, parent string, idx int, text string"), made("uid string, parent string, letter string, text string")
+    found = plan(context.ladder(made("uid string"), p, c, a, made("uid string, parent string"), made("doc_id string, title string")))
+    assert found.count("REPARTITION_BY_NUM") == 3
+    assert plan(context.leaf_contexts(a, c, p)).count("REPARTITION_BY_NUM") == 3
+    way = made("query_id long, uid long, score double")
+    found = plan(hybrid.retrieve(way, way, made("uid long, haystack string, doc_type string"), made("query_id long, keywords array<string>, title_hints array<string>"), made("src long, dst long, rel_type string")))
+    assert "REPARTITION_BY_NUM" in found
+
+
+def test_words_before_numbers_are_dropped(spark):
+    rows = spark.createDataFrame([("Điều 5", "KHOẢN  2", "đIểm a"), ("5", "2", "đ"), ("đ", None, "k"), (" Null ", "1", "x")], "a string, k string, p string")
+    got = [r.uid for r in rows.select(ids.build_uid(F.lit(1), F.col("a"), F.col("k"), F.col("p")).alias("uid")).collect()]
+    assert got == ["doc_1_dieu_5_khoan_2_diem_a", "doc_1_dieu_5_khoan_2_diem_đ", "doc_1_dieu_đ", "doc_1"]
