@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexloom.operators.search import authority, boost, combined, top_k
+from codexloom.sources.shared import dealt
 
 #: Boosts of a keyword and of a title hint, factor of an expanded node, of one that a change touches. Fixed values.
 EXACT, TITLE, GRAPH, MODIFIED = 0.08, 0.12, 1.25, 0.95
@@ -37,7 +38,7 @@ def scored(candidates: DataFrame, texts: DataFrame, plans: DataFrame) -> DataFra
 
     texts(uid, haystack, doc_type); plans(query_id, keywords, title_hints), arrays in lower case.
     """
-    rows = candidates.join(texts, "uid").join(plans, "query_id")
+    rows = dealt(dealt(candidates, "uid").join(texts, "uid"), "query_id").join(plans, "query_id")
     rows = rows.withColumn("exact", boost(hits(F.col("haystack"), F.col("keywords")), EXACT)).withColumn("title", boost(hits(F.col("haystack"), F.col("title_hints")), TITLE))
     score = combined(F.col("vector"), F.col("lexical"), F.col("exact"), F.col("title"), F.col("graph"), authority(F.col("doc_type")), F.col("validity"))
     return rows.select("query_id", "uid", "vector", "lexical", "graph", "validity", "exact", "title", F.round(score, 9).alias("score"))  # rounded: equal scores tie whatever the order of their sums
@@ -51,9 +52,9 @@ def expand(ranked: DataFrame, candidates: DataFrame, edges: DataFrame, seeds: in
     """
     first = top_k(ranked, ["query_id"], seeds, F.desc("score"), "uid").select("query_id", F.col("uid").alias("src"))
     both = edges.select("src", "dst", "rel_type").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel_type"))
-    found = first.join(both, "src").groupBy("query_id", F.col("dst").alias("uid")).agg(F.bool_or(F.col("rel_type") == "MODIFIES").alias("changed"))
+    found = dealt(dealt(first, "src").join(both, "src"), "query_id").groupBy("query_id", F.col("dst").alias("uid")).agg(F.bool_or(F.col("rel_type") == "MODIFIES").alias("changed"))
     found = top_k(found, ["query_id"], most, "uid").drop("rank")
-    out = candidates.join(found, ["query_id", "uid"], "full")
+    out = dealt(candidates, "query_id", "uid").join(found, ["query_id", "uid"], "full")
     new = F.col("changed").isNotNull()
     return out.select(
         "query_id",
