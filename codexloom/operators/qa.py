@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexloom.functions.identifiers import any_of, blank_to_null, citation, clean_optional, literal_map
-from codexloom.sources.shared import cut
+from codexloom.sources.shared import cut, dealt
 
 #: Intents by what they need. Fixed values.
 DIRECT, HYBRID, VALIDITY, COMPARISON = ["LOOKUP"], ["TOPIC", "SEARCH", "SCENARIO", "CHECKLIST", "NUMERIC"], ["VALIDITY"], ["COMPARISON"]
@@ -223,9 +223,9 @@ def direct_lookup(refs: DataFrame, articles: DataFrame, clauses: DataFrame, poin
     p = points.select(F.col("uid").alias("p_uid"), F.col("parent").alias("c_uid"), F.lower("letter").alias("p_idx"), F.col("text").alias("p_text"))
     null = F.lit(None).cast("string")
     whole = hit.where("clause is null and point is null").select("query_id", F.col("a_uid").alias("uid"), F.lit("Article").alias("segment_type"), F.col("a_text").alias("text"), "a_title", "article", null.alias("k"), null.alias("l"), "is_current")
-    in_clause = cut(hit.drop("a_text").join(c, "a_uid").where("clause is null or clause = c_idx"))
+    in_clause = cut(dealt(hit.drop("a_text"), "a_uid").join(c, "a_uid").where("clause is null or clause = c_idx"))
     of_clause = in_clause.where("point is null").select("query_id", F.col("c_uid").alias("uid"), F.lit("Clause").alias("segment_type"), F.col("c_text").alias("text"), "a_title", "article", F.col("c_idx").alias("k"), null.alias("l"), "is_current")
-    of_point = in_clause.join(p, "c_uid").where("point is null or lower(point) = p_idx").select("query_id", F.col("p_uid").alias("uid"), F.lit("Point").alias("segment_type"), F.col("p_text").alias("text"), "a_title", "article", F.col("c_idx").alias("k"), F.col("p_idx").alias("l"), "is_current")
+    of_point = dealt(in_clause, "c_uid").join(p, "c_uid").where("point is null or lower(point) = p_idx").select("query_id", F.col("p_uid").alias("uid"), F.lit("Point").alias("segment_type"), F.col("p_text").alias("text"), "a_title", "article", F.col("c_idx").alias("k"), F.col("p_idx").alias("l"), "is_current")
     found = whole.unionByName(of_clause).unionByName(of_point)
     return found.select("query_id", "uid", "segment_type", "text", citation(F.col("article"), F.col("k"), F.col("l"), F.col("a_title"), F.col("uid")).alias("display_citation"), F.coalesce("is_current", F.lit(True)).alias("is_current"))
 
