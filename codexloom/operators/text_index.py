@@ -12,9 +12,11 @@ nothing; ties go to the smaller doc_id. Postings of a term of any share are spre
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +39,38 @@ class Index:
     tokenise: Callable[[Column], Column]
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct words with their counts; a text's words are together already, so nothing is shuffled to count them."""
+    for batch in batches:
+        tallies = [Counter(w) for w in batch.column("words").to_pylist()]
+        rows = pa.array([i for i, t in enumerate(tallies) for _ in t], pa.int32())
+        terms, tf = pa.array([w for t in tallies for w in t], pa.string()), pa.array([n for t in tallies for n in t.values()], pa.int32())
+        columns = {c: batch.column(c).take(rows) for c in ("doc_id", "field", "size")}
+        yield pa.RecordBatch.from_pydict(columns | {"term": terms, "tf": tf})
+
+
 def build(spark: SparkSession, docs: DataFrame, fields: dict[str, float], tokenise: Callable[[Column], Column] = ascii_tokens, cell: int = CELL, path: str | None = None) -> Index:
     """Write the index of docs(doc_id, one text column a field) with a weight for each field."""
     path = path or shared.folder(spark, "postings")
     whole = docs.select("doc_id", F.posexplode(F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields))).alias("field", "text"))
     words = whole.select("doc_id", "field", tokenise(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    counts = words.select("doc_id", "field", "size", F.explode("words").alias("term")).groupBy("doc_id", "field", "size", "term").agg(F.count("*").alias("tf"))
     sizes = words.groupBy("field").agg(F.avg("size").alias("mean"))  # a row a field
-    weight = F.element_at(F.array(*map(F.lit, map(float, fields.values()))), F.col("field") + 1)
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    impacts = counts.join(F.broadcast(sizes), "field").groupBy("doc_id", "term").agg(F.sum(part).alias("impact"))
-    cells = F.floor(F.col("doc_id") / cell).alias("cell")
-    grouped = impacts.groupBy("term", cells).agg(F.max("impact").alias("most"), F.array_sort(F.collect_list(F.struct("doc_id", "impact"))).alias("held"))  # a cell's documents at most
-    grouped.select("term", "cell", "most", F.col("held.doc_id").alias("ids"), F.col("held.impact").alias("impacts")).repartitionByRange("term", "cell").sortWithinPartitions("term", "cell").write.mode("overwrite").parquet(f"{path}/postings")
+    counts = words.mapInArrow(_counts, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, field int, size int, term string, tf int")
+    # one shuffle of small numbers; impacts follow it, and fields, and rows that share a doc_id, are summed in their cell
+    cells = counts.select("term", F.floor(F.col("doc_id") / cell).alias("cell"), F.struct("doc_id", "field", "size", "tf").alias("part"))
+    grouped = cells.groupBy("term", "cell").agg(F.array_sort(F.collect_list("part")).alias("held"))  # a cell's documents at most
+    means = sizes.agg(F.map_from_entries(F.collect_list(F.struct("field", "mean"))).alias("means"))  # a single row
+    weights = F.array(*map(F.lit, map(float, fields.values())))
+
+    def impact(h: Column) -> Column:
+        return F.get(weights, h["field"]) * h["tf"] * (K1 + 1) / (h["tf"] + K1 * (1 - B + B * h["size"] / F.element_at("means", h["field"])))
+
+    grouped = grouped.join(F.broadcast(means)).withColumn("held", F.transform("held", lambda h: F.struct(h["doc_id"].alias("doc_id"), impact(h).alias("impact"))))
+    ids = F.array_distinct(F.col("held.doc_id"))
+    total = lambda d: F.aggregate(F.filter("held", lambda h: h["doc_id"].eqNullSafe(d)), F.lit(0.0), lambda a, h: a + h["impact"])
+    once = F.size(ids) == F.size("held")
+    grouped = grouped.select("term", "cell", ids.alias("ids"), F.when(once, F.col("held.impact")).otherwise(F.transform(ids, total)).alias("impacts"))
+    grouped.select("term", "cell", F.array_max("impacts").alias("most"), "ids", "impacts").sortWithinPartitions("term", "cell").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     n = docs.agg(F.count("*").alias("n"))
     often = postings.groupBy("term").agg(F.sum(F.size("ids")).alias("df")).join(F.broadcast(n))  # a single row

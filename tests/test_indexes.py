@@ -114,3 +114,14 @@ def test_carried_over_ranges(spark):
         assert sorted(((r.k, r.o, r.document, r.article, r.clause, r.best) for r in got.collect()), key=str) == brute_carried(rows)
     empty = carried.carried(df.limit(0), ["k"], ["o"], {"document": "a"})
     assert empty.count() == 0 and empty.columns == [*df.columns, "document"]
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, 6], "field": pa.array([0, 0], pa.int32()), "words": [["a", "b", "a"], []], "size": pa.array([3, 0], pa.int32())})
+    (got,) = text_index._counts([batch])
+    assert got.to_pylist() == [{"doc_id": 5, "field": 0, "size": 3, "term": "a", "tf": 2}, {"doc_id": 5, "field": 0, "size": 3, "term": "b", "tf": 1}]
+    docs = spark.createDataFrame([(1, "a b", "a"), (1, "a", None), (2, "b", "b b")], "doc_id long, x string, y string")
+    (held,) = text_index.build(spark, docs, {"x": 1.0, "y": 2.0}).postings.where("term = 'a'").collect()
+    assert held.ids == [1] and len(held.impacts) == 1 and held.most == held.impacts[0]
