@@ -204,7 +204,8 @@ def resolve_documents(refs: DataFrame, docs: DataFrame) -> DataFrame:
     out = given.join(by_id, "_id", "left").join(spelt.withColumnsRenamed({"_s": "_number", "_d": "_by_number"}), "_number", "left").join(spelt.withColumnsRenamed({"_s": "_key", "_d": "_by_key"}), "_key", "left")
     out = out.withColumn("_found", F.when(F.col("_id").isNotNull(), F.col("_by_id")).otherwise(F.coalesce("_by_number", "_by_key")))
     hints = out.where(F.col("_found").isNull() & F.col("_id").isNull() & (low("document_hint") != "")).select(low("document_hint").alias("_hint")).distinct()
-    by_title = holders(docs.select("doc_id", low("title").alias("_t")), hints).groupBy("_hint").agg(F.min("doc_id").alias("_by_title"))
+    titles = docs.groupBy(low("title").alias("_t")).agg(F.min("doc_id").alias("doc_id"))  # the smallest of equal titles would win anyway
+    by_title = holders(titles.select("doc_id", "_t"), hints).groupBy("_hint").agg(F.min("doc_id").alias("_by_title"))
     out = out.withColumn("_hint", low("document_hint")).join(by_title, "_hint", "left")
     how = F.when(F.col("_id").isNotNull(), F.when(F.col("_by_id").isNotNull(), "doc_id")).when(F.col("_found").isNotNull(), "so_ky_hieu").when(F.col("_by_title").isNotNull(), "title")
     title = F.when(F.col("_id").isNull(), F.col("_by_title"))

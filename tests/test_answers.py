@@ -317,3 +317,11 @@ def test_words_before_numbers_are_dropped(spark):
     rows = spark.createDataFrame([("Điều 5", "KHOẢN  2", "đIểm a"), ("5", "2", "đ"), ("đ", None, "k"), (" Null ", "1", "x")], "a string, k string, p string")
     got = [r.uid for r in rows.select(ids.build_uid(F.lit(1), F.col("a"), F.col("k"), F.col("p")).alias("uid")).collect()]
     assert got == ["doc_1_dieu_5_khoan_2_diem_a", "doc_1_dieu_5_khoan_2_diem_đ", "doc_1_dieu_đ", "doc_1"]
+
+
+def test_equal_titles_meet_hints_once(spark, monkeypatch):
+    seen, holders = [], qa.holders
+    monkeypatch.setattr(qa, "holders", lambda titles, hints: seen.append(titles.count()) or holders(titles, hints))
+    docs = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(["Luật Đất đai", "luật đất đai ", "LUẬT ĐẤT ĐAI", None, "khác"])], "doc_id long, so_ky_hieu string, key string, title string")
+    asked = spark.createDataFrame([(1, None, None, "đất đai"), (2, None, None, "không có")], "query_id long, doc_id string, so_ky_hieu string, document_hint string")
+    assert {(r.query_id, r.target_doc, r.how) for r in qa.resolve_documents(asked, docs).collect()} == {(1, 0, "title"), (2, None, "none")} and seen == [3]
