@@ -11,6 +11,7 @@ from codexloom.functions import identifiers as ids
 from codexloom.functions.compare import nfc, repair_mojibake
 from codexloom.operators import effective, html, refs, segment
 from codexloom.plans.registry import query, table
+from codexloom.sources.tables import spread
 
 
 def _orders(spark, d):
@@ -43,7 +44,7 @@ def _amending(spark, d):
         .when(F.col("o") % 4 == 2, F.concat(F.lit("Bổ sung Điều "), c, F.lit("a vào sau Điều "), c))
         .otherwise(F.concat(F.lit("Sửa đổi khoản 1; khoản 2 và điểm b khoản 3 Điều "), c, F.lit(" / Điều "), c))
     )
-    return o.select("uid", text.alias("text"), F.lit(True).alias("is_modifying"))
+    return spread(o.select("uid", text.alias("text"), F.lit(True).alias("is_modifying")))
 
 
 _MODS = """SELECT uid, 0 AS part, c AS article, '2' AS clause, NULL AS point, '46/2014/NĐ-CP' AS doc_ref, 'sua_doi' AS action, '1' AS source_clause FROM o WHERE o % 4 = 0

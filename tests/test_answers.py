@@ -88,6 +88,26 @@ def test_sentences_of_extractors(spark):
     assert [(r.doc_type, r.so_ky_hieu) for r in kinds] == [("Thông tư liên tịch", "05/2016/TTLT-NHNN-BTC")]
 
 
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_articles_are_read_once_and_not_shuffled(spark):
+    """Each unit's references are told in its own row: also those of units without a uid or with the same one."""
+    text = "Sửa đổi khoản 1; khoản 2 và điểm b khoản 3 Điều 7 / Điều 8, theo Điều 8"
+    units = spark.createDataFrame([(u, text, m) for u in (None, "u", "u") for m in (True, False, None)] + [("v", None, True), ("w", "", None)], "uid string, text string, is_modifying boolean")
+    found = refs.extract_articles(units)
+    assert _shuffles(found) == 0 and _shuffles(refs.extract(units)) == 0
+    changes = [(0, "modification", "7", "1", None), (0, "modification", "7", "2", None), (0, "modification", "7", "3", "b")]
+    free = [(0, "internal", "7", "3", "b"), (0, "internal", "8", None, None)]
+    of = lambda u: sorted((tuple(r) for r in got if r[0] == u), key=str)
+    got = [(r.uid, r.part, r.kind, r.article, r.clause, r.point) for r in found.collect()]
+    for u, times in ((None, 1), ("u", 2)):
+        assert [r for r in of(u) if r[3] != "8" and r[2] == "modification"] == sorted([(u, *c) for c in changes] * times, key=str)
+        assert [r for r in of(u) if r[2] == "internal"] == sorted([(u, *c) for c in free] * (2 * times), key=str)
+    assert {r[0] for r in got} == {None, "u"}
+
+
 def test_segments_of_a_code(spark):
     lines = ["CHỦ TỊCH", "Phần thứ nhất", "mở đầu", "CHƯƠNG I", "tên", "Mục 1. A", "sau mục", "Điều 1. X «mở", "1. khoản", "Điều 2. Y»", "ii) không", "1. Khoản", "ii) điểm nhỏ", "“Điều 9. trích", "vẫn trích”", "Chương II", "Điều 3: Z", "KT. BỘ TRƯỞNG", "Điều 4. W"]
     frame = spark.createDataFrame([(7, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
