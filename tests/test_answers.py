@@ -108,6 +108,17 @@ def test_articles_are_read_once_and_not_shuffled(spark):
     assert {r[0] for r in got} == {None, "u"}
 
 
+def test_changes_are_told_in_their_own_row(spark):
+    """Carried articles, documents and the most specific references need no window over all sentences."""
+    text = "5. Sửa đổi khoản 1 và khoản 2 Điều 7 Nghị định số 46/2014/NĐ-CP , khoản 2 Điều 7, điểm a khoản 2 Điều 7; khoản 9, Điều 8a vào sau Điều 8, khoản 4"
+    pieces = spark.createDataFrame([(u, 0, text) for u in ("u", "u", None)] + [("v", 0, None)], "uid string, part int, fragment string")
+    found = refs.modifications(pieces, ["uid", "part"])
+    assert _shuffles(found) == 0 and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    one = [("7", "1", None), ("7", "2", "a"), ("7", "9", None), ("8", "4", None)]
+    got = sorted(((r.uid, r.article, r.clause, r.point, r.doc_ref, r.action, r.source_clause) for r in found.collect()), key=str)
+    assert got == sorted([(u, *r, "46/2014/NĐ-CP", "sua_doi", "5") for u in ("u", "u", None) for r in one], key=str)
+
+
 def test_segments_of_a_code(spark):
     lines = ["CHỦ TỊCH", "Phần thứ nhất", "mở đầu", "CHƯƠNG I", "tên", "Mục 1. A", "sau mục", "Điều 1. X «mở", "1. khoản", "Điều 2. Y»", "ii) không", "1. Khoản", "ii) điểm nhỏ", "“Điều 9. trích", "vẫn trích”", "Chương II", "Điều 3: Z", "KT. BỘ TRƯỞNG", "Điều 4. W"]
     frame = spark.createDataFrame([(7, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
