@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codexloom.functions.text import let
+
 #: Letters that speak for a repaired text, and signs that speak against it. Fixed values.
 LETTERS = "ăâđêôơưĂÂĐÊÔƠƯáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
 MARKERS = ("Ã", "Ä", "Å", "Æ", "Ç", "È", "É", "Ê", "Ë", "Ð", "Ñ", "Ò", "Ó", "Ô", "Õ", "Ö", "×", "Ø", "Ù", "Ú", "á»", "áº", "Ä")
@@ -50,13 +52,10 @@ def repair_mojibake(text: Column) -> Column:
     Vietnamese letters count 3, marks of bad decoding -2 each, U+FFFD -5. A reading that fails is no candidate.
     """
 
-    def again(c: Column) -> Column:
-        raw = F.encode(F.when(F.regexp_like(c, F.lit(r"^[\x00-\xFF]*$")), c), "ISO-8859-1")
-        return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-
     gone = lambda c, marks: F.char_length(c) - F.char_length(F.translate(c, marks, ""))
     single = "".join(m for m in MARKERS if len(m) == 1)
     twice = "".join({m for m in single if single.count(m) > 1})  # a mark that is listed twice counts twice
+    signs = lambda c: F.regexp_replace(c, F.lit(r"[\x00-\x7F]+"), F.lit(" "))  # noqa: E731  # what counts is never ASCII
 
     def score(c: Column) -> Column:
         double = F.lit(0.0)
@@ -64,7 +63,12 @@ def repair_mojibake(text: Column) -> Column:
             double = double + (F.char_length(c) - F.char_length(F.replace(c, F.lit(m), F.lit("")))) / len(m)
         return 3 * gone(c, LETTERS) - 2 * (gone(c, single) + gone(c, twice) + double) - 5 * gone(c, "\ufffd")
 
-    windows = F.when(~F.regexp_like(text, F.lit(r"[\x80-\x9F]")), F.translate(text, "".join(_CP1252), "".join(_CP1252.values())))
-    latin, cp = again(text), again(windows)
-    best = F.when(score(latin) > score(text), latin).otherwise(text)
-    return F.when(score(cp) > score(best), cp).otherwise(best)
+    def best(t: Column, own: Column) -> Column:
+        # cp1252 differs from Latin-1 only for texts that Latin-1 lacks signs of, so there is one other reading at most
+        known = "".join(_CP1252)
+        windows = F.when(~F.regexp_like(own, F.lit(rf"[\x80-\x9F]|[^\x00-\xFF{known}]")), F.translate(t, known, "".join(_CP1252.values())))
+        raw = F.encode(F.when(F.regexp_like(own, F.lit(r"[^\x00-\xFF]")), windows).otherwise(t), "ISO-8859-1")
+        other = let(raw.cast("string"), lambda r: F.when(F.is_valid_utf8(r), r))
+        return let(other, lambda o: F.when(let(signs(o), score) > let(own, score), o).otherwise(t))
+
+    return let(text, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).otherwise(let(signs(t), lambda own: best(t, own))))

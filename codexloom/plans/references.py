@@ -260,10 +260,11 @@ def mojibake_repair(spark, d):
     Capitals such as Ó count as marks of bad decoding, and signs below À become an Â, which counts as a letter: the texts are put in
     lower case, without such signs.
     """
-    t = F.lower(F.regexp_replace("text", r"[\x80-\xBF]", ""))
+    texts = table(spark, d, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"[\x80-\xBF]", "")).alias("t"))
+    t = F.col("t")
     broken = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
     accents = F.replace(F.replace(t, F.lit("é"), F.lit("é")), F.lit("ü"), F.lit("ü"))
-    return table(spark, d, "documents").select("doc_id", (repair_mojibake(broken) == t).alias("repaired"), (nfc(accents) == nfc(t)).alias("composed"))
+    return texts.select("doc_id", (repair_mojibake(broken) == t).alias("repaired"), (nfc(accents) == nfc(t)).alias("composed"))
 
 
 @query("SELECT page_id, count(*) AS n, sum(length(x)) AS total FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1)), '<[^>]+>', ' ', 'g'), '&nbsp;', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS x FROM pages) WHERE x <> '' GROUP BY 1")

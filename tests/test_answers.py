@@ -119,6 +119,14 @@ def test_changes_are_told_in_their_own_row(spark):
     assert got == sorted([(u, *r, "46/2014/NĐ-CP", "sua_doi", "5") for u in ("u", "u", None) for r in one], key=str)
 
 
+def test_mojibake_is_scored_once_for_each_reading(spark):
+    """One other reading at most is made and counted; a sign beyond Latin-1 at the very end keeps a text from being read anew."""
+    frame = spark.createDataFrame([("Điều".encode().decode("latin-1"), "Điều"), ("é\u2028", "é\u2028"), ("plain", "plain"), ("", ""), (None, None), ("á»‡", "ệ"), ("á»\x87 €", "á»\x87 €")], "t string, want string")
+    fixed = frame.select("t", "want", compare.repair_mojibake(F.col("t")).alias("got"))
+    assert fixed._jdf.queryExecution().executedPlan().toString().count("translate(") <= 9
+    assert all(r.got == r.want for r in fixed.collect())
+
+
 def test_segments_of_a_code(spark):
     lines = ["CHỦ TỊCH", "Phần thứ nhất", "mở đầu", "CHƯƠNG I", "tên", "Mục 1. A", "sau mục", "Điều 1. X «mở", "1. khoản", "Điều 2. Y»", "ii) không", "1. Khoản", "ii) điểm nhỏ", "“Điều 9. trích", "vẫn trích”", "Chương II", "Điều 3: Z", "KT. BỘ TRƯỞNG", "Điều 4. W"]
     frame = spark.createDataFrame([(7, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
