@@ -37,14 +37,14 @@ def refs_external(spark, d):
 
 
 def _amending(spark, d):
-    o, c = _orders(spark, d), F.col("c").cast("string")
+    o, c = spread(_orders(spark, d), "o"), F.col("c").cast("string")  # dealt by their keys before texts are made
     text = (
         F.when(F.col("o") % 4 == 0, F.concat(F.lit("1. Sửa đổi khoản 2 Điều "), c, F.lit(" Nghị định số 46/2014/NĐ-CP như sau: “Điều 99 mới, khoản 7 Điều 98")))
         .when(F.col("o") % 4 == 1, F.concat(F.lit("Bãi bỏ điểm a khoản 1 Điều "), c, F.lit("; Bãi bỏ khoản 4 Điều "), c))
         .when(F.col("o") % 4 == 2, F.concat(F.lit("Bổ sung Điều "), c, F.lit("a vào sau Điều "), c))
         .otherwise(F.concat(F.lit("Sửa đổi khoản 1; khoản 2 và điểm b khoản 3 Điều "), c, F.lit(" / Điều "), c))
     )
-    return spread(o.select("uid", text.alias("text"), F.lit(True).alias("is_modifying")))
+    return o.select("uid", text.alias("text"), F.lit(True).alias("is_modifying"))
 
 
 _MODS = """SELECT uid, 0 AS part, c AS article, '2' AS clause, NULL AS point, '46/2014/NĐ-CP' AS doc_ref, 'sua_doi' AS action, '1' AS source_clause FROM o WHERE o % 4 = 0

@@ -16,10 +16,14 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where a scan has fewer splits, for work that costs much more than a shuffle of its rows."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores where a scan has fewer splits, for work that costs much more than a shuffle of its rows.
+
+    Dealt by hash of the keys (without any, of all columns that have one): dealing in turn sorts a split's rows in the memory of one task.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    by = keys or ["`" + c.replace("`", "``") + "`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
 def pick_column(df: DataFrame, names: list[str], to: str) -> DataFrame:

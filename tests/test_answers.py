@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from codexloom.functions import compare, spans
 from codexloom.functions import identifiers as ids
 from codexloom.operators import citations, context, effective, html, hybrid, lookup, pii, qa, refs, segment, stores
+from codexloom.plans import knowledge, references
+from codexloom.sources.tables import spread
 
 
 def one(spark, column):
@@ -119,6 +121,20 @@ def test_changes_are_told_in_their_own_row(spark):
     assert got == sorted([(u, *r, "46/2014/NĐ-CP", "sua_doi", "5") for u in ("u", "u", None) for r in one], key=str)
 
 
+def test_rows_are_dealt_without_sorting_them(spark):
+    """Dealing in turn would sort each split's rows in one task; amending texts are made behind the shuffle, and columns without a hash don't hinder it."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for make in (references.refs_modification, references.refs_articles, knowledge.pii_detect, knowledge.pii_redact):
+        shown = plan(make(spark, "/root/testdata/sf0.001"))
+        assert "Exchange hashpartitioning" in shown and "RoundRobin" not in shown
+    assert "Nghị định" not in plan(references.refs_modification(spark, "/root/testdata/sf0.001")).split("Exchange hashpartitioning")[1]
+    rows = spark.range(1000, numPartitions=1).select("id", F.lit("same").alias("a `b`.c"), F.create_map(F.lit("k"), "id").alias("m"), F.array(F.create_map("id", "id")).alias("n"))
+    for dealt in (spread(rows), spread(rows, "id"), spread(rows.select("m"))):
+        assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sorted(r.m["k"] for r in dealt.collect()) == list(range(1000))
+    assert all(spread(rows, *keys).groupBy(F.spark_partition_id()).count().count() == spark.sparkContext.defaultParallelism for keys in ((), ("id",)))
+
+
 def test_mojibake_is_scored_once_for_each_reading(spark):
     """One other reading at most is made and counted; a sign beyond Latin-1 at the very end keeps a text from being read anew."""
     frame = spark.createDataFrame([("Điều".encode().decode("latin-1"), "Điều"), ("é\u2028", "é\u2028"), ("plain", "plain"), ("", ""), (None, None), ("á»‡", "ệ"), ("á»\x87 €", "á»\x87 €")], "t string, want string")
