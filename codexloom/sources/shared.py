@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys that may be broadcast.
+FEW = 250_000
 
 
 def root(spark: SparkSession) -> str:
@@ -37,6 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As `cut`, for many rows: written as a table of compressed columns."""
+    path = folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def among(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is among some: broadcast only if a count shows that these are few."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, "left_semi")
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt by keys into four times the usual number of parts: a task sorts little, and Spark doesn't merge such parts into large ones."""
     return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -125,3 +125,31 @@ def test_words_are_counted_where_their_text_is(spark):
     docs = spark.createDataFrame([(1, "a b", "a"), (1, "a", None), (2, "b", "b b")], "doc_id long, x string, y string")
     (held,) = text_index.build(spark, docs, {"x": 1.0, "y": 2.0}).postings.where("term = 'a'").collect()
     assert held.ids == [1] and len(held.impacts) == 1 and held.most == held.impacts[0]
+
+
+def test_cells_leave_their_first_rows_alone(spark, monkeypatch):
+    """No posting is shuffled to be grouped, batches may end anywhere in a cell, and a cell gives a query its first rows, not all."""
+    docs = spark.createDataFrame([(i, "a " * (i % 7) + "b " * (i % 5) + f"c{i} é", "b") for i in range(300)] + [(3, None, "a b"), (299, "", "c1")], "doc_id long, x string, y string")
+    fields = {"x": 1.0, "y": 2.0}
+    held = lambda: sorted(map(str, text_index.build(spark, docs, fields, cell=32).postings.collect()))
+    whole = held()
+    monkeypatch.setattr(text_index, "TEXTS", 3)
+    monkeypatch.setattr(text_index, "TERMS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert held() == whole and len(whole) > 300
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = text_index.build(spark, docs, fields, cell=300)
+    asked = spark.createDataFrame([(1, "a"), (2, "a b zz"), (3, "zz"), (4, "c1 b")], "query_id int, text string")
+    wanted = asked.select("query_id", F.explode(search.ascii_tokens(F.col("text"))).alias("term")).join(index.terms, "term").withColumn("cell", F.lit(0).cast("long"))
+    every = {(r.query_id, r.doc_id): r.score for r in text_index._scores(index, wanted).collect()}
+    assert sum(q == 1 for q, _ in every) > 250 and {q for q, _ in every} == {1, 2, 4}
+    for groups in (1, 3):
+        few = text_index._scores(text_index.replace(index, keep=(5, 1e-9), groups=groups), wanted).collect()
+        assert len(few) < 150 and all(abs(every[r.query_id, r.doc_id] - r.score) < 1e-9 for r in few)
+        for q in (1, 2, 4):
+            least = sorted((s for (x, _), s in every.items() if x == q), reverse=True)[4]
+            assert {r.doc_id for r in few if r.query_id == q} == {d for (x, d), s in every.items() if x == q and s >= least - 1e-9}
+    light = text_index.build(spark, docs, {"x": 0.0, "y": 0.0}, cell=32)
+    assert [(r.query_id, r.doc_id, r.score) for r in text_index.search(light, asked.where("query_id = 1"), 2).orderBy("rank").collect()] == [(1, 1, 0.0), (1, 2, 0.0)]
