@@ -40,11 +40,15 @@ def bm25_index_topk(spark, d):
     return text_index.search(index, _asked(spark, d), 5)
 
 
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 _FIELDS = """(WITH f AS (SELECT doc_id, 0 AS field, 2.0::DOUBLE AS weight, regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+') AS ws FROM documents
   UNION ALL SELECT doc_id, 1, 1.5::DOUBLE, regexp_extract_all(lower(source || ' ' || lang), '[a-z0-9]+') FROM documents
   UNION ALL SELECT doc_id, 2, 1.0::DOUBLE, regexp_extract_all(lower(text), '[a-z0-9]+') FROM documents),
  s AS (SELECT field, avg(len(ws)) AS mean FROM f GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
- q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text || ' en'), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 50 = 0),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text || ' en'), '[a-z0-9]+')) AS term FROM benchmark),
  tf AS (SELECT doc_id, field, weight, size, term, count(*) AS tf FROM (SELECT doc_id, field, weight, len(ws) AS size, unnest(ws) AS term FROM f) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
  i AS (SELECT doc_id, term, sum(weight * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS impact FROM tf JOIN s USING (field) GROUP BY 1, 2),
  df AS (SELECT term, count(*) AS df FROM i GROUP BY 1)
@@ -56,7 +60,7 @@ def bm25_index_fields(spark, d):
     """Title, source and text with weights, the ten best documents of each question."""
     docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.concat_ws(" ", "source", "lang").alias("origin"), "text")
     index = text_index.build(spark, docs, {"title": 2.0, "origin": 1.5, "text": 1.0})
-    return text_index.search(index, _asked(spark, d).withColumn("text", F.concat("text", F.lit(" en"))), 10)
+    return text_index.search(index, _questions(spark, d).withColumn("text", F.concat("text", F.lit(" en"))), 10)
 
 
 _LAST = "last_value({0} IGNORE NULLS) OVER (PARTITION BY {1} ORDER BY {2} ROWS UNBOUNDED PRECEDING)"

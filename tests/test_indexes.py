@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from codexloom.operators import carried, search, text_index, vector_index
+from codexloom.plans import catalogue
+from tests.compare import rows as sorted_rows
 
 RNG = random.Random(8)
 
@@ -153,3 +156,20 @@ def test_cells_leave_their_first_rows_alone(spark, monkeypatch):
             assert {r.doc_id for r in few if r.query_id == q} == {d for (x, d), s in every.items() if x == q and s >= least - 1e-9}
     light = text_index.build(spark, docs, {"x": 0.0, "y": 0.0}, cell=32)
     assert [(r.query_id, r.doc_id, r.score) for r in text_index.search(light, asked.where("query_id = 1"), 2).orderBy("rank").collect()] == [(1, 1, 0.0), (1, 2, 0.0)]
+
+
+def asks_every_question(spark, folder, name):
+    """The query over a few documents and questions finds something for each question, and what its SQL finds."""
+    spark.createDataFrame([(i, f"alpha w{i} beta", "en", "web") for i in range(9)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, f"w{i} beta") for i in range(7)] + [(50, "beta"), (51, "zz alpha")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    found = catalogue.queries()[name](spark, str(folder))
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = c.execute(catalogue.oracle_sql()[name])
+    names, got = [x[0] for x in want.description], [tuple(r) for r in found.collect()]
+    assert sorted_rows(found.columns, got) == sorted_rows(names, want.fetchall()) and {r[0] for r in got} == {*range(7), 50, 51}
+
+
+def test_fields_are_searched_for_every_question(spark, tmp_path):
+    asks_every_question(spark, tmp_path, "bm25_index_fields")
