@@ -173,3 +173,8 @@ def asks_every_question(spark, folder, name):
 
 def test_fields_are_searched_for_every_question(spark, tmp_path):
     asks_every_question(spark, tmp_path, "bm25_index_fields")
+
+
+def test_postings_are_searched_for_every_question(spark, tmp_path):
+    asks_every_question(spark, tmp_path, "bm25_index_topk")
+    assert "item_id" not in catalogue.oracle_sql()["bm25_index_topk"].split("FROM benchmark")[1]
