@@ -104,16 +104,17 @@ def short_titles(title: Column, doc_type: Column) -> Column:
     return F.array_distinct(F.array(full, F.regexp_replace(full, r"(?iuU)\s+năm\s+\d{4}$", "")))
 
 
-def build_uid(doc: Column, article: Column, clause: Column, point: Column) -> Column:
-    """doc_D_dieu_A_khoan_K_diem_P down to the first missing level; words before numbers are dropped."""
+def _level(c: Column) -> Column:
+    """A number or letter of a uid without the word before it; null if it says nothing."""
+    c = c.cast("string")
+    word = F.substring(c, 1, 1).isin(*"đĐkK\u212a")  # a cheap look first: few parts begin with a word
+    c = F.trim(F.when(word, F.regexp_replace(c, r"(?iuU)^(điều|khoản|điểm)\s+", "")).otherwise(c))
+    return F.when(~F.lower(c).isin("null", "none", ""), c)
 
-    def part(c: Column) -> Column:
-        c = c.cast("string")
-        word = F.substring(c, 1, 1).isin(*"đĐkK\u212a")  # a cheap look first: few parts begin with a word
-        c = F.trim(F.when(word, F.regexp_replace(c, r"(?iuU)^(điều|khoản|điểm)\s+", "")).otherwise(c))
-        return F.when(~F.lower(c).isin("null", "none", ""), c)
 
-    a, k, p = part(article), part(clause), part(point)
+def build_uid(doc: Column, article: Column, clause: Column, point: Column) -> Column:
+    """doc_D_dieu_A_khoan_K_diem_P down to the first missing level; words before numbers are dropped."""
+    a, k, p = map(_level, (article, clause, point))
     return F.concat_ws(
         "_",
         F.lit("doc"),
@@ -124,6 +125,16 @@ def build_uid(doc: Column, article: Column, clause: Column, point: Column) -> Co
     )
 
 
+def clause_uid(article_uid: Column, clause: Column) -> Column:
+    """The uid of an article's clause; null without a number."""
+    return F.concat(article_uid, F.lit("_khoan_"), _level(clause))
+
+
+def point_uid(clause_uid: Column, point: Column) -> Column:
+    """The uid of a clause's point; null without a letter."""
+    return F.concat(clause_uid, F.lit("_diem_"), _level(point))
+
+
 def uid_part(uid: Column, level: str) -> Column:
     """The doc, dieu, khoan or diem part of a uid; null if it has none."""
     return blank_to_null(F.regexp_extract(uid, rf"(?:^|_){level}_([^_]+)", 1))

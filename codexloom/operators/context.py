@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexloom.functions.identifiers import blank_to_null, citation
+from codexloom.functions.identifiers import blank_to_null, citation, clause_uid, point_uid
 from codexloom.operators.lookup import pick
 from codexloom.sources.shared import dealt
 
@@ -48,9 +48,7 @@ def ladder(nodes: DataFrame, points: DataFrame, clauses: DataFrame, articles: Da
     c = clauses.select(F.col("uid").alias("c_uid"), F.col("parent").alias("c_article"), F.col("idx").alias("clause"), F.col("text").alias("c_text"), F.lit("Clause").alias("c"))
     rows = dealt(rows, "c_uid").join(c, "c_uid", "left").withColumn("a_uid", F.coalesce("c_article", "uid"))
     a = articles.select(F.col("uid").alias("a_uid"), F.col("parent").alias("a_parent"), F.col("idx").alias("article"), F.col("text").alias("a_text"), F.lit("Article").alias("a"))
-    # what an article stands in hangs on the article alone: articles meet it once, not with all nodes below them
-    ch = chapters.select(F.col("uid").alias("a_parent"), F.col("parent").alias("ch_doc"))
-    a = a.join(ch, "a_parent", "left").withColumn("doc_id", F.coalesce("ch_doc", "a_parent")).join(docs.select("doc_id", "title"), "doc_id", "left")
+    a = _standing(a, chapters, docs)
     rows = dealt(rows, "a_uid").join(a, "a_uid", "left")
     kind = F.coalesce("p", "c", "a")
     text = F.concat_ws("\n", *(blank_to_null(F.col(x)) for x in ("a_text", "c_text", "p_text")))
@@ -67,6 +65,39 @@ def ladder(nodes: DataFrame, points: DataFrame, clauses: DataFrame, articles: Da
     )
 
 
+def _standing(articles: DataFrame, chapters: DataFrame, docs: DataFrame) -> DataFrame:
+    """articles(a_parent, ...) with ch_doc, doc_id, title: what an article stands in hangs on the article alone, so articles meet it once, not with all below them."""
+    ch = chapters.select(F.col("uid").alias("a_parent"), F.col("parent").alias("ch_doc"))
+    return articles.join(ch, "a_parent", "left").withColumn("doc_id", F.coalesce("ch_doc", "a_parent")).join(docs.select("doc_id", "title"), "doc_id", "left")
+
+
+def ladders(articles: DataFrame, clauses: DataFrame, chapters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every article, clause and point with the columns of `ladder`, where clauses know the key of their article.
+
+    articles(key, uid, parent, idx, text; the parent is a chapter or a document), clauses(key, idx, text, points: array of letter, text), chapters(uid,
+    parent), docs(doc_id, title). The one join of all clauses is by that key, and uids are made behind it: neither uids nor points are shuffled.
+    A clause without a number, or a point without a letter, has a null uid, and no points stand in the former. Clauses of no article, and
+    articles without uid or key, are left out.
+    """
+    a = articles.select("key", F.col("uid").alias("a_uid"), F.col("parent").alias("a_parent"), F.col("idx").alias("article"), F.col("text").alias("a_text"))
+    a = _standing(a.where("key is not null and a_uid is not null"), chapters, docs)
+    text = lambda *cs: F.concat_ws("\n", *(blank_to_null(F.col(c)) for c in cs)).alias("text")
+    level = lambda kind, letter, own: F.struct(F.lit(kind).alias("kind"), letter.cast("string").alias("letter"), own.cast("string").alias("p_text"))
+
+    def shown(rows: DataFrame, uid: Column, kind: Column, c_uid: Column, clause: Column, letter: Column, *texts: str) -> DataFrame:
+        columns = [uid.alias("uid"), kind.alias("segment_type"), F.col("a_uid").alias("article_uid"), c_uid.cast("string").alias("clause_uid"), F.when(F.col("ch_doc").isNotNull(), F.col("a_parent")).alias("chapter_uid")]
+        columns += [F.when(F.col("title").isNotNull(), F.col("doc_id")).alias("doc_id"), "title", text(*texts), citation(F.col("article"), clause, letter, F.col("title"), uid).alias("display_citation")]
+        return rows.select(*columns)
+
+    null = F.lit(None)
+    rows = dealt(a, "key").join(clauses.select("key", F.col("idx").alias("clause"), F.col("text").alias("c_text"), "points"), "key")
+    points = F.transform(F.filter("points", lambda p: F.col("clause").isNotNull()), lambda p: level("Point", p["letter"], p["text"]))
+    rows = rows.withColumn("x", F.explode(F.concat(F.array(level("Clause", null, null)), F.coalesce(points, F.array())))).select("*", "x.*")
+    c_uid = clause_uid(F.col("a_uid"), F.col("clause"))
+    uid = F.when(F.col("kind") == "Point", point_uid(c_uid, F.col("letter"))).otherwise(c_uid)
+    return shown(a, F.col("a_uid"), F.lit("Article"), null, null, null, "a_text").unionByName(shown(rows, uid, F.col("kind"), c_uid, F.col("clause"), F.col("letter"), "a_text", "c_text", "p_text"))
+
+
 def hydrate(ranked: DataFrame, ladders: DataFrame) -> DataFrame:
     """ranked(uid, ...) with their ladder's columns, in any order; rows whose uid no ladder has keep nulls."""
     return ranked.join(ladders, "uid", "left")

@@ -380,3 +380,23 @@ def test_equal_titles_meet_hints_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(["Luật Đất đai", "luật đất đai ", "LUẬT ĐẤT ĐAI", None, "khác"])], "doc_id long, so_ky_hieu string, key string, title string")
     asked = spark.createDataFrame([(1, None, None, "đất đai"), (2, None, None, "không có")], "query_id long, doc_id string, so_ky_hieu string, document_hint string")
     assert {(r.query_id, r.target_doc, r.how) for r in qa.resolve_documents(asked, docs).collect()} == {(1, 0, "title"), (2, None, "none")} and seen == [3]
+
+
+def test_all_segments_meet_their_article_in_one_join(spark):
+    """`ladders` gives what `ladder` gives of every uid; lines are read, and shuffled, once."""
+    articles = spark.createDataFrame([(1, "a1", "ch", "1", " A1 "), (2, "a2", "7", "155a", "A2"), (3, None, "7", "3", "x"), (None, "a4", "7", "4", "x"), (5, "a5", "zz", "5", None)], "key int, uid string, parent string, idx string, text string")
+    clauses = spark.createDataFrame([(1, "1", "C1", [("a", "P1"), ("b", None)]), (1, "2", "C2", None), (2, "Khoản 3", "C3", []), (5, "1", None, [("k", "P")]), (9, "1", "lost", [])], "key int, idx string, text string, points array<struct<letter: string, text: string>>")
+    chapters, docs = spark.createDataFrame([("ch", "7")], "uid string, parent string"), spark.createDataFrame([("7", "Luật X")], "doc_id string, title string")
+    got = context.ladders(articles, clauses, chapters, docs)
+    c = clauses.join(articles.select("key", F.col("uid").alias("parent")), "key").where("parent is not null").withColumn("uid", ids.clause_uid(F.col("parent"), F.col("idx")))
+    p = c.select(F.col("uid").alias("parent"), F.inline("points")).withColumn("uid", ids.point_uid(F.col("parent"), F.col("letter")))
+    a = articles.where("key is not null and uid is not null")
+    nodes = a.select("uid").union(c.select("uid")).union(p.select("uid"))
+    want = context.ladder(nodes, p, c.select("uid", "parent", "idx", "text"), a, chapters, docs)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 10
+    odd = context.ladders(articles, spark.createDataFrame([(1, None, "C", [("a", "P")]), (2, "1", "C", [(None, "P")])], clauses.schema), chapters, docs)
+    assert [(r.uid, r.segment_type, r.clause_uid) for r in odd.where("segment_type <> 'Article'").orderBy("uid", "segment_type").collect()] == [(None, "Clause", None), (None, "Point", "a2_khoan_1"), ("a2_khoan_1", "Clause", "a2_khoan_1")]
+    from codexloom.plans import answers
+
+    plan = plan_of(answers.hier_ladder(spark, "/root/testdata/sf0.001"))
+    assert plan.count("/lineitem.parquet") == 1
