@@ -134,8 +134,7 @@ def build(spark: SparkSession, docs: DataFrame, fields: dict[str, float], tokeni
     placed = shared.dealt(placed, "cell").sortWithinPartitions("cell")  # texts are shuffled, not their words
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = words(placed, "doc_id", "cell").mapInArrow(_postings(list(map(float, fields.values())), means), f"term string, cell long, most double, ids array<{kind}>, impacts array<double>")
-    rows.write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = shared.written(rows, f"{path}/postings")
     n = docs.agg(F.count("*").alias("n"))
     often = postings.groupBy("term").agg(F.sum(F.size("ids")).alias("df")).join(F.broadcast(n))  # a single row
     often.select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")

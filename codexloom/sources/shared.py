@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of keys that may be broadcast.
-FEW = 250_000
+#: Rows of keys that may be broadcast, and Spark's switch for shuffle files to go with their query.
+FEW, CLEANUP = 250_000, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def root(spark: SparkSession) -> str:
@@ -41,13 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """As `cut`, for many rows: written as a table of compressed columns."""
-    path = folder(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows written as a table of compressed columns and read back; the write's own shuffle files go when it ends."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As `cut`, for many rows: they are `written` to a new folder."""
+    return written(df, folder(df.sparkSession, name))
+
+
 def among(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows whose key is among some: broadcast only if a count shows that these are few."""
     few = keys.limit(FEW + 1).count() <= FEW

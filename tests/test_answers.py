@@ -400,3 +400,45 @@ def test_all_segments_meet_their_article_in_one_join(spark):
 
     plan = plan_of(answers.hier_ladder(spark, "/root/testdata/sf0.001"))
     assert plan.count("/lineitem.parquet") == 1
+
+
+def test_retrieval_against_brute_force(spark):
+    """Only the first neighbours of a node travel, texts stay where they are, and the ranks are those of scoring everything twice."""
+    rng = random.Random(5)
+    texts = [(u, rng.choice(["Small brass ring", "ring", "x", "BRASS", "small"]), rng.choice(["Luật", "Nghị định", None])) for u in range(60)]
+    plans = [(q, rng.choice([["small", "ring"], ["x", ""], []]), rng.choice([["brass"], []])) for q in range(12)]
+    rows = [(rng.randrange(14), rng.choice([rng.randrange(64), 3]), rng.choice([0.0, 0.1, 0.4, None]), rng.choice([0.0, 0.2, 0.3])) for _ in range(500)] + [(None, 1, 1.0, 1.0), (1, None, 1.0, 1.0)]
+    edges = [(rng.randrange(60), rng.choice([rng.randrange(70), 3]), rng.choice(["MODIFIES", "REFERENCES", None])) for _ in range(500)]
+    merged, near, hay, plan = {}, {}, {u: t for u, *t in texts}, {q: t for q, *t in plans}
+    for q, u, v, x in rows:
+        a, b = merged.get((q, u), (0.0, 0.0))
+        merged[q, u] = max(a, v or 0.0), max(b, x)
+    for s, t, r in edges:
+        for a, b in ((s, t), (t, s)):
+            near.setdefault(a, {}).setdefault(b, set()).add(r == "MODIFIES")
+
+    def score(q, u, graph=1.0, validity=1.0):
+        held = lambda words: sum(w != "" and w in hay[u][0].lower() for w in words)
+        v, x = merged.get((q, u), (0.0, 0.0))
+        weight = {"Luật": 3.0, "Nghị định": 2.0}.get(hay[u][1], 1.0)
+        return round((0.5 * v + 0.25 * x + min(held(plan[q][0]) * 0.08, 0.24) + min(held(plan[q][1]) * 0.12, 0.24)) * graph * weight * validity, 9)
+
+    want = set()
+    for q in plan:
+        old = {u: score(q, u) for p, u in merged if p == q and u in hay}
+        first = sorted(old, key=lambda u: (-old[u], u))[:5]
+        found = {}
+        for s in first:
+            for u, changed in near.get(s, {}).items():
+                found.setdefault(u, set()).update(changed)
+        new = {u: score(q, u, 1.25, 0.95 if True in found[u] else 1.0) for u in sorted(found)[:10] if u in hay}
+        every = old | new
+        want |= {(q, u, round(every[u], 6), i + 1) for i, u in enumerate(sorted(every, key=lambda u: (-every[u], u))[:5])}
+    frame = spark.createDataFrame
+    tables = frame(texts, "uid long, haystack string, doc_type string"), frame(plans, "query_id long, keywords array<string>, title_hints array<string>"), frame(edges, "src long, dst long, rel_type string")
+    got = hybrid.ranked(frame(rows, "query_id long, uid long, vector double, lexical double"), *tables)
+    assert {(r.query_id, r.uid, round(r.score, 6), r["rank"]) for r in got.collect()} == want and len(want) == 60
+    ways = [frame([(r[0], r[1], r[i] or 0.0) for r in rows], "query_id long, uid long, score double") for i in (2, 3)]
+    assert {(r.query_id, r.uid, round(r.score, 6), r["rank"]) for r in hybrid.retrieve(*ways, *tables).collect()} == want
+    hub = hybrid.neighbours(frame([(1, 0), (1, 1), (2, 1)], "query_id long, src long"), frame([(0, i, "MODIFIES" if i % 2 else "x") for i in range(500)] + [(7, 1, None)], "src long, dst long, rel_type string"), 3)
+    assert {tuple(r) for r in hub.collect()} == {(1, 0, True), (1, 1, True), (1, 2, False), (2, 0, True), (2, 7, False)} and "collect_list(struct(dst" in hub._jdf.queryExecution().analyzed().toString()
